@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.llm import bpe, sharding
+from lexloom.llm import bpe, chat, html, licenses, packing, quality, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_rules": licenses.op1,
+    "op2_tag_path_ratios": html.op2,
     "op4_bpe_segment_tree": bpe.op4,
+    "op5_residual_packing": packing.op5,
+    "op6_chat_windows": chat.op6,
+    "op7_line_quality": quality.op7,
+    "op8_golay_simhash": simhash.op8,
     "op9_jump_hash_shards": sharding.op9,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_chat_windows": chat.ORACLE}
