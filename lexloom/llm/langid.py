@@ -303,7 +303,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identified(spark, table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
-def language_stage(spark: SparkSession, docs: DataFrame, least: float = 0.5) -> DataFrame:
+def language_stage(spark: SparkSession, docs: DataFrame, least: float = 0.4) -> DataFrame:
     """The documents whose language is known with a score of at least `least`."""
     model = fitted(sample(docs.select("doc_id", "text", "lang")))
     return docs.withColumn("_p", predictions(spark, model)).where((F.col("_p.lang_pred") != "und") & (F.col("_p.score") >= least)).drop("_p")
