@@ -1,10 +1,314 @@
-"""The registered queries of the engine itself and their SQL."""
+"""The registered queries of the engine itself and their SQL.
+
+Substrate: direct queries read the given tables' own text; rendered ones read source files rendered from `part`, and their
+SQL is a projection of its rows.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexloom.functions import text as tx
+from lexloom.functions.lexing import comment_spans
+from lexloom.operators import catalog as cat
+from lexloom.operators import extract, index, requests, tags
+from lexloom.plans import rendered
+from lexloom.sources import globs
+from lexloom.streaming import changes as feed
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def registered(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def put(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return put
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- direct: markup and text ---
+
+HITS = f"unnest(regexp_extract_all(html, '{tags.EVENT}')) as hit, generate_subscripts(regexp_extract_all(html, '{tags.EVENT}'), 1) as pos"
+SKIP_SQL = ", ".join(f"'{t}'" for t in [*tags.VOID, *tags.SPECIAL])
+EVENTS_SQL = rf"""
+  select page_id, pos, tag, delta from (
+    select page_id, pos, hit,
+      lower(case when starts_with(hit, '</') then regexp_extract(hit, '^</([^> \t\r\n]*)', 1) else regexp_extract(hit, '^<([^ \t\r\n/>]*)', 1) end) as tag,
+      case when starts_with(hit, '</') then case when regexp_matches(hit, '[> \t\r\n]\z') then -1 else 0 end
+        when regexp_extract(hit, '^<([^ \t\r\n/>]*)', 1) = '' or starts_with(hit, '<!') or ends_with(hit, '/>') or lower(regexp_extract(hit, '^<([^ \t\r\n/>]*)', 1)) in ({SKIP_SQL}) then 0 else 1 end as delta
+    from (select page_id, {HITS} from pages)
+  ) where delta <> 0
+"""
+
+
+@registered("unclosed_tags_pages", f"""
+with e as ({EVENTS_SQL}), b as (select *, sum(delta) over (partition by page_id, tag order by pos) as b from e),
+l as (select *, min(b) over (partition by page_id, tag order by pos rows between 1 following and unbounded following) as later from b)
+select page_id, tag, cast(count(*) as bigint) as n_unclosed from l where delta = 1 and (later is null or later >= b) group by page_id, tag
+""")
+def unclosed_tags_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tags.unclosed(table(spark, sf_dir, "pages"), "html", "page_id").groupBy("page_id", "tag").agg(F.count("*").alias("n_unclosed"))
+
+
+@registered("tag_events_pages", f"select page_id, tag, delta, cast(count(*) as bigint) as n from ({EVENTS_SQL}) group by page_id, tag, delta")
+def tag_events_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tags.events(table(spark, sf_dir, "pages"), "html", "page_id").groupBy("page_id", "tag", "delta").agg(F.count("*").alias("n"))
+
+
+@registered("void_special_tags", rf"""
+select tag, tag in ({", ".join(f"'{t}'" for t in tags.VOID)}) as is_void, tag in ('cfset', 'cfelse', 'cfelseif') as is_special, cast(count(*) as bigint) as n
+from (select lower(unnest(regexp_extract_all(html, '</?([A-Za-z][A-Za-z0-9]*)', 1))) as tag from pages) group by tag
+""")
+def void_special_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = table(spark, sf_dir, "pages").select(F.explode(F.regexp_extract_all("html", F.lit("</?([A-Za-z][A-Za-z0-9]*)"), F.lit(1))).alias("tag")).select(F.lower("tag").alias("tag"))
+    return names.groupBy("tag").agg(F.count("*").alias("n")).select("tag", tags.is_void("tag").alias("is_void"), tags.is_special("tag").alias("is_special"), "n")
+
+
+def at_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with a cursor somewhere in their first line."""
+    cursor = (F.pmod(F.col("page_id") * 7919, F.lit(3000))).cast("int")
+    return table(spark, sf_dir, "pages").select("page_id", tx.text_before("html", F.lit(0), cursor).alias("before"))
+
+
+BEFORE_SQL = "select page_id, substr(regexp_extract(html, '\\A[^\\n]*\\n?'), 1, cast((page_id * 7919) % 3000 as integer)) as before from pages"
+
+
+@registered("enclosing_tag_at_cursor", rf"select page_id, lower(regexp_extract(before, '<[ \t]*([^ \t\r\n/<>]+)[ \t\r\n/][^<>]*\z', 1)) as tag, ends_with(before, '</') as closing, length(before) as n_before from ({BEFORE_SQL})")
+def enclosing_tag_at_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return at_cursor(spark, sf_dir).select("page_id", tx.enclosing_tag("before").alias("tag"), tx.in_closing_tag("before").alias("closing"), F.length("before").cast("long").alias("n_before"))
+
+
+@registered("word_at_cursor", r"""
+with d as (select doc_id, split(text, chr(10)) as lines, doc_id % 4 as line, cast((doc_id * 31) % 200 as integer) as c from documents),
+o as (select doc_id, coalesce(lines[line + 1], '') as own, c from d)
+select doc_id, regexp_extract(substr(own, 1, least(c, length(own))), '[A-Za-z0-9_]*\z') || regexp_extract(substr(own, least(c, length(own)) + 1), '^[A-Za-z0-9_]*') as word from o
+""")
+def word_at_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", tx.word_at("text", F.pmod("doc_id", F.lit(4)).cast("int"), F.pmod(F.col("doc_id") * 31, F.lit(200)).cast("int")).alias("word"))
+
+
+@registered("line_counts", "select doc_id, cast(length(text) - length(replace(text, chr(10), '')) as bigint) as n_lines, split(text, chr(10))[1] as first_line from documents")
+def line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", tx.newlines("text").cast("long").alias("n_lines"), tx.first_line("text").alias("first_line"))
+
+
+@registered("document_state", """
+select user_id, event_id as seq, event_type as text from (
+  select *, row_number() over (partition by user_id order by ts desc, event_id desc) as k from events) where k = 1 and event_type <> 'purchase'
+""")
+def document_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's last event is their document's text; a purchase closes it. Arrival order is time, then event."""
+    e = table(spark, sf_dir, "events")
+    order = F.struct("ts", "event_id")
+    last = e.select("user_id", order.alias("seq"), F.when(F.col("event_type") == "purchase", "close").otherwise("change").alias("op"), F.array("event_type").alias("changes"))
+    return feed.document_state(last, "user_id").select("user_id", F.col("seq.event_id").alias("seq"), "text")
+
+
+@registered("socket_names", "select n_nationkey, substr(sha256(n_name), 1, 16) as socket from nation")
+def socket_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "nation").select("n_nationkey", tx.socket_name("n_name").alias("socket"))
+
+
+@registered("page_path_globs", r"""
+select page_id, regexp_replace(url, '^https?://', '/') as path, regexp_matches(regexp_replace(url, '^https?://', '/'), '\A/[^/]*/en/[^/]*\z') as one_level,
+  regexp_matches(regexp_replace(url, '^https?://', '/'), '(\A|/)[^/]*5[^/]\z') as any_level from pages
+""")
+def page_path_globs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.regexp_replace("url", "^https?://", "/")
+    return table(spark, sf_dir, "pages").select("page_id", path.alias("path"), globs.matches(path, ["/*/en/*"]).alias("one_level"), globs.matches(path, ["/**/*5?"]).alias("any_level"))
+
+
+# --- rendered: source files ---
+
+
+def files(spark: SparkSession, sf_dir: str, version: int = 0) -> DataFrame:
+    return rendered.files(spark, sf_dir, version)
+
+
+def defs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.function_defs(files(spark, sf_dir))
+
+
+DEFS = rendered.defs_sql()
+
+
+@registered("comment_spans", f"""
+select uri, cast(max(place) + 1 as bigint) as n_functions, cast(count(*) filter (hidden) + (case when bool_or(script) then 1 else 0 end) as bigint) as n_spans
+from ({rendered.ROWS_SQL.format(rename="false")}) group by uri
+""")
+def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = files(spark, sf_dir).select("uri", F.size(comment_spans("text")).cast("long").alias("n_spans"), F.regexp_count("text", F.lit("Make_")).cast("long").alias("n_functions"))
+    return f.select("uri", "n_functions", "n_spans")
+
+
+@registered("regions", f"""
+select uri, 0 as ord, case when bool_or(script) then 'script' else 'tag' end as kind, 0 as start_line from ({rendered.ROWS_SQL.format(rename="false")}) group by uri
+""")
+def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.regions(files(spark, sf_dir)).select("uri", "ord", "kind", "start_line")
+
+
+@registered("function_defs", f"select uri, name, name_key, line from ({DEFS})")
+def function_defs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return defs(spark, sf_dir).select("uri", "name", "name_key", "line")
+
+
+@registered("function_args", f"""
+select uri, name, a.pos, a.arg_name, a.arg_type, a.required from ({DEFS}) d, lateral (
+  select 0 as pos, 'size_' || d.p_size as arg_name, 'numeric' as arg_type, true as required union all select 1, 'kind', 'string', false union all select 2, 'note', '', false) a
+""")
+def function_args(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = defs(spark, sf_dir).select("uri", "name", F.posexplode("arguments").alias("pos", "a"))
+    return a.select("uri", "name", "pos", F.col("a.name").alias("arg_name"), F.col("a.type").alias("arg_type"), F.col("a.required").alias("required"))
+
+
+@registered("inverted_index", f"select name_key, cast(count(*) as bigint) as n, min(uri) as first_uri, min(line) as first_line from ({DEFS}) group by name_key")
+def inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = index.inverted(defs(spark, sf_dir))
+    return d.select("name_key", F.size("definitions").cast("long").alias("n"), F.col("definitions")[0]["uri"].alias("first_uri"), F.col("definitions")[0]["line"].alias("first_line"))
+
+
+@registered("definition_lookup", f"""
+select l_orderkey, l_linenumber, uri, line from lineitem join ({DEFS}) d on 'make_' || l_partkey = d.name_key
+""")
+def definition_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("MAKE_"), F.col("l_partkey").cast("string")).alias("word"))
+    return index.lookup(asked, defs(spark, sf_dir).select("name_key", "uri", "line")).select("l_orderkey", "l_linenumber", "uri", "line")
+
+
+@registered("workspace_symbol", f"""
+select cast(n_nationkey as bigint) as req_id, name, uri, line from nation join ({DEFS}) d on contains(d.name_key, lower('E_' || n_nationkey))
+""")
+def workspace_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("req_id"), F.concat(F.lit("E_"), F.col("n_nationkey").cast("string")).alias("query"))
+    return requests.workspace_symbols(asked, defs(spark, sf_dir))
+
+
+def touched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second version of the files of which some have changed."""
+    return files(spark, sf_dir, 1).where(F.col("uri").rlike("[02468][.]cfc$"))
+
+
+@registered("index_upsert", f"""
+select uri, name, line from ({DEFS}) where not regexp_matches(uri, '[02468][.]cfc$')
+union all select uri, name, line from ({rendered.defs_sql("p_size % 2 = 0")}) where regexp_matches(uri, '[02468][.]cfc$')
+""")
+def index_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.upserted(defs(spark, sf_dir), touched(spark, sf_dir)).select("uri", "name", "line")
+
+
+@registered("prefix_delete", f"select uri, name, line from ({DEFS}) where not starts_with(uri, 'file:///shop/brand_1') and not starts_with(uri, 'file:///shop/brand_23_')")
+def prefix_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    removed = spark.sql("select * from values ('file:///shop/brand_1'), ('file:///shop/brand_23_'), ('file:///shop/brand_3') as t(uri)")
+    protected = spark.sql("select '/shop/brand_3' as path")
+    return index.without_prefix(defs(spark, sf_dir), removed, protected).select("uri", "name", "line")
+
+
+@registered("indexed_files", f"select distinct uri from ({rendered.ROWS_SQL.format(rename='false')}) where starts_with(uri, 'file:///shop/brand_4')")
+def indexed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.accepts(files(spark, sf_dir), ["/shop"], ["/shop/**/brand_4*.cfc"]).select("uri")
+
+
+# --- rendered: catalog. Regions are tags, nations their attributes; order priorities are functions. ---
+
+
+def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    param = F.struct(F.lower("n_name").alias("name"), F.concat(F.lit("Attribute "), "n_name", F.lit("\nmore")).alias("description"), F.lit("string").alias("type"), (F.col("n_nationkey") % 2 == 0).alias("required"))
+    params = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.sort_array(F.collect_list(F.struct("n_nationkey", param.alias("p")))).alias("ps"))
+    tag = table(spark, sf_dir, "region").join(params, "r_regionkey", "left").select(
+        F.concat(F.lit("cf"), F.lower(F.replace("r_name", F.lit(" "), F.lit("")))).alias("name"), F.concat(F.lit("Tag "), "r_name").alias("description"), F.lit("").alias("syntax"), F.lit("").alias("returns"),
+        F.lit("tag").alias("type"), F.coalesce(F.transform("ps", lambda x: x["p"]), F.array().cast("array<struct<name:string,description:string,type:string,required:boolean>>")).alias("params"), F.col("r_regionkey").cast("int").alias("ord"),
+    )
+    arg = F.array(F.struct(F.lit("value").alias("name"), F.lit("a value").alias("description"), F.lit("any").alias("type"), F.lit(True).alias("required")))
+    function = table(spark, sf_dir, "nation").select(
+        F.concat(F.lit("To"), F.replace("n_name", F.lit(" "), F.lit(""))).alias("name"), F.concat(F.lit("Makes "), "n_name").alias("description"), F.concat(F.lit("To"), "n_name", F.lit("(value)")).alias("syntax"), F.lit("string").alias("returns"),
+        F.lit("function").alias("type"), arg.alias("params"), F.col("n_nationkey").cast("int").alias("ord"),
+    )
+    return tag.unionByName(function)
+
+
+TAGS_SQL = "select r_regionkey, 'cf' || lower(replace(r_name, ' ', '')) as name, 'Tag ' || r_name as description from region"
+
+
+@registered("catalog_filter", f"select 'tag' as type, name, description, cast(r_regionkey as integer) as ord from ({TAGS_SQL}) union all select 'function', 'To' || replace(n_name, ' ', ''), 'Makes ' || n_name, cast(n_nationkey as integer) from nation")
+def catalog_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = catalog(spark, sf_dir)
+    return cat.in_order(cat.of_type(c, "tag").unionByName(cat.of_type(c, "function"))).select("type", "name", "description", "ord")
+
+
+def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a second entry of every name in capitals, which comes first and so loses."""
+    c = catalog(spark, sf_dir)
+    twice = c.withColumns({"name": F.upper("name"), "description": F.lit("old"), "ord": F.col("ord") - 100})
+    return cat.distinct_entries(twice.unionByName(c), "ord")
+
+
+@registered("catalog_params", f"""
+select t.name as tag, cast(row_number() over (partition by n_regionkey order by n_nationkey) - 1 as integer) as ord, lower(n_name) as param_name, n_nationkey % 2 = 0 as param_required
+from ({TAGS_SQL}) t join nation on n_regionkey = r_regionkey
+""")
+def catalog_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = table(spark, sf_dir, "region").select(F.concat(F.lit("cf"), F.lower(F.replace("r_name", F.lit(" "), F.lit("")))).alias("tag"))
+    return cat.tag_params(asked, entries(spark, sf_dir)).select("tag", "ord", "param_name", "param_required")
+
+
+@registered("hover", """
+with p as (select n_regionkey, string_agg('- `' || lower(n_name) || '` (string)' || case when n_nationkey % 2 = 0 then ' *(required)*' else '' end || ' — Attribute ' || n_name || chr(10), '' order by n_nationkey) as lines from nation group by n_regionkey)
+select cast(r_regionkey as bigint) as req_id, '**<cf' || lower(replace(r_name, ' ', '')) || '>**' || chr(10) || chr(10) || 'Tag ' || r_name || coalesce(chr(10) || chr(10) || '**Attributes:**' || chr(10) || lines, '') as contents
+from region left join p on n_regionkey = r_regionkey
+union all select 1000 + n_nationkey, '**To' || replace(n_name, ' ', '') || '**' || chr(10) || chr(10) || '```cfml' || chr(10) || 'To' || n_name || '(value)' || chr(10) || '```' || chr(10) || chr(10)
+  || 'Makes ' || n_name || chr(10) || chr(10) || '**Parameters:**' || chr(10) || '- `value` (any) *(required)* — a value' || chr(10) || chr(10) || '**Returns:** `string`' from nation
+""")
+def hover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Through whole requests: one document a name, the cursor inside the name; words that are in no catalog have no answer."""
+    name = F.replace("w", F.lit(" "), F.lit(""))
+    r = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("req_id"), F.concat(F.lit("CF"), F.replace("r_name", F.lit(" "), F.lit(""))).alias("w"))
+    n = table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 1000).cast("long").alias("req_id"), F.concat(F.lit("to"), "n_name").alias("w"))
+    other = table(spark, sf_dir, "region").select((F.col("r_regionkey") + 5000).cast("long").alias("req_id"), F.lit("nothing").alias("w"))
+    asked = r.unionByName(n).unionByName(other).select("req_id", F.concat(F.lit("file:///w/"), F.col("req_id").cast("string")).alias("uri"), F.lit(1).alias("line"), F.lit(4).alias("character"), F.concat(F.lit("x = 1\n  "), name, F.lit("(2)\n")).alias("text"))
+    return requests.hover(asked, asked.select("uri", "text"), entries(spark, sf_dir))
+
+
+@registered("completion", f"""
+with q as (select cast(page_id as bigint) as req_id, page_id % 4 as arm, page_id % 5 as r from pages),
+f as (select 'To' || replace(n_name, ' ', '') as label, 'To' || n_name || '(value)' as detail, 'Makes ' || n_name as documentation, cast(n_nationkey as integer) as ord from nation)
+select req_id, x.ord, x.label, 'keyword' as kind, 'Close tag' as detail, '' as documentation, x.label || '>' as insert_text, '' as insert_text_format from q, lateral (select 0 as ord, 'cfloop' as label union all select 1, 'cfoutput') x where arm = 0
+union all select req_id, cast(row_number() over (partition by req_id order by n_nationkey) - 1 as integer), lower(n_name), 'property', 'Attribute ' || n_name || chr(10) || 'more', '', lower(n_name) || '="$1"', 'snippet' from q join nation on n_regionkey = r where arm = 1
+union all select req_id, cast(r_regionkey as integer), name, 'keyword', description, '', '', '' from q, ({TAGS_SQL}) where arm = 2
+union all select req_id, ord, label, 'function', detail, documentation, '', 'plaintext' from q, f where arm = 3
+""")
+def completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One request a page, of the four kinds in turn."""
+    arm, page = F.pmod("page_id", F.lit(4)), table(spark, sf_dir, "pages").select("page_id", F.pmod("page_id", F.lit(5)).alias("r"))
+    names = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("r"), F.lower(F.replace("r_name", F.lit(" "), F.lit(""))).alias("region"))
+    text = F.when(arm == 0, "<cfoutput>\n<CFLOOP a='1'><cfset x = 1><cfif y></cfif></").when(arm == 1, F.concat(F.lit("<b>1</b>\n<cf"), "region", F.lit(" "))).when(arm == 2, "x\n<").otherwise("x\n ")
+    asked = page.join(names, "r").select(F.col("page_id").cast("long").alias("req_id"), F.concat(F.lit("file:///w/"), F.col("page_id").cast("string")).alias("uri"), F.lit(1).alias("line"), F.lit(200).alias("character"), F.when(arm == 2, "trigger_char").otherwise("invoked").alias("trigger_kind"), F.when(arm == 2, "<").alias("trigger_char"), text.alias("text"))
+    return requests.completions(asked, asked.select("uri", "text"), catalog(spark, sf_dir), entries(spark, sf_dir))
+
+
+@registered("document_symbols", f"select cast(p_partkey as bigint) as req_id, d.name, d.line from part join ({DEFS}) d on d.uri = 'file:///shop/' || replace(lower(p_brand), '#', '_') || '_' || (p_partkey // {rendered.ROWS}) || '.cfc' where p_size = 7")
+def document_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = rendered.keyed(table(spark, sf_dir, "part").where("p_size = 7")).select(F.col("p_partkey").alias("req_id"), "uri")
+    return requests.document_symbols(asked, files(spark, sf_dir)).select("req_id", "name", "line")
+
+
+@registered("definition_requests", f"""
+with q as (select p_partkey as req_id, 'make_' || p_partkey as k from part where p_size < 10)
+select q.req_id, d.uri, d.line, cast(count(*) over (partition by q.req_id) as integer) as n_locations from q join ({DEFS}) d on d.name_key = q.k
+""")
+def definition_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = table(spark, sf_dir, "part").where("p_size < 10").select(F.col("p_partkey").alias("req_id"), F.concat(F.lit("file:///use/"), F.col("p_partkey").cast("string"), F.lit(".cfm")).alias("uri"), F.lit(0).alias("line"), F.lit(8).alias("character"), F.concat(F.lit("x.do("), F.lit("make_"), F.col("p_partkey").cast("string"), F.lit("());")).alias("text"))
+    return requests.definitions(asked, asked.select("uri", "text"), defs(spark, sf_dir))
