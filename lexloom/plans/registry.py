@@ -124,11 +124,11 @@ def socket_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered("page_path_globs", r"""
 select page_id, regexp_replace(url, '^https?://', '/') as path, regexp_matches(regexp_replace(url, '^https?://', '/'), '\A/[^/]*/en/[^/]*\z') as one_level,
-  regexp_matches(regexp_replace(url, '^https?://', '/'), '(\A|/)[^/]*5[^/]\z') as any_level from pages
+  starts_with(regexp_replace(url, '^https?://', '/'), '/m.ththth.example.net/') and regexp_matches(regexp_replace(url, '^https?://', '/'), '/[^/]*5[^/]*\z') as any_level from pages
 """)
 def page_path_globs(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.regexp_replace("url", "^https?://", "/")
-    return table(spark, sf_dir, "pages").select("page_id", path.alias("path"), globs.matches(path, ["/*/en/*"]).alias("one_level"), globs.matches(path, ["/**/*5?"]).alias("any_level"))
+    return table(spark, sf_dir, "pages").select("page_id", path.alias("path"), globs.matches(path, ["/*/en/*"]).alias("one_level"), globs.matches(path, ["/m.ththth.example.net/**/*5*"]).alias("any_level"))
 
 
 # --- rendered: source files ---
@@ -299,7 +299,7 @@ def completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests.completions(asked, asked.select("uri", "text"), catalog(spark, sf_dir), entries(spark, sf_dir))
 
 
-@registered("document_symbols", f"select cast(p_partkey as bigint) as req_id, d.name, d.line from part join ({DEFS}) d on d.uri = 'file:///shop/' || replace(lower(p_brand), '#', '_') || '_' || (p_partkey // {rendered.ROWS}) || '.cfc' where p_size = 7")
+@registered("document_symbols", f"select cast(part.p_partkey as bigint) as req_id, d.name, d.line from part join ({DEFS}) d on d.uri = 'file:///shop/' || replace(lower(p_brand), '#', '_') || '_' || (part.p_partkey // {rendered.ROWS}) || '.cfc' where part.p_size = 7")
 def document_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = rendered.keyed(table(spark, sf_dir, "part").where("p_size = 7")).select(F.col("p_partkey").alias("req_id"), "uri")
     return requests.document_symbols(asked, files(spark, sf_dir)).select("req_id", "name", "line")

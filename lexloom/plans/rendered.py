@@ -15,7 +15,7 @@ ROWS = 64
 
 def keyed(part: DataFrame) -> DataFrame:
     key = F.concat(F.replace(F.lower("p_brand"), F.lit("#"), F.lit("_")), F.lit("_"), F.floor(F.col("p_partkey") / ROWS).cast("string"))
-    return part.select("p_partkey", "p_size", "p_type", (F.crc32("p_brand") % 2 == 0).alias("script"), F.concat(F.lit("file:///shop/"), key, F.lit(".cfc")).alias("uri"))
+    return part.select("p_partkey", "p_size", "p_type", F.col("p_brand").rlike("[02468]$").alias("script"), F.concat(F.lit("file:///shop/"), key, F.lit(".cfc")).alias("uri"))
 
 
 def files(spark: SparkSession, sf_dir: str, version: int = 0) -> DataFrame:
@@ -38,19 +38,9 @@ def files(spark: SparkSession, sf_dir: str, version: int = 0) -> DataFrame:
     return both.select("uri", text.alias("text"))
 
 
-#: CRC-32 of the brands is not at hand in SQL, so what it decides is listed. Brands rendered as script files.
-def script_brands(brands: list[str]) -> list[str]:
-    import zlib
-
-    return [b for b in brands if zlib.crc32(b.encode()) % 2 == 0]
-
-
-BRANDS = [f"Brand#{a}{b}" for a in range(1, 6) for b in range(1, 6)]
-SCRIPT_IN = ", ".join(f"'{b}'" for b in script_brands(BRANDS)) or "''"
-
 #: SQL over `part`: p, the rows with file, name and place. {rename} is the condition under which a function has its new name.
 ROWS_SQL = f"""
-  select p_partkey, p_size, p_type, p_brand in ({SCRIPT_IN}) as script, p_partkey % 7 = 0 as hidden,
+  select p_partkey, p_size, p_type, regexp_matches(p_brand, '[02468]$') as script, p_partkey % 7 = 0 as hidden,
     'file:///shop/' || replace(lower(p_brand), '#', '_') || '_' || (p_partkey // {ROWS}) || '.cfc' as uri,
     case when {{rename}} then 'Renamed_' else 'Make_' end || p_partkey as name,
     row_number() over (partition by p_brand, p_partkey // {ROWS} order by p_partkey) - 1 as place
