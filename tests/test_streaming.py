@@ -1,0 +1,54 @@
+"""The change feed, as batch and as stream."""
+
+from lexloom.operators.extract import function_defs
+from lexloom.schemas import DOC_CHANGES, FILES, FOLDER_CHANGES
+from lexloom.streaming import changes as feed
+
+A, B = "file:///w/a.cfc", "file:///w/b.txt"
+
+
+def component(name):
+    return f"component {{ function {name}() {{}} }}"
+
+
+ROWS = [
+    (1, "s", "open", A, [component("one")]), (2, "s", "change", A, ["x", component("two")]), (3, "s", "change", A, []), (4, "s", "open", B, ["plain"]),
+    (5, "s", "open", "file:///w/c.cfc", [component("gone")]), (6, "s", "close", "file:///w/c.cfc", None),
+]
+
+
+def test_state_after_a_batch(spark):
+    changes = spark.createDataFrame(ROWS, DOC_CHANGES)
+    assert sorted((r.uri, r.text) for r in feed.document_state(changes).collect()) == [(A, component("two")), (B, "plain")]
+    old = spark.createDataFrame([("file:///w/c.cfc", "old", 0), ("file:///w/d.cfc", "kept", 0)], "uri string, text string, seq long")
+    assert sorted(r.uri for r in feed.applied(old, changes).collect()) == [A, B, "file:///w/d.cfc"]
+    assert sorted(r.uri for r in feed.changed_files(changes, [], []).collect()) == [A, "file:///w/c.cfc"]
+
+
+def test_stream_keeps_documents_and_index(spark, tmp_path):
+    src = tmp_path / "feed"
+    spark.createDataFrame(ROWS[:3], DOC_CHANGES).coalesce(1).write.parquet(str(src))
+    w = feed.Workspace(spark, f"file://{tmp_path}/w").start(spark.createDataFrame([], "uri string, text string, seq long"), function_defs(spark.createDataFrame([], FILES)))
+    stream = spark.readStream.schema(DOC_CHANGES).parquet(str(src))
+    w.follow(stream, f"{tmp_path}/cp").awaitTermination()
+    assert [r.name for r in w.defs.collect()] == ["two"]
+    spark.createDataFrame(ROWS[3:], DOC_CHANGES).coalesce(1).write.mode("append").parquet(str(src))
+    w.follow(stream, f"{tmp_path}/cp").awaitTermination()
+    assert sorted(r.name for r in w.defs.collect()) == ["gone", "two"]  # closing keeps the index
+    assert sorted(r.uri for r in w.documents.collect()) == [A, B]
+
+
+def test_keyed_state(spark, tmp_path):
+    src = tmp_path / "feed"
+    spark.createDataFrame(ROWS, DOC_CHANGES).coalesce(1).write.parquet(str(src))
+    q = feed.document_updates(spark.readStream.schema(DOC_CHANGES).parquet(str(src))).writeStream.format("memory").queryName("doc_updates").outputMode("update").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert {r.uri: r.text for r in spark.table("doc_updates").collect()} == {A: component("two"), B: "plain", "file:///w/c.cfc": None}
+
+
+def test_folder_changes(spark):
+    defs = function_defs(spark.createDataFrame([("file:///A/x.cfc", component("a")), ("file:///B/x.cfc", component("b"))], FILES))
+    changes = spark.createDataFrame([(1, "removed", "file:///A", ""), (2, "removed", "file:///B", ""), (3, "added", "file:///C", "")], FOLDER_CHANGES)
+    protected = spark.createDataFrame([("/B",)], "path string")
+    scan = lambda folders: spark.createDataFrame([(f"file://{f}/x.cfc", component("c")) for f in folders], FILES)
+    assert sorted(r.name for r in feed.folders_changed(defs, changes, protected, scan).collect()) == ["b", "c"]
