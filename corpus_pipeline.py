@@ -1,7 +1,7 @@
 """Corpus pipeline: from documents to packed training sequences.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. A runner may
-write what a stage returns and read it again as the next one's docs; run() chains them in one session.
+write what a stage returns and read it again as the next one's docs; run() does so too, in the shared folder, so that no stage runs twice.
 
 1. quality: documents that the line-first rules reject go, failing lines of the others are taken out.
 2. language: documents without a known language go.
@@ -15,6 +15,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lexloom.llm import langid, packing, quality, simhash
+from lexloom.llm.common import written
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -43,6 +44,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs, _ = written(spark, stage(spark, docs, sf_dir), "stage")
+    return STAGES[-1][1](spark, docs, sf_dir)
