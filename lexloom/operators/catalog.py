@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import first_line
@@ -22,6 +22,11 @@ def in_order(catalog: DataFrame) -> DataFrame:
     return catalog.orderBy(*keys)
 
 
+def placed(catalog: DataFrame) -> DataFrame:
+    """The catalog with each entry's place in that order, from 1."""
+    return catalog.withColumn("place", F.row_number().over(Window.orderBy(F.when(F.col("type") == "tag", 0).otherwise(1), F.lower("name"), "name")))
+
+
 def distinct_entries(catalog: DataFrame, order: str) -> DataFrame:
     """One entry for each type and lower-cased name: the one that comes last."""
     fields = [c for c in catalog.columns if c not in ("type", order)]

@@ -16,7 +16,7 @@ from lexloom.functions.lexing import comment_spans
 from lexloom.operators import catalog as cat
 from lexloom.operators import extract, index, requests, tags
 from lexloom.plans import rendered
-from lexloom.sources import globs
+from lexloom.sources import config, globs
 from lexloom.streaming import changes as feed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -131,6 +131,35 @@ def page_path_globs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", path.alias("path"), globs.matches(path, ["/*/en/*"]).alias("one_level"), globs.matches(path, ["/m.ththth.example.net/**/*5*"]).alias("any_level"))
 
 
+@registered("json_literals", "select p_partkey, cast(to_json(p_name || chr(10) || '\"' || p_type) as varchar) as literal from part")
+def json_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", tx.json_literal(F.concat("p_name", F.lit('\n"'), "p_type")).alias("literal"))
+
+
+@registered("session_documents", """
+select user_id, event_type as uri, event_id as seq, props as text from (
+  select *, row_number() over (partition by user_id, event_type order by ts desc, event_id desc) as k from events) where k = 1 and value >= 20
+""")
+def session_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each session's own documents: a user is a session, an event type a document, and a last event of small value closes it."""
+    e = table(spark, sf_dir, "events")
+    changes = e.select("user_id", F.col("event_type").alias("uri"), F.struct("ts", "event_id").alias("seq"), F.when(F.col("value") >= 20, "change").otherwise("close").alias("op"), F.array("props").alias("changes"))
+    return feed.document_state(changes, "user_id", "uri").select("user_id", "uri", F.col("seq.event_id").alias("seq"), "text")
+
+
+@registered("resolved_globs", """
+select n_name || '/**/*.cfc' as glob, '/abs/' || r_regionkey || '/' || r_name || '/**/*.cfc' as resolved from nation join region on n_name = r_name
+union all select r_name || '/x', '/abs/' || r_regionkey || '/' || r_name || '/x' from region
+""")
+def resolved_globs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Globs by nation and region, folders by region: nations are in no folder, so their globs are dropped."""
+    region, nation = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
+    path = F.concat(F.lit("/abs/"), F.col("r_regionkey").cast("string"), F.lit("/"), "r_name")
+    folders = region.select(F.col("r_regionkey").alias("ord"), path.alias("path")).unionByName(region.select((F.col("r_regionkey") - 100).alias("ord"), F.concat(F.lit("/old/"), "r_name").alias("path")))
+    globs_ = nation.select(F.concat("n_name", F.lit("/**/*.cfc")).alias("glob")).unionByName(region.select(F.concat("r_name", F.lit("/x")).alias("glob")))
+    return config.resolved_globs(globs_, folders)
+
+
 # --- rendered: source files ---
 
 
@@ -222,6 +251,26 @@ def indexed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.accepts(files(spark, sf_dir), ["/shop"], ["/shop/**/brand_4*.cfc"]).select("uri")
 
 
+@registered("folder_changes", f"""
+select uri, name, line from ({DEFS}) where not starts_with(uri, 'file:///shop/brand_2') and not regexp_matches(uri, '[13579][.]cfc$')
+union all select uri, name, line from ({rendered.defs_sql("p_size % 2 = 0")}) where regexp_matches(uri, '[13579][.]cfc$')
+""")
+def folder_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two folders go, one of them protected, then one is added whose scan finds the second version of some files."""
+    changes = spark.sql("select * from values (1L, 'removed', 'file:///shop/brand_2'), (2L, 'removed', 'file:///shop/brand_3'), (3L, 'added', 'file:///new') as t(seq, op, uri)")
+    scan = lambda folders: files(spark, sf_dir, 1).where(F.col("uri").rlike("[13579][.]cfc$"))
+    return feed.folders_changed(defs(spark, sf_dir), changes, spark.sql("select '/shop/brand_3' as path"), scan).select("uri", "name", "line")
+
+
+@registered("catalog_order", f"""
+select type, name, cast(row_number() over (order by type desc, lower(name), name) as integer) as place from (
+  select 'tag' as type, name from ({{tags}}) union all select 'function', 'To' || replace(n_name, ' ', '') from nation)
+""".replace("{tags}", "select 'cf' || lower(replace(r_name, ' ', '')) as name from region"))
+def catalog_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places in the catalog's order; a catalog is a few thousand entries, so one window over all of it will do."""
+    return cat.placed(catalog(spark, sf_dir)).select("type", "name", "place")
+
+
 # --- rendered: catalog. Regions are tags, nations their attributes; order priorities are functions. ---
 
 

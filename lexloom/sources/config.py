@@ -7,13 +7,13 @@ import os
 import posixpath
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import socket_name
 from lexloom.schemas import CONFIG
 
-FILE = ".cfmleditor.json"
+FILE = ".workspace.json"  # the default only: find_config takes the name that a project uses
 
 
 @dataclass
@@ -49,9 +49,18 @@ def find_config(folder: str, file: str = FILE) -> Config | None:
     return None
 
 
+def resolved_globs(globs: DataFrame, folders: DataFrame) -> DataFrame:
+    """The same for tables: globs (glob) and folders (ord, path) to glob, resolved. An inner join on the folder's name; of two
+    folders of one name the last counts."""
+    named = folders.groupBy(F.substring_index("path", "/", -1).alias("_head")).agg(F.max_by("path", "ord").alias("_path"))
+    head = F.substring_index("glob", "/", 1)
+    rest = F.substring(F.col("glob"), F.length(head) + 1, F.length("glob"))
+    return globs.join(named, head == F.col("_head")).select("glob", F.concat("_path", rest).alias("resolved"))
+
+
 def parsed(json_text: str | Column) -> Column:
     """The same file's fields as a struct column, for tables of configurations."""
     return F.from_json(json_text, CONFIG)
 
 
-__all__ = ["Config", "find_config", "parsed", "socket_name"]
+__all__ = ["Config", "find_config", "parsed", "resolved_globs", "socket_name"]
