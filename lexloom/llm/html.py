@@ -26,7 +26,7 @@ from lexloom.llm.common import table
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-WORD = re.compile(r"[a-z]+|\d+")
+WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 #: Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes".split())
@@ -43,6 +43,9 @@ HINTS = frozenset(
     " footer header masthead comment comments disqus reply replies cookie cookies consent notice notices alert popup modal overlay share sharing social related"
     " recommended subscribe newsletter signup login search pagination pager toolbar widget skip copyright legal complementary contentinfo".split()
 )
+STEMS = ("comment", "advert", "sponsor", "cookie", "newsletter", "breadcrumb", "promo", "sidebar")
+#: Hints that a page's own layout may carry: an article inside such an element counts all the same.
+LAYOUT = frozenset("sidebar header footer nav navbar navigation menu banner search social".split())
 SECTIONS = frozenset("html body article main section div td blockquote center table tbody tr".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，、！？]")
 MOST, THRESHOLD, SMOOTH = 0.6, 0.1, (0.25, 0.5, 0.25)
@@ -51,24 +54,18 @@ MOST, THRESHOLD, SMOOTH = 0.6, 0.1, (0.25, 0.5, 0.25)
 class Element:
     __slots__ = ("tag", "label", "parent", "out", "content", "order")
 
-    def __init__(self, tag: str, label: str, parent: Element | None, out: bool, order: int):
+    def __init__(self, tag: str, label: str, parent: Element | None, out: int, order: int):
+        """out: 1 if what stands here is no content but by a hint of layout, 2 if it never is."""
         self.tag, self.label, self.parent, self.out, self.content, self.order = tag, label, parent, out, 0, order
 
 
-class Block:
-    __slots__ = ("parts", "path", "at", "linked", "holder")
-
-    def __init__(self, holder: Element):
-        self.parts, self.path, self.at, self.linked, self.holder = [], None, None, 0, holder
-
-
 def hinted(attributes: str) -> set[str]:
-    return {w for m in ATTRIBUTE.finditer(attributes) for w in WORD.findall((m[1] or m[2] or m[3] or "").lower())}
+    return {w.lower() for m in ATTRIBUTE.finditer(attributes) for w in WORD.findall(m[1] or m[2] or m[3] or "")}
 
 
 def blocks_of(page: str) -> list[tuple[str, str, Element, int]]:
     """(text, tag path, innermost block element, letters in links) of each block that may be content, in page order."""
-    root = Element("", "", None, False, 0)
+    root = Element("", "", None, 0, 0)
     stack, out, order, links = [root], [], 0, 0
     text: list[str] = []
     linked = 0
@@ -147,11 +144,15 @@ def blocks_of(page: str) -> list[tuple[str, str, Element, int]]:
         if m[3].rstrip().endswith("/") and tag not in BLOCK and tag not in ("a", "b", "i", "em", "strong", "span"):
             continue
         words = hinted(m[3]) if m[3] else set()
-        inside = any(e.tag in ("article", "main") for e in stack)
-        bad = tag in NEVER or (tag == "header" and not inside) or (bool(words & HINTS) and tag not in ("html", "body", "article", "main"))
+        hints = {w for w in words if w in HINTS or w.startswith(STEMS)} if tag not in ("html", "body") else set()
+        if tag in ("article", "main"):
+            bad = 2 if stack[-1].out == 2 or hints - LAYOUT else 0
+        else:
+            inside = any(e.tag in ("article", "main") for e in stack)
+            bad = max(stack[-1].out, 2 if tag in NEVER or (tag == "header" and not inside) or hints - LAYOUT else 1 if hints else 0)
         order += 1
         label = tag if not words else tag + "." + ".".join(sorted(words))
-        stack.append(Element(tag, label, stack[-1], stack[-1].out or bad, order))
+        stack.append(Element(tag, label, stack[-1], bad, order))
         if stack[-1].out and not stack[-2].out and tag not in BLOCK:
             text.append(" ")
         links += tag == "a"
