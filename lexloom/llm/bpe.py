@@ -20,7 +20,6 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -28,7 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.llm.common import table
+from lexloom.llm.common import held, table
 
 INF = 1 << 62
 REMEMBERED = 300_000  # entries that a table of results holds before it is emptied
@@ -186,17 +185,11 @@ class Bpe:
         return " ".join(self.token[i] for i in ids if i in self.token)
 
 
-@lru_cache(maxsize=4)
-def loaded(path: str, use: str) -> Bpe:
-    """One table of results for each use, since what is remembered differs."""
-    return Bpe(path)
-
-
 def digests(path: str):
     """For mapInArrow: doc_id, text to doc_id, n_tokens, ids_sha256, decoded_sha256."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(path, "digests")
+        bpe = held(("digests", path), lambda: Bpe(path))
         make = lambda ids: (len(ids), " ".join(map(str, ids)), bpe.decode(ids))
         join = lambda x: (sum(n for n, _, _ in x), " ".join([i for _, i, _ in x]), " ".join([t for _, _, t in x]))
         for batch in batches:

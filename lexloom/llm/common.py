@@ -2,13 +2,27 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_HELD: list = [None, None]
+
+
+def held(key, make):
+    """What a Python worker keeps from task to task for one operator: made anew, and the last operator's let go, where the
+    key differs. So the operators of a pipeline, which share workers, never add up their tables."""
+    if _HELD[0] != key:
+        _HELD[:] = [None, None]
+        _HELD[:] = [key, make()]
+    return _HELD[1]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -17,7 +31,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; where that is unset, as in tests, one of our own for this session."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = "file://" + os.path.join(tempfile.gettempdir(), f"lexloom-{os.getpid()}")
+        own = os.path.join(tempfile.gettempdir(), f"lexloom-{os.getpid()}")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        where = "file://" + own
         spark.conf.set("spark.checkpoint.dir", where)
     return where
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import table
+from lexloom.llm.common import held, table
 
 PER_LANG, PIECE, WINDOW = 400, 600, 24  # documents of a language, letters of each, words of a training sentence
 BITS, ROUNDS, RATE, DECAY = 16, 30, 0.15, 1e-5  # hashed features, training rounds, step, weight decay
@@ -250,16 +250,6 @@ class Tagger:
         yield from done(block)
 
 
-LAST: list[Tagger] = []
-
-
-def tagger_of(model: Model) -> Tagger:
-    """This worker's tagger with the model: tasks that follow each other share what it holds."""
-    if not LAST or LAST[0].model is not model:
-        LAST[:] = [Tagger(model)]
-    return LAST[0]
-
-
 def remainder(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string")) % 4
 
@@ -284,7 +274,8 @@ def predictions(spark: SparkSession, model: Model, text: str = "text"):
 
     @F.arrow_udf("lang_pred string, score double")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        tagger = tagger_of(shared.value) if shared.value.langs else None
+        model = shared.value
+        tagger = held(("languages", id(model)), lambda: Tagger(model)) if model.langs else None
         for texts in batches:
             out = list(tagger.predicted(t.as_py() for t in texts)) if tagger else [("und", 0.0)] * len(texts)
             yield pa.StructArray.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], ["lang_pred", "score"])

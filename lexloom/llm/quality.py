@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import table
+from lexloom.llm.common import held, table
 
 SPACES, SYMBOLS, STOPS = " \t\n\x0b\x0c\r", "#*$%&|<>", re.compile(r"[.,;:!?…。，！？]")
 SEPARATORS = frozenset("| » › > · • / – — :: >> ||".split())
@@ -95,13 +95,14 @@ def cleaned(text: str) -> tuple[str, int, int]:
 
 
 def judged(text: str | None) -> dict:
+    """Counts, verdict, and the text without its failing lines, if it has any."""
     text = text or ""
     n, chars, symbols, dup, repeat = base_counts(text)
     base = n < MIN_WORDS or repeat > MAX_REPEATED * n
     clean, failed, lost = cleaned(text)
     return {
         "n_words": n, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": dup, "n_repeat_words": repeat, "base_failed": base,
-        "kept": not base and lost <= MAX_LOST * chars, "n_failed_lines": failed, "lost_chars": lost, "clean_text": clean,
+        "kept": not base and lost <= MAX_LOST * chars, "n_failed_lines": failed, "lost_chars": lost, "clean_text": clean if failed else None,
     }
 
 
@@ -117,6 +118,7 @@ def verdicts(fields: list[str], text: str = "text"):
 
     @F.arrow_udf(", ".join(f"{f} {KINDS[FIELDS[f]]}" for f in fields))
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        held(None, lambda: None)
         for texts in batches:
             rows = [judged(t.as_py()) for t in texts]
             yield pa.StructArray.from_arrays([pa.array([r[f] for r in rows], FIELDS[f]) for f in fields], fields)

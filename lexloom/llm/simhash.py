@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import table, written
+from lexloom.llm.common import held, table, written
 from lexloom.llm.components import components
 
 SHINGLE, SEED, MOST = 4, 42, 4
@@ -65,6 +65,7 @@ def fingerprints(shingle: int = SHINGLE, seed: int = SEED, text: str = "text"):
 
     @F.arrow_udf("long")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        held(None, lambda: None)
         for texts in batches:
             yield pa.array(np.array([fingerprint(t.as_py(), shingle, seed) for t in texts], np.uint64).view(np.int64))
 
