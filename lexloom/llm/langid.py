@@ -280,7 +280,7 @@ def predictions(spark: SparkSession, model: Model, text: str = "text"):
             out = list(tagger.predicted(t.as_py() for t in texts)) if tagger else [("und", 0.0)] * len(texts)
             yield pa.StructArray.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], ["lang_pred", "score"])
 
-    return run(text)
+    return run.asNondeterministic()(text)  # else a filter on it would have it computed twice
 
 
 def identified(spark: SparkSession, docs: DataFrame) -> DataFrame:
