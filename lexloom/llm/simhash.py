@@ -173,6 +173,7 @@ def grouped(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE) -> Dat
     mine = nodes.join(roots, nodes.fp == roots.node).select("fp", "root", "low")
     named = mine.join(mine.groupBy("root").agg(F.min("low").alias("component_id")), "root").select(F.col("fp").alias("node"), "component_id")
     names = nodes.join(named, nodes.fp == named.node, "left").select(nodes.fp.alias("node"), F.coalesce("component_id", "low").alias("component_id"))
+    names, _ = written(spark, names, "names")  # both sides of the last join are then dealt anew, and a hot fingerprint can be split
     return prints.join(names, prints.fp == names.node).select("doc_id", "fp", "component_id")
 
 
