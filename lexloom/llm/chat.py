@@ -1,16 +1,17 @@
 """Chat formatting in budgeted windows, with DataFrame functions only.
 
-Prefix sums of the turns' tokens cut a conversation into windows at turn borders: a turn belongs to the window
-floor(tokens before it / span). Each window starts with the conversation's leading system turn, then repeats those turns
-of the window before it that fit into the history budget, then has its own turns. Only a window's own assistant turns are
-under its loss mask, so that each of them is learned once.
+A conversation is cut into blocks of BLOCK turn numbers, and prefix sums of the turns' tokens cut a block into windows at turn
+borders: a turn belongs to the window floor(tokens of the block before it / span). Each window starts with the system turn
+that leads the conversation (or the block), then repeats those turns of the window before it that fit into the history
+budget, then has its own turns. Only a window's own assistant turns are under its loss mask, so that each of them is
+learned once.
 
 A turn is written as "### role:\\ntext</turn>\\n". Inside roles and texts the backslash, "#", "<" (and in roles ":" and the
 line end) are escaped with a backslash and a letter, so that no text can hold a mark, and reading back is exact.
 
-A window holds at most system + history + span + its last turn, in tokens. The prefix sums are made in two levels, blocks
-of CHUNK turn numbers and then sums of blocks, so that a very long conversation is no single task's work until its
-digest. That digest, of the whole conversation in order, is by its nature one row.
+A window holds at most system + history + span + its last turn, in tokens. Texts are shuffled once to their blocks, where all
+windows are made inside one row, and once more to the digests. A very long conversation is many blocks; only its leading
+system turn is sent to each of them. The digest of a whole conversation is by its nature one row.
 
 Defined cases: null text and null role are empty; null conv_id is a conversation of its own; null turn comes before all
 others; equal turn numbers are ordered by role, then text, and repeated rows stay; a conversation without assistant
@@ -19,12 +20,12 @@ turns has no loss; an empty table gives an empty result; other columns are not l
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.llm.common import table
 
-BUDGET, HISTORY, OVERHEAD, LETTERS, CHUNK = 2048, 256, 8, 4, 64  # tokens a window and its history; tokens a turn, letters a token; turns a block
+BUDGET, HISTORY, OVERHEAD, LETTERS, BLOCK = 2048, 256, 8, 4, 64  # tokens of a window and its history; tokens added a turn, letters a token; turn numbers of a block
 SPAN = (BUDGET - HISTORY) // 2
 TEXT_MARKS = [("\\", "\\s"), ("#", "\\h"), ("<", "\\l")]  # the backslash first; read back in reverse
 ROLE_MARKS = [*TEXT_MARKS, (":", "\\c"), ("\n", "\\n")]
@@ -43,52 +44,59 @@ def unescaped(c: Column, marks: list[tuple[str, str]]) -> Column:
     return c
 
 
-def with_prefix_sums(turns: DataFrame) -> DataFrame:
-    """turns (conv_id, turn, role, text) with place, tokens and the tokens before each turn of its conversation."""
-    t = turns.withColumn("tokens", (F.length("text") / LETTERS).cast("long") + OVERHEAD).withColumn("_chunk", F.floor(F.coalesce("turn", F.lit(-(1 << 60))) / CHUNK))
-    inside = Window.partitionBy("conv_id", "_chunk").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
-    t = t.withColumn("_sum", F.sum("tokens").over(inside)).withColumn("_n", F.row_number().over(inside))
-    before = Window.partitionBy("conv_id").orderBy("_chunk")
-    sums = turns.select("conv_id", F.floor(F.coalesce("turn", F.lit(-(1 << 60))) / CHUNK).alias("_chunk"), ((F.length("text") / LETTERS).cast("long") + OVERHEAD).alias("tokens"))
-    sums = sums.groupBy("conv_id", "_chunk").agg(F.sum("tokens").alias("_all"), F.count("*").alias("_rows"))
-    sums = sums.select(F.col("conv_id").alias("_conv"), F.col("_chunk").alias("_c"), (F.sum("_all").over(before) - F.col("_all")).alias("_before"), (F.sum("_rows").over(before) - F.col("_rows")).alias("_rows_before"))
-    t = t.join(sums, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("_chunk") == F.col("_c")))
-    return t.select("conv_id", "turn", "role", "text", "tokens", (F.col("_before") + F.col("_sum") - F.col("tokens")).alias("before"), (F.col("_rows_before") + F.col("_n") - 1).alias("place"))
+def with_blocks(turns: DataFrame) -> DataFrame:
+    return turns.withColumn("block", F.floor(F.coalesce("turn", F.lit(-(1 << 60))) / BLOCK))
+
+
+def leading(turns: DataFrame) -> DataFrame:
+    """conv_id, block, turn, role, text: the first turn of a conversation, if it is a system turn, for each block but the
+    first one. Looks at texts of system turns only."""
+    blocks = turns.groupBy("conv_id", "block").agg(F.min(F.struct("turn", "role")).alias("first"))
+    several = blocks.groupBy("conv_id").agg(F.min("block").alias("_block"), F.min("first").alias("_first"), F.count("*").alias("_n")).where("_n > 1 and _first.role = 'system'")
+    several = several.select(F.col("conv_id").alias("_conv"), "_block", F.col("_first.turn").alias("_turn"))
+    same = F.col("conv_id").eqNullSafe(F.col("_conv"))
+    text = turns.where("role = 'system'").join(several, same & F.col("turn").eqNullSafe(F.col("_turn"))).groupBy("_conv", "_block", "_turn").agg(F.min("text").alias("text"))
+    return blocks.select("conv_id", "block").join(text, same & (F.col("block") != F.col("_block"))).select("conv_id", "block", F.col("_turn").alias("turn"), F.lit("system").alias("role"), "text")
 
 
 def formatted(turns: DataFrame, span: int = SPAN, history: int = HISTORY) -> DataFrame:
-    """One row a window: conv_id, window, formatted, n_repeated (turns at its start that other windows hold as their own),
-    loss (array of start and length in code points of formatted)."""
-    t = with_prefix_sums(turns).withColumn("window", F.floor(F.col("before") / span))
-    lead = (F.col("place") == 0) & (F.col("role") == "system")
-    head = F.concat(F.lit("### "), escaped(F.col("role"), ROLE_MARKS), F.lit(":\n"))
-    body = escaped(F.col("text"), TEXT_MARKS)
-    starts = t.groupBy("conv_id", "window").agg(F.min("before").alias("start"))
-    following = Window.partitionBy("conv_id").orderBy("window")
-    starts = starts.select(F.col("conv_id").alias("_conv"), F.col("window").alias("_window"), F.lead("window").over(following).alias("next"), F.lead("start").over(following).alias("next_start"))
-    t = t.select("conv_id", "window", "place", "before", lead.alias("lead"), (F.col("role") == "assistant").alias("learn"), F.length(head).alias("head"), F.length(body).alias("body"), F.concat(head, body, F.lit("</turn>\n")).alias("line"))
-    own_and_next = t.join(starts, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("window") == F.col("_window")))
-    repeat = F.col("next").isNotNull() & ~F.col("lead") & (F.col("next_start") - F.col("before") <= history)
-    own = F.struct(F.col("window").alias("window"), F.lit(2).alias("kind"))
-    copies = F.when(repeat, F.array(own, F.struct(F.col("next").alias("window"), F.lit(1).alias("kind")))).otherwise(F.array(own))
-    part = ["place", "learn", "head", "body", "line"]
-    parts = own_and_next.select("conv_id", F.explode(copies).alias("to"), *part).select("conv_id", "to.*", *part)
-    system = t.where("lead").join(starts.where("_window > 0").select("_conv", "_window"), F.col("conv_id").eqNullSafe(F.col("_conv")))
-    parts = parts.unionByName(system.select("conv_id", F.col("_window").alias("window"), F.lit(0).alias("kind"), *part))
-    w = parts.groupBy("conv_id", "window").agg(F.sort_array(F.collect_list(F.struct("kind", *part))).alias("parts"))
+    """turns (conv_id, turn, role, text) to a row a window: conv_id, block, window, formatted, n_repeated (turns at its start
+    that other windows hold as their own), loss (array of start and length in code points of formatted). history is less than span."""
+    t = with_blocks(turns)
+    both = t.withColumn("own", F.lit(1)).unionByName(leading(t).withColumn("own", F.lit(0)))
+    blocks = both.groupBy("conv_id", "block").agg(F.sort_array(F.collect_list(F.struct("own", "turn", "role", "text"))).alias("turns"))
+
+    def written(x: Column, i: Column) -> Column:
+        head, body = F.concat(F.lit("### "), escaped(x["role"], ROLE_MARKS), F.lit(":\n")), escaped(x["text"], TEXT_MARKS)
+        return F.struct(
+            x["own"].alias("own"), ((i == 0) & (x["role"] == "system")).alias("lead"), (x["role"] == "assistant").alias("learn"),
+            (F.floor(F.length(x["text"]) / LETTERS) + OVERHEAD).alias("tokens"), F.length(head).alias("head"), F.length(body).alias("body"), F.concat(head, body, F.lit("</turn>\n")).alias("line"),
+        )
+
+    blocks = blocks.select("conv_id", "block", F.transform("turns", written).alias("lines"))
+    # a turn's tokens before it: prefix sums over the block's own turns
+    sums = F.aggregate("lines", F.array(F.lit(0).cast("long")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x["own"] * x["tokens"])))
+    blocks = blocks.select("conv_id", "block", "lines", sums.alias("sums"))
+    lines = F.transform("lines", lambda x, i: x.withField("before", F.get("sums", i)).withField("window", F.floor(F.get("sums", i) / span)))
+    blocks = blocks.select("conv_id", "block", lines.alias("lines"))
+    windows = F.array_distinct(F.transform(F.filter("lines", lambda x: x["own"] == 1), lambda x: x["window"]))
+    w = blocks.select("conv_id", "block", "lines", F.explode(windows).alias("window"))
+    own = F.filter("lines", lambda x: (x["own"] == 1) & (x["window"] == F.col("window")))
+    w = w.select("conv_id", "block", "window", own.alias("mine"), "lines")
+    start = F.col("mine")[0]["before"]
+    lead = F.filter("lines", lambda x: x["lead"] & ((x["own"] == 0) | (x["window"] != F.col("window"))))
+    past = F.filter("lines", lambda x: (x["own"] == 1) & ~x["lead"] & (x["before"] < start) & (start - x["before"] <= history))
+    w = w.select("conv_id", "block", "window", "mine", F.concat(lead, past).alias("again"))
     empty = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,length:int>>)").alias("spans"))
 
-    def step(acc: Column, p: Column) -> Column:
-        span_ = F.array(F.struct((acc["at"] + p["head"]).alias("start"), p["body"].alias("length")))
-        masked = (p["kind"] == 2) & p["learn"]
-        return F.struct((acc["at"] + F.length(p["line"])).alias("at"), F.when(masked, F.concat(acc["spans"], span_)).otherwise(acc["spans"]).alias("spans"))
+    def masked(acc: Column, x: Column) -> Column:
+        span_ = F.array(F.struct((acc["at"] + x["head"]).alias("start"), x["body"].alias("length")))
+        return F.struct((acc["at"] + F.length(x["line"])).alias("at"), F.when(x["learn"], F.concat(acc["spans"], span_)).otherwise(acc["spans"]).alias("spans"))
 
-    return w.select(
-        "conv_id", "window",
-        F.array_join(F.transform("parts", lambda p: p["line"]), "").alias("formatted"),
-        F.size(F.filter("parts", lambda p: p["kind"] < 2)).alias("n_repeated"),
-        F.aggregate("parts", empty, step, lambda a: a["spans"]).alias("loss"),
-    )
+    text = lambda c: F.array_join(F.transform(c, lambda x: x["line"]), "")
+    w = w.select("conv_id", "block", "window", F.size("again").alias("n_repeated"), text("again").alias("repeated"), text("mine").alias("own"), F.aggregate("mine", empty, masked, lambda a: a["spans"]).alias("spans"))
+    loss = F.transform("spans", lambda s: F.struct((s["start"] + F.length("repeated")).alias("start"), s["length"].alias("length")))
+    return w.select("conv_id", "block", "window", F.concat("repeated", "own").alias("formatted"), "n_repeated", loss.alias("loss"))
 
 
 def read_back(windows: DataFrame) -> DataFrame:
@@ -97,17 +105,17 @@ def read_back(windows: DataFrame) -> DataFrame:
     own = F.slice(lines, F.col("n_repeated") + 1, F.size(lines) - F.col("n_repeated") - 1)
 
     def turn(x: Column) -> Column:
-        at = F.instr(x, ":\n") if isinstance(x, str) else F.locate(":\n", x)
+        at = F.locate(":\n", x)
         role = F.substring(x, F.lit(5), at - 5)
         text = F.substring(x, at + 2, F.length(x))
         return F.concat(unescaped(role, ROLE_MARKS), F.lit("\n"), unescaped(text, TEXT_MARKS), F.lit("\n"))
 
     learned = F.transform("loss", lambda s: unescaped(F.substring(F.col("formatted"), s["start"] + 1, s["length"]), TEXT_MARKS))
     w = windows.select(
-        "conv_id", "window", F.size(own).alias("n"), F.array_join(F.transform(own, turn), "").alias("turns"),
+        "conv_id", "block", "window", F.size(own).alias("n"), F.array_join(F.transform(own, turn), "").alias("turns"),
         F.array_join(learned, "").alias("learned"), F.length("formatted").alias("chars"),
     )
-    c = w.groupBy("conv_id").agg(F.sum("n").alias("n_turns"), F.sum("chars").cast("long").alias("formatted_chars"), F.sort_array(F.collect_list(F.struct("window", "turns", "learned"))).alias("all"))
+    c = w.groupBy("conv_id").agg(F.sum("n").cast("long").alias("n_turns"), F.sum("chars").cast("long").alias("formatted_chars"), F.sort_array(F.collect_list(F.struct("block", "window", "turns", "learned"))).alias("all"))
     whole = lambda f: F.array_join(F.transform("all", lambda x: x[f]), "")
     c = c.select("conv_id", "n_turns", "formatted_chars", whole("turns").alias("turns"), whole("learned").alias("learned"))
     return c.select("conv_id", "n_turns", F.sha2("turns", 256).alias("turns_sha256"), F.length("learned").cast("long").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"), "formatted_chars")
@@ -123,24 +131,30 @@ ORACLE = rf"""
 with t as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
   union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), b as (select *, floor(coalesce(turn, -1152921504606846976) / {BLOCK}.0) as blk, length(text) // {LETTERS} + {OVERHEAD} as tokens,
+    4 + length(role) + len(regexp_replace(role, '[^\\#<:\n]', '', 'g')) + 2 + length(text) + len(regexp_replace(text, '[^\\#<]', '', 'g')) + 8 as chars from t
 ), p as (
-  select *, length(text) // {LETTERS} + {OVERHEAD} as tokens,
-    row_number() over (partition by conv_id order by turn nulls first, role, text) - 1 as place from t
+  select *, row_number() over (partition by conv_id, blk order by turn nulls first, role, text) - 1 as place,
+    row_number() over (partition by conv_id order by turn nulls first, role, text) - 1 as whole_place from b
 ), q as (
-  select *, sum(tokens) over (partition by conv_id order by place) - tokens as before,
-    4 + length(role) + len(regexp_replace(role, '[^\\#<:\n]', '', 'g')) + 2 + length(text) + len(regexp_replace(text, '[^\\#<]', '', 'g')) + 8 as chars,
-    place = 0 and role = 'system' as is_lead from p
-), w as (select *, cast(before // {SPAN} as bigint) as win from q),
-s as (select conv_id, win, min(before) as start, lead(win) over x as next_win, lead(min(before)) over x as next_start
-  from w group by conv_id, win window x as (partition by conv_id order by win)),
+  select *, sum(tokens) over (partition by conv_id, blk order by place) - tokens as before,
+    max(case when whole_place = 0 and role = 'system' then chars end) over (partition by conv_id) as first_chars, min(blk) over (partition by conv_id) as first_blk from p
+), w as (
+  select *, cast(before // {SPAN} as bigint) as win, first_chars is not null and blk <> first_blk as sent,
+    place = 0 and role = 'system' and not (first_chars is not null and blk <> first_blk) as is_lead from q
+),
+s as (select conv_id, blk, win, lead(win) over x as next_win, lead(min(before)) over x as next_start,
+    max(case when sent then first_chars when is_lead then chars end) as any_lead, bool_or(sent) as sent
+  from w group by conv_id, blk, win window x as (partition by conv_id, blk order by win)),
 f as (
   select w.conv_id, sum(chars * (1 + case when next_win is not null and not is_lead and next_start - before <= {HISTORY} then 1 else 0 end)) as chars
-  from w join s on w.conv_id is not distinct from s.conv_id and w.win = s.win group by w.conv_id
+  from w join s on w.conv_id is not distinct from s.conv_id and w.blk = s.blk and w.win = s.win group by w.conv_id
 ), g as (
-  select w.conv_id, sum(chars) as chars from w join s on w.conv_id is not distinct from s.conv_id and s.win > 0 where is_lead group by w.conv_id
+  select conv_id, sum(n * lead_chars) as chars from (
+    select conv_id, blk, max(any_lead) as lead_chars, count(*) - case when bool_or(sent) then 0 else 1 end as n from s group by conv_id, blk) where lead_chars is not null group by conv_id
 ), d as (
-  select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by place)) as turns_sha256,
-    coalesce(string_agg(text, '' order by place) filter (role = 'assistant'), '') as learned from p group by conv_id
+  select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by whole_place)) as turns_sha256,
+    coalesce(string_agg(text, '' order by whole_place) filter (role = 'assistant'), '') as learned from p group by conv_id
 )
 select d.conv_id, d.n_turns, d.turns_sha256, length(learned) as loss_chars, sha256(learned) as loss_sha256,
   cast(f.chars + coalesce(g.chars, 0) as bigint) as formatted_chars

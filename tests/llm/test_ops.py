@@ -7,6 +7,7 @@ import re
 import struct
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -65,6 +66,8 @@ ARTICLE = "<article><h1>Head &amp; line</h1><p><b>One two,\n three.<br><p>Four <
 PAGES = [
     (f"<html><head><title>T</title><style>p{{}}</style><script>var t='</p>';</script></head><body><header>Top</header><nav><ul><li><a href=/>Home</a></li></ul></nav><!-- x --><div class='cookie notice'>We use, cookies.</div>{ARTICLE}<form><input>Mail, me.</form><footer>Foot, er.</footer>", "Head & line\nOne two, three.\nFour five, six.\nKicker\nThing."),
     ("<div><div class=menu>a b</div><div id=content><p>First, sentence of text.</p><p>Second one, here.</p><p>Third.</p></div><div class=footer>x</div></div>", "First, sentence of text.\nSecond one, here.\nThird."),
+    ("<div class='page withSidebar header'>Top, x.<article><p>The text, of it all.</p></article><article class=comment-body><p>Nice, text indeed.</p></article></div>", "The text, of it all."),
+    ("<body class=nav><div id=adTop>Buy, it now.</div><p>The text, of it all.</p><ul class=commentlist><li>Well, said.</li></ul>", "The text, of it all."),
     ("plain text, no tags.", "plain text, no tags."), (None, ""), ("", ""), ("<nav>only</nav>", ""), ("<p>a &lt; b &#233;&nbsp;c</p>", "a < b é c"), ("<p>open <", "open <"), ("<script>x", ""),
 ]
 
@@ -222,10 +225,14 @@ def test_chat(spark, folder):
         learned = "".join(t for _, _, r, t in turns if r == "assistant")
         assert (got[conv].n_turns, got[conv].turns_sha256) == (len(turns), hashlib.sha256("".join(f"{r}\n{t}\n" for _, _, r, t in turns).encode()).hexdigest())
         assert (got[conv].loss_chars, got[conv].loss_sha256) == (len(learned), hashlib.sha256(learned.encode()).hexdigest())
+    c = duckdb.connect()
+    c.sql(f"create view conversations as select * from '{sf}/conversations.parquet/*.parquet'")
+    fields = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    assert {r[0]: r for r in c.sql(f"select {', '.join(fields)} from ({chat.ORACLE})").fetchall()} == {k: tuple(r[f] for f in fields) for k, r in got.items()}
     base = spark.createDataFrame([t for t in talk if t[0] == 1], CHAT)
-    w = sorted(chat.formatted(base).collect(), key=lambda r: r.window)
+    w = sorted(chat.formatted(base).collect(), key=lambda r: (r.block, r.window))
     assert len(w) > 5 and all(r.formatted.startswith("### system:\nBe: good.</turn>\n") for r in w)
-    assert all(r.n_repeated >= 1 for r in w[1:]) and any(r.n_repeated >= 2 for r in w[1:]) and w[0].n_repeated == 0
+    assert len({r.block for r in w}) == 4 and all(r.n_repeated >= 1 for r in w[1:]) and any(r.n_repeated >= 2 for r in w[1:]) and w[0].n_repeated == 0
     for r in w:
         for s in r.loss:
             assert r.formatted[: s.start].endswith("### assistant:\n") and r.formatted[s.start + s.length :].startswith("</turn>\n")
