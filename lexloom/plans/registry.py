@@ -348,10 +348,19 @@ def completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests.completions(asked, asked.select("uri", "text"), catalog(spark, sf_dir), entries(spark, sf_dir))
 
 
+def symbols_for(spark: SparkSession, sf_dir: str, part: DataFrame) -> DataFrame:
+    asked = rendered.keyed(part).select(F.col("p_partkey").alias("req_id"), "uri")
+    return requests.document_symbols(asked, files(spark, sf_dir)).select("req_id", "name", "line")
+
+
+def definitions_for(spark: SparkSession, sf_dir: str, part: DataFrame) -> DataFrame:
+    asked = part.select(F.col("p_partkey").alias("req_id"), F.concat(F.lit("file:///use/"), F.col("p_partkey").cast("string"), F.lit(".cfm")).alias("uri"), F.lit(0).alias("line"), F.lit(8).alias("character"), F.concat(F.lit("x.do("), F.lit("make_"), F.col("p_partkey").cast("string"), F.lit("());")).alias("text"))
+    return requests.definitions(asked, asked.select("uri", "text"), defs(spark, sf_dir))
+
+
 @registered("document_symbols", f"select cast(part.p_partkey as bigint) as req_id, d.name, d.line from part join ({DEFS}) d on d.uri = 'file:///shop/' || replace(lower(p_brand), '#', '_') || '_' || (part.p_partkey // {rendered.ROWS}) || '.cfc' where part.p_size = 7")
 def document_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = rendered.keyed(table(spark, sf_dir, "part").where("p_size = 7")).select(F.col("p_partkey").alias("req_id"), "uri")
-    return requests.document_symbols(asked, files(spark, sf_dir)).select("req_id", "name", "line")
+    return symbols_for(spark, sf_dir, table(spark, sf_dir, "part").where("p_size = 7"))
 
 
 @registered("definition_requests", f"""
@@ -359,5 +368,19 @@ with q as (select p_partkey as req_id, 'make_' || p_partkey as k from part where
 select q.req_id, d.uri, d.line, cast(count(*) over (partition by q.req_id) as integer) as n_locations from q join ({DEFS}) d on d.name_key = q.k
 """)
 def definition_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = table(spark, sf_dir, "part").where("p_size < 10").select(F.col("p_partkey").alias("req_id"), F.concat(F.lit("file:///use/"), F.col("p_partkey").cast("string"), F.lit(".cfm")).alias("uri"), F.lit(0).alias("line"), F.lit(8).alias("character"), F.concat(F.lit("x.do("), F.lit("make_"), F.col("p_partkey").cast("string"), F.lit("());")).alias("text"))
-    return requests.definitions(asked, asked.select("uri", "text"), defs(spark, sf_dir))
+    return definitions_for(spark, sf_dir, table(spark, sf_dir, "part").where("p_size < 10"))
+
+
+@registered("document_symbols_all", f"select cast(part.p_partkey as bigint) as req_id, d.name, d.line from part join ({DEFS}) d on d.uri = 'file:///shop/' || replace(lower(p_brand), '#', '_') || '_' || (part.p_partkey // {rendered.ROWS}) || '.cfc'")
+def document_symbols_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As document_symbols, asked for every part, so that every rendered file is read."""
+    return symbols_for(spark, sf_dir, table(spark, sf_dir, "part"))
+
+
+@registered("definition_requests_all", f"""
+with q as (select p_partkey as req_id, 'make_' || p_partkey as k from part)
+select q.req_id, d.uri, d.line, cast(count(*) over (partition by q.req_id) as integer) as n_locations from q join ({DEFS}) d on d.name_key = q.k
+""")
+def definition_requests_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As definition_requests, asked for every part."""
+    return definitions_for(spark, sf_dir, table(spark, sf_dir, "part"))
