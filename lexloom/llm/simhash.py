@@ -165,29 +165,45 @@ def linked(fps: DataFrame) -> DataFrame:
 
 
 def grouped(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """docs (doc_id, text) to doc_id, fp, component_id."""
+    """docs (doc_id, text) to doc_id, fp, component_id, names_it."""
     prints, _ = written(spark, docs.select("doc_id", fingerprints(shingle).alias("fp")), "fingerprints")
+    return with_groups(spark, prints)
+
+
+def with_groups(spark: SparkSession, prints: DataFrame) -> DataFrame:
+    """prints (doc_id, fp) to doc_id, fp, component_id, names_it: whether fp is the one of its group that holds the naming
+    document, the smallest such fp where that doc_id comes with several."""
     nodes, _ = written(spark, prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
     links, _ = written(spark, linked(nodes), "pairs")
     roots = components(spark, links)
     mine = nodes.join(roots, nodes.fp == roots.node).select("fp", "root", "low")
-    named = mine.join(mine.groupBy("root").agg(F.min("low").alias("component_id")), "root").select(F.col("fp").alias("node"), "component_id")
-    names = nodes.join(named, nodes.fp == named.node, "left").select(nodes.fp.alias("node"), F.coalesce("component_id", "low").alias("component_id"))
+    first = F.min(F.struct(F.col("low").isNull().alias("no_id"), "low", "fp"))
+    named = mine.join(mine.groupBy("root").agg(first.alias("first")), "root").select(F.col("fp").alias("node"), F.col("first.low").alias("component_id"), (F.col("fp") == F.col("first.fp")).alias("names_it"))
+    names = nodes.join(named, nodes.fp == named.node, "left").select(nodes.fp.alias("node"), F.coalesce("component_id", "low").alias("component_id"), F.coalesce("names_it", F.lit(True)).alias("names_it"))
     names, _ = written(spark, names, "names")  # both sides of the last join are then dealt anew, and a hot fingerprint can be split
-    return prints.join(names, prints.fp == names.node).select("doc_id", "fp", "component_id")
+    return prints.join(names, prints.fp == names.node).select("doc_id", "fp", "component_id", "names_it")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One document of each group, the one that names it; what other columns docs has stays as it is.
 
-    Of rows that repeat a doc_id in one group, one stays. A group in which every doc_id is null keeps one row of each text.
+    Rows go by doc_id and fingerprint together, so that a null or repeated doc_id in one group takes no row out of another. Of
+    rows that repeat a doc_id in one group, one stays. A group in which every doc_id is null keeps one row of each text.
     """
-    ids = grouped(spark, docs.select("doc_id", "text"))
-    gone = ids.where("doc_id != component_id or (doc_id is null and component_id is not null)").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
-    twice = ids.where("doc_id <=> component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice"))
-    once = kept.join(twice, F.col("doc_id").eqNullSafe(F.col("_twice")), "left_anti")
-    return once.unionByName(kept.join(twice, F.col("doc_id").eqNullSafe(F.col("_twice")), "left_semi").dropDuplicates(["doc_id", "text"]))
+    marked, _ = written(spark, docs.withColumn("_fp", fingerprints()), "marked")
+    ids = with_groups(spark, marked.select("doc_id", F.col("_fp").alias("fp")))
+    stays = F.expr("component_id is null or (names_it and doc_id <=> component_id)")
+
+    def these(rows: DataFrame):
+        return F.col("doc_id").eqNullSafe(rows["_id"]) & (F.col("_fp") == rows["_of"])
+
+    gone = ids.where(~stays).select(F.col("doc_id").alias("_id"), F.col("fp").alias("_of")).distinct()
+    kept = marked.join(gone, these(gone), "left_anti")
+    twice = ids.where(stays).groupBy(F.col("doc_id").alias("_id"), F.col("fp").alias("_of")).count().where("count > 1").select("_id", "_of")
+    once = kept.join(twice, these(twice), "left_anti").select(*docs.columns)
+    again = kept.join(twice, these(twice), "left_semi").groupBy("doc_id", "_fp", F.when(F.col("doc_id").isNull(), F.col("text")).alias("_text"))
+    row = F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit("")))
+    return once.unionByName(again.agg(row.alias("_row")).select("_row.*"))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

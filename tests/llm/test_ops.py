@@ -379,6 +379,16 @@ def test_simhash(spark, folder):
     assert simhash.op8(spark, folder(documents=([], DOCS))).count() == 0
 
 
+def test_dedup_takes_rows_of_one_group_only(spark):
+    a, b, c, d, e = (prose_text(seed) for seed in range(30, 35))
+    data = [(1, a), (None, a), (None, b), (None, b), (None, c), (5, a), (5, d), (7, d), (8, e), (8, e), (9, None), (9, "")]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    got = simhash.near_dedup(spark, docs).collect()
+    kept = sorted(((r.doc_id, r.text) for r in got if r.doc_id != 9), key=str)
+    assert kept == sorted([(1, a), (None, b), (None, c), (5, d), (8, e)], key=str)
+    assert sum(r.doc_id == 9 for r in got) == 1
+
+
 # 9
 
 
