@@ -7,7 +7,8 @@ mean marginal, and that mean is its score.
 
 The model is fitted on a bounded sample: PER_LANG documents of each language, chosen by a hash of doc_id among the learning
 rows, and PIECE letters of each at a place that the hash chooses. Learning rows have a language and a crc32 of doc_id, as
-text, whose remainder by 4 is not 2. Prediction looks at nothing but the text, all of it.
+text, whose remainder by 4 is not 2. Prediction looks at nothing but the text, all of it; a run of
+more than 40 letters is read as consecutive words of at most 40.
 
 Forward-backward runs in blocks: the matrices of BLOCK words are multiplied for all blocks of a batch at once, then a scan
 over blocks gives each its border vectors, then all blocks are finished at once. That is exact, and a text of any length
@@ -37,7 +38,7 @@ PER_LANG, PIECE, WINDOW = 400, 600, 24  # documents of a language, letters of ea
 BITS, ROUNDS, RATE, DECAY = 16, 30, 0.15, 1e-5  # hashed features, training rounds, step, weight decay
 LEXICON, SHARE = 3, 0.8  # times and share of one language that put a word into the lexicon
 BLOCK, LETTERS, HELD = 64, 1 << 20, 300_000  # words of a block; letters of a batch; words whose scores are held
-WORD = re.compile(r"[^\W\d_]+")
+WORD = re.compile(r"[^\W\d_]{1,40}")  # longer runs, as in scripts without spaces, are consecutive words, so that every letter counts
 
 
 class Model(NamedTuple):
@@ -49,7 +50,7 @@ class Model(NamedTuple):
 
 def features(word: str, lexicon: dict[str, int]) -> list[int]:
     """Numbers of the word's features; the last of the table's rows are the lexicon's languages."""
-    w = f"^{word[:40]}$"
+    w = f"^{word}$"
     names = [w[i : i + 3] for i in range(len(w) - 2)] + [w[i : i + 2] for i in range(len(w) - 1)]
     names += [f"p{w[:4]}", f"s{w[-4:]}", f"s{w[-5:]}"]
     mask = (1 << BITS) - 1

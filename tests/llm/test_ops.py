@@ -450,6 +450,16 @@ def test_language(spark, folder):
     assert [(r.lang_pred, r.score) for r in unlabelled] == [("und", 0.0)] * 2
 
 
+def test_every_letter_of_a_long_run_counts():
+    rng = random.Random(16)
+    learned = [(lang, speech(rng, letters, 60)) for lang, letters in (("aa", "aeioulmnr"), ("bb", "bdgkptwz")) for _ in range(40)]
+    tagger = langid.Tagger(langid.fitted(learned))
+    run = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    texts = [run("aeioulmnr", 40) + run("bdgkptwz", 4000), run("bdgkptwz", 40) + run("aeioulmnr", 100_000)]
+    assert [lang for lang, _ in tagger.predicted(texts)] == ["bb", "aa"]
+    assert all("".join(langid.WORD.findall(t)) == t for t in texts)
+
+
 def test_marginals_against_one_long_chain():
     rng = np.random.default_rng(14)
     langs = ["a", "b", "c"]
