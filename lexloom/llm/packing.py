@@ -1,9 +1,9 @@
 """Best-fit packing in a tree of residual bins.
 
 Each task of the scan turns its documents into token ids, cuts only those that exceed a sequence, and packs the pieces by
-best fit, longest first. Bins that are nearly full are done. So are underfull bins that no merge can use: two bins merge
-only if one of them is at most half full, and best fit leaves few such bins, so a task passes on its bins up to half a
-sequence and as many of the emptiest others. FAN tasks' leftovers then meet in one group and are packed again, bins being
+best fit, longest first. Bins that are nearly full are done; all others stay open for the task's later documents. At its end,
+underfull bins that no merge can use are done too: two bins merge only if one of them is at most half full, and best fit
+leaves few such bins, so a task passes on its bins up to half a sequence and PASSED of the emptiest others. FAN tasks' leftovers then meet in one group and are packed again, bins being
 the items, and so on up a tree until one group is left; what a group passes on is bounded, so no group grows with the
 corpus, and no piece is ever dropped. Texts stay in the scan; what moves is five numbers a piece.
 
@@ -87,7 +87,8 @@ def batch_of(bins: list[Item], done: bool, group: int, first_id: int) -> pa.Reco
 
 
 def packed(items: Iterator[Item], level: int, group: int, passed: int, capacity: int, slack: int) -> Iterator[pa.RecordBatch]:
-    """Bins of the items, taken ITEMS at a time together with what the last lot left."""
+    """Bins of the items, taken ITEMS at a time, or as many as bins are open if these are more, together with all bins that are
+    still open. Only after the last item are open bins closed or passed on."""
     next_id = level << 58 | group << 32
 
     def out(bins: list[Item], done: bool) -> Iterator[pa.RecordBatch]:
@@ -97,11 +98,14 @@ def packed(items: Iterator[Item], level: int, group: int, passed: int, capacity:
             next_id += len(bins[i : i + 2000])
 
     lot: list[Item] = []
+    wanted = ITEMS
     for item in items:
         lot.append(item)
-        if len(lot) >= ITEMS:
-            done, lot = sorted_out(best_fit(lot, capacity), capacity, slack, passed)
-            yield from out(done, True)
+        if len(lot) >= wanted:
+            bins = best_fit(lot, capacity)
+            yield from out([b for b in bins if b[0] >= capacity - slack], True)
+            lot = [b for b in bins if b[0] < capacity - slack]
+            wanted = len(lot) + max(ITEMS, len(lot))
     done, lot = sorted_out(best_fit(lot, capacity), capacity, slack, passed)
     yield from out(done, True)
     yield from out(lot, False)

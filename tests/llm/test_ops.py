@@ -205,6 +205,16 @@ def test_best_fit_against_a_plain_one():
         assert sorted(p for _, ps in got for p in ps) == sorted(p for _, ps in items for p in ps)
 
 
+def test_open_bins_wait_for_later_lots():
+    rng = random.Random(17)
+    sizes = [rng.randint(1100, 1400) for _ in range(20_000)] + [rng.randint(600, 900) for _ in range(20_000)]
+    out = list(packing.packed(((n, [(i, 0, 0, n, 0)]) for i, n in enumerate(sizes)), 0, 0, packing.PASSED, 2048, 16))
+    fills = [f for b in out for f in b.column(3).to_pylist()]
+    assert sorted(p["doc_id"] for b in out for ps in b.column(4).to_pylist() for p in ps) == list(range(40_000))
+    assert sum(fills) == sum(sizes) and max(fills) <= 2048
+    assert len(fills) <= 1.1 * 20_000
+
+
 # 6
 
 CHAT = "conv_id long, turn long, role string, text string"
