@@ -2,7 +2,7 @@
 
 The tree is fitted on a bounded sample of vectors (SAMPLE), and every vector is put into the leaf that it descends to. A
 query walks the tree with a priority queue of nodes by the distance to their centre, and visits leaves in the order in
-which they come off it. How many leaves is calibrated, not set: for CALIBRATION queries the true neighbours are found by
+which they come off it, at least until these hold ten candidates. How many leaves is calibrated, not set: for CALIBRATION queries the true neighbours are found by
 brute force over all vectors, in blocks, and the visits are widened until at least RECALL of these neighbours stand in
 visited leaves.
 
@@ -85,13 +85,14 @@ class Tree:
             todo += [(child, rows[at == j]) for j, child in enumerate(self.children[node]) if (at == j).any()]
         return out
 
-    def leaves_by_distance(self, q: np.ndarray, most: int) -> list[int]:
-        """Leaves in best-bin-first order."""
-        queue, out = [(0.0, 0)], []
-        while queue and len(out) < most:
+    def leaves_by_distance(self, q: np.ndarray, visits: int, rows: dict[int, int] | None = None, enough: int = 0) -> list[int]:
+        """Leaves in best-bin-first order: as many as visits says, and more until they hold `enough` rows."""
+        queue, out, held = [(0.0, 0)], [], 0
+        while queue and (len(out) < visits or held < enough):
             _, node = heapq.heappop(queue)
             if self.leaf[node] >= 0:
                 out.append(self.leaf[node])
+                held += rows.get(self.leaf[node], 0) if rows else 0
             else:
                 d = ((self.centres[node] - q) ** 2).sum(1)
                 for child, x in zip(self.children[node], d.tolist()):
@@ -152,14 +153,14 @@ def search(spark: SparkSession, vectors: DataFrame, top: int = TOP, every: int =
             yield pa.RecordBatch.from_arrays([pa.array(shared.value.assigned(v)), b.column(0), pa.array([x.astype("<f8").tobytes() for x in v], pa.binary())], ["leaf", "vec_id", "v"])
 
     index, _ = written(spark, good.mapInArrow(leaves, VECTORS), "ann-index")
-    queries = index.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    by_leaf = dict(index.groupBy("leaf").count().toArrow().to_pandas().itertuples(index=False))
+    queries = index.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.first("v").alias("q"), F.count("*").alias("own"))
+    by_leaf = {int(leaf): int(n) for leaf, n in index.groupBy("leaf").count().toArrow().to_pandas().itertuples(index=False)}
     visits = calibrated(spark, tree, index, queries, dim, top, recall, total)
 
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for q_id, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                found = shared.value.leaves_by_distance(np.frombuffer(raw, "<f8"), visits)
+            for q_id, raw, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                found = shared.value.leaves_by_distance(np.frombuffer(raw, "<f8"), visits, by_leaf, top + own)  # its own rows are no candidates
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array([q_id] * len(found), pa.int64()), pa.array([raw] * len(found), pa.binary())], ["leaf", "query_id", "q"])
 
     asked, _ = written(spark, queries.mapInArrow(probes, "leaf int, query_id long, q binary"), "ann-probes")

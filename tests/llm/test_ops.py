@@ -116,6 +116,16 @@ def test_neighbours(spark, folder):
     assert ann.op3(spark, folder(embeddings=([], "vec_id long, embedding array<float>"))).count() == 0
 
 
+def test_an_outlier_has_its_neighbours_too(spark, folder):
+    rng = np.random.default_rng(18)
+    centres = 10 * rng.normal(size=(30, 8))
+    good = {i: centres[i % 30].tolist() for i in range(12_000)}  # a leaf each, so that one visit is enough for nearly all
+    good |= {i: (1e3 * rng.normal(size=8)).tolist() for i in (500, 4300)}
+    twice = [(4300, good[4300])] * 30
+    got = rows(ann.op3(spark, folder(embeddings=(list(good.items()) + twice, "vec_id long, embedding array<double>"))), "query_id", "rank")
+    assert got == [(q, k) for q in range(0, 12_000, 100) for k in range(1, 11)]
+
+
 # 4, 5
 
 
