@@ -4,8 +4,11 @@ A page is read into blocks of text, each with its root-to-leaf tag path. Blocks
 (by tag, or by the words of class, id or role) are set aside. For each path the text length and the punctuation are summed
 over its blocks, less what stands in links; the two ratios to the number of blocks are smoothed along the order in which
 the paths appear, fused by their product, and paths above a threshold relative to the text-weighted mean are content.
-The main element is then the deepest one that holds most of the content text and is a section rather than a paragraph; its
-blocks, in page order, are the main text. Where that element is the page itself, blocks of other paths stay out.
+If articles or main elements hold most of the content, the main text is in those that hold some, each narrowed to the
+innermost article that still holds all content of the outermost one. Else the main element is the lowest common ancestor of
+all content, if it is a section rather than a paragraph, widened where only headings stand beside it. All blocks of these
+elements, in page order, are the main text, headings and short lines too. Where the common ancestor is the page itself, blocks
+of other paths stay out.
 
 Defined cases: null, empty or tag-less html gives its plain text or nothing; unclosed elements end where the next block or
 the page does; a page of adverts and menus only gives an empty text; very long pages are read whole; ties go to the
@@ -47,16 +50,18 @@ STEMS = ("comment", "advert", "sponsor", "cookie", "newsletter", "breadcrumb", "
 #: Hints that a page's own layout may carry: an article inside such an element counts all the same.
 LAYOUT = frozenset("sidebar header footer nav navbar navigation menu banner search social".split())
 SECTIONS = frozenset("html body article main section div td blockquote center table tbody tr".split())
+PAGE = frozenset(("", "html", "body"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，、！？]")
 MOST, THRESHOLD, SMOOTH = 0.6, 0.1, (0.25, 0.5, 0.25)
 
 
 class Element:
-    __slots__ = ("tag", "label", "parent", "out", "content", "order")
+    __slots__ = ("tag", "label", "parent", "out", "order")
 
     def __init__(self, tag: str, label: str, parent: Element | None, out: int, order: int):
         """out: 1 if what stands here is no content but by a hint of layout, 2 if it never is."""
-        self.tag, self.label, self.parent, self.out, self.content, self.order = tag, label, parent, out, 0, order
+        self.tag, self.label, self.parent, self.out, self.order = tag, label, parent, out, order
 
 
 def hinted(attributes: str) -> set[str]:
@@ -182,34 +187,55 @@ def content_paths(blocks: list[tuple[str, str, Element, int]]) -> set[str]:
     return {p for p, f in zip(paths, fused) if f >= THRESHOLD * mean}
 
 
+def ancestors(e: Element | None) -> list[Element]:
+    """e and what it stands in, the page first."""
+    out = []
+    while e is not None:
+        out.append(e)
+        e = e.parent
+    return out[::-1]
+
+
+def common(holders: list[Element]) -> list[Element]:
+    """The elements that hold all of these, the page first."""
+    shared = ancestors(holders[0])
+    for h in {id(h): h for h in holders[1:]}.values():
+        theirs = ancestors(h)
+        n = next((n for n, (x, y) in enumerate(zip(shared, theirs)) if x is not y), min(len(shared), len(theirs)))
+        shared = shared[:n]
+    return shared
+
+
+def containers(blocks: list[tuple[str, str, Element, int]], good: set[str]) -> list[Element]:
+    """The elements whose blocks are the main text; none where that is the page itself."""
+    content = [(max(0, len(line) - linked), holder) for line, path, holder, linked in blocks if path in good]
+    if not content:
+        return []
+    outer: dict[int, list[Element]] = {}
+    held = 0
+    for n, holder in content:
+        if (m := next((e for e in ancestors(holder) if e.tag in ("article", "main")), None)) is not None:
+            outer.setdefault(m.order, []).append(holder)
+            held += n
+    if outer and held >= MOST * sum(n for n, _ in content):
+        return [next(e for e in reversed(common(holders)) if e.tag in ("article", "main")) for holders in outer.values()]
+    top = next(e for e in reversed(common([h for _, h in content])) if e.tag in SECTIONS or not e.tag)
+    while top.parent is not None and top.parent.tag in SECTIONS - PAGE:  # the heading may stand beside the text's element
+        beside = [h for _, _, h, _ in blocks if top.parent in (up := ancestors(h)) and top not in up]
+        if not all(h.tag in HEADINGS for h in beside):
+            break
+        top = top.parent
+    return [] if top.tag in PAGE else [top]
+
+
 def main_text(page: str | None) -> str:
     blocks = blocks_of(page or "")
     if not blocks:
         return ""
     good = content_paths(blocks)
-    total = 0
-    elements: dict[int, Element] = {}
-    for line, path, holder, linked in blocks:
-        if path in good:
-            n, e = max(0, len(line) - linked), holder
-            total += n
-            while e is not None:
-                e.content += n
-                elements[e.order] = e
-                e = e.parent
-    main = [e for e in elements.values() if e.tag in ("article", "main") and e.content >= MOST * total]
-    held = main or [e for e in elements.values() if (e.tag in SECTIONS or not e.tag) and e.content >= MOST * total]
-    if not held:
-        return "\n".join(b[0] for b in blocks)
-    top = max(held, key=lambda e: e.order)
-    whole = top.tag not in ("", "html", "body")
-
-    def inside(e: Element | None) -> bool:
-        while e is not None and e is not top:
-            e = e.parent
-        return e is top
-
-    return "\n".join(line for line, path, holder, _ in blocks if (whole or path in good) and inside(holder))
+    tops = containers(blocks, good)
+    whole = {e.order for e in tops}
+    return "\n".join(line for line, path, holder, _ in blocks if (any(e.order in whole for e in ancestors(holder)) if whole else path in good))
 
 
 SCHEMA = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])

@@ -77,6 +77,21 @@ def test_main_text(page, want):
     assert html.main_text(page) == want
 
 
+LONG = "Some text, with a comma and a stop. " * 12
+WHOLE_PAGES = [
+    (f"<body><div class=menu>a b</div><div id=post><h1>Head</h1><p>A lead, of one line.</p><div class=body><p>{LONG}</p><p>{LONG}</p></div></div></body>", ["Head", "A lead, of one line.", LONG.strip(), LONG.strip()]),
+    (f"<body><div id=post><h1>Head</h1><div class=body><p>{LONG}</p></div></div><div class=footer>x</div></body>", ["Head", LONG.strip()]),
+    (f"<body><div id=post><p>{LONG}</p><blockquote><p>{LONG * 4}</p></blockquote><p>{LONG}</p></div></body>", [LONG.strip(), (LONG * 4).strip(), LONG.strip()]),
+    (f"<body><article><p>{LONG}</p><article><p>{LONG}{LONG}</p></article><p>Last, of all.</p></article></body>", [LONG.strip(), (LONG + LONG).strip(), "Last, of all."]),
+    (f"<body><article><p>{LONG}{LONG}</p></article><article><p>{LONG}</p></article></body>", [(LONG + LONG).strip(), LONG.strip()]),
+]
+
+
+@pytest.mark.parametrize(("page", "want"), WHOLE_PAGES)
+def test_no_part_of_the_main_text_is_dropped(page, want):
+    assert html.main_text(page).split("\n") == want
+
+
 def test_pages(spark, folder):
     sf = folder(pages=([(i, f"u{i}", p) for i, (p, _) in enumerate(PAGES)] + [(None, None, "<p>x</p>")], "page_id long, url string, html string"))
     got = {r.page_id: (r.text, r.n_chars) for r in html.op2(spark, sf).collect()}
