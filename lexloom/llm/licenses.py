@@ -29,7 +29,8 @@ BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by"
 #: label, words that must be there, expression for the name (over words joined by one space)
 LICENSES = [
     ("agpl-3.0", "affero", r"gnu affero general public licen[cs]e(?: (?:version|v) 3(?: 0)?)?"),
-    ("agpl-3.0", "agpl", r"agpl(?: v?3(?: 0)?)?|agplv3"),
+    ("agpl-3.0", "agpl", r"agpl(?: v?3(?: 0)?)?"),
+    ("agpl-3.0", "agplv3", r"agplv3"),
     ("lgpl-2.1", "lesser", r"gnu lesser general public licen[cs]e (?:version|v) 2(?: 1)?"),
     ("lgpl-3.0", "lesser", r"gnu lesser general public licen[cs]e (?:version|v) 3(?: 0)?"),
     ("lgpl", "lesser", r"gnu lesser general public licen[cs]e"),
@@ -66,7 +67,8 @@ LICENSES = [
     ("bsd-3-clause", "bsd", r"bsd 3 clause|(?:new|modified|revised) bsd"),
     ("bsd-4-clause", "bsd", r"bsd 4 clause|original bsd"),
     ("bsd", "bsd", r"bsd licen[cs]e"),
-    ("0bsd", "0bsd", r"0bsd|zero clause bsd"),
+    ("0bsd", "0bsd", r"0bsd"),
+    ("0bsd", "zero", r"zero clause bsd"),
     ("isc", "isc", r"isc licen[cs]e"),
     ("mpl-1.1", "mozilla", r"mozilla public licen[cs]e (?:version|v) 1 1"),
     ("mpl-2.0", "mozilla", r"mozilla public licen[cs]e(?: (?:version|v) 2(?: 0)?)?"),

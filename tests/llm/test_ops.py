@@ -60,6 +60,14 @@ def test_inner_detections_are_suppressed():
     assert licenses.left_over([(0, 8, 4, 1.0, "a", 0), (2, 5, 1, 0.5, "b", 1), (7, 9, 1, 0.5, "c", 2), (0, 8, 4, 1.0, "d", 3)]) == [(0, 8, 4, 1.0, "a", 0), (7, 9, 1, 0.5, "c", 2)]
 
 
+def test_every_alternative_passes_its_gate():
+    assert licenses.scanned("Use AGPLv3, please.")["labels"] == "agpl-3.0"
+    assert licenses.scanned("The Zero-Clause BSD it is.")["labels"] == "0bsd"
+    for label, word, name in licenses.LICENSES:
+        for alternative in name.split("|") if "(" not in name else [name]:
+            assert "|" in alternative or word in alternative, (label, alternative)
+
+
 # 2
 
 ARTICLE = "<article><h1>Head &amp; line</h1><p><b>One two,\n three.<br><p>Four <a href=x>five</a>, six.</p><header>Kicker</header><p>Thing.</p><div class='ad-box'>Buy, now.</div><aside>Side, note.</aside><section id=comments><p>Nice, very.</p></section></article>"
