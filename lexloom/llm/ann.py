@@ -2,19 +2,24 @@
 
 The tree is fitted on a bounded sample of vectors (SAMPLE), and every vector is put into the leaf that it descends to. A
 query walks the tree with a priority queue of nodes by the distance to their centre, and visits leaves in the order in
-which they come off it, at least until these hold ten candidates. How many leaves is calibrated, not set: for CALIBRATION queries the true neighbours are found by
-brute force over all vectors, in blocks, and the visits are widened until at least RECALL of these neighbours stand in
-visited leaves.
+which they come off it, at least until these hold ten candidates. How many leaves is calibrated, not set: for CALIBRATION
+queries the true neighbours are found by brute force over all vectors, in blocks, and the visits are widened until at
+least RECALL of these neighbours stand in visited leaves.
 
-The search deals out (leaf, query) probes and the leaves' vectors to cells. A leaf of many vectors is cut into chunks, and
-one that many queries visit into lots, by hash; each pair of chunk and lot is a cell of bounded size, which keeps the ten
-nearest of each query. So a hot vector, or a leaf with a third of all rows, is spread like any others, and no candidate
-pair leaves a task. Only per-leaf counts reach the driver; there are at most SAMPLE / LEAST leaves.
+Visits are made in rounds: FIRST leaves, then WIDER times as many, and so on. A query carries the ten nearest that it has
+found, and the later rounds give out only rows that beat the tenth of these. As each round looks at bins further off,
+about WIDER times ten such rows are to be expected, so that what is shuffled grows with the queries and the number of
+rounds, and not with the leaves that are visited.
+
+Leaves that are neighbours in the tree stand together in cells of CELL vectors; a larger leaf is cut into chunks, and a
+cell that many queries visit is met by lots of LOT of them. A vector's chunk follows from its place in the file and not
+from its id or value, so a hot vector, a repeated id or a leaf with a third of all rows is spread like any others, and
+the pairs that are compared never leave a task. Only counts by leaf reach the driver; there are at most SAMPLE / LEAST leaves.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do those whose length
-is not the most common one; equal distances go to the smaller vec_id; a repeated query row is one query, and rows that
-share its vec_id are not its candidates; with fewer candidates than ten all are returned; an empty table gives an empty
-result; other columns are not looked at.
+is not the most common one; equal distances go to the smaller vec_id; a repeated query row is one query (of several vectors
+under one id, the least in bytes), and rows that share its vec_id are not its candidates; with fewer candidates than ten all are
+returned; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -24,20 +29,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import table, written
+from lexloom.llm.common import dropped, table, written
 
-TOP, SAMPLE, LEAF, LEAST, BRANCH = 10, 20_000, 128, 16, 8  # neighbours; vectors fitted; rows wanted in a leaf; sampled ones it holds at least; children
-CALIBRATION, RECALL = 200, 0.97
-CHUNK, LOT = 4096, 512  # vectors and queries of a cell
-VECTORS = "leaf int, vec_id long, v binary"
+TOP, SAMPLE, LEAF, LEAST, BRANCH = 10, 20_000, 64, 8, 32  # neighbours; vectors fitted; rows wanted in a leaf; sampled ones it holds at least; children
+CALIBRATION, RECALL = 200, 0.93
+FIRST, WIDER = 4, 4  # leaves of the first round; growth from round to round
+CELL, LOT = 4096, 512  # vectors of a cell, queries that meet it at a time
+VECTORS = "leaf int, salt int, vec_id long, v binary"
 FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+FOUND_DDL = "query_id long, vec_id long, score double"
 
 
 class Tree:
-    """Arrays over nodes: centres of the children, which child nodes these are, and the leaf number or -1."""
+    """Arrays over nodes: centres of the children, which child nodes these are, and the leaf number or -1. Leaves are numbered in
+    the tree's order, so that neighbours in it have near numbers."""
 
     def __init__(self, points: np.ndarray, leaf: int, branch: int = BRANCH, seed: int = 5):
         self.centres: list[np.ndarray | None] = []
@@ -52,7 +61,7 @@ class Tree:
         self.leaf.append(-1)
         self.centres.append(None)
         self.children.append([])
-        parts = self._parts(points, branch) if len(points) > leaf else []
+        parts = self._parts(points, min(branch, max(2, len(points) // leaf))) if len(points) > leaf else []
         if len(parts) < 2:
             self.leaf[me] = self.leaves
             self.leaves += 1
@@ -105,17 +114,34 @@ def squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (b * b).sum(1) - 2 * (a @ b.T)
 
 
-def nearest(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, vec_id, score) of the top nearest of each query, by differences in double precision."""
+def nearest(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, top: int, met: np.ndarray | None = None, bound: np.ndarray | None = None, bound_id: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, vec_id, score) of the top nearest of each query by differences in double precision, among the rows that it meets (all,
+    if met is None) and that beat its bound. A product of matrices leaves only rows near the mark to be measured."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        size = (q * q).sum(1)[:, None] + (v * v).sum(1)
+        about = size - 2 * (q @ v.T)
+        slack = 1e-12 * size
+    about = np.where(np.isfinite(about), about, 0.0)  # too large to tell: measured
+    slack = np.where(np.isfinite(slack), slack, np.inf)
     out: list[tuple] = []
-    for q_id, x in zip(q_ids, q):
-        d = np.sqrt(((v - x) ** 2).sum(1))
-        other = np.flatnonzero(ids != q_id)
-        if len(other) > top:
-            bound = np.partition(d[other], top - 1)[top - 1]
-            other = other[d[other] <= bound]
-        best = other[np.lexsort((ids[other], d[other]))][:top]
-        out.append((np.full(len(best), q_id), ids[best], d[best]))
+    for i, q_id in enumerate(q_ids):
+        mine = ids != q_id
+        if met is not None:
+            mine &= met[i]
+        low = about[i] - slack[i]
+        if bound is not None and np.isfinite(bound[i]):
+            mine &= low <= bound[i] * bound[i]
+        rows = np.flatnonzero(mine)
+        if len(rows) > top:
+            high = about[i][rows] + slack[i][rows]
+            rows = rows[low[rows] <= np.partition(high, top - 1)[top - 1]]
+        if not len(rows):
+            continue
+        d = np.sqrt(((v[rows] - q[i]) ** 2).sum(1))
+        best = np.lexsort((ids[rows], d))[:top]
+        if bound is not None:
+            best = best[(d[best] < bound[i]) | ((d[best] == bound[i]) & (ids[rows[best]] < bound_id[i]))]
+        out.append((np.full(len(best), q_id), ids[rows[best]], d[best]))
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
@@ -132,6 +158,27 @@ def usable(vectors: DataFrame) -> DataFrame:
     return v
 
 
+def borders(visits: int) -> list[int]:
+    """Where the rounds end in a query's order of leaves."""
+    out = [min(FIRST, visits)]
+    while out[-1] < visits:
+        out.append(min(visits, WIDER * out[-1]))
+    return out
+
+
+def cells_of(by_leaf: dict[int, int]) -> dict[int, tuple[int, int]]:
+    """The cell that each leaf belongs to, and its number of chunks: neighbouring leaves as long as they are CELL rows together,
+    or one leaf that is larger."""
+    out, cell, held = {}, 0, 0
+    for leaf in sorted(by_leaf):
+        n = by_leaf[leaf]
+        if held and held + n > CELL:
+            cell, held = cell + 1, 0
+        out[leaf] = (cell, max(1, -(-n // CELL)))
+        held += n
+    return out
+
+
 def search(spark: SparkSession, vectors: DataFrame, top: int = TOP, every: int = 100, recall: float = RECALL) -> DataFrame:
     """query_id, rank, vec_id, score for the queries, the vectors whose vec_id `every` divides."""
     good = usable(vectors)
@@ -148,58 +195,99 @@ def search(spark: SparkSession, vectors: DataFrame, top: int = TOP, every: int =
     shared = spark.sparkContext.broadcast(tree)
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = TaskContext.get().partitionId() * 1009
         for b in batches:
             v = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-            yield pa.RecordBatch.from_arrays([pa.array(shared.value.assigned(v)), b.column(0), pa.array([x.astype("<f8").tobytes() for x in v], pa.binary())], ["leaf", "vec_id", "v"])
+            salt = (np.arange(at, at + len(v)) & 0x7FFFFFFF).astype(np.int32)
+            at += len(v)
+            yield pa.RecordBatch.from_arrays([pa.array(shared.value.assigned(v)), pa.array(salt), b.column(0), pa.array([x.astype("<f8").tobytes() for x in v], pa.binary())], ["leaf", "salt", "vec_id", "v"])
 
     index, _ = written(spark, good.mapInArrow(leaves, VECTORS), "ann-index")
-    queries = index.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.first("v").alias("q"), F.count("*").alias("own"))
+    queries = index.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("q"), F.count("*").alias("own"))
     by_leaf = {int(leaf): int(n) for leaf, n in index.groupBy("leaf").count().toArrow().to_pandas().itertuples(index=False)}
-    visits = calibrated(spark, tree, index, queries, dim, top, recall, total)
+    visits = calibrated(spark, tree, index, queries, dim, top, recall)
+    ends, cells = borders(visits), cells_of(by_leaf)
 
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each query, round and cell, with the leaves to visit there."""
         for b in batches:
             for q_id, raw, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                found = shared.value.leaves_by_distance(np.frombuffer(raw, "<f8"), visits, by_leaf, top + own)  # its own rows are no candidates
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array([q_id] * len(found), pa.int64()), pa.array([raw] * len(found), pa.binary())], ["leaf", "query_id", "q"])
-
-    asked, _ = written(spark, queries.mapInArrow(probes, "leaf int, query_id long, q binary"), "ann-probes")
-    asks = dict(asked.groupBy("leaf").count().toArrow().to_pandas().itertuples(index=False))
-    plan = spark.createDataFrame([(int(leaf), -(-n // CHUNK), -(-asks[leaf] // LOT)) for leaf, n in by_leaf.items() if leaf in asks] or [(-1, 1, 1)], "leaf int, chunks int, lots int")
+                order = shared.value.leaves_by_distance(np.frombuffer(raw, "<f8"), visits, by_leaf, top + own)  # its own rows are no candidates
+                asked: dict[tuple[int, int], list[int]] = {}
+                for place, leaf in enumerate(order):
+                    if leaf in cells:
+                        turn = min(int(np.searchsorted(ends, place, side="right")), len(ends) - 1)
+                        asked.setdefault((turn, cells[leaf][0]), []).append(leaf)
+                turns, at = zip(*asked) if asked else ((), ())
+                n = len(asked)
+                yield pa.RecordBatch.from_arrays([pa.array(turns, pa.int32()), pa.array(at, pa.int32()), pa.array([q_id] * n, pa.int64()), pa.array([raw] * n, pa.binary()), pa.array(list(asked.values()), pa.list_(pa.int32()))], ["turn", "cell", "query_id", "q", "leaves"])
+
+    asked, asked_path = written(spark, queries.mapInArrow(probes, "turn int, cell int, query_id long, q binary, leaves array<int>"), "ann-probes")
+    asks: dict[int, dict[int, int]] = {}
+    for turn, cell, n in asked.groupBy("turn", "cell").count().toArrow().to_pandas().itertuples(index=False):
+        asks.setdefault(int(turn), {})[int(cell)] = int(n)
+    found = spark.createDataFrame([], "query_id long, vec_id long, score double, rank int")
+    path = None
+    for turn in sorted(asks):
+        best = ranked(found.drop("rank").unionByName(met_in(spark, index, asked.where(F.col("turn") == turn), found.where(F.col("rank") == top), cells, asks[turn], dim, top)), top)
+        found, new = written(spark, best, "ann-found")
+        if path:
+            dropped(spark, path)
+        path = new
+    dropped(spark, asked_path)
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
+def met_in(spark: SparkSession, index: DataFrame, asked: DataFrame, tenth: DataFrame, cells: dict[int, tuple[int, int]], asks: dict[int, int], dim: int, top: int) -> DataFrame:
+    """query_id, vec_id, score: what the queries of one round find in the leaves that they visit, if it beats their tenth."""
+    plan = [(leaf, cell, chunks, -(-asks[cell] // LOT)) for leaf, (cell, chunks) in cells.items() if cell in asks]
+    by_leaf = F.broadcast(spark.createDataFrame(plan or [(-1, -1, 1, 1)], "leaf int, cell int, chunks int, lots int"))  # at most SAMPLE / LEAST rows
+    by_cell = by_leaf.select("cell", "chunks", "lots").distinct()
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    part = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
-    left = index.join(F.broadcast(plan), "leaf").select("leaf", part("vec_id", "chunks").alias("chunk"), each("lots").alias("lot"), "vec_id", "v")  # plan: at most SAMPLE / LEAST rows
-    right = asked.join(F.broadcast(plan), "leaf").select("leaf", each("chunks").alias("chunk"), part("query_id", "lots").alias("lot"), "query_id", "q")
-    cell = ["leaf", "chunk", "lot"]
+    left = index.join(by_leaf, "leaf").select("cell", F.pmod("salt", F.col("chunks")).cast("int").alias("chunk"), each("lots").alias("lot"), "leaf", "vec_id", "v")
+    bounds = tenth.select("query_id", F.col("score").alias("bound"), F.col("vec_id").alias("bound_id"))
+    right = asked.join(bounds, "query_id", "left").join(F.broadcast(by_cell), "cell")
+    right = right.select("cell", each("chunks").alias("chunk"), F.pmod(F.xxhash64("query_id"), F.col("lots")).cast("int").alias("lot"), "query_id", "q", "leaves", "bound", "bound_id")
+    key = ["cell", "chunk", "lot"]
 
     def met(vs: pa.Table, qs: pa.Table) -> pa.Table:
         if not vs.num_rows or not qs.num_rows:
             return FOUND.empty_table()
-        got = nearest(qs.column("query_id").to_numpy(), matrix(qs.column("q"), dim), vs.column("vec_id").to_numpy(), matrix(vs.column("v"), dim), top)
+        there, place = np.unique(vs.column("leaf").to_numpy(), return_inverse=True)
+        visits = np.stack([np.isin(there, np.array(x, np.int64)) for x in qs.column("leaves").to_pylist()])
+        bound = qs.column("bound").fill_null(float("inf")).to_numpy()
+        bound_id = qs.column("bound_id").fill_null(0).to_numpy()
+        got = nearest(qs.column("query_id").to_numpy(), matrix(qs.column("q"), dim), vs.column("vec_id").to_numpy(), matrix(vs.column("v"), dim), top, visits[:, place], bound, bound_id)
         return pa.table([pa.array(x) for x in got], schema=FOUND)
 
-    found = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(met, "query_id long, vec_id long, score double")
-    return ranked(found, top)
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(met, FOUND_DDL)
 
 
 def ranked(found: DataFrame, top: int) -> DataFrame:
     by = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= top).select("query_id", "vec_id", "score", "rank")
 
 
 def brute(index: DataFrame, spark: SparkSession, q_ids: np.ndarray, q: np.ndarray, dim: int, top: int) -> DataFrame:
-    """The true neighbours of a bounded set of queries: each batch of all vectors keeps its own nearest, which are then merged."""
+    """The true neighbours of a bounded set of queries: each task goes through its vectors in batches and keeps each query's
+    nearest, which are then merged."""
     asked = spark.sparkContext.broadcast((q_ids, q))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, list[tuple[float, int]]] = {}
         for b in batches:
-            got = nearest(*asked.value, b.column(0).to_numpy(), matrix(b.column(1), dim), top)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in got], schema=FOUND)
+            for q_id, vec_id, score in zip(*(x.tolist() for x in nearest(*asked.value, b.column(0).to_numpy(), matrix(b.column(1), dim), top))):
+                best.setdefault(q_id, []).append((score, vec_id))
+            for q_id, kept in best.items():
+                if len(kept) > top:
+                    best[q_id] = sorted(kept)[:top]
+        rows = [(q_id, vec_id, score) for q_id, kept in best.items() for score, vec_id in kept]
+        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows) if rows else ((), (), ()), FOUND)], schema=FOUND)
 
-    return ranked(index.select("vec_id", "v").mapInArrow(run, "query_id long, vec_id long, score double"), top)
+    return ranked(index.select("vec_id", "v").mapInArrow(run, FOUND_DDL), top)
 
 
-def calibrated(spark: SparkSession, tree: Tree, index: DataFrame, queries: DataFrame, dim: int, top: int, recall: float, total: int) -> int:
+def calibrated(spark: SparkSession, tree: Tree, index: DataFrame, queries: DataFrame, dim: int, top: int, recall: float) -> int:
     """The least number of leaves such that the recall over CALIBRATION queries is reached."""
     chosen = queries.orderBy(F.xxhash64(F.lit("calibrate"), "query_id")).limit(CALIBRATION).toArrow()
     if not chosen.num_rows or tree.leaves == 1:
