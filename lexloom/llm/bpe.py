@@ -2,35 +2,29 @@
 
 A piece starts as its byte symbols, the last one with the word-end mark. The leaves of a segment tree hold, for each
 symbol, the rank of the merge with its right neighbour (or infinity) together with its place, so that the root is the
-leftmost of the lowest-ranked merges. A merge is a point update of at most three leaves, each in logarithmic time; it ends
+leftmost of the lowest-ranked merges. A merge is a point update of three leaves, each in logarithmic time; it ends
 when the root is infinite. Long pieces thus cost n log n, not n squared.
 
-A text is first split at the two special strings, then normalized (NFC, lower case letter by letter) and cut into pieces;
-what occurs again is looked up in bounded tables (of pieces, and of runs between spaces), which only remember results.
+Every piece of two symbols or more goes through such a tree. RankTrees holds the trees of many pieces side by side in
+numpy, one merge of each in a round; a piece of more than WIDE bytes has a tree of its own, as rounds for it alone would
+cost more than they save.
 
-Defined cases: null or empty text gives no ids; any text, however long, is encoded whole; ids unknown to the vocabulary
-decode to nothing.
+A text is first split at the special strings, then normalized (NFC, lower case letter by letter) and cut into pieces.
 """
 
 from __future__ import annotations
 
-import hashlib
 import json
 import re
 import unicodedata
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
-import public_tokenizers
-import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.llm.common import held, table
-
-INF = 1 << 62
-REMEMBERED = 300_000  # entries that a table of results holds before it is emptied
+NEVER = 1 << 62  # no merge; a merge is rank << 40 | place << 20 | merged id
+LOW = (1 << 20) - 1
+WIDE = 256  # bytes of a piece that is merged beside others
 #: Fixed values of the tokenizer's own file: what its normalizer and splitter do.
 SPACE = regex.compile(r"\s+")  # as the splitter's own class has it; str.split differs in the four separators only
 SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -49,30 +43,90 @@ def lowered(text: str) -> str:
     return text.replace("Σ", "σ").lower()
 
 
-class RankTree:
-    """Minimum over leaves of rank * width + place, in a segment tree whose nodes have WIDE children each: a short piece
-    is one node, and a point update looks at one node for each level."""
+def width_for(leaves: int) -> int:
+    """The least power of two that holds so many leaves."""
+    return 1 << max(0, leaves - 1).bit_length()
+
 
-    WIDE = 32
+class RankTree:
+    """One piece's tree: node 1 is the root, node i's children are 2 i and 2 i + 1."""
 
-    def __init__(self, ranks: list[int]):
-        self.width = len(ranks)
-        low = [r * self.width + i if r < INF else INF for i, r in enumerate(ranks)]
-        self.levels = [low]
-        while len(low) > self.WIDE:
-            low = [min(low[i : i + self.WIDE]) for i in range(0, len(low), self.WIDE)]
-            self.levels.append(low)
+    def __init__(self, merges: list[int]):
+        self.width = width_for(len(merges))
+        self.nodes = [NEVER] * self.width + merges + [NEVER] * (self.width - len(merges))
+        for i in range(self.width - 1, 0, -1):
+            self.nodes[i] = min(self.nodes[2 * i], self.nodes[2 * i + 1])
 
     def root(self) -> int:
-        return min(self.levels[-1])
-
-    def put(self, place: int, rank: int) -> None:
-        value = rank * self.width + place if rank < INF else INF
-        for low in self.levels[:-1]:
-            low[place] = value
-            place //= self.WIDE
-            value = min(low[place * self.WIDE : (place + 1) * self.WIDE])
-        self.levels[-1][place] = value
+        return self.nodes[1]
+
+    def put(self, place: int, merge: int) -> None:
+        nodes, i = self.nodes, self.width + place
+        nodes[i] = merge
+        while i > 1:
+            i >>= 1
+            nodes[i] = min(nodes[2 * i], nodes[2 * i + 1])
+
+
+class RankTrees:
+    """The trees of many pieces, a row each, over merges of (pieces, leaves)."""
+
+    def __init__(self, merges: np.ndarray):
+        m, leaves = merges.shape
+        self.width = width_for(leaves)
+        self.nodes = np.full((m, 2 * self.width), NEVER)
+        self.nodes[:, self.width : self.width + leaves] = merges
+        low = self.width
+        while low > 1:
+            below = self.nodes[:, low : 2 * low]
+            low //= 2
+            np.minimum(below[:, ::2], below[:, 1::2], out=self.nodes[:, low : 2 * low])
+
+    def roots(self, rows: np.ndarray) -> np.ndarray:
+        return self.nodes[rows, 1]
+
+    def put(self, rows: np.ndarray, places: np.ndarray, merges: np.ndarray) -> None:
+        """Set leaves, of one row several too, and what is above them. Places outside of the tree are passed over."""
+        flat, base = self.nodes.reshape(-1), rows * (2 * self.width)
+        at = np.where((places >= 0) & (places < self.width), places + self.width, 0)  # node 0 is nobody's
+        flat[base + at] = merges
+        for _ in range(self.width.bit_length() - 1):
+            at >>= 1
+            child = base + 2 * at
+            flat[base + at] = np.minimum(flat[child], flat[child + 1])
+
+
+class PairTable:
+    """rank << 40 | merged id of pairs of ids, by a hash table of levels."""
+
+    SIZE = 18
+
+    def __init__(self, merge: dict[int, tuple[int, int]]):
+        pairs = np.fromiter(merge, np.int64, len(merge))
+        rank, new = np.array(list(merge.values()), np.int64).reshape(-1, 2).T
+        self.levels = []
+        while len(pairs):
+            slot = self._slot(pairs, len(self.levels))
+            first = np.unique(slot, return_index=True)[1]
+            key, value = np.full(1 << self.SIZE, -1), np.full(1 << self.SIZE, NEVER)
+            key[slot[first]], value[slot[first]] = pairs[first], rank[first] << 40 | new[first]
+            self.levels.append((key, value))
+            rest = np.ones(len(pairs), bool)
+            rest[first] = False
+            pairs, rank, new = pairs[rest], rank[rest], new[rest]
+
+    def _slot(self, pairs: np.ndarray, level: int) -> np.ndarray:
+        mixed = pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 2 * level * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)
+        return (mixed >> np.uint64(64 - self.SIZE)).astype(np.int64)
+
+    def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """NEVER where there is no merge; a negative id has none."""
+        pairs = left << 32 | right
+        out = np.full(pairs.shape, NEVER)
+        for level, (key, value) in enumerate(self.levels):
+            slot = self._slot(pairs, level)
+            np.copyto(out, value[slot], where=key[slot] == pairs)
+        return out
 
 
 class Bpe:
@@ -88,131 +142,93 @@ class Bpe:
         self.merge = {(vocab[a] << 32) | vocab[b]: (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
         symbols = byte_symbols()
         self.inner, self.last = [vocab[s] for s in symbols], [vocab[s + self.end] for s in symbols]
+        self.pair, self.inner_ids, self.last_ids = PairTable(self.merge), np.array(self.inner), np.array(self.last)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.piece = regex.compile(PIECE)
-        self.known: dict[str, object] = {}
-        self.chunks: dict[str, object] = {}
-
-    def merged(self, piece: str) -> list[int]:
-        """The ids of one piece."""
-        raw = piece.encode("utf-8", "surrogatepass")
-        inner = self.inner
-        ids = [inner[b] for b in raw]
+
+    def merged(self, raw: bytes) -> list[int]:
+        """The ids of one piece, by a tree of its own."""
+        ids = [self.inner[b] for b in raw]
         ids[-1] = self.last[raw[-1]]
-        n, merge = len(ids), self.merge
-        if n == 1:
-            return ids
-        none = (INF, 0)
+        n = len(ids)
         right, left = list(range(1, n + 1)), list(range(-1, n - 1))
-        ranks = [merge.get(a << 32 | b, none)[0] for a, b in zip(ids, ids[1:])]
-        if n <= RankTree.WIDE:
-            return self._merged_in_one_node(ids, ranks)
-        tree = RankTree(ranks)
-        while (root := tree.root()) < INF:
-            i = root % tree.width
+
+        def merge(i: int, j: int) -> int:
+            rank, new = self.merge.get(ids[i] << 32 | ids[j], (None, 0))
+            return NEVER if rank is None else rank << 40 | i << 20 | new
+
+        tree = RankTree([merge(i, i + 1) for i in range(n - 1)])
+        while n > 1 and (root := tree.root()) < NEVER:
+            i = root >> 20 & LOW
             j = right[i]
-            ids[i] = merge[(ids[i] << 32) | ids[j]][1]
-            ids[j] = -1
+            ids[i], ids[j] = root & LOW, -1
             k = right[i] = right[j]
             if j < n - 1:
-                tree.put(j, INF)
+                tree.put(j, NEVER)
             if k < n:
                 left[k] = i
-                tree.put(i, merge.get((ids[i] << 32) | ids[k], none)[0])
-            else:
-                tree.put(i, INF)
+            tree.put(i, merge(i, k) if k < n else NEVER)
             if (h := left[i]) >= 0:
-                tree.put(h, merge.get((ids[h] << 32) | ids[i], none)[0])
+                tree.put(h, merge(h, i))
         return [i for i in ids if i >= 0]
 
-    def _merged_in_one_node(self, ids: list[int], ranks: list[int]) -> list[int]:
-        """The same where the whole tree is one node: its leaves are closed up instead of being marked as empty."""
-        get, none = self.merge.get, (INF, 0)
-        while ranks and (root := min(ranks)) < INF:
-            i = ranks.index(root)
-            ids[i] = new = get((ids[i] << 32) | ids[i + 1])[1]
-            del ids[i + 1], ranks[i]
-            if i < len(ranks):
-                ranks[i] = get((new << 32) | ids[i + 1], none)[0]
-            if i:
-                ranks[i - 1] = get((ids[i - 1] << 32) | new, none)[0]
-        return ids
-
-    def _of_pieces(self, chunk: str, make, join):
-        """What make gives for a text without spaces, joined from its pieces."""
-        got = []
-        for p in self.piece.findall(chunk):
-            if (one := self.known.get(p)) is None:
-                one = make(self.merged(p))
-                if len(p) <= 64:
-                    if len(self.known) >= REMEMBERED:
-                        self.known.clear()
-                    self.known[p] = one
-            got.append(one)
-        return got[0] if len(got) == 1 else join(got)
-
-    def made(self, text: str | None, make, join) -> list:
-        """make(ids), joined, of each run without spaces and of each special string of the text, in order. No piece
-        crosses a space."""
-        out: list = []
-        if not text:
-            return out
+    def merged_together(self, raws: list[bytes]) -> list[bytes]:
+        """The ids of many pieces, as little-endian unsigned 32-bit numbers, by trees side by side."""
+        m, n = len(raws), max(map(len, raws))
+        rows, size = np.arange(m), np.fromiter(map(len, raws), np.int64, m)
+        raw = np.frombuffer(b"".join([r.ljust(n, b"\0") for r in raws]), np.uint8).reshape(m, n)
+        ids = np.full((m, n + 1), -1)  # the last column stands for no neighbour
+        ids[:, :n] = np.where(np.arange(n) < size[:, None], self.inner_ids[raw], -1)
+        ids[rows, size - 1] = self.last_ids[raw[rows, size - 1]]
+        if n > 1:
+            places = np.arange(n - 1) << 20
+            trees = RankTrees(self.pair(ids[:, : n - 1], ids[:, 1:n]) | places)
+            right, left = np.tile(np.minimum(np.arange(1, n + 2), n), (m, 1)), np.tile(np.r_[n, np.arange(n)], (m, 1))
+            while True:
+                best = trees.roots(rows)
+                live = best < NEVER
+                rows, best = rows[live], best[live]
+                if not len(rows):
+                    break
+                i, new = best >> 20 & LOW, best & LOW
+                j, h = right[rows, i], left[rows, i]
+                k = right[rows, j]
+                ids[rows, i], ids[rows, j] = new, -1
+                right[rows, i], left[rows, k] = k, i
+                pair = self.pair(np.concatenate([new, ids[rows, h]]), np.concatenate([ids[rows, k], new]))
+                at = np.concatenate([i, h])
+                trees.put(np.concatenate([rows, rows, rows]), np.concatenate([j, at]), np.concatenate([np.full(len(rows), NEVER), pair | at << 20]))
+        there = ids >= 0
+        flat = ids[there].astype("<u4").tobytes()
+        ends = (4 * np.cumsum(there.sum(1))).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends)]
+
+    def parts(self, text: str) -> list[str | int]:
+        """The text between special strings, normalized, and the ids of these."""
         special = self.cut is not None and "<|" in text
+        out: list[str | int] = []
         for part in self.cut.split(text) if special else (text,):
             if special and part in self.special:
-                out.append(make([self.special[part]]))
-                continue
-            if not unicodedata.is_normalized("NFC", part):
-                part = unicodedata.normalize("NFC", part)
-            part = lowered(part)
-            chunks = part.split() if not SEPARATORS.search(part) else SPACE.split(part)
-            known = self.chunks
-            for c in chunks:
-                if (one := known.get(c)) is None:
-                    one = self._of_pieces(c, make, join)
-                    if len(c) <= 64:
-                        if len(known) >= REMEMBERED:
-                            known.clear()
-                        known[c] = one
-                out.append(one)
+                out.append(self.special[part])
+            else:
+                out.append(lowered(part if unicodedata.is_normalized("NFC", part) else unicodedata.normalize("NFC", part)))
         return out
 
     def encode(self, text: str | None) -> list[int]:
-        return [i for ids in self.made(text, tuple, lambda x: sum(x, ())) for i in ids]
+        """A text's ids, piece by piece. token_ids has the same for many texts at once."""
+        out: list[int] = []
+        for part in self.parts(text or ""):
+            if isinstance(part, int):
+                out.append(part)
+            else:
+                for p in self.piece.findall(part):
+                    out += self.merged(p.encode("utf-8", "surrogatepass"))
+        return out
 
     def decode(self, ids: list[int]) -> str:
         """The tokens joined by one space, as the tokenizer, which has no decoder of its own, does."""
         return " ".join(self.token[i] for i in ids if i in self.token)
 
 
-def digests(path: str):
-    """For mapInArrow: doc_id, text to doc_id, n_tokens, ids_sha256, decoded_sha256."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = held(("digests", path), lambda: Bpe(path))
-        make = lambda ids: (len(ids), " ".join(map(str, ids)), bpe.decode(ids))
-        join = lambda x: (sum(n for n, _, _ in x), " ".join([i for _, i, _ in x]), " ".join([t for _, _, t in x]))
-        for batch in batches:
-            n, a, b = [], [], []
-            for text in batch.column(1):
-                got = [x for x in bpe.made(text.as_py(), make, join) if x[0]]
-                n.append(sum(x[0] for x in got))
-                a.append(hashlib.sha256(" ".join([x[1] for x in got]).encode()).hexdigest())
-                b.append(hashlib.sha256(" ".join([x[2] for x in got]).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return run
-
-
-def token_bytes(bpe: Bpe, text: str | None, tail: bytes) -> bytes:
-    """The text's ids as little-endian unsigned 32-bit numbers, then tail."""
-    return b"".join(bpe.made(text, lambda ids: np.array(ids, "<u4").tobytes(), b"".join)) + tail
-
-
 def crc(ids: bytes) -> int:
     return zlib.crc32(ids) & 0xFFFFFFFF
-
-
-def op4(spark: SparkSession, sf_dir: str, tokenizer: str = "word_bpe_49k.json") -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.mapInArrow(digests(public_tokenizers.path(tokenizer)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

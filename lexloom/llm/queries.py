@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.llm import ann, bpe, chat, html, langid, licenses, packing, quality, sharding, simhash
+from lexloom.llm import ann, chat, html, langid, licenses, packing, quality, sharding, simhash, token_ids
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_rules": licenses.op1,
     "op2_tag_path_ratios": html.op2,
     "op3_kmeans_tree": ann.op3,
-    "op4_bpe_segment_tree": bpe.op4,
+    "op4_bpe_segment_tree": token_ids.op4,
     "op5_residual_packing": packing.op5,
     "op6_chat_windows": chat.op6,
     "op7_line_quality": quality.op7,

@@ -1,105 +1,47 @@
-"""Token ids of many texts at once, as bytes (little-endian unsigned 32-bit): the same ids as bpe.Bpe gives.
+"""Token ids of many texts at once: the runs between spaces that no table of results holds yet are gathered over a block of
+texts and cut into pieces, and all new pieces are merged together in bpe's segment trees. The table only remembers results.
 
-The runs between spaces that no table of results holds yet are gathered over a block of texts, cut into pieces, and all
-new pieces are merged together in numpy: one row a piece, in each round every row merges its leftmost lowest-ranked pair.
-Pieces of more than WIDE bytes go through Bpe's segment tree.
+Defined cases: null or empty text gives no ids; any text, however long, is encoded whole; ids unknown to the vocabulary
+decode to nothing; repeated rows give equal results; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
 
-import unicodedata
-from collections.abc import Iterable, Iterator
+import hashlib
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.llm.bpe import SEPARATORS, SPACE, Bpe, lowered
-from lexloom.llm.common import held
-
-WIDE, HELD, BLOCK = 32, 700_000, 1 << 21  # bytes of a piece merged in numpy; entries held; letters of a block of texts
-NEVER = np.int64(1) << 40
-
-
-class PairTable:
-    """rank and merged id of a pair of ids, by a hash table of two levels."""
-
-    SIZE = 18
-
-    def __init__(self, merge: dict[int, tuple[int, int]]):
-        pairs = np.fromiter(merge, np.int64, len(merge))
-        rank, new = np.array(list(merge.values()), np.int64).T
-        self.levels = []
-        while len(pairs):
-            slot = self._slot(pairs, len(self.levels))
-            first = np.unique(slot, return_index=True)[1]
-            key, value = np.full(1 << self.SIZE, -1), np.full(1 << self.SIZE, NEVER)
-            key[slot[first]], value[slot[first]] = pairs[first], rank[first] << 20 | new[first]
-            self.levels.append((key, value))
-            rest = np.ones(len(pairs), bool)
-            rest[first] = False
-            pairs, rank, new = pairs[rest], rank[rest], new[rest]
-
-    def _slot(self, pairs: np.ndarray, level: int) -> np.ndarray:
-        mixed = pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 2 * level * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)
-        return (mixed >> np.uint64(64 - self.SIZE)).astype(np.int64)
-
-    def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """rank << 20 | merged id, or NEVER; a negative id has no pair."""
-        pairs = left << 32 | right
-        out = np.full(pairs.shape, NEVER)
-        for level, (key, value) in enumerate(self.levels):
-            slot = self._slot(pairs, level)
-            np.copyto(out, value[slot], where=key[slot] == pairs)
-        return out
+from lexloom.llm.bpe import SEPARATORS, SPACE, WIDE, Bpe, width_for
+from lexloom.llm.common import held, table
+
+HELD, BLOCK, TOGETHER = 700_000, 1 << 21, 1 << 14  # entries held; letters of a block of texts; pieces merged at a time
 
 
 class TokenIds:
-    def __init__(self, path: str):
-        self.bpe = Bpe(path)
-        self.pair = PairTable(self.bpe.merge)
-        self.inner, self.last = np.array(self.bpe.inner), np.array(self.bpe.last)
-        self.runs: dict[str, bytes] = {}  # a word is a run and a piece alike
-
-    def _merged(self, raws: list[bytes]) -> list[bytes]:
-        """The ids of pieces of the same length."""
-        n, m = len(raws[0]), len(raws)
-        raw = np.frombuffer(b"".join(raws), np.uint8).reshape(m, n)
-        ids = self.inner[raw]
-        ids[:, -1] = self.last[raw[:, -1]]
-        size = np.full(m, n)
-        if n > 1:
-            rows, at = np.arange(m), np.arange(n)
-            work = ids.copy()
-            value = self.pair(work[:, :-1], work[:, 1:])
-            while len(rows):
-                j = value.argmin(1)
-                k = np.arange(len(rows))
-                best = value[k, j]
-                done = best >= NEVER
-                if done.any():
-                    ids[rows[done]] = work[done]
-                    go = ~done
-                    rows, work, value, j, best = rows[go], work[go], value[go], j[go], best[go]
-                    k = np.arange(len(rows))
-                    if not len(rows):
-                        break
-                work[k, j] = best & 0xFFFFF
-                move = np.minimum(at + (at > j[:, None]), n - 1)
-                work = np.take_along_axis(work, move, 1)
-                work[:, -1] = -1
-                value = np.take_along_axis(value, np.minimum(move[:, :-1], n - 2), 1)
-                value[:, -1] = NEVER
-                size[rows] -= 1
-                right = np.minimum(j, n - 2)
-                value[k, right] = np.where(j < n - 1, self._pairs(work[k, right], work[k, right + 1]), NEVER)
-                has = j > 0
-                value[k[has], j[has] - 1] = self._pairs(work[k[has], j[has] - 1], work[k[has], j[has]])
-        ids = ids.reshape(m, n)
-        flat = ids[np.arange(n) < size[:, None]].astype("<u4").tobytes()
-        ends = (4 * np.cumsum(size)).tolist()
-        return [flat[a:b] for a, b in zip([0, *ends], ends)]
-
-    def _pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        return np.where(right >= 0, self.pair(left, right), NEVER)
+    """make turns the ids of a piece (little-endian unsigned 32-bit) into what is held of it, join puts these together."""
+
+    def __init__(self, path: str, make: Callable = bytes, join: Callable = b"".join, entries: int = HELD):
+        self.bpe, self.make, self.join, self.entries = Bpe(path), make, join, entries
+        self.runs: dict[str | int, object] = {}  # a word is a run and a piece alike
+
+    def _merged(self, pieces: Iterable[str]) -> None:
+        """Learn pieces, those of like width together."""
+        groups: dict[int, tuple[list[str], list[bytes]]] = {}
+        for p in pieces:
+            raw = p.encode("utf-8", "surrogatepass")
+            if len(raw) > WIDE:
+                self.runs[p] = self.make(np.array(self.bpe.merged(raw), "<u4").tobytes())
+                continue
+            names, raws = groups.setdefault(width_for(len(raw) - 1) if len(raw) > 1 else 0, ([], []))
+            names.append(p)
+            raws.append(raw)
+        for names, raws in groups.values():
+            for at in range(0, len(names), TOGETHER):
+                self.runs.update(zip(names[at : at + TOGETHER], map(self.make, self.bpe.merged_together(raws[at : at + TOGETHER]))))
 
     def _learn(self, runs: set[str]) -> None:
         known, find = self.runs, self.bpe.piece.findall
@@ -112,54 +54,43 @@ class TokenIds:
                 ps = find(r)
                 cut.append((r, ps))
                 words.update((p, None) for p in ps if p not in known)
-        new: dict[int, tuple[list, list]] = {}
-        for p in words:
-            raw = p.encode("utf-8", "surrogatepass")
-            group = new.get(len(raw)) or new.setdefault(len(raw), ([], []))
-            group[0].append(p)
-            group[1].append(raw)
-        for n, (names, raws) in new.items():
-            known.update(zip(names, self._merged(raws) if n <= WIDE else [np.array(self.bpe.merged(p), "<u4").tobytes() for p in names]))
+        self._merged(words)
         for r, ps in cut:
             if r not in words:
-                known[r] = b"".join([known[p] for p in ps])
+                known[r] = self.join([known[p] for p in ps])
 
     def _split(self, text: str) -> list[str | int]:
         """Runs between spaces; a special string is its id."""
-        special = self.bpe.cut is not None and "<|" in text
         out: list[str | int] = []
-        for part in self.bpe.cut.split(text) if special else (text,):
-            if special and part in self.bpe.special:
-                out.append(self.bpe.special[part])
+        for part in self.bpe.parts(text):
+            if isinstance(part, int):
+                out.append(part)
                 continue
-            if not unicodedata.is_normalized("NFC", part):
-                part = unicodedata.normalize("NFC", part)
-            part = lowered(part)
             # where commas and full stops are the only symbols and stand alone, each is a piece of its own: spaces around it
             # change nothing, and words with and without one are then the same run
             if part.replace(" ", "").replace("\n", "").replace(",", "").replace(".", "").isalpha() and not any(x in part for x in (",,", "..", ",.", ".,")):
                 part = part.replace(",", " , ").replace(".", " . ")
             elif SEPARATORS.search(part):
-                out += SPACE.split(part)
+                out += filter(None, SPACE.split(part))
                 continue
             out += part.split()
         return out
 
-    def _block(self, texts: list[str]) -> list[bytes]:
+    def _block(self, texts: list[str]) -> list[list]:
         split = [self._split(t) for t in texts]
         runs = self.runs
         if unknown := set().union(*split) - runs.keys():
             for r in [r for r in unknown if isinstance(r, int)]:
-                runs[r] = np.array([r], "<u4").tobytes()
+                runs[r] = self.make(np.array([r], "<u4").tobytes())
                 unknown.discard(r)
             self._learn(unknown)
-        out = [b"".join(map(runs.__getitem__, s)) for s in split]
-        if len(runs) > HELD:
+        out = [list(map(runs.__getitem__, s)) for s in split]
+        if len(runs) > self.entries:
             runs.clear()
         return out
 
-    def encoded(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        """The ids of each text, in order; texts are taken in blocks, and very long ones in parts that end at a space."""
+    def made(self, texts: Iterable[str | None]) -> Iterator[list]:
+        """What was made of each text's runs, in order; texts are taken in blocks, and very long ones in parts that end at a space."""
         block: list[str] = []
         letters = 0
         for t in texts:
@@ -167,7 +98,7 @@ class TokenIds:
             if len(t) > BLOCK:
                 yield from self._block(block)
                 block, letters = [], 0
-                yield b"".join(self._block([part])[0] for part in parts(t))
+                yield [x for part in parts(t) for x in self._block([part])[0]]
                 continue
             block.append(t)
             letters += len(t)
@@ -176,6 +107,10 @@ class TokenIds:
                 block, letters = [], 0
         yield from self._block(block)
 
+    def encoded(self, texts: Iterable[str | None]) -> Iterator:
+        """Each text's whole: its ids as bytes, by default."""
+        return map(self.join, self.made(texts))
+
 
 def parts(text: str, size: int = BLOCK) -> Iterator[str]:
     """The text in parts that begin at a space, if there is one, and never inside a special string."""
@@ -187,7 +122,40 @@ def parts(text: str, size: int = BLOCK) -> Iterator[str]:
         at = end
 
 
-
 def loaded(path: str) -> TokenIds:
     """This worker's tables."""
     return held(("ids", path), lambda: TokenIds(path))
+
+
+def with_texts(path: str, entries: int = HELD // 2) -> TokenIds:
+    """The same that holds (number of ids, ids in decimals, decoded text) of each run."""
+
+    def make(raw: bytes) -> tuple[int, str, str]:
+        ids = np.frombuffer(raw, "<u4").tolist()
+        return len(ids), " ".join(map(str, ids)), ids_of.bpe.decode(ids)
+
+    def join(found: list[tuple[int, str, str]]) -> tuple[int, str, str]:
+        found = [x for x in found if x[0]]
+        return sum([x[0] for x in found]), " ".join([x[1] for x in found]), " ".join([x[2] for x in found])
+
+    ids_of = TokenIds(path, make, join, entries)
+    return ids_of
+
+
+def digests(path: str):
+    """For mapInArrow: doc_id, text to doc_id, n_tokens, ids_sha256, decoded_sha256."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = held(("digests", path), lambda: with_texts(path))
+        digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        for batch in batches:
+            rows = [(n, digest(a), digest(b)) for n, a, b in ids.encoded(t.as_py() for t in batch.column(1))]
+            n, a, b = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return run
+
+
+def op4(spark: SparkSession, sf_dir: str, tokenizer: str = "word_bpe_49k.json") -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.mapInArrow(digests(public_tokenizers.path(tokenizer)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

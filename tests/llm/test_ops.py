@@ -170,22 +170,47 @@ def test_ids_are_the_tokenizers():
 
 def test_tree_gives_the_leftmost_lowest():
     rng = random.Random(4)
+    merge = lambda i: rng.randint(0, 50) << 40 | i << 20 if rng.random() < 0.7 else bpe.NEVER
     for n in (1, 2, 31, 32, 33, 1000, 1025):
-        ranks = [rng.randint(0, 50) if rng.random() < 0.7 else bpe.INF for _ in range(n)]
-        tree = bpe.RankTree(list(ranks))
+        rows = [[merge(i) for i in range(n)] for _ in range(3)]
+        one, many = [bpe.RankTree(list(r)) for r in rows], bpe.RankTrees(np.array(rows))
         for _ in range(200):
-            i = rng.randrange(n)
-            ranks[i] = rng.choice([bpe.INF, rng.randint(0, 50)])
-            tree.put(i, ranks[i])
-            low = min(ranks)
-            assert tree.root() == (bpe.INF if low >= bpe.INF else low * n + ranks.index(low))
+            at = [(k, rng.randrange(n)) for k in (0, 1, 2, 1)]
+            new = [merge(i) for _, i in at[:3]]
+            new.append(new[1] if at[3] == at[1] else merge(at[3][1]))
+            for (k, i), v in zip(at, new):
+                rows[k][i] = v
+                one[k].put(i, v)
+            many.put(np.array([k for k, _ in at]), np.array([i for _, i in at]), np.array(new))
+            low = [min(r) for r in rows]
+            assert [t.root() for t in one] == low == many.roots(np.arange(3)).tolist()
+
+
+def test_every_piece_goes_through_a_tree(monkeypatch):
+    seen = []
+    one, many = bpe.RankTree.__init__, bpe.RankTrees.__init__
+    monkeypatch.setattr(bpe.RankTree, "__init__", lambda self, m: (seen.append(1), one(self, m))[1])
+    monkeypatch.setattr(bpe.RankTrees, "__init__", lambda self, m: (seen.append(len(m)), many(self, m))[1])
+    words = ["ab", "hello", "unbelievable", "x" * 300, "é", "worldwide" * 4]
+    ids = token_ids.TokenIds(PATH)
+    list(ids.encoded(["a", " ".join(words), " ".join(words)]))
+    assert sum(seen) == len(words)  # each piece of two bytes or more once; "a" has no pair
+
+
+def test_very_long_pieces():
+    rng = random.Random(21)
+    text = "".join(rng.choice("abcdefgh") for _ in range(200_000))
+    raw = next(token_ids.TokenIds(PATH).encoded([text]))
+    assert list(struct.unpack(f"<{len(raw) // 4}I", raw)) == TOKENIZER.encode(text, add_special_tokens=False).ids
 
 
 def test_digests(spark, folder):
-    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.op4(spark, folder(documents=documents(*AWKWARD))).collect()}
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in token_ids.op4(spark, folder(documents=documents(*AWKWARD))).collect()}
     for i, t in enumerate(AWKWARD):
         ids = TOKENIZER.encode(t or "", add_special_tokens=False).ids
         assert got[i] == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(TOKENIZER.decode(ids, skip_special_tokens=False).encode()).hexdigest())
+    assert got[10] == got[11]  # repeated rows
+    assert token_ids.op4(spark, folder(documents=([], DOCS))).count() == 0
 
 
 def check_packed(out, texts, capacity=2048):
