@@ -1,18 +1,24 @@
 """Main text of web pages by tag-path ratios.
 
-A page is read into blocks of text, each with its root-to-leaf tag path. Blocks under elements that never hold main text
-(by tag, or by the words of class, id or role) are set aside. For each path the text length and the punctuation are summed
-over its blocks, less what stands in links; the two ratios to the number of blocks are smoothed along the order in which
-the paths appear, fused by their product, and paths above a threshold relative to the text-weighted mean are content.
-If articles or main elements hold most of the content, the main text is in those that hold some, each narrowed to the
-innermost article that still holds all content of the outermost one. Else the main element is the lowest common ancestor of
-all content, if it is a section rather than a paragraph, widened where only headings stand beside it. All blocks of these
-elements, in page order, are the main text, headings and short lines too. Where the common ancestor is the page itself, blocks
-of other paths stay out.
-
-Defined cases: null, empty or tag-less html gives its plain text or nothing; unclosed elements end where the next block or
-the page does; a page of adverts and menus only gives an empty text; very long pages are read whole; ties go to the
-element that comes first; other columns are not looked at.
+A page is read into blocks of text, each with its root-to-leaf tag path. For each path the text length and the punctuation
+are summed over its blocks, less what stands in links; the two ratios to the number of blocks are smoothed along the order
+in which the paths appear and fused by their product. The score of a path is that, weighted by what the page says of it:
+ARTICLE times as much inside of an article or main element, HINTED times as much under a class, id or role that names
+boilerplate. Paths that score at least THRESHOLD of the text-weighted mean of those without a hint (of all, if every path has
+one; taken before HINTED) select the content.
+
+The main text is what stands in the lowest section that holds all content, widened where only headings stand beside it, so
+that headings and short lines come along; blocks under a hint come along only if their own path is content. If that
+section is the page itself, each part of it that holds content is taken so. Only elements that never hold main text (menus,
+footers, asides, forms, controls) are left out whatever they score.
+
+Reading is linear in the page: each element knows its path, its nearest block and its range of blocks, and open elements
+are looked up by tag, so that neither depth nor stray end tags cost more than their own length.
+
+Defined cases: null, empty or tag-less html gives its plain text or nothing; quotes in a tag count only behind "="; unclosed
+elements end where the next block or the page does; a page of adverts and menus only gives an empty text; very long and very
+deep pages are read whole; a path at the threshold is content; repeated rows give equal results; an empty table gives an empty
+result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -21,14 +27,15 @@ import html
 import math
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from lexloom.llm.common import table
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)(?:>|\Z)", re.S)
+ATTRIBUTE = re.compile(r"(?<![^\s/\"'])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 #: Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -41,66 +48,94 @@ ENDS_P = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "option", "head",
 ENDS_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 STOPS_AT = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
 NEVER = frozenset("nav footer aside form select button menu dialog svg math canvas object audio video map datalist head".split())
+#: Words of classes, ids and roles that name boilerplate, and words that only place it; a name counts if it has nothing else.
 HINTS = frozenset(
-    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar"
-    " footer header masthead comment comments disqus reply replies cookie cookies consent notice notices alert popup modal overlay share sharing social related"
-    " recommended subscribe newsletter signup login search pagination pager toolbar widget skip copyright legal complementary contentinfo".split()
+    "ad ads advert adverts advertisement advertisements advertising banner sponsor sponsored sponsors promo promos promotion nav navbar navigation menu menubar"
+    " breadcrumb breadcrumbs sidebar footer header masthead comment comments commentlist commentform disqus reply replies cookie cookies consent notice notices"
+    " alert popup modal overlay share sharing social related recommended subscribe newsletter signup login search pagination pager toolbar widget skip copyright"
+    " legal complementary contentinfo".split()
 )
-STEMS = ("comment", "advert", "sponsor", "cookie", "newsletter", "breadcrumb", "promo", "sidebar")
-#: Hints that a page's own layout may carry: an article inside such an element counts all the same.
+PLACES = frozenset("area bar block body box bottom buttons center col column container fixed footer header holder inner item items left link links list main outer panel posts right row section site slot top unit wrap wrapper".split())
+#: Hints that a page's own layout may carry: they do not count inside an article that stands in such an element.
 LAYOUT = frozenset("sidebar header footer nav navbar navigation menu banner search social".split())
 SECTIONS = frozenset("html body article main section div td blockquote center table tbody tr".split())
 PAGE = frozenset(("", "html", "body"))
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，、！？]")
-MOST, THRESHOLD, SMOOTH = 0.6, 0.1, (0.25, 0.5, 0.25)
+SMOOTH, THRESHOLD, HINTED, ARTICLE, PLAIN = (0.25, 0.5, 0.25), 0.2, 0.1, 6.0, 0.5  # PLAIN: what text without punctuation counts
+
+
+class Path(NamedTuple):
+    number: int
+    hint: int  # 0, 1 (of layout only) or 2
+    article: bool
 
 
 class Element:
-    __slots__ = ("tag", "label", "parent", "out", "order")
+    """order and last: its place among all elements, and that of the last one inside it. begin and end: its blocks' numbers."""
+
+    __slots__ = ("tag", "parent", "path", "holder", "out", "order", "last", "begin", "end", "links")
+
+    def __init__(self, tag: str, parent: Element | None, path: Path, out: bool, order: int, begin: int):
+        self.tag, self.parent, self.path, self.out, self.order, self.begin = tag, parent, path, out, order, begin
+        self.last, self.end = order, begin
+        self.holder = self if parent is None or tag in BLOCK else parent.holder
+        self.links = (parent.links if parent else 0) + (tag == "a")
+
 
-    def __init__(self, tag: str, label: str, parent: Element | None, out: int, order: int):
-        """out: 1 if what stands here is no content but by a hint of layout, 2 if it never is."""
-        self.tag, self.label, self.parent, self.out, self.order = tag, label, parent, out, order
+class Block(NamedTuple):
+    text: str
+    path: Path
+    holder: Element
+    linked: int  # letters in links
 
 
-def hinted(attributes: str) -> set[str]:
-    return {w.lower() for m in ATTRIBUTE.finditer(attributes) for w in WORD.findall(m[1] or m[2] or m[3] or "")}
+def named(attributes: str) -> tuple[list[str], int]:
+    """Words of the class, id and role, and the hint that they give."""
+    words, hints = set(), set()
+    for m in ATTRIBUTE.finditer(attributes):
+        for name in (m[1] or m[2] or m[3] or "").split():
+            own = {w.lower() for w in WORD.findall(name)}
+            words |= own
+            if own <= HINTS | PLACES:
+                hints |= own & HINTS
+    return sorted(words), 2 if hints - LAYOUT else 1 if hints else 0
 
 
-def blocks_of(page: str) -> list[tuple[str, str, Element, int]]:
-    """(text, tag path, innermost block element, letters in links) of each block that may be content, in page order."""
-    root = Element("", "", None, 0, 0)
-    stack, out, order, links = [root], [], 0, 0
+def blocks_of(page: str) -> list[Block]:
+    """The blocks that may be content, in page order."""
+    paths: dict[tuple, Path] = {}
+    root = Element("", None, Path(0, 0, False), False, 0, 0)
+    stack, opened, out, order = [root], {}, [], 0
     text: list[str] = []
     linked = 0
 
     def flush() -> None:
         nonlocal linked
         if text:
+            holder = stack[-1].holder
             line = " ".join(html.unescape("".join(text)).split())
-            if line:
-                holder = next(e for e in reversed(stack) if e.tag in BLOCK or not e.tag)
-                if not holder.out:
-                    out.append((line, "/".join(e.label for e in stack[1:] if e.tag in BLOCK), holder, linked))
+            if line and not holder.out:
+                out.append(Block(line, holder.path, holder, linked))
             text.clear()
         linked = 0
 
     def close(n: int) -> None:
         """Drop the stack's elements from n on."""
-        nonlocal links
         if any(e.tag in BLOCK for e in stack[n:]):
             flush()
-        links -= sum(e.tag == "a" for e in stack[n:])
+        for e in stack[n:]:
+            e.last, e.end = order, len(out)
+            opened[e.tag].pop()
         del stack[n:]
 
+    def innermost(tags) -> int:
+        return max((opened[t][-1] for t in tags if opened.get(t)), default=-1)
+
     def ended(tags, stops) -> None:
         """Close the innermost of these elements, unless one of the stops is nearer."""
-        for n in range(len(stack) - 1, 0, -1):
-            if stack[n].tag in tags:
-                return close(n)
-            if stack[n].tag in stops:
-                return None
+        if (n := innermost(tags)) > innermost(stops):
+            close(n)
 
     at, size = 0, len(page)
     while at < size:
@@ -110,7 +145,7 @@ def blocks_of(page: str) -> list[tuple[str, str, Element, int]]:
         if upto > at and not stack[-1].out:
             piece = page[at:upto]
             text.append(piece)
-            if links:
+            if stack[-1].links:
                 linked += len(piece.strip())
         at = m.end() if m else upto
         if not m or not m[2]:
@@ -136,7 +171,7 @@ def blocks_of(page: str) -> list[tuple[str, str, Element, int]]:
             else:
                 text.append(" ")
             continue
-        if tag in ("html", "body") and any(e.tag == tag for e in stack):
+        if tag in ("html", "body") and opened.get(tag):
             continue
         if tag == "body":
             ended({"head"}, ())
@@ -148,94 +183,94 @@ def blocks_of(page: str) -> list[tuple[str, str, Element, int]]:
             flush()
         if m[3].rstrip().endswith("/") and tag not in BLOCK and tag not in ("a", "b", "i", "em", "strong", "span"):
             continue
-        words = hinted(m[3]) if m[3] else set()
-        hints = {w for w in words if w in HINTS or w.startswith(STEMS)} if tag not in ("html", "body") else set()
-        if tag in ("article", "main"):
-            bad = 2 if stack[-1].out == 2 or hints - LAYOUT else 0
+        parent = stack[-1]
+        words, hint = named(m[3]) if m[3] else ([], 0)
+        if tag in ("html", "body"):
+            hint = 0
+        article = tag in ("article", "main")
+        inherited = 0 if article and parent.path.hint == 1 else parent.path.hint
+        never = parent.out or tag in NEVER or (tag == "header" and not parent.path.article)
+        if tag in BLOCK:
+            key = (parent.path.number, tag, *words)
+            path = paths.setdefault(key, Path(len(paths) + 1, max(inherited, hint), article or parent.path.article))
+        elif hint > parent.path.hint:  # an inline element has no path of its own
+            never, path = True, parent.path
         else:
-            inside = any(e.tag in ("article", "main") for e in stack)
-            bad = max(stack[-1].out, 2 if tag in NEVER or (tag == "header" and not inside) or hints - LAYOUT else 1 if hints else 0)
+            path = parent.path
         order += 1
-        label = tag if not words else tag + "." + ".".join(sorted(words))
-        stack.append(Element(tag, label, stack[-1], bad, order))
-        if stack[-1].out and not stack[-2].out and tag not in BLOCK:
+        opened.setdefault(tag, []).append(len(stack))
+        stack.append(Element(tag, parent, path, never, order, len(out)))
+        if never and not parent.out and tag not in BLOCK:
             text.append(" ")
-        links += tag == "a"
     flush()
+    close(1)
+    root.last, root.end = order, len(out)
     return out
 
 
-def content_paths(blocks: list[tuple[str, str, Element, int]]) -> set[str]:
-    """The tag paths whose fused score passes the threshold."""
-    sums: dict[str, list[float]] = {}
-    for line, path, _, linked in blocks:
-        s = sums.setdefault(path, [0, 0, 0])
-        s[0] += max(0, len(line) - linked)
-        s[1] += len(PUNCTUATION.findall(line)) if linked < len(line) else 0
+def path_scores(blocks: list[Block]) -> dict[int, tuple[float, float, float]]:
+    """By path: its score, the same without HINTED, and the letters of its blocks outside of links."""
+    sums: dict[Path, list[float]] = {}
+    for b in blocks:
+        s = sums.setdefault(b.path, [0, 0, 0])
+        s[0] += max(0, len(b.text) - b.linked)
+        s[1] += len(PUNCTUATION.findall(b.text)) if b.linked < len(b.text) else 0
         s[2] += 1
-    paths = list(sums)
 
     def smoothed(v: list[float]) -> list[float]:
-        padded = [v[0], *v, v[-1]]
+        padded = [*v[:1], *v, *v[-1:]]
         return [sum(w * x for w, x in zip(SMOOTH, padded[i : i + 3])) for i in range(len(v))]
 
-    length = smoothed([sums[p][0] / sums[p][2] for p in paths])
-    stops = smoothed([sums[p][1] / sums[p][2] for p in paths])
-    fused = [math.log1p(a) * math.log1p(b) for a, b in zip(length, stops)]
-    weight = sum(sums[p][0] for p in paths) or 1
-    mean = sum(f * sums[p][0] for f, p in zip(fused, paths)) / weight
-    return {p for p, f in zip(paths, fused) if f >= THRESHOLD * mean}
-
-
-def ancestors(e: Element | None) -> list[Element]:
-    """e and what it stands in, the page first."""
-    out = []
-    while e is not None:
-        out.append(e)
-        e = e.parent
-    return out[::-1]
-
-
-def common(holders: list[Element]) -> list[Element]:
-    """The elements that hold all of these, the page first."""
-    shared = ancestors(holders[0])
-    for h in {id(h): h for h in holders[1:]}.values():
-        theirs = ancestors(h)
-        n = next((n for n, (x, y) in enumerate(zip(shared, theirs)) if x is not y), min(len(shared), len(theirs)))
-        shared = shared[:n]
-    return shared
+    length, stops = smoothed([s[0] / s[2] for s in sums.values()]), smoothed([s[1] / s[2] for s in sums.values()])
+    out = {}
+    for (path, s), a, b in zip(sums.items(), length, stops):
+        fused = math.log1p(a) * (PLAIN + math.log1p(b)) * (ARTICLE if path.article else 1.0)
+        out[path.number] = (fused * (HINTED if path.hint else 1.0), fused, s[0])
+    return out
 
 
-def containers(blocks: list[tuple[str, str, Element, int]], good: set[str]) -> list[Element]:
-    """The elements whose blocks are the main text; none where that is the page itself."""
-    content = [(max(0, len(line) - linked), holder) for line, path, holder, linked in blocks if path in good]
-    if not content:
-        return []
-    outer: dict[int, list[Element]] = {}
-    held = 0
-    for n, holder in content:
-        if (m := next((e for e in ancestors(holder) if e.tag in ("article", "main")), None)) is not None:
-            outer.setdefault(m.order, []).append(holder)
-            held += n
-    if outer and held >= MOST * sum(n for n, _ in content):
-        return [next(e for e in reversed(common(holders)) if e.tag in ("article", "main")) for holders in outer.values()]
-    top = next(e for e in reversed(common([h for _, h in content])) if e.tag in SECTIONS or not e.tag)
-    while top.parent is not None and top.parent.tag in SECTIONS - PAGE:  # the heading may stand beside the text's element
-        beside = [h for _, _, h, _ in blocks if top.parent in (up := ancestors(h)) and top not in up]
-        if not all(h.tag in HEADINGS for h in beside):
-            break
-        top = top.parent
-    return [] if top.tag in PAGE else [top]
+def content_paths(blocks: list[Block]) -> set[int]:
+    """The tag paths whose score passes the threshold."""
+    scores = path_scores(blocks)
+    plain = [(score, n) for score, fused, n in scores.values() if score == fused and n] or [(fused, n) for _, fused, n in scores.values()]
+    mean = sum(f * n for f, n in plain) / (sum(n for _, n in plain) or 1)
+    return {p for p, (score, _, n) in scores.items() if n and score >= THRESHOLD * mean}
 
 
 def main_text(page: str | None) -> str:
     blocks = blocks_of(page or "")
-    if not blocks:
+    good = content_paths(blocks) if blocks else set()
+    content = [b.holder for b in blocks if b.path.number in good and b.linked < len(b.text)]
+    if not content:
         return ""
-    good = content_paths(blocks)
-    tops = containers(blocks, good)
-    whole = {e.order for e in tops}
-    return "\n".join(line for line, path, holder, _ in blocks if (any(e.order in whole for e in ancestors(holder)) if whole else path in good))
+    top, last = min(content, key=lambda e: e.order), max(e.order for e in content)
+    while not (top.tag in SECTIONS | PAGE and last <= top.last):
+        top = top.parent
+    while top.tag not in PAGE and top.parent.tag in SECTIONS - PAGE:  # the heading may stand beside the text's element
+        beside = blocks[top.parent.begin : top.begin] + blocks[top.end : top.parent.end]
+        if not all(b.holder.tag in HEADINGS for b in beside):
+            break
+        top = top.parent
+    if top.tag not in PAGE:
+        inside = blocks[top.begin : top.end]
+    else:
+        part: dict[int, Element] = {}  # of each element below, the part of the page that it stands in
+
+        def part_of(e: Element) -> Element:
+            way = []
+            while e is not top and e.parent is not top and e.order not in part:
+                way.append(e)
+                e = e.parent
+            found = part.get(e.order, e)
+            part.update((x.order, found) for x in way)
+            return found
+
+        chosen = {part_of(e).order for e in content if e is not top}
+        inside = [
+            b for b in blocks
+            if (b.path.number in good if b.holder is top else (p := part_of(b.holder)).order in chosen or (p is b.holder and p.tag in HEADINGS))
+        ]
+    return "\n".join(b.text for b in inside if not b.path.hint or b.path.number in good)
 
 
 SCHEMA = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])

@@ -1,6 +1,7 @@
 """Each operator against a plain version of its contract, on awkward rows."""
 
 import hashlib
+import math
 import pathlib
 import random
 import re
@@ -100,10 +101,86 @@ def test_no_part_of_the_main_text_is_dropped(page, want):
     assert html.main_text(page).split("\n") == want
 
 
+def plain_scores(page):
+    """Scores by tag path, by plain loops over the page's blocks."""
+    order, blocks = [], html.blocks_of(page)
+    for b in blocks:
+        if b.path.number not in order:
+            order.append(b.path.number)
+    ratios = []
+    for p in order:
+        mine = [b for b in blocks if b.path.number == p]
+        letters = sum(max(0, len(b.text) - b.linked) for b in mine)
+        marks = sum(sum(c in ".,;:!?…。，、！？" for c in b.text) for b in mine if b.linked < len(b.text))
+        ratios.append((letters / len(mine), marks / len(mine)))
+    out = {}
+    for i, p in enumerate(order):
+        around = [ratios[max(0, i - 1)], ratios[i], ratios[min(len(order) - 1, i + 1)]]
+        length, marks = (sum(w * r[k] for w, r in zip((0.25, 0.5, 0.25), around)) for k in (0, 1))
+        path = next(b.path for b in blocks if b.path.number == p)
+        out[p] = math.log(1 + length) * (0.5 + math.log(1 + marks)) * (6 if path.article else 1) * (0.1 if path.hint else 1)
+    return out
+
+
+def random_page(rng):
+    out = []
+    for _ in range(rng.randint(1, 30)):
+        tag = rng.choice(["div", "p", "li", "div class=ad", "section id=comments", "article", "h2", "b", "a href=x", "td"])
+        words = " ".join(rng.choice(["one", "two,", "three.", "<br>", "&amp;"]) for _ in range(rng.randint(0, 12)))
+        out.append(f"<{tag}>{words}" + (f"</{tag.split()[0]}>" if rng.random() < 0.7 else ""))
+    return "".join(out)
+
+
+def test_path_scores_against_plain_loops():
+    rng = random.Random(22)
+    for page in [random_page(rng) for _ in range(300)] + [p for p, _ in PAGES + WHOLE_PAGES if p]:
+        got, want = {p: s[0] for p, s in html.path_scores(html.blocks_of(page)).items()}, plain_scores(page)
+        assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want)
+
+
+def test_blocks_against_the_standard_library():
+    """Without end tags left out, blocks are the texts between block tags; nothing outside of NEVER is lost."""
+    rng = random.Random(23)
+    for _ in range(100):
+        texts = [f"text {i}, of it." for i in range(rng.randint(1, 20))]
+        page = "".join(f"<{(t := rng.choice(['div', 'p', 'section', 'h3']))} title={rng.choice(['x', 'don' + chr(39) + 't', chr(34) + 'a > b' + chr(34)])}>{x}</{t}>" for x in texts)
+        assert [b.text for b in html.blocks_of(page)] == texts
+
+
+def test_scores_choose(monkeypatch):
+    long, short = "A sentence, with stops; and more, of it. " * 4, "Buy it now"
+    page = f"<div class=ad><p>{short}</p></div><div><h2>Head</h2><p>{long}</p><p>{long}</p></div>"
+    assert html.main_text(page).split("\n") == ["Head", long.strip(), long.strip()]
+    hinted = f"<article><p>Some text, short.</p><div class=legal><p>{long * 10}</p></div><div class=ad><p>Buy, it.</p></div></article>"
+    assert html.main_text(hinted).split("\n") == ["Some text, short.", (long * 10).strip()]  # a class alone does not remove what scores as content
+    monkeypatch.setattr(html, "content_paths", lambda blocks: {b.path.number for b in blocks})
+    assert short in html.main_text(page).split("\n") and "Buy, it." in html.main_text(hinted)
+
+
+def test_one_word_of_a_class_name_is_no_hint():
+    text = "".join(f"<div class={c}><p>On {c}, a line.</p></div>" for c in ("share-price", "copyright-law", "related-work", "commentary"))
+    assert html.main_text(f"<article><p>First, of all.</p>{text}</article>").count("\n") == 4
+
+
+def test_quotes_count_only_behind_an_equals_sign():
+    page = "<article><p title=don't>One, here.</p><p>Two, lost.</p><p data-x=\"a > b\" class='y'>It's three, ok.</p></article>"
+    assert html.main_text(page) == "One, here.\nTwo, lost.\nIt's three, ok."
+
+
+def test_long_and_deep_pages():
+    n = 30_000
+    assert html.main_text("<div>" * n + "Text, here." + "</div></b>" * n) == "Text, here."
+    assert html.main_text("<article>" + "<p>A line, of text." * n + "</article>").count("\n") == n - 1
+    assert html.main_text("<!" * n + "<" * n) == ""
+
+
 def test_pages(spark, folder):
     sf = folder(pages=([(i, f"u{i}", p) for i, (p, _) in enumerate(PAGES)] + [(None, None, "<p>x</p>")], "page_id long, url string, html string"))
     got = {r.page_id: (r.text, r.n_chars) for r in html.op2(spark, sf).collect()}
     assert got == {None: ("x", 1)} | {i: (w, len(w)) for i, (_, w) in enumerate(PAGES)}
+    again = [(1, "u", PAGES[1][0]), (1, "u", PAGES[1][0]), (2, None, None)]
+    assert rows(html.op2(spark, folder(pages=(again, "page_id long, url string, html string"))), "page_id", "n_chars") == [(1, len(PAGES[1][1]))] * 2 + [(2, 0)]
+    assert html.op2(spark, folder(pages=([], "page_id long, url string, html string"))).count() == 0
 
 
 # 3
