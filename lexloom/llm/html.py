@@ -1,8 +1,8 @@
 """Main text of web pages by tag-path ratios.
 
 A page is read into blocks of text, each with its root-to-leaf tag path. For each path the text length and the punctuation
-are summed over its blocks, less what stands in links; the two ratios to the number of blocks are smoothed along the order
-in which the paths appear and fused by their product. The score of a path is that, weighted by what the page says of it:
+are summed over its blocks, less what stands in links; the logarithms of the two ratios to the number of blocks are smoothed along
+the order in which the paths appear and fused by their product. The score of a path is that, weighted by what the page says of it:
 ARTICLE times as much inside of an article or main element, HINTED times as much under a class, id or role that names
 boilerplate. Paths that score at least THRESHOLD of the text-weighted mean of those without a hint (of all, if every path has
 one; taken before HINTED) select the content.
@@ -221,10 +221,10 @@ def path_scores(blocks: list[Block]) -> dict[int, tuple[float, float, float]]:
         padded = [*v[:1], *v, *v[-1:]]
         return [sum(w * x for w, x in zip(SMOOTH, padded[i : i + 3])) for i in range(len(v))]
 
-    length, stops = smoothed([s[0] / s[2] for s in sums.values()]), smoothed([s[1] / s[2] for s in sums.values()])
+    length, stops = (smoothed([math.log1p(s[k] / s[2]) for s in sums.values()]) for k in (0, 1))
     out = {}
     for (path, s), a, b in zip(sums.items(), length, stops):
-        fused = math.log1p(a) * (PLAIN + math.log1p(b)) * (ARTICLE if path.article else 1.0)
+        fused = a * (PLAIN + b) * (ARTICLE if path.article else 1.0)
         out[path.number] = (fused * (HINTED if path.hint else 1.0), fused, s[0])
     return out
 

@@ -112,13 +112,13 @@ def plain_scores(page):
         mine = [b for b in blocks if b.path.number == p]
         letters = sum(max(0, len(b.text) - b.linked) for b in mine)
         marks = sum(sum(c in ".,;:!?…。，、！？" for c in b.text) for b in mine if b.linked < len(b.text))
-        ratios.append((letters / len(mine), marks / len(mine)))
+        ratios.append((math.log(1 + letters / len(mine)), math.log(1 + marks / len(mine))))
     out = {}
     for i, p in enumerate(order):
         around = [ratios[max(0, i - 1)], ratios[i], ratios[min(len(order) - 1, i + 1)]]
         length, marks = (sum(w * r[k] for w, r in zip((0.25, 0.5, 0.25), around)) for k in (0, 1))
         path = next(b.path for b in blocks if b.path.number == p)
-        out[p] = math.log(1 + length) * (0.5 + math.log(1 + marks)) * (6 if path.article else 1) * (0.1 if path.hint else 1)
+        out[p] = length * (0.5 + marks) * (6 if path.article else 1) * (0.1 if path.hint else 1)
     return out
 
 
@@ -151,8 +151,8 @@ def test_scores_choose(monkeypatch):
     long, short = "A sentence, with stops; and more, of it. " * 4, "Buy it now"
     page = f"<div class=ad><p>{short}</p></div><div><h2>Head</h2><p>{long}</p><p>{long}</p></div>"
     assert html.main_text(page).split("\n") == ["Head", long.strip(), long.strip()]
-    hinted = f"<article><p>Some text, short.</p><div class=legal><p>{long * 10}</p></div><div class=ad><p>Buy, it.</p></div></article>"
-    assert html.main_text(hinted).split("\n") == ["Some text, short.", (long * 10).strip()]  # a class alone does not remove what scores as content
+    hinted = f"<article><h2>Head</h2><p>Some text, short.</p><ul><li>One, item.</ul><div class=legal><p>{long * 10}</p></div><div class=ad><p>Buy, it.</p></div></article>"
+    assert html.main_text(hinted).split("\n") == ["Head", "Some text, short.", "One, item.", (long * 10).strip()]  # a class alone does not remove what scores as content
     monkeypatch.setattr(html, "content_paths", lambda blocks: {b.path.number for b in blocks})
     assert short in html.main_text(page).split("\n") and "Buy, it." in html.main_text(hinted)
 
