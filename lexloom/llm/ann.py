@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import dropped, table, written
+from lexloom.llm.common import cleared, dropped, mark, table, written
 
 TOP, SAMPLE, LEAF, LEAST, BRANCH = 10, 20_000, 64, 8, 32  # neighbours; vectors fitted; rows wanted in a leaf; sampled ones it holds at least; children
 CALIBRATION, RECALL = 200, 0.93
@@ -193,6 +193,7 @@ def search(spark: SparkSession, vectors: DataFrame, top: int = TOP, every: int =
     points = fit.column(0).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim) if fit.num_rows else np.zeros((0, dim))
     tree = Tree(points, max(LEAST, round(LEAF * len(points) / total)))
     shared = spark.sparkContext.broadcast(tree)
+    since = mark()
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = TaskContext.get().partitionId() * 1009
@@ -222,7 +223,7 @@ def search(spark: SparkSession, vectors: DataFrame, top: int = TOP, every: int =
                 n = len(asked)
                 yield pa.RecordBatch.from_arrays([pa.array(turns, pa.int32()), pa.array(at, pa.int32()), pa.array([q_id] * n, pa.int64()), pa.array([raw] * n, pa.binary()), pa.array(list(asked.values()), pa.list_(pa.int32()))], ["turn", "cell", "query_id", "q", "leaves"])
 
-    asked, asked_path = written(spark, queries.mapInArrow(probes, "turn int, cell int, query_id long, q binary, leaves array<int>"), "ann-probes")
+    asked, _ = written(spark, queries.mapInArrow(probes, "turn int, cell int, query_id long, q binary, leaves array<int>"), "ann-probes")
     asks: dict[int, dict[int, int]] = {}
     for turn, cell, n in asked.groupBy("turn", "cell").count().toArrow().to_pandas().itertuples(index=False):
         asks.setdefault(int(turn), {})[int(cell)] = int(n)
@@ -234,7 +235,7 @@ def search(spark: SparkSession, vectors: DataFrame, top: int = TOP, every: int =
         if path:
             dropped(spark, path)
         path = new
-    dropped(spark, asked_path)
+    cleared(spark, since, path or "")
     return found.select("query_id", "rank", "vec_id", "score")
 
 

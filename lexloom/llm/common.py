@@ -28,9 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, as in tests, one of our own for this session."""
+    """The folder in spark.checkpoint.dir. Where that is unset, as in tests, one of our own for this session, but only if driver
+    and executors are one process: on a cluster a local folder would be another one on each machine."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        master = spark.conf.get("spark.master", "local")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         own = os.path.join(tempfile.gettempdir(), f"lexloom-{os.getpid()}")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         where = "file://" + own
@@ -38,11 +42,15 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+_WRITTEN: list[str] = []
+
+
 def written(spark: SparkSession, df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write df as a table in the shared folder and read it again: later steps then depend on the files alone."""
     path = f"{shared_dir(spark)}/lexloom/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(schema).parquet(path), path
 
 
@@ -51,3 +59,28 @@ def dropped(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    if path in _WRITTEN:
+        _WRITTEN.remove(path)
+
+
+def mark() -> int:
+    """For cleared(): the tables written so far."""
+    return len(_WRITTEN)
+
+
+def cleared(spark: SparkSession, since: int, *kept: str) -> None:
+    """Delete the tables written since a mark, but for those that a result still reads."""
+    for path in [p for p in _WRITTEN[since:] if p not in kept]:
+        dropped(spark, path)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out

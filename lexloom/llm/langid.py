@@ -2,13 +2,14 @@
 
 A word's features are its affixes, its letter n-grams and its entry in a lexicon; transitions between the languages of
 neighbouring words are learned with them, on sentences some of which are spliced from two languages, as code-switched text
-is. Forward-backward gives each word's marginals over the whole text; a document's language is the one with the largest
-mean marginal, and that mean is its score.
+is. Forward-backward gives each word's marginals over the whole text, which label the words; a document's language is the one
+with the largest mean marginal, and that mean is its score.
 
-The model is fitted on a bounded sample: PER_LANG documents of each language, chosen by a hash of doc_id among the learning
-rows, and PIECE letters of each at a place that the hash chooses. Learning rows have a language and a crc32 of doc_id, as
-text, whose remainder by 4 is not 2. Prediction looks at nothing but the text, all of it; a run of
-more than 40 letters is read as consecutive words of at most 40.
+The model is fitted on a bounded sample of labelled passages. Every learning document is whole passages of PASSAGE letters,
+the last one shorter, and PER_LANG of all passages of each language are drawn by a hash of doc_id and place, of the LANGS
+languages that have the most. Learning rows have a language and a crc32 of doc_id, as text, whose remainder by 4 is not
+2. Prediction looks at nothing but the text, all of it; a run of more than 40 letters is read as consecutive words of at
+most 40.
 
 Forward-backward runs in blocks: the matrices of BLOCK words are multiplied for all blocks of a batch at once, then a scan
 over blocks gives each its border vectors, then all blocks are finished at once. That is exact, and a text of any length
@@ -32,9 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import held, table
+from lexloom.llm.common import fresh, held, table
 
-PER_LANG, PIECE, WINDOW = 400, 600, 24  # documents of a language, letters of each, words of a training sentence
+PER_LANG, PASSAGE, LANGS, WINDOW = 400, 600, 64, 24  # passages learned of a language, letters of each, languages, words of a training sentence
 BITS, ROUNDS, RATE, DECAY = 16, 30, 0.15, 1e-5  # hashed features, training rounds, step, weight decay
 LEXICON, SHARE = 3, 0.8  # times and share of one language that put a word into the lexicon
 BLOCK, LETTERS, HELD = 64, 1 << 20, 300_000  # words of a block; letters of a batch; words whose scores are held
@@ -181,8 +182,15 @@ class Tagger:
             out.append(r[r >= 0])
         return out
 
-    def marginals(self, rows: list[np.ndarray]) -> np.ndarray:
-        """Mean marginals of each text; zeros for one without words."""
+    def word_labels(self, text: str) -> list[tuple[str, str]]:
+        """(word, language) of each word that has a letter, as in code-switched text."""
+        words = [w for w in WORD.findall(text.lower()) if any(map(str.isalpha, w))]
+        each: list[np.ndarray] = []
+        self.marginals(self.rows([text]), each)
+        return [(w, self.model.langs[int(k)]) for w, k in zip(words, each[0] if each else ())]
+
+    def marginals(self, rows: list[np.ndarray], labels: list[np.ndarray] | None = None) -> np.ndarray:
+        """Mean marginals of each text; zeros for one without words. labels takes the best label of each word, by text with words."""
         k = len(self.model.langs)
         sizes = np.array([len(r) for r in rows])
         out = np.zeros((len(rows), k))
@@ -223,14 +231,18 @@ class Tagger:
             v = (a @ self.go) * score[t]
             a = np.where(there[t][:, None], v / v.sum(1, keepdims=True), a)
             ahead[t] = a
-        sums = np.zeros((n, k))
+        sums, best = np.zeros((n, k)), np.zeros((n, BLOCK), np.int64)
         b = after
         for t in range(BLOCK - 1, -1, -1):
             m = ahead[t] * b
+            if labels is not None:
+                best[:, t] = m.argmax(1)
             sums += np.where(there[t][:, None], m / m.sum(1, keepdims=True), 0)
             v = (score[t] * b) @ self.go.T
             b = np.where(there[t][:, None], v / v.sum(1, keepdims=True), b)
         out[full] = np.add.reduceat(sums, np.sort(first), axis=0) / sizes[full][:, None]
+        if labels is not None:
+            labels += [best.reshape(-1)[f * BLOCK : f * BLOCK + sizes[i]] for f, i in zip(np.sort(first), full)]
         return out
 
     def predicted(self, texts: list[str | None]) -> Iterator[tuple[str, float]]:
@@ -255,18 +267,20 @@ def remainder(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string")) % 4
 
 
-def sample(docs: DataFrame, per_lang: int = PER_LANG, piece: int = PIECE) -> list[tuple[str, str]]:
-    """(language, part of a text) of about per_lang learning documents of each language, never more than twice that."""
-    teach = docs.where("lang is not null and text is not null").where(remainder() != 2)
-    counts = {r[0]: r[1] for r in docs.where("lang is not null").where(remainder() != 2).groupBy("lang").count().collect()}
+def sample(docs: DataFrame, per_lang: int = PER_LANG, passage: int = PASSAGE, langs: int = LANGS) -> list[tuple[str, str]]:
+    """(language, passage) of about per_lang passages of each language, never more than twice that."""
+    passages = F.ceil(F.length("text") / passage).cast("int")
+    teach = docs.where("lang is not null and text is not null").where(remainder() != 2).select("doc_id", "lang", "text", passages.alias("n"))
+    counts = teach.groupBy("lang").agg(F.sum("n").alias("n")).where("n > 0").orderBy(F.col("n").desc(), "lang").limit(langs).collect()
     if not counts:
         return []
-    share = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(min(1.0, per_lang / n))) for lang, n in sorted(counts.items())])
-    drawn = F.pmod(F.xxhash64(F.lit("draw"), "doc_id"), F.lit(1_000_003)) / 1_000_003
-    place = 1 + F.pmod(F.xxhash64(F.lit("place"), "doc_id"), F.greatest(F.lit(1), F.length("text") - piece + 1))
-    part = F.substring(F.col("text"), place.cast("int"), F.lit(piece))
-    rows = teach.where(drawn < share).select("lang", part.alias("part"), drawn.alias("drawn"), "doc_id")
-    return [(r[0], r[1]) for r in rows.orderBy("drawn", "doc_id", "part").limit(2 * per_lang * len(counts)).select("lang", "part").toArrow().to_pandas().itertuples(index=False)]
+    share = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(min(1.0, per_lang / r["n"]))) for r in counts], F.lit(0.0))
+    drawn = lambda i: F.pmod(F.xxhash64(F.lit("draw"), F.col("doc_id"), i), F.lit(1_000_003)) / 1_000_003
+    places = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: drawn(i) < F.col("share"))
+    parts = F.transform(places, lambda i: F.struct(drawn(i).alias("drawn"), F.col("doc_id").alias("doc_id"), i.alias("i"), F.substring(F.col("text"), i * passage + 1, F.lit(passage)).alias("part")))
+    chosen = teach.where("n > 0").withColumn("share", share).where("share > 0").select("lang", F.explode(parts).alias("p")).select("lang", "p.*")
+    rows = chosen.orderBy("drawn", "doc_id", "i", "part").limit(2 * per_lang * len(counts))
+    return [(r[0], r[1]) for r in rows.select("lang", "part").toArrow().to_pandas().itertuples(index=False)]
 
 
 def predictions(spark: SparkSession, model: Model, text: str = "text"):
@@ -298,4 +312,6 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def language_stage(spark: SparkSession, docs: DataFrame, least: float = 0.4) -> DataFrame:
     """The documents whose language is known with a score of at least `least`."""
     model = fitted(sample(docs.select("doc_id", "text", "lang")))
-    return docs.withColumn("_p", predictions(spark, model)).where((F.col("_p.lang_pred") != "und") & (F.col("_p.score") >= least)).drop("_p")
+    (p,) = fresh(docs, "_p")
+    known = (F.col(p)["lang_pred"] != "und") & (F.col(p)["score"] >= least)
+    return docs.withColumn(p, predictions(spark, model)).where(known).select(*docs.columns)

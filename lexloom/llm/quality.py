@@ -1,10 +1,11 @@
 """Line-first quality rules.
 
-Each line of a text is judged by itself: its punctuation (symbols instead of prose, exclamation after every word, long
-runs without any stop), its shape as navigation (separators between single words, lists of menu words), boilerplate
-phrases, shouting in capitals, and being a repeat of an earlier line. Failing lines are taken out, and a document that
-loses more than half of its word characters with them is rejected. Documents that are too short, or mostly repeat their
-own three-word windows, are rejected before that.
+Each line of a text is judged by itself: its punctuation (symbols instead of prose, exclamation after every word, STOP_WITHIN
+words without any stop), its shape as navigation (separators between single words, mostly menu words), the share of
+boilerplate phrases, shouting in capitals, and being a repeat of an earlier line of REPEAT_FROM letters or more (a short
+line, as in verse or lists, may recur). Shares of words are judged from SHARES_FROM words and of letters from LETTERS_FROM
+on, as one word has no share. Failing lines are taken out, and a document that loses more than half of its word characters
+with them is rejected. Documents that are too short, or mostly repeat their own three-word windows, are rejected before that.
 
 Defined cases: null or empty text has no words and is rejected; lines end at \\n only; white space is the ASCII set; very
 long texts are read whole; ties cannot arise; other columns pass through untouched.
@@ -20,18 +21,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import held, table
+from lexloom.llm.common import fresh, held, table
 
 SPACES, SYMBOLS, STOPS = " \t\n\x0b\x0c\r", "#*$%&|<>", re.compile(r"[.,;:!?…。，！？]")
 SEPARATORS = frozenset("| » › > · • / – — :: >> ||".split())
-MENU = frozenset("home menu login logout register search sitemap contact about next previous back top share print help faq rss subscribe".split())
-BOILERPLATE = re.compile(
-    r"all rights reserved|privacy policy|terms (?:of (?:use|service)|and conditions)|cookie policy|(?:uses?|accept) (?:all )?cookies"
-    r"|enable javascript|click here|sign up for (?:our|the) newsletter|follow us on|back to top|powered by wordpress|lorem ipsum",
-    re.I,
+MENU = frozenset(
+    "home menu login logout register search sitemap contact about next previous back top share print help faq rss subscribe imprint account cart checkout wishlist archive"
+    " startseite kontakt anmelden abmelden suche hilfe impressum warenkorb inicio contacto buscar ayuda acceder accueil rechercher connexion aide panier".split()
 )
+#: Boilerplate phrases, each under a word that a line must hold before it is tried; lines are lower-cased and without marks.
+PHRASES = {
+    "rights": "all rights reserved", "privacy": "privacy (?:policy|notice|settings)", "terms": "terms (?:of (?:use|service|sale)|and conditions)",
+    "cookie": "cookie (?:policy|settings|preferences)|manage cookie", "cookies": "(?:uses?|using|accept|reject|about) (?:all |of )?cookies|cookies (?:akzeptieren|annehmen|aceptar)|(?:accepter|aceptar) (?:les |las )?cookies",
+    "javascript": "(?:enable|requires?|activate) javascript|javascript (?:is )?(?:disabled|required|aktivieren)", "click": "click (?:here|below|to)", "newsletter": "sign up for (?:our|the) newsletter|newsletter abonnieren",
+    "subscribe": "subscribe (?:now|to (?:our|the|this))", "unsubscribe": "unsubscribe", "follow": "follow us(?: on)?", "share": "share (?:this|on) (?:post|page|article|facebook|twitter)?", "top": "back to top",
+    "powered": "powered by \\w+", "lorem": "lorem ipsum", "read": "read more", "reading": "continue reading", "skip": "skip to (?:main )?(?:content|navigation)", "leave": "leave a (?:comment|reply)",
+    "log": "log in to (?:comment|continue|reply|view)", "related": "related (?:articles|posts|stories|products)", "sponsored": "sponsored (?:content|post|links)", "filed": "filed under", "trademarks": "all (?:other )?trademarks",
+    "page": "page \\d+ of \\d+", "download": "download (?:our|the) (?:free )?app", "browser": "your browser (?:does not|is not)|update your browser", "rechte": "alle rechte vorbehalten", "datenschutz": "datenschutz",
+    "datenschutzerklärung": "datenschutzerklärung", "weiterlesen": "weiterlesen", "seitenanfang": "zum seitenanfang", "droits": "tous droits réservés", "mentions": "mentions légales", "confidentialité": "politique de confidentialité",
+    "suite": "lire la suite", "derechos": "todos los derechos reservados", "aviso": "aviso legal", "privacidad": "política de privacidad", "leer": "leer más", "volver": "volver arriba",
+}
+BOILERPLATE = {word: re.compile(rf"\b(?:{phrase})\b") for word, phrase in PHRASES.items()}
+WORDS_ONLY = str.maketrans(dict.fromkeys(".,:;|!?()[]\"'…&-–—/", " "))
 MIN_WORDS, MAX_REPEATED, MAX_LOST = 50, 0.5, 0.5
-MAX_SYMBOLS, MAX_SHOUTED, MAX_EXCLAIMED, MAX_SEPARATED, LONG_LINE = 0.1, 0.7, 0.3, 0.2, 60
+MAX_SYMBOLS, MAX_SHOUTED, MAX_EXCLAIMED, MAX_SEPARATED, MAX_MENU, MAX_BOILERPLATE = 0.1, 0.7, 0.3, 0.2, 0.5, 0.1  # shares of a line
+SHARES_FROM, LETTERS_FROM, STOP_WITHIN, REPEAT_FROM = 3, 10, 60, 20  # words or letters from which a line is judged by shares of them; words without a stop; letters of a repeat
 
 
 def base_counts(text: str) -> tuple[int, int, int, int, int]:
@@ -56,25 +70,29 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
 
 
 def line_fault(line: str) -> str | None:
-    """The first rule that a line with words breaks."""
+    """The first rule that a line with words breaks. All rules but the last hold for lines of any length."""
     words = line.split()
     n, chars = len(words), sum(map(len, words))
     if sum(map(line.count, SYMBOLS)) > MAX_SYMBOLS * chars:
         return "symbols"
-    if n >= 3:
-        if sum(w in SEPARATORS for w in words) > MAX_SEPARATED * n:
+    if n >= SHARES_FROM:
+        if not SEPARATORS.isdisjoint(words) and sum(w in SEPARATORS for w in words) > MAX_SEPARATED * n:
             return "navigation"
         if line.count("!") > MAX_EXCLAIMED * n:
             return "exclamation"
         letters = sum(map(str.isalpha, line))
-        if letters >= 10 and sum(map(str.isupper, line)) > MAX_SHOUTED * letters:
+        if letters >= LETTERS_FROM and sum(map(str.isupper, line)) > MAX_SHOUTED * letters:
             return "capitals"
-        if n >= LONG_LINE and not STOPS.search(line):
-            return "unpunctuated"
-    if n <= 12 and 2 * sum(w.strip(".,:;|").lower() in MENU for w in words) > n:
+    lower = line.lower().translate(WORDS_ONLY).split()
+    there = set(lower)
+    if not there.isdisjoint(MENU) and sum(w in MENU for w in lower) > MAX_MENU * len(lower):
         return "navigation"
-    if n <= 30 and BOILERPLATE.search(line):
-        return "boilerplate"
+    if not there.isdisjoint(BOILERPLATE):
+        plain = " ".join(lower)
+        if sum(len(m[0]) for w in there & BOILERPLATE.keys() for m in BOILERPLATE[w].finditer(plain)) >= MAX_BOILERPLATE * len(plain):
+            return "boilerplate"
+    if n >= STOP_WITHIN and not STOPS.search(line):
+        return "unpunctuated"
     return None
 
 
@@ -85,7 +103,7 @@ def cleaned(text: str) -> tuple[str, int, int]:
     failed = lost = 0
     for line in text.split("\n"):
         if body := line.strip(SPACES):
-            if (len(body) >= 20 and line in seen) or line_fault(line):
+            if (len(body) >= REPEAT_FROM and line in seen) or line_fault(line):
                 failed += 1
                 lost += len(line) - sum(map(line.count, SPACES))
                 continue
@@ -134,9 +152,10 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_stage(docs: DataFrame) -> DataFrame:
     """The documents that are kept, with their failing lines taken out."""
-    judged_ = docs.withColumn("_v", verdicts(["kept", "n_failed_lines", "clean_text"])).where("_v.kept")
-    changed = F.col("_v.n_failed_lines") > 0
-    out = {"text": F.when(changed, F.col("_v.clean_text")).otherwise(F.col("text"))}
+    (v,) = fresh(docs, "_v")
+    judged_ = docs.withColumn(v, verdicts(["kept", "n_failed_lines", "clean_text"])).where(F.col(v)["kept"])
+    changed, clean = F.col(v)["n_failed_lines"] > 0, F.col(v)["clean_text"]
+    out = {"text": F.when(changed, clean).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(changed, F.length("_v.clean_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return judged_.withColumns(out).select(*docs.columns)
+        out["n_chars"] = F.when(changed, F.length(clean).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return judged_.select(*(out.get(c, F.col(c)).alias(c) for c in docs.columns))

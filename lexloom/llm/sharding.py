@@ -3,9 +3,10 @@
 A document's shard is a function of its doc_id and the shard count alone, so no ring table is kept, and going from n to
 n + 1 shards moves only the 1/(n + 1) of the keys that the new shard takes.
 
-Slots (a gapless numbering inside each shard) are made in two levels, so that no task ever holds a whole shard: rows are
-dealt to shard x bucket cells, a running total of the cells' counts gives each cell its first slot, and a row number inside
-the cell gives the rest. Text never leaves the scan; only (doc_id, size, crc) are shuffled.
+Slots (a gapless numbering inside each shard) need no order, so that no row is moved to get one: each task of the scan counts
+its own rows of each shard, and the rows are written with these counts; a running total of the tasks' counts then gives
+each task its first slot in each shard. A hot or null doc_id is numbered by the tasks that read it. Text never leaves the
+scan, which is made once.
 
 Defined cases: a null text has size 1 and crc 0; null doc_ids share one key and so one shard; repeated rows all get slots
 of their own; an empty table gives an empty result; columns other than doc_id and text are not looked at.
@@ -13,12 +14,15 @@ of their own; an empty table gives an empty result; columns other than doc_id an
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import table
+from lexloom.llm.common import fresh, table, written
 
 MULTIPLIER, ADDEND = np.uint64(2862933555777941757), np.uint64(1)  # fixed values of the published generator
 
@@ -36,30 +40,41 @@ def jump_hash(keys: np.ndarray, n: int) -> np.ndarray:
     return last.astype(np.int32)
 
 
-def with_shards(df: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
-    """df with shard (of n) and grown_shard (of n + 1)."""
-
-    @F.pandas_udf("shard int, grown_shard int")
-    def both(k: pd.Series) -> pd.DataFrame:
-        keys = k.to_numpy(np.int64).view(np.uint64)
-        return pd.DataFrame({"shard": jump_hash(keys, n), "grown_shard": jump_hash(keys, n + 1)})
-
-    return df.withColumn("_jump", both(F.xxhash64(key))).select("*", "_jump.shard", "_jump.grown_shard").drop("_jump")
-
-
-def with_slots(df: DataFrame, order: list[str], buckets: int) -> DataFrame:
-    """df, which has a shard, with slot: 0, 1, ... without gaps inside each shard."""
-    cells = df.withColumn("_cell", F.pmod(F.hash(order[0]), F.lit(buckets)))
-    first = cells.groupBy("shard", "_cell").count().withColumn(
-        "_first", F.sum("count").over(Window.partitionBy("shard").orderBy("_cell")) - F.col("count")
-    )
-    at = F.row_number().over(Window.partitionBy("shard", "_cell").orderBy(*order)) - 1
-    return cells.withColumn("_at", at).join(first.drop("count"), ["shard", "_cell"]).withColumn("slot", F.col("_first") + F.col("_at")).drop("_cell", "_at", "_first")
+def numbered(df: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
+    """df with a struct column `place`: shard (of n), grown_shard (of n + 1), the task, and the row's place among that task's rows
+    of its shard. To be written at once, as a task that is run again may meet its rows in another order."""
+
+    @F.arrow_udf("shard int, grown_shard int, task int, at long")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        task, before = TaskContext.get().partitionId(), np.zeros(n, np.int64)
+        for b in batches:
+            keys = b.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            shard = jump_hash(keys, n)
+            order = np.argsort(shard, kind="stable")
+            count = np.bincount(shard, minlength=n)
+            at = np.empty(len(keys), np.int64)
+            at[order] = np.arange(len(keys)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(before, count)
+            before += count
+            yield pa.StructArray.from_arrays([pa.array(shard), pa.array(jump_hash(keys, n + 1)), pa.array(np.full(len(keys), task, np.int32)), pa.array(at)], ["shard", "grown_shard", "task", "at"])
+
+    (place,) = fresh(df, "place")
+    return df.withColumn(place, run.asNondeterministic()(F.xxhash64(key)))
+
+
+def sharded(spark: SparkSession, df: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
+    """df's columns with shard, grown_shard and slot, as columns of these names or, where df has one itself, with "_" behind it."""
+    (place,) = fresh(df, "place")
+    rows, _ = written(spark, numbered(df, n, key), "numbered")
+    counts = rows.groupBy(F.col(place)["shard"].alias("s"), F.col(place)["task"].alias("t")).agg(F.count("*").alias("n"))
+    firsts = counts.select("s", "t", (F.sum("n").over(Window.partitionBy("s").orderBy("t")) - F.col("n")).alias("first"))  # a row a task and shard
+    s, t, first = fresh(rows, "_s", "_t", "_first")
+    firsts = firsts.toDF(s, t, first)
+    out = rows.join(firsts, (rows[place]["shard"] == F.col(s)) & (rows[place]["task"] == F.col(t)))
+    shard, grown, slot = fresh(df, "shard", "grown_shard", "slot")
+    return out.select(*df.columns, rows[place]["shard"].alias(shard), rows[place]["grown_shard"].alias(grown), (F.col(first) + rows[place]["at"]).alias(slot))
 
 
 def op9(spark: SparkSession, sf_dir: str, shards: int = 16) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     docs = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    out = with_slots(with_shards(docs, shards), ["doc_id", "text_crc32", "size"], buckets)
-    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+    return sharded(spark, docs, shards).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import held, table, written
+from lexloom.llm.common import cleared, fresh, held, mark, table, written
 from lexloom.llm.components import components
 
 SHINGLE, SEED, MOST = 4, 42, 4
@@ -173,37 +173,40 @@ def grouped(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE) -> Dat
 def with_groups(spark: SparkSession, prints: DataFrame) -> DataFrame:
     """prints (doc_id, fp) to doc_id, fp, component_id, names_it: whether fp is the one of its group that holds the naming
     document, the smallest such fp where that doc_id comes with several."""
+    since = mark()
     nodes, _ = written(spark, prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
     links, _ = written(spark, linked(nodes), "pairs")
     roots = components(spark, links)
-    mine = nodes.join(roots, nodes.fp == roots.node).select("fp", "root", "low")
+    # both sides of each further join are tables, so that the join deals them anew and can split a hot root or fingerprint
+    mine, _ = written(spark, nodes.join(roots, nodes.fp == roots.node).select("fp", "root", "low"), "rooted")
     first = F.min(F.struct(F.col("low").isNull().alias("no_id"), "low", "fp"))
-    named = mine.join(mine.groupBy("root").agg(first.alias("first")), "root").select(F.col("fp").alias("node"), F.col("first.low").alias("component_id"), (F.col("fp") == F.col("first.fp")).alias("names_it"))
+    firsts, _ = written(spark, mine.groupBy("root").agg(first.alias("first")), "firsts")
+    named = mine.join(firsts, "root").select(F.col("fp").alias("node"), F.col("first.low").alias("component_id"), (F.col("fp") == F.col("first.fp")).alias("names_it"))
     names = nodes.join(named, nodes.fp == named.node, "left").select(nodes.fp.alias("node"), F.coalesce("component_id", "low").alias("component_id"), F.coalesce("names_it", F.lit(True)).alias("names_it"))
-    names, _ = written(spark, names, "names")  # both sides of the last join are then dealt anew, and a hot fingerprint can be split
+    names, path = written(spark, names, "names")
+    cleared(spark, since, path)
     return prints.join(names, prints.fp == names.node).select("doc_id", "fp", "component_id", "names_it")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """One document of each group, the one that names it; what other columns docs has stays as it is.
+    """One document of each group, the one that names it; what other columns docs has stays as it is, whatever their names.
 
     Rows go by doc_id and fingerprint together, so that a null or repeated doc_id in one group takes no row out of another. Of
     rows that repeat a doc_id in one group, one stays. A group in which every doc_id is null keeps one row of each text.
     """
-    marked, _ = written(spark, docs.withColumn("_fp", fingerprints()), "marked")
-    ids = with_groups(spark, marked.select("doc_id", F.col("_fp").alias("fp")))
+    of, id_, print_, key, row = fresh(docs, "_fp", "_id", "_of", "_text", "_row")
+    marked, _ = written(spark, docs.withColumn(of, fingerprints()), "marked")
+    ids = with_groups(spark, marked.select("doc_id", F.col(of).alias("fp")))
     stays = F.expr("component_id is null or (names_it and doc_id <=> component_id)")
-
-    def these(rows: DataFrame):
-        return F.col("doc_id").eqNullSafe(rows["_id"]) & (F.col("_fp") == rows["_of"])
-
-    gone = ids.where(~stays).select(F.col("doc_id").alias("_id"), F.col("fp").alias("_of")).distinct()
+    these = lambda rows: F.col("doc_id").eqNullSafe(rows[id_]) & (F.col(of) == rows[print_])
+    pairs = [F.col("doc_id").alias(id_), F.col("fp").alias(print_)]
+    gone = ids.where(~stays).select(*pairs).distinct()
     kept = marked.join(gone, these(gone), "left_anti")
-    twice = ids.where(stays).groupBy(F.col("doc_id").alias("_id"), F.col("fp").alias("_of")).count().where("count > 1").select("_id", "_of")
+    twice = ids.where(stays).groupBy(*pairs).agg(F.count("*").alias(key)).where(F.col(key) > 1).select(id_, print_)
     once = kept.join(twice, these(twice), "left_anti").select(*docs.columns)
-    again = kept.join(twice, these(twice), "left_semi").groupBy("doc_id", "_fp", F.when(F.col("doc_id").isNull(), F.col("text")).alias("_text"))
-    row = F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit("")))
-    return once.unionByName(again.agg(row.alias("_row")).select("_row.*"))
+    again = kept.join(twice, these(twice), "left_semi").groupBy("doc_id", of, F.when(F.col("doc_id").isNull(), F.col("text")).alias(key))
+    one = again.agg(F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias(row))
+    return once.unionByName(one.select(*(F.col(row)[c].alias(c) for c in docs.columns)))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
