@@ -15,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lexloom.llm import langid, packing, quality, simhash
-from lexloom.llm.common import written
+from lexloom.llm.common import cleared, mark, written
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -44,6 +44,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    since = mark()
     for _, stage in STAGES[:-1]:
-        docs, _ = written(spark, stage(spark, docs, sf_dir), "stage")
+        docs, path = written(spark, stage(spark, docs, sf_dir), "stage")
+        cleared(spark, since, path)  # what the stage itself wrote, and what it read
     return STAGES[-1][1](spark, docs, sf_dir)
