@@ -1,23 +1,48 @@
-"""The two scans that regular expressions cannot do, as Arrow functions: nested comments and balanced parentheses.
+"""Lexing of source files in one pass over Arrow batches: comments, regions, function signatures and their arguments.
 
-Between its interesting places a scan jumps with a compiled expression, so its Python work is one step a token and not one
-a letter. Null text has no comments.
+Nested comments and balanced parentheses are beyond regular expressions, and offsets and line numbers cost a column function
+a copy of the text for each match. So each text crosses to Python once and is read from left to right; comments, lines and
+borders are looked up by bisection, and a file costs as many steps as it has tokens, however many functions it holds.
+Offsets are code points. Null text has neither comments nor regions.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from functools import cached_property
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_type
 
 STRING = r"\"(?:\\.|[^\"\\])*(?:\"|\\?\Z)|'(?:\\.|[^'\\])*(?:'|\\?\Z)"
 TOKEN = re.compile(rf"(?P<string>{STRING})|(?P<nested><!---)|(?P<comment>/\*.*?(?:\*/|\Z)|//[^\n]*)", re.S)
 NESTING = re.compile(r"<!---|-->")
 PAREN = re.compile(r"[()]|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)", re.S)
-SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32())])
+#: The blanks that a region or an argument may consist of, and the dialect's own white space and word letters.
+BLANK = " \t\n\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+WS, WORD = r"[\t\n\f\r ]", r"[0-9A-Za-z_]"
+#: What the dialect takes as access words, script openings, signatures and attributes.
+ACCESS = ("public", "private", "remote", "package")
+OPENING = re.compile(r"component|interface|property[ \t]")
+SCRIPT_BLOCK = re.compile(r"<cfscript>(.*?)(?:</cfscript>|\Z)", re.S | re.I | re.A)
+SCRIPT_SIGNATURE = re.compile(rf"function{WS}+({WORD}+){WS}*\(", re.I | re.A)
+TAG_SIGNATURE = re.compile(rf"<cffunction{WS}(?:[^>]*[^0-9A-Za-z_>])?(?<!{WORD})name{WS}*={WS}*[\"']([^\"']+)[\"']", re.I | re.A)
+FUNCTION_BORDER = re.compile(r"</?cffunction", re.I | re.A)
+ARGUMENT_TAG = re.compile(rf"<cfargument{WS}[^>]*>", re.I | re.A)
+SCRIPT_ARGUMENT = re.compile(rf"(?:(required){WS}+)?(?:({WORD}+){WS}+)?({WORD}+)", re.I | re.A)
+LETTER, SPACE = re.compile(WORD), re.compile(WS)
+
+
+def attribute(name: str, value: str = r"[^\"']+") -> re.Pattern:
+    return re.compile(rf"(?<!{WORD}){name}{WS}*={WS}*[\"']({value})[\"']", re.I | re.A)
+
+
+NAME, TYPE, REQUIRED = attribute("name"), attribute("type"), attribute("required", "true|yes")
 
 
 def spans_of(text: str) -> list[tuple[int, int]]:
@@ -38,29 +63,179 @@ def spans_of(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def enclosed(text: str, opening: int) -> str:
+def enclosed(text: str, opening: int, end: int | None = None) -> str:
     """What the parenthesis at `opening` encloses, quoted strings skipped; to the end if it is never closed."""
+    end = len(text) if end is None else end
     depth, at = 1, opening + 1
-    while m := PAREN.search(text, at):
+    while m := PAREN.search(text, at, end):
         at = m.end()
         depth += {"(": 1, ")": -1}.get(m[0], 0)
         if not depth:
             return text[opening + 1 : m.start()]
-    return text[opening + 1 :]
+    return text[opening + 1 : end]
+
+
+class Region(NamedTuple):
+    kind: str
+    start: int
+    end: int
+
+
+class Argument(NamedTuple):
+    name: str
+    type: str
+    required: bool
+
+
+class Definition(NamedTuple):
+    name: str
+    line: int
+    arguments: list[Argument]
+
+
+class Source:
+    """One file's text with what is looked up in it."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.spans = spans_of(text)
+        self.ends = [e for _, e in self.spans]
+
+    @cached_property
+    def line_ends(self) -> list[int]:
+        return [m.start() for m in re.finditer("\n", self.text)]
+
+    def line_at(self, at: int) -> int:
+        return bisect_left(self.line_ends, at)
+
+    def in_comment(self, at: int) -> bool:
+        i = bisect_right(self.ends, at)
+        return i < len(self.spans) and self.spans[i][0] <= at
+
+    def is_script(self) -> bool:
+        """Whether the first thing that is neither blank nor comment opens a script component."""
+        at = 0
+        for start, end in self.spans:
+            if self.text[at:start].strip(" \t\r\n"):
+                break
+            at = end
+        rest = re.compile(r"[ \t\r\n]*").match(self.text, at).end()
+        return OPENING.match(self.text, rest) is not None
 
+    def regions(self) -> list[Region]:
+        """In file order, blank ones left out."""
+        if self.is_script():
+            return [Region("script", 0, len(self.text))]
+        out, at = [], 0
+        for m in SCRIPT_BLOCK.finditer(self.text):
+            out += [Region("tag", at, m.start()), Region("script", m.start(1), m.end(1))]
+            at = m.end()
+        out.append(Region("tag", at, len(self.text)))
+        return [r for r in out if self.text[r.start : r.end].strip(BLANK)]
 
-@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))
-def comment_spans(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for texts in batches:
-        yield pa.array([[{"start": a, "end": b} for a, b in spans_of(t)] if (t := x.as_py()) else [] for x in texts], pa.list_(SPAN))
+    def script_start(self, keyword: int, floor: int) -> int:
+        """Where a signature begins whose keyword is here: with an access word and a return type, if these stand before it."""
+        text = self.text
 
+        def back(at: int, letter: re.Pattern) -> int:
+            while at > floor and letter.match(text, at - 1):
+                at -= 1
+            return at
 
-@F.arrow_udf(T.ArrayType(T.StringType()))
-def enclosed_texts(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    """For each text, what each of the given opening parentheses encloses."""
-    for texts, openings in batches:
+        word_end = back(keyword, SPACE)
+        word = back(word_end, LETTER) if word_end < keyword else word_end
+        if word == word_end:
+            return keyword
+        before = back(word, SPACE)
+        if before < word:
+            tail = text[max(floor, before - 7) : before].lower()
+            for a in ACCESS:
+                if tail.endswith(a):
+                    return before - len(a)
+        return word
+
+    def script_arguments(self, opening: int, end: int) -> list[Argument]:
+        """Of a list in parentheses. Every comma separates, also in a default."""
+        body, out = enclosed(self.text, opening, end), []
+        for part in body.split(","):
+            part = part.strip(BLANK)
+            if part and not self.in_comment(opening + 1 + body.find(part)) and (m := SCRIPT_ARGUMENT.search(part)):
+                out.append(Argument(m[3], m[2] or "", m[1] is not None))
+        return out
+
+    def tag_arguments(self, start: int, end: int) -> list[Argument]:
         out = []
-        for t, places in zip(texts, openings):
-            text = t.as_py() or ""
-            out.append([enclosed(text, p) for p in places.as_py() or []])
-        yield pa.array(out, pa.list_(pa.string()))
+        for m in ARGUMENT_TAG.finditer(self.text, start, end):
+            if not self.in_comment(m.start()) and (name := NAME.search(m[0])):
+                kind = TYPE.search(m[0])
+                out.append(Argument(name[1], kind[1] if kind else "", REQUIRED.search(m[0]) is not None))
+        return out
+
+    def definitions(self) -> Iterator[Definition]:
+        """In file order, those that start in a comment left out."""
+        for kind, start, end in self.regions():
+            if kind == "script":
+                floor = start
+                for m in SCRIPT_SIGNATURE.finditer(self.text, start, end):
+                    at = self.script_start(m.start(), floor)
+                    floor = m.end()
+                    if not self.in_comment(at):
+                        yield Definition(m[1], self.line_at(at), self.script_arguments(m.end() - 1, end))
+                continue
+            borders = [(m.start(), m[0][1] == "/") for m in FUNCTION_BORDER.finditer(self.text, start, end)]
+            for m in TAG_SIGNATURE.finditer(self.text, start, end):
+                if not self.in_comment(m.start()):
+                    i = bisect_left(borders, (m.end(), False))
+                    while i < len(borders) and borders[i] == (m.end(), False):  # a function tag at once behind it is part of the body
+                        i += 1
+                    yield Definition(m[1], self.line_at(m.start()), self.tag_arguments(m.end(), borders[i][0] if i < len(borders) else end))
+
+
+SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32())])
+REGION = pa.struct([("kind", pa.string()), ("start_line", pa.int32()), ("start_off", pa.int32()), ("text", pa.string())])
+ARGUMENT = pa.struct([("name", pa.string()), ("type", pa.string()), ("required", pa.bool_())])
+DEFINITION = pa.struct([("name", pa.string()), ("line", pa.int32()), ("arguments", pa.list_(ARGUMENT))])
+
+
+def list_of(kind: pa.DataType) -> T.ArrayType:
+    return T.ArrayType(from_arrow_type(kind))
+
+
+@F.arrow_udf(list_of(SPAN))
+def comment_spans(texts: pa.Array) -> pa.Array:
+    """The comment spans of each text."""
+    return listed([spans_of(t.as_py() or "") for t in texts], SPAN)
+
+
+@F.arrow_udf(list_of(REGION))
+def region_list(texts: pa.Array) -> pa.Array:
+    """The regions of each text."""
+    rows = []
+    for t in texts:
+        s = Source(t.as_py() or "")
+        rows.append([(r.kind, s.line_at(r.start), r.start, s.text[r.start : r.end]) for r in s.regions()])
+    return listed(rows, REGION)
+
+
+@F.arrow_udf(list_of(DEFINITION))
+def definition_list(texts: pa.Array) -> pa.Array:
+    """The function definitions of each text."""
+    rows = [list(Source(t.as_py() or "").definitions()) for t in texts]
+    flat = [d for ds in rows for d in ds]
+    fields = [pa.array([d.name for d in flat], pa.string()), pa.array([d.line for d in flat], pa.int32()), listed([d.arguments for d in flat], ARGUMENT)]
+    return pa.ListArray.from_arrays(offsets(rows), pa.StructArray.from_arrays(fields, fields=list(DEFINITION)))
+
+
+def offsets(rows: list[list]) -> pa.Array:
+    at, out = 0, [0]
+    for r in rows:
+        at += len(r)
+        out.append(at)
+    return pa.array(out, pa.int32())
+
+
+def listed(rows: list[list[tuple]], kind: pa.StructType) -> pa.Array:
+    """Rows of tuples as an array of lists of structs."""
+    flat = [x for r in rows for x in r]
+    columns = [pa.array([x[k] for x in flat], f.type) for k, f in enumerate(kind)]
+    return pa.ListArray.from_arrays(offsets(rows), pa.StructArray.from_arrays(columns, fields=list(kind)))

@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-WS = r"[\t\n\f\r ]"  # Java's \s also takes \x0B, so it is spelled out
-BLANKS = " \t\r\n"
-
 Text = Column | str
 
 
@@ -32,29 +29,6 @@ def tail(text: Text, start: Column) -> Column:
     return F.substring(text, start + 1, F.length(text))
 
 
-def hits(text: Text, pattern: str) -> Column:
-    """array<struct<start int, hit string>> of the matches, which are never empty.
-
-    The start of a match is the length of all gaps up to it and of all matches before it, so no offsets are needed from
-    the regular-expression engine.
-    """
-    text = col(text)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)).alias("gap"), found.alias("hit"))
-    none = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,hit:string>>)").alias("out"))
-
-    def step(acc: Column, p: Column) -> Column:
-        start = acc["at"] + F.length(p["gap"])
-        return F.struct((start + F.length(p["hit"])).alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), p["hit"].alias("hit")))).alias("out"))
-
-    return F.aggregate(pieces, none, step, lambda a: a["out"])
-
-
-def covered(position: Column, spans: Text) -> Column:
-    """Whether a half-open span holds the position."""
-    return F.exists(col(spans), lambda s: (s["start"] <= position) & (position < s["end"]))
-
-
 def text_before(text: Text, line: Text, character: Text) -> Column:
     """The text up to a cursor. A line beyond the last gives the whole text; a character beyond the line is cut to it."""
     text, line, character = col(text), col(line), col(character)

@@ -1,113 +1,22 @@
-"""From source files to function definitions with their arguments.
+"""From source files to regions and to function definitions with their arguments.
 
-files (uri, text) -> comment spans -> regions -> signature matches -> definitions. One row a file until the last explode,
-no shuffle; only the lexer runs in Python.
+files (uri, text) -> one Arrow pass of lexing -> a row for each region or definition. No shuffle; texts do not come back.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.functions.lexing import comment_spans, enclosed_texts
-from lexloom.functions.text import WS, covered, head, hits, newlines, tail
-
-WORD = "[0-9A-Za-z_]"
-#: Signatures, as the dialect defines them; \b is spelled out for ASCII.
-SCRIPT = rf"(?i)(?:(?:public|private|remote|package){WS}+)?(?:{WORD}+{WS}+)?function{WS}+({WORD}+){WS}*\("
-TAG = rf"(?i)<cffunction{WS}(?:[^>]*[^0-9A-Za-z_>])?(?<!{WORD})name{WS}*={WS}*[\"']([^\"']+)[\"']"
-ARGUMENT_TAG = rf"(?i)<cfargument{WS}[^>]*>"
-SCRIPT_ARGUMENT = rf"(?i)(?:(required){WS}+)?(?:({WORD}+){WS}+)?({WORD}+)"
-BLOCK = r"(?is)<cfscript>.*?(?:</cfscript>|\z)"
-NO_ARGUMENTS = "cast(array() as array<struct<name:string,type:string,required:boolean>>)"
-
-
-def attribute(name: str, value: str = r"[^\"']+") -> str:
-    return rf"(?i)(?<!{WORD}){name}{WS}*={WS}*[\"']({value})[\"']"
-
-
-def with_comments(files: DataFrame) -> DataFrame:
-    return files.withColumn("spans", comment_spans("text"))
-
-
-def is_script(text: Column, spans: Column) -> Column:
-    """Whether the first thing that is neither blank nor comment opens a script component."""
-    start = F.struct(F.lit(0).alias("at"), F.lit(True).alias("on"))
-
-    def step(acc: Column, s: Column) -> Column:
-        on = acc["on"] & F.substring(text, acc["at"] + 1, s["start"] - acc["at"]).rlike(r"^[ \t\r\n]*\z")
-        return F.struct(F.when(on, s["end"]).otherwise(acc["at"]).alias("at"), on.alias("on"))
-
-    rest = F.ltrim(tail(text, F.aggregate(spans, start, step, lambda a: a["at"])), F.lit(" \t\r\n"))
-    return rest.rlike(r"^(?:component|interface|property[ \t])")
-
-
-def region_array(text: Column, spans: Column) -> Column:
-    """array<struct<kind, start_line, start_off, text>> in file order, blank ones left out."""
-
-    def region(kind: str, off: Column, body: Column) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), newlines(head(text, off)).alias("start_line"), off.cast("int").alias("start_off"), body.alias("text"))
-
-    blocks = hits(text, BLOCK)
-    numbered = F.transform(blocks, lambda b, i: F.struct(b["start"].alias("start"), b["hit"].alias("hit"), F.when(i == 0, 0).otherwise(F.element_at(blocks, i)["start"] + F.length(F.element_at(blocks, i)["hit"])).alias("gap")))
-
-    def both(b: Column) -> Column:
-        inner = F.regexp_replace(F.substring(b["hit"], F.lit(11), F.length(b["hit"])), r"(?i)</cfscript>\z", "")
-        return F.array(region("tag", b["gap"], F.substring(text, b["gap"] + 1, b["start"] - b["gap"])), region("script", b["start"] + 10, inner))
-
-    last = F.when(F.size(blocks) > 0, F.element_at(blocks, -1)["start"] + F.length(F.element_at(blocks, -1)["hit"])).otherwise(0)
-    split = F.concat(F.flatten(F.transform(numbered, both)), F.array(region("tag", last, tail(text, last))))
-    return F.filter(F.when(is_script(text, spans), F.array(region("script", F.lit(0), text))).otherwise(split), lambda r: r["text"].rlike(r"[^ \t\n\x0B\f\r\x{85}\x{A0}]"))
+from lexloom.functions.lexing import definition_list, region_list
 
 
 def regions(files: DataFrame) -> DataFrame:
     """uri, ord, kind, start_line, start_off, text."""
-    r = with_comments(files).select("uri", F.posexplode(region_array(F.col("text"), F.col("spans"))).alias("ord", "r"))
-    return r.select("uri", "ord", "r.*")
-
-
-def script_arguments(body: Column, start: Column, spans: Column) -> Column:
-    """Arguments of a parenthesised list that starts at `start`. Every comma separates, also in a default."""
-    parts = F.filter(F.transform(F.split(body, ",", -1), lambda p: F.btrim(p, F.lit(" \t\n\x0b\f\r"))), lambda p: (p != "") & p.rlike(SCRIPT_ARGUMENT))
-    parts = F.filter(parts, lambda p: ~covered(start + F.position(p, body) - 1, spans))
-    get = lambda p, n: F.regexp_extract(p, SCRIPT_ARGUMENT, n)
-    return F.transform(parts, lambda p: F.struct(get(p, 3).alias("name"), get(p, 2).alias("type"), (get(p, 1) != "").alias("required")))
-
-
-def tag_arguments(body: Column, start: Column, spans: Column) -> Column:
-    """Arguments of the argument tags in a function's body that starts at `start`."""
-    tags = F.filter(hits(body, ARGUMENT_TAG), lambda h: ~covered(start + h["start"], spans) & h["hit"].rlike(attribute("name")))
-    get = lambda h, name: F.regexp_extract(h["hit"], attribute(name), 1)
-    return F.transform(tags, lambda h: F.struct(get(h, "name").alias("name"), get(h, "type").alias("type"), h["hit"].rlike(attribute("required", "true|yes")).alias("required")))
+    return files.select("uri", F.posexplode(region_list("text")).alias("ord", "r")).select("uri", "ord", "r.*")
 
 
 def function_defs(files: DataFrame) -> DataFrame:
     """uri, ord, name, name_key, line, arguments: the definitions of each file, those that start in a comment left out."""
-    r = with_comments(files).select("uri", "spans", F.posexplode(region_array(F.col("text"), F.col("spans"))).alias("region", "r"))
-    r = r.select("uri", "spans", "region", "r.*")
-    r = r.withColumn("found", F.when(F.col("kind") == "script", hits("text", SCRIPT)).otherwise(hits("text", TAG))).where(F.size("found") > 0)
-    after = lambda h: h["start"] + F.length(h["hit"])
-    script = F.col("kind") == "script"
-    r = r.withColumn("inner", enclosed_texts("text", F.when(script, F.transform("found", lambda h: after(h) - 1)).otherwise(F.expr("cast(array() as array<int>)"))))
-
-    def body(h: Column) -> Column:
-        """What follows a tag signature up to the next function tag."""
-        rest = tail("text", after(h))
-        return F.when(rest.rlike(r"^(?i)</cffunction"), "").otherwise(F.concat(head(rest, F.lit(1)), F.get(F.split(tail(rest, F.lit(1)), "(?i)</?cffunction", 2), F.lit(0))))
-
-    def match(h: Column, i: Column) -> Column:
-        return F.struct(
-            F.regexp_extract(h["hit"], SCRIPT, 1).alias("script_name"),
-            F.regexp_extract(h["hit"], TAG, 1).alias("tag_name"),
-            (F.col("start_line") + newlines(head("text", h["start"]))).alias("line"),
-            (F.col("start_off") + h["start"]).alias("at"),
-            (F.col("start_off") + after(h)).alias("inner_at"),
-            F.when(script, F.get("inner", i)).otherwise(body(h)).alias("body"),
-        )
-
-    m = r.select("uri", "spans", "region", "kind", F.posexplode(F.transform("found", match)).alias("n", "m")).where(~covered(F.col("m.at"), "spans"))
-    near = F.filter("spans", lambda s: (s["end"] > F.col("m.inner_at")) & (s["start"] < F.col("m.inner_at") + F.length("m.body")))
-    m = m.select("uri", "region", "n", "kind", "m.*", near.alias("spans"))
-    arguments = F.when(script, script_arguments(F.col("body"), F.col("inner_at"), F.col("spans"))).otherwise(tag_arguments(F.col("body"), F.col("inner_at"), F.col("spans")))
-    name = F.when(script, F.col("script_name")).otherwise(F.col("tag_name"))
-    return m.select("uri", (F.col("region") * 1_000_000 + F.col("n")).alias("ord"), name.alias("name"), F.lower(name).alias("name_key"), F.col("line").cast("int").alias("line"), arguments.alias("arguments"))
+    d = files.select("uri", F.posexplode(definition_list("text")).alias("ord", "d"))
+    return d.select("uri", "ord", "d.name", F.lower("d.name").alias("name_key"), "d.line", "d.arguments")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.functions.text import is_component_file, uri_path
+from lexloom.functions.text import Text, col, is_component_file, uri_path
 from lexloom.operators.extract import function_defs
+from lexloom.sources.globs import matches
 
 
 def inverted(defs: DataFrame) -> DataFrame:
@@ -30,22 +31,47 @@ def upserted(defs: DataFrame, changed: DataFrame) -> DataFrame:
 
 def without_prefix(defs: DataFrame, removed: DataFrame, protected: DataFrame | None = None) -> DataFrame:
     """The index without the files whose uri starts with a removed folder's uri, as it is: folder A takes folder AB along.
-    Folders that are configured (protected: path) are not removed."""
+    Folders that are configured (protected: path) are not removed.
+
+    A prefix is found by equality: each uri's beginnings of the lengths that removed uris have (one number for each
+    different length, at most as many as the longest uri has letters) are joined with these uris.
+    """
     if protected is not None:
         removed = removed.join(protected.select(F.col("path").alias("_path")), uri_path(removed.uri) == F.col("_path"), "left_anti")
-    prefixes = removed.select(F.col("uri").alias("_prefix"))
-    return defs.join(prefixes, F.startswith(defs.uri, F.col("_prefix")), "left_anti")
+    prefixes = removed.where("uri is not null").select(F.col("uri").alias("_prefix")).distinct()
+    lengths = sorted(r[0] for r in prefixes.select(F.length("_prefix")).distinct().collect())
+    if not lengths:
+        return defs
+    starts = F.array(*(F.when(F.length("uri") >= n, F.substring("uri", 1, n)) for n in lengths))
+    hit = defs.select("uri").distinct().select("uri", F.explode(starts).alias("_start")).join(prefixes, F.col("_start") == F.col("_prefix"), "left_semi")
+    return defs.join(hit.select("uri").distinct(), "uri", "left_anti")
+
+
+GRAM = 3
+
+
+def grams(name: Text) -> Column:
+    """The different parts of a name of up to GRAM letters, the empty one among them."""
+    name = col(name)
+    sized = lambda n: F.when(F.length(name) >= n, F.transform(F.sequence(F.lit(1), F.length(name) - n + 1), lambda i: F.substring(name, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(F.array(F.lit("")), *(sized(n) for n in range(1, GRAM + 1))))
 
 
 def symbol_search(queries: DataFrame, defs: DataFrame) -> DataFrame:
-    """queries (req_id, query) x definitions whose name holds the query, whatever the case; an empty query finds all."""
-    return queries.join(defs, F.contains(F.lower("name"), F.lower("query"))).select("req_id", "name", "uri", "line")
+    """queries (req_id, query) x definitions whose name holds the query, whatever the case; an empty query finds all.
+
+    Joined by equality: names, each once, are listed under all their grams, and a query looks under its last letters and is
+    then verified; a query shorter than a gram is one itself. Found names are joined with their definitions.
+    """
+    names = defs.select("name_key").distinct().select("name_key", F.explode(grams("name_key")).alias("_gram"))
+    q = queries.where("query is not null").select("req_id", F.lower("query").alias("_q"))
+    q = q.withColumn("_last", F.when(F.length("_q") <= GRAM, F.col("_q")).otherwise(F.substring("_q", -GRAM, GRAM)))
+    found = q.join(names, F.col("_last") == F.col("_gram")).where(F.contains("name_key", "_q")).select("req_id", "name_key")
+    return found.join(defs, "name_key").select("req_id", "name", "uri", "line")
 
 
 def accepts(files: DataFrame, folders: list[str], globs: list[str]) -> DataFrame:
     """The changed files that are indexed: component files, and inside the globs or else the folders, if there are any."""
-    from lexloom.sources.globs import matches
-
     kept = files.where(is_component_file("uri"))
     if not folders:
         return kept

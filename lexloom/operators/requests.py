@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import enclosing_tag, in_closing_tag, text_before, word_at
@@ -21,8 +21,7 @@ def words(requests: DataFrame, documents: DataFrame) -> DataFrame:
 def definitions(requests: DataFrame, documents: DataFrame, defs: DataFrame) -> DataFrame:
     """req_id, uri, line, n_locations: no row for no answer, one for a single location, more for a list."""
     found = lookup(words(requests, documents), defs.select("name_key", "uri", "line"))
-    counts = found.groupBy("req_id").agg(F.count("*").cast("int").alias("n_locations"))
-    return found.join(counts, "req_id").select("req_id", "uri", "line", "n_locations")
+    return found.select("req_id", "uri", "line", F.count("*").over(Window.partitionBy("req_id")).cast("int").alias("n_locations"))
 
 
 def hover(requests: DataFrame, documents: DataFrame, entries: DataFrame) -> DataFrame:
@@ -63,9 +62,11 @@ def completions(requests: DataFrame, documents: DataFrame, catalog: DataFrame, e
     closing = items(open_, F.col("rank") - 1, F.col("tag"), "keyword", F.lit("Close tag"), insert=F.concat("tag", F.lit(">")))
     inside = cat.tag_params(c.where("arm = 'params'").select("req_id", "tag"), entries)
     params = items(inside, F.col("ord"), F.col("param_name"), "property", F.col("param_description"), insert=F.concat("param_name", F.lit('="$1"')), fmt=F.lit("snippet"))
-    # each request of these arms gets the whole catalog, which is the contract of the answer and not a join's accident
-    tags = items(c.where("arm = 'tags'").select("req_id").join(cat.of_type(catalog, "tag"), F.lit(True)), F.col("ord"), F.col("name"), "keyword", F.col("description"))
-    functions = items(c.where("arm = 'functions'").select("req_id").join(cat.of_type(catalog, "function"), F.lit(True)), F.col("ord"), F.col("name"), "function", F.col("syntax"), F.col("description"), fmt=F.lit("plaintext"))
+    # a request of these arms is answered by all entries of a type: joined by that type, so that the catalog is broadcast only
+    # where its size allows it
+    offered = c.select("req_id", F.when(F.col("arm") == "tags", "tag").when(F.col("arm") == "functions", "function").alias("type")).join(catalog, "type")
+    tags = items(cat.of_type(offered, "tag"), F.col("ord"), F.col("name"), "keyword", F.col("description"))
+    functions = items(cat.of_type(offered, "function"), F.col("ord"), F.col("name"), "function", F.col("syntax"), F.col("description"), fmt=F.lit("plaintext"))
     return closing.unionByName(params).unionByName(tags).unionByName(functions)
 
 

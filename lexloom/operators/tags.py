@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexloom.functions.text import Text, col, hits
+from lexloom.functions.text import Text, col
 
 #: Tags without an end tag.
 VOID = (
@@ -21,7 +21,6 @@ SPECIAL = "cfset cfelse cfelseif".split()
 SKIPPED = "|".join(sorted([*VOID, *SPECIAL], key=lambda t: (-len(t), t)))
 #: A closing tag; a tag that opens nothing; an opening tag with all up to its ">". The same in Java's and in RE2's dialect.
 EVENT = rf"</[^> \t\r\n]*(?:[> \t\r\n]|\z)|<(?:![^ \t\r\n/>]*|(?i:{SKIPPED})|)[ \t\r\n/>]|<[^ \t\r\n/>]+(?:>|[ \t\r\n/](?:[^>]*>)?)"
-NAME = r"^</?([^> \t\r\n/]*)"
 
 
 def is_void(name: Text):
@@ -33,14 +32,14 @@ def is_special(name: Text):
 
 
 def events(df: DataFrame, text: str, *keys: str) -> DataFrame:
-    """keys, pos, delta (1 opens, -1 closes), tag: the events of each text in order."""
-    e = df.select(*keys, F.posexplode(hits(text, EVENT)).alias("pos", "h"))
-    hit = F.col("h.hit")
+    """keys, pos, delta (1 opens, -1 closes), tag: the events of each text, pos being their order in it."""
+    e = df.select(*keys, F.posexplode(F.regexp_extract_all(text, F.lit(EVENT), F.lit(0))).alias("pos", "hit"))
+    hit = F.col("hit")
     closes = hit.startswith("</")
     whole = closes & hit.rlike(r"[> \t\r\n]\z")
     name = F.lower(F.when(closes, F.regexp_extract(hit, r"^</([^> \t\r\n]*)", 1)).otherwise(F.regexp_extract(hit, r"^<([^ \t\r\n/>]*)", 1)))
     opens = ~closes & (name != "") & ~name.startswith("!") & ~name.isin(VOID + SPECIAL) & ~hit.endswith("/>")
-    return e.select(*keys, F.col("h.start").alias("pos"), F.when(opens, 1).when(whole, -1).otherwise(0).alias("delta"), name.alias("tag")).where("delta != 0")
+    return e.select(*keys, "pos", F.when(opens, 1).when(whole, -1).otherwise(0).alias("delta"), name.alias("tag")).where("delta != 0")
 
 
 def unclosed(df: DataFrame, text: str, *keys: str) -> DataFrame:

@@ -1,24 +1,30 @@
 """Scans of source files into (uri, text).
 
 `scan` goes through a Python data source, because Spark's own file sources hide files whose name starts with "." or "_" and
-give no row for an empty file, which must still purge its old definitions. The driver lists paths only; each partition
-reads a share of them. `scan_fast` is Spark's text source for trees that have neither.
+give no row for an empty file, which must still purge its old definitions. It reads any file system that Arrow knows by a
+path's scheme. The driver lists folders only until there are enough of them to deal out; each task then lists and reads
+its own. `scan_fast` is Spark's text source for trees that have neither hidden nor empty files.
 """
 
 from __future__ import annotations
 
 import os
+import posixpath
+import re
 from collections.abc import Iterator
+from functools import cached_property
 from urllib.parse import quote
 
+from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from lexloom.schemas import FILES
-from lexloom.sources.globs import expand, walk
+from lexloom.sources.globs import META, expand, listed, or_none, split_pattern
 
 EXTENSION = ".cfc"
+SCHEME = re.compile(r"^([a-z][a-z0-9+.-]*://)", re.I)
 
 
 def file_uri(path: str) -> str:
@@ -29,25 +35,104 @@ def is_component(path: str) -> bool:
     return os.path.splitext(os.path.basename(path))[1].lower() == EXTENSION or os.path.basename(path).lower() == EXTENSION
 
 
+def opened(path: str) -> tuple[arrow_fs.FileSystem, str, str]:
+    """A path's file system, the path on it, and what makes such a path a uri again."""
+    if m := SCHEME.match(path):
+        fs, inner = arrow_fs.FileSystem.from_uri(path if m[1] != "file://" else "file://" + quote(path[7:]))
+        return fs, inner, "file://" if m[1] == "file://" else m[1] if inner else path
+    return arrow_fs.LocalFileSystem(), os.path.abspath(path), "file://"
+
+
+class Entry:
+    """One of the scan's paths: a folder or the part of a "**" glob below its folder, or else a list of files."""
+
+    def __init__(self, path: str):
+        split = split_pattern(path)
+        self.suffix = None
+        self.path, self.files = path, None
+        if split is not None:
+            self.path, self.suffix = split
+        elif META.search(SCHEME.sub("", path)) and self.kind(path) == arrow_fs.FileType.NotFound:
+            fs, inner, _ = opened(path)
+            self.files = [f for f in expand(inner, fs) if is_component(f)]
+        elif self.kind(path) == arrow_fs.FileType.File:
+            self.files = [opened(path)[1]]
+
+    @staticmethod
+    def kind(path: str) -> arrow_fs.FileType:
+        try:
+            fs, inner, _ = opened(path)
+            return fs.get_file_info(inner).type
+        except OSError:
+            return arrow_fs.FileType.NotFound
+
+    @cached_property
+    def root(self) -> str:
+        return opened(self.path)[1].rstrip("/")
+
+    @cached_property
+    def base_name(self) -> re.Pattern | None:
+        """What a file's base name must be; None for any."""
+        regex = or_none(self.suffix) if self.suffix else None
+        return None if not self.suffix else re.compile(f"(?s:{regex})" if regex is not None else r"(?!)")
+
+    def takes(self, file: str) -> bool:
+        if self.files is not None:
+            return file in self.files
+        return file.startswith(self.root + "/") and (self.base_name is None or self.base_name.fullmatch(posixpath.basename(file)) is not None)
+
+
 class Share(InputPartition):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
+    """Of one entry: folders to walk whole, and files."""
+
+    def __init__(self, entry: int, folders: list[str], files: list[str]):
+        self.entry, self.folders, self.files = entry, folders, files
 
 
 class SourceFilesReader(DataSourceReader):
-    def __init__(self, paths: list[str], share: int):
-        self.paths, self.share = paths, share
+    def __init__(self, entries: list[Entry], share: int, least: int = 64):
+        self.entries, self.share, self.least = entries, share, least
 
     def partitions(self) -> list[Share]:
-        return [Share(self.paths[i : i + self.share]) for i in range(0, len(self.paths), self.share)] or [Share([])]
+        out = []
+        for n, e in enumerate(self.entries):
+            fs, _, _ = opened(e.path)
+            files, folders = list(e.files or []), [] if e.files is not None else [e.root or "/"]
+            while folders and len(folders) < self.least:  # a level at a time, until there are enough to deal out
+                deeper = []
+                for f in folders:
+                    below, here = listed(fs, f)
+                    deeper += below
+                    files += here
+                if not deeper:
+                    folders = []
+                    break
+                folders = deeper
+            files = [f for f in files if is_component(f)]
+            out += [Share(n, [], files[i : i + self.share]) for i in range(0, len(files), self.share)]
+            size = max(1, len(folders) // (4 * self.least))
+            out += [Share(n, folders[i : i + size], []) for i in range(0, len(folders), size)]
+        return out or [Share(0, [], [])]
 
     def read(self, partition: Share) -> Iterator[tuple[str, str]]:
-        for p in partition.paths:
-            try:
-                with open(p, encoding="utf-8", errors="replace", newline="") as f:
-                    yield file_uri(p), f.read()
-            except OSError:
+        if not partition.folders and not partition.files:
+            return
+        entry = self.entries[partition.entry]
+        fs, _, prefix = opened(entry.path)
+        files, folders = list(partition.files), list(partition.folders)
+        while files or folders:
+            if not files:
+                below, files = listed(fs, folders.pop())
+                folders += reversed(below)
                 continue
+            for f in files:
+                if is_component(f) and entry.takes(f) and not any(e.takes(f) for e in self.entries[: partition.entry]):
+                    try:
+                        with fs.open_input_stream(f) as stream:
+                            yield prefix + f, stream.read().decode("utf-8", "replace")
+                    except OSError:
+                        continue
+            files = []
 
 
 class SourceFiles(DataSource):
@@ -61,11 +146,8 @@ class SourceFiles(DataSource):
         return FILES
 
     def reader(self, schema) -> SourceFilesReader:
-        found: dict[str, None] = {}
-        for entry in filter(None, self.options.get("paths", "").split("\n")):
-            listed = walk(entry) if os.path.isdir(entry) else [entry] if os.path.isfile(entry) else (f for f in expand(entry) if os.path.isfile(f))
-            found.update(dict.fromkeys(os.path.abspath(f) for f in listed if is_component(f)))
-        return SourceFilesReader(list(found), int(self.options.get("share", "64")))
+        entries = [Entry(p) for p in filter(None, self.options.get("paths", "").split("\n"))]
+        return SourceFilesReader(entries, int(self.options.get("share", "64")))
 
 
 def scan(spark: SparkSession, paths: list[str], share: int = 64) -> DataFrame:
@@ -80,13 +162,8 @@ def scan_workspace(spark: SparkSession, folders: list[str], globs: list[str], ro
 
 
 def scan_fast(spark: SparkSession, folders: list[str]) -> DataFrame:
-    there = [f for f in folders if os.path.exists(f)]
+    there = [f for f in folders if Entry.kind(f) != arrow_fs.FileType.NotFound]
     if not there:
         return spark.createDataFrame([], FILES)
     text = spark.read.text(there, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.[cC][fF][cC]")
     return text.select(F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^file:/*", "file:///").alias("uri"), F.col("value").alias("text")).dropDuplicates(["uri"])
-
-
-def encoded(uri: str) -> str:
-    """A uri with the characters quoted that editors quote."""
-    return "file://" + quote(uri.removeprefix("file://"))

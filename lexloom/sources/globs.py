@@ -6,15 +6,16 @@ what stands behind is matched against a file's base name alone.
 
 from __future__ import annotations
 
-import glob as _glob
-import os
 import posixpath
 import re
 from collections.abc import Iterator
 
+from pyarrow import fs as arrow_fs
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+META = re.compile(r"[*?\[\\]")
+
 
 class BadPattern(ValueError):
     """A class that is not closed, or a trailing backslash."""
@@ -62,13 +63,13 @@ def matches(path: Column, globs: list[str]) -> Column:
         split = split_pattern(g)
         if split is None:
             out = out | F.startswith(path, F.lit(g + "/")) | (path == g)
-            pattern = _or_none(g)
+            pattern = or_none(g)
             if pattern is not None:
                 out = out | path.rlike(rf"\A(?s:{pattern})\z")
             continue
         base, suffix = split
         under = F.startswith(path, F.lit(base + "/")) | (path == base)
-        pattern = _or_none(suffix)
+        pattern = or_none(suffix)
         if suffix == "":
             out = out | under
         elif pattern is not None:
@@ -76,30 +77,49 @@ def matches(path: Column, globs: list[str]) -> Column:
     return out
 
 
-def _or_none(pattern: str) -> str | None:
+def or_none(pattern: str) -> str | None:
     try:
         return to_regex(pattern)
     except BadPattern:
         return None
 
 
-def walk(root: str) -> Iterator[str]:
-    """All files under a folder in order, hidden and empty ones too; what cannot be read is passed over."""
-    if os.path.isfile(root):
-        yield root
-        return
-    for folder, folders, files in os.walk(root):
-        folders.sort()
-        yield from (os.path.join(folder, f) for f in sorted(files))
-
-
-def expand(pattern: str) -> list[str]:
-    """The paths that a glob names on this machine's file system."""
+def listed(fs: arrow_fs.FileSystem, folder: str) -> tuple[list[str], list[str]]:
+    """Folders and files directly in a folder, in order, hidden and empty ones too; none if it cannot be read."""
+    try:
+        found = fs.get_file_info(arrow_fs.FileSelector(folder, allow_not_found=True))
+    except OSError:
+        return [], []
+    of = lambda kind: sorted(i.path for i in found if i.type == kind)
+    return of(arrow_fs.FileType.Directory), of(arrow_fs.FileType.File)
+
+
+def walk(root: str, fs: arrow_fs.FileSystem | None = None) -> Iterator[str]:
+    """All files under a folder; what cannot be read is passed over."""
+    fs = fs or arrow_fs.LocalFileSystem()
+    todo = [root]
+    while todo:
+        folders, files = listed(fs, todo.pop())
+        yield from files
+        todo += reversed(folders)
+
+
+def expand(pattern: str, fs: arrow_fs.FileSystem | None = None) -> list[str]:
+    """The paths that a glob names on a file system, this machine's own by default."""
+    fs = fs or arrow_fs.LocalFileSystem()
     split = split_pattern(pattern)
-    if split is None:
-        found = sorted(_glob.glob(pattern, include_hidden=True))
-        regex = _or_none(pattern)
-        return [f for f in found if regex is not None and re.fullmatch(f"(?s:{regex})", f)]
-    base, suffix = split
-    regex = _or_none(suffix)
-    return [f for f in walk(base) if suffix == "" or (regex is not None and re.fullmatch(f"(?s:{regex})", os.path.basename(f)))]
+    if split is not None:
+        base, suffix = split
+        regex = or_none(suffix)
+        return sorted(f for f in walk(base, fs) if suffix == "" or (regex is not None and re.fullmatch(f"(?s:{regex})", posixpath.basename(f))))
+    if or_none(pattern) is None:
+        return []
+    found = ["/"] if pattern.startswith("/") else [""]
+    for part in filter(None, pattern.split("/")):
+        if not META.search(part):
+            found = [posixpath.join(f, part) for f in found]
+            continue
+        regex = re.compile(f"(?s:{to_regex(part)})")
+        found = [e for f in found for kind in listed(fs, f or ".") for e in kind if regex.fullmatch(posixpath.basename(e))]
+    there = {i.path for i in fs.get_file_info(found) if i.type != arrow_fs.FileType.NotFound} if found else set()
+    return sorted(f for f in found if f in there)

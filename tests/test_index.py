@@ -1,6 +1,7 @@
 """Index, catalog and requests."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,14 +9,14 @@ from pyspark.sql import functions as F
 from lexloom.operators import catalog as cat
 from lexloom.operators import index, requests
 from lexloom.operators.extract import function_defs
-from lexloom.schemas import CATALOG, FILES, REQUESTS
+from lexloom.schemas import FILES, REQUESTS
 
-A, B = "file:///w/a.cfc", "file:///w/b.cfc"
+BREAD, CAKE = "file:///bakery/bread.cfc", "file:///bakery/cake.cfc"
 
 
 @pytest.fixture
 def defs(spark):
-    return function_defs(spark.createDataFrame([(A, "component {\nfunction getUser() {}\nfunction setUser() {}\n}"), (B, "component { function GETUSER() {} }")], FILES))
+    return function_defs(spark.createDataFrame([(BREAD, "component {\n\nfunction knead() {}\nfunction proofLoaf() {}\n}"), (CAKE, "component { function Knead() {} }")], FILES))
 
 
 def asked(spark, *rows):
@@ -23,49 +24,69 @@ def asked(spark, *rows):
 
 
 def test_lookup_ignores_case_and_counts(spark, defs):
-    docs = spark.createDataFrame([("file:///w/use.cfm", "x = getuser();\nnone()")], FILES)
-    r = asked(spark, ("file:///w/use.cfm", 0, 5, None, None, None), ("file:///w/use.cfm", 1, 1, None, None, None), ("file:///w/closed.cfm", 0, 0, None, None, None))
+    shop = "file:///bakery/shop.cfm"
+    docs = spark.createDataFrame([(shop, "\nloaf = bread.KNEAD(2); sell(loaf)")], FILES)
+    r = asked(spark, (shop, 1, 16, None, None, None), (shop, 1, 24, None, None, None), (shop, 0, 0, None, None, None), ("file:///bakery/not_open.cfm", 1, 16, None, None, None))
     got = sorted((x.req_id, x.uri, x.line, x.n_locations) for x in requests.definitions(r, docs, defs).collect())
-    assert got == [(0, A, 1, 2), (0, B, 0, 2)]
+    assert got == [(0, BREAD, 2, 2), (0, CAKE, 0, 2)]
 
 
 def test_symbols(spark, defs):
-    r = asked(spark, ("", 0, 0, None, None, "GET"), ("", 0, 0, None, None, ""))
+    r = asked(spark, *(("", 0, 0, None, None, q) for q in ("KNE", "", "oaf", "zz", None)))
     got = sorted((x.req_id, x.name) for x in requests.workspace_symbols(r, defs).collect())
-    assert got == [(0, "GETUSER"), (0, "getUser"), (1, "GETUSER"), (1, "getUser"), (1, "setUser")]
+    assert got == [(0, "Knead"), (0, "knead"), (1, "Knead"), (1, "knead"), (1, "proofLoaf"), (2, "proofLoaf")]
+
+
+def test_symbols_of_many_names(spark):
+    """The n-gram path, for queries of three letters and more, finds what a plain search does."""
+    rng = random.Random(41)
+    word = lambda n: "".join(rng.choice("abcE%_") for _ in range(n))
+    names = [word(rng.randint(1, 9)) for _ in range(400)]
+    queries = [word(rng.randint(0, 6)) for _ in range(60)]
+    defs = spark.createDataFrame([("u", i, n, n.lower(), i, []) for i, n in enumerate(names)], "uri string, ord int, name string, name_key string, line int, arguments array<struct<name:string,type:string,required:boolean>>")
+    got = sorted((r.req_id, r.line) for r in index.symbol_search(spark.createDataFrame(list(enumerate(queries)), "req_id long, query string"), defs).collect())
+    assert got == [(i, j) for i, q in enumerate(queries) for j, n in enumerate(names) if q.lower() in n.lower()]
 
 
 def test_upsert_purges_and_replaces(spark, defs):
-    changed = spark.createDataFrame([(A, "component { function fresh() {} }"), (B, "")], FILES)
-    assert [r.name for r in index.upserted(defs, changed).collect()] == ["fresh"]
+    changed = spark.createDataFrame([(CAKE, "component { function frost() {} }"), (BREAD, "")], FILES)
+    assert [(r.uri, r.name) for r in index.upserted(defs, changed).collect()] == [(CAKE, "frost")]
 
 
 def test_prefix_has_no_border(spark, defs):
-    more = defs.unionByName(function_defs(spark.createDataFrame([("file:///w/AB/x.cfc", "component { function f() {} }"), ("file:///w/A/x.cfc", "component { function g() {} }")], FILES)))
-    left = index.without_prefix(more, spark.createDataFrame([("file:///w/A",)], "uri string"))
-    assert {r.uri for r in left.collect()} == {A, B}
-    kept = index.without_prefix(more, spark.createDataFrame([("file:///w/A",)], "uri string"), spark.createDataFrame([("/w/A",)], "path string"))
-    assert kept.count() == more.count()
+    files = [(f"file:///bakery{x}/stock.cfc", f"component {{ function stock{i}() {{}} }}") for i, x in enumerate(("", "2", "/old"))]
+    more = defs.unionByName(function_defs(spark.createDataFrame(files, FILES)))
+    names = lambda *removed, **keep: sorted(r.name for r in index.without_prefix(more, spark.createDataFrame([(x,) for x in removed], "uri string"), **keep).collect())
+    assert names("file:///bakery/") == ["stock1"]
+    assert names("file:///bakery") == []
+    assert names("file:///bakery/o", "file:///bakery2") == ["Knead", "knead", "proofLoaf", "stock0"]
+    assert len(names("file:///bakery", protected=spark.createDataFrame([("/bakery",)], "path string"))) == more.count()
+    assert names("file:///bakery", "file:///bakery/old", protected=spark.createDataFrame([("/bakery",)], "path string")) == ["Knead", "knead", "proofLoaf", "stock0", "stock1"]
+    assert names("") == []
 
 
 def test_accepted_files(spark):
-    f = spark.createDataFrame([(u, "") for u in ("file:///w/a.CFC", "file:///w/a.txt", "file:///wx/a.cfc", "file:///w/d/b.cfc")], FILES)
-    names = lambda df: sorted(r.uri for r in df.collect())
-    assert len(names(index.accepts(f, [], []))) == 3
-    assert names(index.accepts(f, ["/w"], [])) == ["file:///w/a.CFC", "file:///w/d/b.cfc"]
-    assert names(index.accepts(f, ["/w"], ["/w/**/b.*"])) == ["file:///w/d/b.cfc"]
-    assert names(index.accepts(f, ["/w"], ["/w/d"])) == ["file:///w/d/b.cfc"]
+    f = spark.createDataFrame([(u, "") for u in ("file:///bakery/Loaf.CFC", "file:///bakery/loaf.cfm", "file:///bakery2/loaf.cfc", "file:///bakery/back/roll.cfc")], FILES)
+    names = lambda *a: sorted(r.uri.removeprefix("file:///") for r in index.accepts(f, *a).collect())
+    assert names([], []) == ["bakery/Loaf.CFC", "bakery/back/roll.cfc", "bakery2/loaf.cfc"]
+    assert names(["/bakery"], []) == ["bakery/Loaf.CFC", "bakery/back/roll.cfc"]
+    assert names(["/bakery", "/bakery2"], []) == ["bakery/Loaf.CFC", "bakery/back/roll.cfc", "bakery2/loaf.cfc"]
+    assert names(["/bakery"], ["/bakery/**/r*"]) == ["bakery/back/roll.cfc"]
+    assert names(["/bakery"], ["/bakery/back"]) == ["bakery/back/roll.cfc"]
+
+
+def param(name, description, type_="string", required=False):
+    return {"name": name, "description": description, "type": type_, "required": required}
 
 
 ENTRIES = [
-    {"name": "cfquery", "description": "Runs a query", "syntax": "<cfquery>", "returns": "", "type": "tag", "params": [{"name": "datasource", "description": "Where to\nmore", "type": "string", "required": True}, {"name": "name", "description": "Result", "type": "string", "required": False}]},
-    {"name": "cfloop", "description": "Loops", "syntax": "", "returns": "", "type": "tag", "params": [{"name": "index", "description": "i", "type": "string", "required": False}]},
-    {"name": "cfoutput", "description": "Writes", "syntax": "", "returns": "", "type": "tag", "params": []},
-    {"name": "cfset", "description": "Sets", "syntax": "", "returns": "", "type": "tag", "params": []},
-    {"name": "LEN", "description": "old", "syntax": "", "returns": "", "type": "function", "params": []},
-    {"name": "Len", "description": "Length of a value", "syntax": "Len(value)", "returns": "numeric", "type": "function", "params": [{"name": "value", "description": "any", "type": "any", "required": True}]},
-    {"name": "Trim", "description": "Trims", "syntax": "Trim(text)", "returns": "string", "type": "function", "params": []},
-    {"name": "member", "description": "neither", "type": "other"},
+    {"name": "cfoven", "description": "Heats", "syntax": "<cfoven>", "returns": "", "type": "tag", "params": [param("heat", "Degrees\nand more", "numeric", True), param("fan", "Whether to blow")]},
+    {"name": "cftray", "description": "Holds", "type": "tag", "params": [param("slots", "How many")]},
+    {"name": "CFRack", "description": "Cools", "syntax": "", "returns": "", "type": "tag", "params": []},
+    {"name": "WEIGH", "description": "old", "syntax": "", "returns": "", "type": "function", "params": []},
+    {"name": "Weigh", "description": "Weighs a loaf", "syntax": "Weigh(loaf)", "returns": "numeric", "type": "function", "params": [param("loaf", "any", "any", True)]},
+    {"name": "Slice", "description": "Slices", "syntax": "Slice(loaf)", "returns": "array", "type": "function", "params": []},
+    {"name": "crumb", "description": "neither", "type": "other"},
 ]
 
 
@@ -78,40 +99,41 @@ def catalog(spark, tmp_path):
 
 
 def test_catalog(spark, catalog):
-    assert sorted(r.name for r in catalog.collect()) == ["LEN", "Len", "Trim", "cfloop", "cfoutput", "cfquery", "cfset"]
+    assert sorted(r.name for r in catalog.collect()) == ["CFRack", "Slice", "WEIGH", "Weigh", "cfoven", "cftray"]
     entries = cat.distinct_entries(catalog, "_file")
-    assert {r.name: r.description for r in cat.of_type(entries, "function").collect()} == {"Len": "Length of a value", "Trim": "Trims"}
-    assert [r.name for r in cat.in_order(catalog).collect()] == ["cfloop", "cfoutput", "cfquery", "cfset", "LEN", "Len", "Trim"]
+    assert {r.name: r.description for r in cat.of_type(entries, "function").collect()} == {"Weigh": "Weighs a loaf", "Slice": "Slices"}
+    assert [r.name for r in cat.in_order(catalog).collect()] == ["cfoven", "CFRack", "cftray", "Slice", "WEIGH", "Weigh"]
 
 
 def test_hover(spark, catalog):
-    docs = spark.createDataFrame([("u", "len(x) cfquery nothing")], FILES)
-    got = {r.req_id: r.contents for r in requests.hover(asked(spark, ("u", 0, 1, None, None, None), ("u", 0, 9, None, None, None), ("u", 0, 17, None, None, None), ("closed", 0, 1, None, None, None)), docs, cat.distinct_entries(catalog, "_file")).collect()}
+    docs = spark.createDataFrame([("till", "x = weigh(y);\n<CFOVEN flour>")], FILES)
+    r = asked(spark, *((uri, line, c, None, None, None) for uri, line, c in (("till", 0, 6), ("till", 1, 3), ("till", 1, 10), ("not open", 0, 6))))
+    got = {r.req_id: r.contents for r in requests.hover(r, docs, cat.distinct_entries(catalog, "_file")).collect()}
     assert got == {
-        0: "**Len**\n\n```cfml\nLen(value)\n```\n\nLength of a value\n\n**Parameters:**\n- `value` (any) *(required)* — any\n\n**Returns:** `numeric`",
-        1: "**<cfquery>**\n\nRuns a query\n\n**Attributes:**\n- `datasource` (string) *(required)* — Where to\n- `name` (string) — Result\n",
+        0: "**Weigh**\n\n```cfml\nWeigh(loaf)\n```\n\nWeighs a loaf\n\n**Parameters:**\n- `loaf` (any) *(required)* — any\n\n**Returns:** `numeric`",
+        1: "**<cfoven>**\n\nHeats\n\n**Attributes:**\n- `heat` (numeric) *(required)* — Degrees\n- `fan` (string) — Whether to blow\n",
     }
 
 
 def test_completion(spark, catalog):
-    docs = spark.createDataFrame([("close", "<cfoutput><cfloop><cfoutput></"), ("params", "<cfquery "), ("plain", "x "), ("unknown", "<zzz ")], FILES)
-    r = asked(spark, ("close", 0, 99, "trigger_char", "/", None), ("params", 0, 9, "invoked", None, None), ("none", 0, 0, "trigger_char", "<", None), ("plain", 0, 1, None, None, None), ("unknown", 0, 5, None, None, None))
+    docs = spark.createDataFrame([("close", "<CFRack><cftray><CFRack>\n</"), ("params", "<cfoven\n "), ("plain", "mix "), ("unknown", "<crate ")], FILES)
+    r = asked(spark, ("close", 1, 2, "trigger_char", "/", None), ("params", 1, 1, "invoked", None, None), ("not open", 0, 0, "trigger_char", "<", None), ("plain", 0, 4, None, None, None), ("unknown", 0, 7, None, None, None), ("close", 1, 1, "trigger_char", "<", None))
     entries = cat.distinct_entries(catalog, "_file")
     ordered = entries.withColumn("ord", (F.crc32("name") % 1000).cast("int"))
     got = {}
     for x in sorted(requests.completions(r, docs, ordered, entries).collect(), key=lambda x: (x.req_id, x.ord)):
         got.setdefault(x.req_id, []).append((x.label, x.kind, x.insert_text, x.insert_text_format))
-    assert got[0] == [("cfoutput", "keyword", "cfoutput>", ""), ("cfloop", "keyword", "cfloop>", "")]
-    assert got[1] == [("datasource", "property", 'datasource="$1"', "snippet"), ("name", "property", 'name="$1"', "snippet")]
-    assert sorted(x[0] for x in got[2]) == ["cfloop", "cfoutput", "cfquery", "cfset"]
-    assert sorted(x[0] for x in got[3]) == ["Len", "Trim"] and got[3][0][3] == "plaintext"
+    assert got[0] == [("cfrack", "keyword", "cfrack>", ""), ("cftray", "keyword", "cftray>", "")]
+    assert got[1] == [("heat", "property", 'heat="$1"', "snippet"), ("fan", "property", 'fan="$1"', "snippet")]
+    assert sorted(x[0] for x in got[2]) == sorted(x[0] for x in got[5]) == ["CFRack", "cfoven", "cftray"]
+    assert sorted(x[0] for x in got[3]) == ["Slice", "Weigh"] and got[3][0][3] == "plaintext"
     assert 4 not in got
 
 
 def test_document_symbols_come_from_the_open_text(spark):
-    docs = spark.createDataFrame([("x.cfm", '<cffunction name="getUser"></cffunction>\n<cfscript>\nfunction saveUser() {}\n</cfscript>')], FILES)
-    rows = requests.document_symbols(asked(spark, ("x.cfm", 0, 0, None, None, None)), docs).collect()
-    assert [(r.name, r.line) for r in sorted(rows, key=lambda r: r.ord)] == [("getUser", 0), ("saveUser", 2)]
+    docs = spark.createDataFrame([("counter.txt", "<cfscript>\n\nfunction takeOrder(){}</cfscript><cffunction name='ring'>"), ("other", "component { function no(){} }")], FILES)
+    rows = requests.document_symbols(asked(spark, ("counter.txt", 0, 0, None, None, None)), docs).collect()
+    assert [(r.name, r.line) for r in sorted(rows, key=lambda r: r.ord)] == [("takeOrder", 2), ("ring", 2)]
 
 
 def test_dispatch():

@@ -1,24 +1,11 @@
-"""Offsets of matches, and the index as a bucketed table."""
+"""The index as a bucketed table."""
 
-import random
-import re
-
-from lexloom.functions.text import hits
 from lexloom.operators.extract import function_defs
 from lexloom.operators.index import lookup
 from lexloom.schemas import FILES
 from lexloom.sources.sinks import write_index
 
 
-def test_offsets_against_python(spark):
-    rng = random.Random(17)
-    texts = ["".join(rng.choice("<>ab é😀\n") for _ in range(rng.randint(0, 30))) for _ in range(500)] + ["", "<<>>", "<a><b>"]
-    pattern = r"<[^<>]*>|ab"
-    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", hits("t", pattern).alias("h")).collect()
-    for r in rows:
-        assert [(h.start, h.hit) for h in r.h] == [(m.start(), m[0]) for m in re.finditer(pattern, texts[r.i])]
-
-
 def test_bucketed_index_is_not_dealt_again(spark):
     defs = function_defs(spark.createDataFrame([("a", "component { function one() {} function two() {} }")], FILES))
     write_index(defs, "index_for_test", 4)
