@@ -1,16 +1,14 @@
 """Schemas of the engine's tables, as DDL strings."""
 
 ARGUMENTS = "array<struct<name:string,type:string,required:boolean>>"
-SPANS = "array<struct<start:int,end:int>>"
 PARAMS = "array<struct<name:string,description:string,type:string,required:boolean>>"
 
 FILES = "uri string, text string"
-DOCUMENTS = "uri string, text string, seq long"
+DOCUMENTS = "session_id string, uri string, text string, seq long"
 DOC_CHANGES = "seq long, session_id string, op string, uri string, changes array<string>"
 FOLDER_CHANGES = "seq long, op string, uri string, name string"
 REQUESTS = "req_id long, method string, uri string, line int, character int, trigger_kind string, trigger_char string, query string"
 CATALOG = f"name string, description string, syntax string, returns string, type string, params {PARAMS}"
-REGIONS = "uri string, ord int, kind string, start_line int, start_off int, text string"
 FUNCTION_DEFS = f"uri string, ord int, name string, name_key string, line int, arguments {ARGUMENTS}"
-COMPLETIONS = "req_id long, ord int, label string, kind string, detail string, documentation string, insert_text string, insert_text_format string"
 CONFIG = "workspaceName string, workspacePaths array<string>, workspaceIndexGlobs array<string>"
+MANIFEST = "table string, bucket int, version int"

@@ -4,38 +4,65 @@ from lexloom.operators.extract import function_defs
 from lexloom.schemas import DOC_CHANGES, FILES, FOLDER_CHANGES
 from lexloom.streaming import changes as feed
 
-A, B = "file:///w/a.cfc", "file:///w/b.txt"
+A, B, C = "file:///w/a.cfc", "file:///w/b.txt", "file:///w/c.cfc"
 
 
-def component(name):
-    return f"component {{ function {name}() {{}} }}"
+def component(*names):
+    return "component {" + "".join(f" function {n}() {{}}\n" for n in names) + "}"
 
 
 ROWS = [
     (1, "s", "open", A, [component("one")]), (2, "s", "change", A, ["x", component("two")]), (3, "s", "change", A, []), (4, "s", "open", B, ["plain"]),
-    (5, "s", "open", "file:///w/c.cfc", [component("gone")]), (6, "s", "close", "file:///w/c.cfc", None),
+    (5, "s", "open", C, [component("gone")]), (6, "s", "close", C, None), (7, "t", "open", C, [component("theirs")]),
 ]
 
 
 def test_state_after_a_batch(spark):
     changes = spark.createDataFrame(ROWS, DOC_CHANGES)
-    assert sorted((r.uri, r.text) for r in feed.document_state(changes).collect()) == [(A, component("two")), (B, "plain")]
-    old = spark.createDataFrame([("file:///w/c.cfc", "old", 0), ("file:///w/d.cfc", "kept", 0)], "uri string, text string, seq long")
-    assert sorted(r.uri for r in feed.applied(old, changes).collect()) == [A, B, "file:///w/d.cfc"]
-    assert sorted(r.uri for r in feed.changed_files(changes, [], []).collect()) == [A, "file:///w/c.cfc"]
+    assert sorted((r.session_id, r.uri, r.text) for r in feed.document_state(changes).collect()) == [("s", A, component("two")), ("s", B, "plain"), ("t", C, component("theirs"))]
+    old = spark.createDataFrame([("s", C, "old", 0), ("t", A, "kept", 0), (None, A, "no session", 0)], "session_id string, uri string, text string, seq long")
+    assert sorted((r.session_id or "", r.uri, r.seq) for r in feed.applied(old, changes).collect()) == [("", A, 0), ("s", A, 2), ("s", B, 4), ("t", A, 0), ("t", C, 7)]
+    assert sorted((r.uri, r.text) for r in feed.changed_files(changes, [], []).collect()) == [(A, component("two")), (C, component("theirs"))]
 
 
 def test_stream_keeps_documents_and_index(spark, tmp_path):
-    src = tmp_path / "feed"
-    spark.createDataFrame(ROWS[:3], DOC_CHANGES).coalesce(1).write.parquet(str(src))
-    w = feed.Workspace(spark, f"file://{tmp_path}/w").start(spark.createDataFrame([], "uri string, text string, seq long"), function_defs(spark.createDataFrame([], FILES)))
-    stream = spark.readStream.schema(DOC_CHANGES).parquet(str(src))
-    w.follow(stream, f"{tmp_path}/cp").awaitTermination()
+    src, root = tmp_path / "feed", f"file://{tmp_path}/w"
+    stream = lambda: spark.readStream.schema(DOC_CHANGES).parquet(str(src))
+    put = lambda rows: spark.createDataFrame(rows, DOC_CHANGES).coalesce(1).write.mode("append").parquet(str(src))
+    put(ROWS[:3])
+    w = feed.Workspace(spark, root, buckets=97).start()
+    w.follow(stream()).awaitTermination()
     assert [r.name for r in w.defs.collect()] == ["two"]
-    spark.createDataFrame(ROWS[3:], DOC_CHANGES).coalesce(1).write.mode("append").parquet(str(src))
-    w.follow(stream, f"{tmp_path}/cp").awaitTermination()
+    put(ROWS[3:6])
+    w = feed.Workspace(spark, root)  # a new process goes on
+    assert (w.version, w.buckets) == (1, 97) and w.document("s", A) == component("two")
+    w.follow(stream()).awaitTermination()
     assert sorted(r.name for r in w.defs.collect()) == ["gone", "two"]  # closing keeps the index
-    assert sorted(r.uri for r in w.documents.collect()) == [A, B]
+    assert sorted(r.uri for r in w.documents.collect()) == [A, B] and w.document("s", C) is None
+    untouched = w.current["documents", next(b for (t, b), v in w.current.items() if t == "documents" and v == 1)]
+    assert untouched == 1 and w.version == 2  # only touched buckets are written
+    w.take(spark.createDataFrame([(9, "s", "open", A, ["again"])], DOC_CHANGES), 1)  # a batch that has taken effect is not taken twice
+    assert w.version == 2 and w.document("s", A) == component("two")
+    w.vacuum()
+    assert sorted(r.uri for r in feed.Workspace(spark, root).documents.collect()) == [A, B]
+
+
+def test_folders_in_a_stream(spark, tmp_path):
+    for folder, names in (("kept", ["k"]), ("new", ["n"]), ("old", ["o"])):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "x.cfc").write_text(component(*names))
+    uri = lambda folder: f"file://{tmp_path}/{folder}"
+    w = feed.Workspace(spark, f"file://{tmp_path}/w", folders=[str(tmp_path / "kept"), str(tmp_path / "old")], buckets=4).initialize()
+    assert sorted(r.name for r in w.defs.collect()) == ["k", "o"]
+    rows = [
+        (1, "s", "open", uri("old/x.cfc"), [component("before")]), (2, None, "folder_removed", uri("ol"), None), (3, "s", "change", uri("old/x.cfc"), [component("after")]),
+        (4, None, "folder_removed", uri("kept"), None), (5, None, "folder_added", uri("new"), None), (6, None, "folder_added", uri("nowhere"), None),
+    ]
+    w.take(spark.createDataFrame(rows, DOC_CHANGES), 0)
+    assert sorted(r.name for r in w.defs.collect()) == ["after", "k", "n"]
+    assert w.document("s", uri("old/x.cfc")) == component("after")
+    roots = feed.Workspace(spark, f"file://{tmp_path}/w2", buckets=4).initialize([str(tmp_path / "new")])
+    assert [r.name for r in roots.defs.collect()] == ["n"]
 
 
 def test_keyed_state(spark, tmp_path):
@@ -43,7 +70,7 @@ def test_keyed_state(spark, tmp_path):
     spark.createDataFrame(ROWS, DOC_CHANGES).coalesce(1).write.parquet(str(src))
     q = feed.document_updates(spark.readStream.schema(DOC_CHANGES).parquet(str(src))).writeStream.format("memory").queryName("doc_updates").outputMode("update").trigger(availableNow=True).start()
     q.awaitTermination()
-    assert {r.uri: r.text for r in spark.table("doc_updates").collect()} == {A: component("two"), B: "plain", "file:///w/c.cfc": None}
+    assert {(r.session_id, r.uri): r.text for r in spark.table("doc_updates").collect()} == {("s", A): component("two"), ("s", B): "plain", ("s", C): None, ("t", C): component("theirs")}
 
 
 def test_folder_changes(spark):
