@@ -6,9 +6,12 @@ SQL is a projection of its rows.
 
 from __future__ import annotations
 
+import json
+import re
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as tx
@@ -16,7 +19,11 @@ from lexloom.functions.lexing import comment_spans
 from lexloom.operators import catalog as cat
 from lexloom.operators import extract, index, requests, tags
 from lexloom.plans import rendered
+from lexloom.schemas import DOC_CHANGES
 from lexloom.sources import config, globs
+from lexloom.sources import files as files_source
+from lexloom.sources.sinks import write_files
+from lexloom.sources.work import shared_dir
 from lexloom.streaming import changes as feed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,27 +84,36 @@ def void_special_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def at_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages with a cursor somewhere in their first line."""
-    cursor = (F.pmod(F.col("page_id") * 7919, F.lit(3000))).cast("int")
-    return table(spark, sf_dir, "pages").select("page_id", tx.text_before("html", F.lit(0), cursor).alias("before"))
-
-
-BEFORE_SQL = "select page_id, substr(regexp_extract(html, '\\A[^\\n]*\\n?'), 1, cast((page_id * 7919) % 3000 as integer)) as before from pages"
+    """Pages with a cursor on one of their lines, sometimes beyond its end, and sometimes on a line that is not there."""
+    lines = F.split("html", "\n", -1)
+    p = table(spark, sf_dir, "pages").withColumn("line", F.pmod(F.col("page_id") * 7919, F.size(lines) + 1).cast("int"))
+    own = F.coalesce(F.length(F.get(F.split("html", "\n", -1), F.col("line"))), F.lit(0))
+    return p.select("page_id", "line", tx.text_before("html", "line", F.pmod(F.col("page_id") * 7907, own + 3).cast("int")).alias("before"))
+
+
+BEFORE_SQL = """
+select page_id, line, case when line >= len(lines) then html
+  else array_to_string(lines[1:line], chr(10)) || case when line > 0 then chr(10) else '' end
+    || substr(lines[line + 1] || case when line + 1 < len(lines) then chr(10) else '' end, 1, cast((page_id * 7907) % (coalesce(length(lines[line + 1]), 0) + 3) as integer)) end as before
+from (select page_id, html, lines, cast((page_id * 7919) % (len(lines) + 1) as integer) as line from (select page_id, html, string_split(html, chr(10)) as lines from pages))
+"""
 
 
-@registered("enclosing_tag_at_cursor", rf"select page_id, lower(regexp_extract(before, '<[ \t]*([^ \t\r\n/<>]+)[ \t\r\n/][^<>]*\z', 1)) as tag, ends_with(before, '</') as closing, length(before) as n_before from ({BEFORE_SQL})")
+@registered("enclosing_tag_at_cursor", rf"select page_id, line, lower(regexp_extract(before, '<[ \t]*([^ \t\r\n/<>]+)[ \t\r\n/][^<>]*\z', 1)) as tag, ends_with(before, '</') as closing, length(before) as n_before from ({BEFORE_SQL})")
 def enclosing_tag_at_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return at_cursor(spark, sf_dir).select("page_id", tx.enclosing_tag("before").alias("tag"), tx.in_closing_tag("before").alias("closing"), F.length("before").cast("long").alias("n_before"))
+    return at_cursor(spark, sf_dir).select("page_id", "line", tx.enclosing_tag("before").alias("tag"), tx.in_closing_tag("before").alias("closing"), F.length("before").cast("long").alias("n_before"))
 
 
 @registered("word_at_cursor", r"""
-with d as (select doc_id, split(text, chr(10)) as lines, doc_id % 4 as line, cast((doc_id * 31) % 200 as integer) as c from documents),
-o as (select doc_id, coalesce(lines[line + 1], '') as own, c from d)
+with d as (select doc_id, lines, (doc_id * 13) % (len(lines) + 1) as line from (select doc_id, string_split(text, chr(10)) as lines from documents)),
+o as (select doc_id, coalesce(lines[line + 1], '') as own, cast((doc_id * 31) % (length(coalesce(lines[line + 1], '')) + 2) as integer) as c from d)
 select doc_id, regexp_extract(substr(own, 1, least(c, length(own))), '[A-Za-z0-9_]*\z') || regexp_extract(substr(own, least(c, length(own)) + 1), '^[A-Za-z0-9_]*') as word from o
 """)
 def word_at_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", tx.word_at("text", F.pmod("doc_id", F.lit(4)).cast("int"), F.pmod(F.col("doc_id") * 31, F.lit(200)).cast("int")).alias("word"))
+    lines = F.split("text", "\n", -1)
+    d = table(spark, sf_dir, "documents").withColumn("line", F.pmod(F.col("doc_id") * 13, F.size(lines) + 1).cast("int"))
+    own = F.coalesce(F.length(F.get(F.split("text", "\n", -1), F.col("line"))), F.lit(0))
+    return d.select("doc_id", tx.word_at("text", "line", F.pmod(F.col("doc_id") * 31, own + 2).cast("int")).alias("word"))
 
 
 @registered("line_counts", "select doc_id, cast(length(text) - length(replace(text, chr(10), '')) as bigint) as n_lines, split(text, chr(10))[1] as first_line from documents")
@@ -348,39 +364,148 @@ def completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests.completions(asked, asked.select("uri", "text"), catalog(spark, sf_dir), entries(spark, sf_dir))
 
 
-def symbols_for(spark: SparkSession, sf_dir: str, part: DataFrame) -> DataFrame:
-    asked = rendered.keyed(part).select(F.col("p_partkey").alias("req_id"), "uri")
+@registered("document_symbols", f"select cast(part.p_partkey as bigint) as req_id, d.name, d.line from part join ({DEFS}) d on d.uri = 'file:///shop/' || replace(lower(p_brand), '#', '_') || '_' || (part.p_partkey // {rendered.ROWS}) || '.cfc'")
+def document_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request a part, each for the file that renders it."""
+    asked = rendered.keyed(table(spark, sf_dir, "part")).select(F.col("p_partkey").alias("req_id"), "uri")
     return requests.document_symbols(asked, files(spark, sf_dir)).select("req_id", "name", "line")
 
 
-def definitions_for(spark: SparkSession, sf_dir: str, part: DataFrame) -> DataFrame:
-    asked = part.select(F.col("p_partkey").alias("req_id"), F.concat(F.lit("file:///use/"), F.col("p_partkey").cast("string"), F.lit(".cfm")).alias("uri"), F.lit(0).alias("line"), F.lit(8).alias("character"), F.concat(F.lit("x.do("), F.lit("make_"), F.col("p_partkey").cast("string"), F.lit("());")).alias("text"))
+@registered("definition_requests", f"""
+with q as (select p_partkey as req_id, 'make_' || p_partkey as k from part)
+select q.req_id, d.uri, d.line, cast(count(*) over (partition by q.req_id) as integer) as n_locations from q join ({DEFS}) d on d.name_key = q.k
+""")
+def definition_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request a part, with the cursor in a call of its function."""
+    asked = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("req_id"), F.concat(F.lit("file:///use/"), F.col("p_partkey").cast("string"), F.lit(".cfm")).alias("uri"), F.lit(0).alias("line"), F.lit(8).alias("character"), F.concat(F.lit("x.do("), F.lit("make_"), F.col("p_partkey").cast("string"), F.lit("());")).alias("text"))
     return requests.definitions(asked, asked.select("uri", "text"), defs(spark, sf_dir))
 
 
-@registered("document_symbols", f"select cast(part.p_partkey as bigint) as req_id, d.name, d.line from part join ({DEFS}) d on d.uri = 'file:///shop/' || replace(lower(p_brand), '#', '_') || '_' || (part.p_partkey // {rendered.ROWS}) || '.cfc' where part.p_size = 7")
-def document_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return symbols_for(spark, sf_dir, table(spark, sf_dir, "part").where("p_size = 7"))
+# --- real files: written below the shared folder, then scanned ---
 
 
-@registered("definition_requests", f"""
-with q as (select p_partkey as req_id, 'make_' || p_partkey as k from part where p_size < 10)
-select q.req_id, d.uri, d.line, cast(count(*) over (partition by q.req_id) as integer) as n_locations from q join ({DEFS}) d on d.name_key = q.k
+def written_tree(spark: SparkSession, sf_dir: str) -> str:
+    """The rendered tree of files in a folder of its own; its path on the shared file system."""
+    root = f"{shared_dir(spark)}/lexloom/tree-{uuid.uuid4().hex}"
+    write_files(rendered.tree(spark, sf_dir), root)
+    return root
+
+
+def below(root: str) -> Column:
+    """The path below the root."""
+    return F.element_at(F.split("uri", re.escape(root.rpartition("/")[2]) + "/", 2), 2)
+
+
+@registered("source_scan", f"""
+select path, cast(case when bool_or(script) then count(*) + 3 else 5 * count(*) + 2 end as bigint) as n_lines from ({rendered.TREE_SQL}) where not ends_with(path, '.txt') group by path
+union all select 'none/empty.cfc', 0
 """)
-def definition_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return definitions_for(spark, sf_dir, table(spark, sf_dir, "part").where("p_size < 10"))
+def source_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder with hidden and empty files, capitals in extensions and other files."""
+    root = written_tree(spark, sf_dir)
+    return files_source.scan(spark, [root]).select(below(root).alias("path"), tx.newlines("text").cast("long").alias("n_lines"))
 
 
-@registered("document_symbols_all", f"select cast(part.p_partkey as bigint) as req_id, d.name, d.line from part join ({DEFS}) d on d.uri = 'file:///shop/' || replace(lower(p_brand), '#', '_') || '_' || (part.p_partkey // {rendered.ROWS}) || '.cfc'")
-def document_symbols_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As document_symbols, asked for every part, so that every rendered file is read."""
-    return symbols_for(spark, sf_dir, table(spark, sf_dir, "part"))
+@registered("mixed_paths_scan", f"select distinct path from ({rendered.TREE_SQL}) where not ends_with(path, '.txt') and (b = 12 or path = 'brand_13/0.cfc' or regexp_matches(path, '^brand_[1-3][^/]*/[0-3][.]cfc$') or ends_with(path, '5.cfc'))")
+def mixed_paths_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder, a file, a glob of one level, one of any level and a missing path, which overlap."""
+    root = written_tree(spark, sf_dir)
+    paths = ["brand_12", "brand_13/0.cfc", "brand_[1-3]*/[0-3].cfc", "**/*5.cfc", "brand_99"]
+    return files_source.scan(spark, [f"{root}/{p}" for p in paths]).select(below(root).alias("path"))
 
 
-@registered("definition_requests_all", f"""
-with q as (select p_partkey as req_id, 'make_' || p_partkey as k from part)
-select q.req_id, d.uri, d.line, cast(count(*) over (partition by q.req_id) as integer) as n_locations from q join ({DEFS}) d on d.name_key = q.k
+@registered("workspace_defs", f"""
+select path, name, line from (select path, name, cast(case when script then 2 + place else 1 + 5 * place end as integer) as line, hidden, b from ({rendered.TREE_SQL})) where not hidden and ends_with(path, '.cfc') and b // 10 = 2
+""")
+def workspace_defs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A workspace with a configuration file of folders and globs, scanned and extracted; globs whose folder is not configured drop out."""
+    root = written_tree(spark, sf_dir)
+    paths = [f"{'.' if b % 10 == 4 else ''}brand_{b}" for b in range(20, 30)]
+    text = json.dumps({"workspaceName": "shop", "workspacePaths": paths, "workspaceIndexGlobs": [f"{p}/**/*.cfc" for p in paths] + ["elsewhere/**"]})
+    write_files(spark.createDataFrame([(config.FILE, text), ("brand_20/" + config.FILE, "{ broken")], "path string, text string"), root)
+    c = config.find_config(f"{root}/brand_20")
+    found = files_source.scan_workspace(spark, c.folders(), c.index_globs(), [root])
+    return extract.function_defs(found).select(below(root).alias("path"), "name", "line")
+
+
+MIXED_SQL = f"""
+  select uri, p_partkey, p_size % 2 = 0 as tag, p_partkey % 7 = 0 as hidden, 1 + place as line from ({rendered.ROWS_SQL.format(rename="false")})
+"""
+
+
+@registered("mixed_regions", f"""
+select uri, kind, start_line from (
+  select uri, 'tag' as kind, 0 as start_line from ({MIXED_SQL}) group by uri
+  union all select uri, case when tag then 'tag' else 'script' end, cast(line as integer) from ({MIXED_SQL}))
+""")
+def mixed_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of tags and script blocks in turn; blank regions are left out."""
+    return extract.regions(rendered.mixed(spark, sf_dir)).select("uri", "kind", "start_line")
+
+
+@registered("mixed_defs", f"""
+select uri, case when tag then 'Tag_' else 'Script_' end || p_partkey as name, cast(line as integer) as line, case when tag then 'a' else 'b' end as arg_name, not tag as required from ({MIXED_SQL}) where not hidden
+""")
+def mixed_defs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = extract.function_defs(rendered.mixed(spark, sf_dir)).select("uri", "name", "line", F.explode("arguments").alias("a"))
+    return d.select("uri", "name", "line", F.col("a.name").alias("arg_name"), F.col("a.required").alias("required"))
+
+
+@registered("catalog_from_json", f"""
+select 'tag' as type, name, description, cast(r_regionkey as bigint) as n_params_or_key from ({TAGS_SQL}) union all select 'function', 'To' || replace(n_name, ' ', ''), 'Makes ' || n_name, 1 from nation
+""")
+def catalog_from_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file an entry, some of them malformed or of another type, read and put in order."""
+    c = catalog(spark, sf_dir)
+    entry = F.to_json(F.struct(*(F.col(x) for x in c.columns if x != "ord"), F.lit(1).alias("unknown")))
+    rows = c.select(F.concat("type", F.lit("/"), "name", F.lit(".json")).alias("path"), entry.alias("text"), F.col("ord"))
+    bad = spark.createDataFrame([("tag/bad.json", "{ broken"), ("tag/member.json", '{"name": "m", "type": "member"}'), ("tag/note.txt", '{"name": "t", "type": "tag"}')], "path string, text string")
+    root = f"{shared_dir(spark)}/lexloom/catalog-{uuid.uuid4().hex}"
+    write_files(rows.select("path", "text").unionByName(bad), root)
+    found = cat.in_order(cat.read_catalog(spark, f"{root}/tag").unionByName(cat.read_catalog(spark, f"{root}/function")))
+    key = table(spark, sf_dir, "region").select(F.concat(F.lit("cf"), F.lower(F.replace("r_name", F.lit(" "), F.lit("")))).alias("name"), F.col("r_regionkey").cast("long").alias("key"))
+    return found.join(key, "name", "left").select("type", "name", "description", F.coalesce("key", F.size("params").cast("long")).alias("n_params_or_key"))
+
+
+@registered("document_changes", """
+with e as (select user_id, event_type, event_id, ts, value, case event_id % 4 when 0 then null when 1 then event_type when 2 then 'second' else 'third' end as text from events),
+k as (select *, row_number() over (partition by user_id, event_type order by ts desc, event_id desc) as k from e where text is not null or value < 20)
+select user_id, event_type as uri, event_id as seq, text from k where k = 1 and value >= 20
+""")
+def document_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Opens and changes of none, one and several elements; only the last one of a change counts, and one of none changes nothing."""
+    e, n = table(spark, sf_dir, "events"), F.pmod("event_id", F.lit(4))
+    changes = F.when(n == 0, F.array().cast("array<string>")).when(n == 1, F.array("event_type")).when(n == 2, F.array(F.lit("first"), F.lit("second"))).otherwise(F.array(F.lit("a"), F.lit("b"), F.lit("third")))
+    op = F.when(F.col("value") < 20, "close").when(n == 1, "open").otherwise("change")
+    rows = e.select("user_id", F.col("event_type").alias("uri"), F.struct("ts", "event_id").alias("seq"), op.alias("op"), changes.alias("changes"))
+    return feed.document_state(rows, "user_id", "uri").select("user_id", "uri", F.col("seq.event_id").alias("seq"), "text")
+
+
+@registered("included_files", f"""
+select distinct case when k % 2 = 0 then uri when k % 3 = 0 then replace(uri, '.cfc', '.CFC') end as uri
+from ({rendered.TREE_SQL}) where (k % 2 = 0 or k % 3 = 0) and substr(cast(b as varchar), 1, 1) in ('1', '3')
+""")
+def included_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edited files, of which some are no components and some in no configured folder, whose name another folder's begins with."""
+    k, b = F.regexp_extract("uri", r"_(\d+)[.]cfc", 1).cast("int"), F.regexp_extract("uri", r"brand_(\d+)_", 1)
+    ending = F.when(k % 2 == 0, ".cfc").when(k % 3 == 0, ".CFC").otherwise(".cfm")
+    f = files(spark, sf_dir).select(F.concat(F.lit("file:///shop/b"), F.substring(b, 1, 1), F.lit("/"), F.regexp_replace("uri", "^file:///shop/|[.]cfc$", ""), ending).alias("uri"), "text")
+    return index.accepts(f, ["/shop/b1", "/shop/b3", "/shop/b"], []).select(F.concat(F.lit("file:///shop/"), F.substring_index("uri", "/", -1)).alias("uri"))
+
+
+@registered("workspace_feed", f"""
+select uri, name, line from ({rendered.defs_sql("p_size % 2 = 0")}) where regexp_matches(uri, '[02468][.]cfc$') and not starts_with(uri, 'file:///shop/brand_1')
+union all select uri, name, line from ({DEFS}) where not regexp_matches(uri, '[02468][.]cfc$') and not starts_with(uri, 'file:///shop/brand_1')
+union all select uri, name, line from ({rendered.defs_sql("p_size % 2 = 0")}) where starts_with(uri, 'file:///shop/brand_13_')
 """)
-def definition_requests_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As definition_requests, asked for every part."""
-    return definitions_for(spark, sf_dir, table(spark, sf_dir, "part"))
+def workspace_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A workspace that takes its files from two sessions in two micro-batches: all are opened; then some change, a folder goes, and files
+    of it are changed again. A second Workspace over the same folder takes the second batch."""
+    root = f"{shared_dir(spark)}/lexloom/workspace-{uuid.uuid4().hex}"
+    rows = lambda f, seq, op: f.select(F.lit(seq).cast("long").alias("seq"), F.when(F.col("uri").rlike("[02468][.]cfc$"), "a").otherwise("b").alias("session_id"), F.lit(op).alias("op"), "uri", F.array(F.lit("old"), "text").alias("changes"))
+    gone = spark.createDataFrame([(3, None, "folder_removed", "file:///shop/brand_1", None)], DOC_CHANGES)
+    second = files(spark, sf_dir, 1)
+    feed.Workspace(spark, root, buckets=16).start().take(rows(files(spark, sf_dir), 1, "open"), 0)
+    w = feed.Workspace(spark, root)
+    w.take(rows(touched(spark, sf_dir), 2, "change").unionByName(gone).unionByName(rows(second.where("uri like 'file:///shop/brand_13\\\\_%'"), 4, "change")), 1)
+    return w.defs.select("uri", "name", "line")

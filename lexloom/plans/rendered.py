@@ -51,3 +51,38 @@ DEFS_SQL = """select uri, name, lower(name) as name_key, p_size, cast(case when
 
 def defs_sql(rename: str = "false") -> str:
     return DEFS_SQL.format(rows=ROWS_SQL.format(rename=rename))
+
+
+# --- the same functions as a tree of files, and in files that mix tags and scripts ---
+
+#: The path of a file of the tree: hidden folders and files, extensions in capitals, and files that are no components.
+TREE_SQL = f"""
+  select *, case when b % 10 = 4 then '.' else '' end || 'brand_' || b || '/' || case when k % 7 = 2 then '_' else '' end || k
+    || case when k % 5 = 4 then '.txt' when k % 3 = 1 then '.CFC' else '.cfc' end as path
+  from (select *, cast(regexp_extract(uri, 'brand_(\\d+)_', 1) as integer) as b, cast(regexp_extract(uri, '_(\\d+)[.]cfc', 1) as integer) as k from ({ROWS_SQL.format(rename="false")}))
+"""
+
+
+def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, text: the rendered files under folders by brand, and one empty file."""
+    b, k = (F.regexp_extract("uri", p, 1).cast("int") for p in (r"brand_(\d+)_", r"_(\d+)[.]cfc"))
+    path = F.concat(
+        F.when(b % 10 == 4, ".").otherwise(""), F.lit("brand_"), b.cast("string"), F.lit("/"), F.when(k % 7 == 2, "_").otherwise(""), k.cast("string"),
+        F.when(k % 5 == 4, ".txt").when(k % 3 == 1, ".CFC").otherwise(".cfc"),
+    )
+    none = spark.range(1).select(F.lit("none/empty.cfc").alias("path"), F.lit("").alias("text"))
+    return files(spark, sf_dir).select(path.alias("path"), "text").unionByName(none)
+
+
+def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """uri, text: a file a brand and block in which parts of even size are tag functions and others are script blocks, each part a
+    line, with a blank script block before it; a part whose number 7 divides stands in a comment that begins inside its line."""
+    p = keyed(spark.read.parquet(f"{sf_dir}/part.parquet"))
+    k, hidden = F.col("p_partkey").cast("string"), F.col("p_partkey") % 7 == 0
+    tag = F.concat(F.lit('<cffunction name="Tag_'), k, F.lit('"><cfargument name="a" type="any"></cffunction>'))
+    script = F.concat(F.lit("function Script_"), k, F.lit("(required any b) {}"))
+    tag = F.when(hidden, F.concat(F.lit("<!--- "), tag, F.lit(" --->"))).otherwise(tag)
+    script = F.concat(F.lit("<CFScript>"), F.when(hidden, F.concat(F.lit("/* "), script, F.lit(" */"))).otherwise(script), F.lit("</cfscript>"))
+    line = F.concat(F.lit("<cfscript> </cfscript>"), F.when(F.col("p_size") % 2 == 0, tag).otherwise(script), F.lit("\n"))
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", line.alias("t")))), lambda x: x["t"]), "")
+    return p.groupBy("uri").agg(F.concat(F.lit("<cfcomponent>\n"), body).alias("text"))

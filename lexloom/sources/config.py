@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 import posixpath
 from dataclasses import dataclass, field
 
@@ -12,6 +11,8 @@ from pyspark.sql import functions as F
 
 from lexloom.functions.text import socket_name
 from lexloom.schemas import CONFIG
+from lexloom.sources.files import opened
+from lexloom.sources.globs import SCHEME
 
 FILE = ".workspace.json"  # the default only: find_config takes the name that a project uses
 
@@ -22,10 +23,11 @@ class Config:
     name: str
     paths: list[str] = field(default_factory=list)
     globs: list[str] = field(default_factory=list)
+    scheme: str = ""  # what makes paths on this file system uris
 
     def folders(self) -> list[str]:
         """Absolute folders, relative ones taken from the file's folder."""
-        return [posixpath.normpath(posixpath.join(posixpath.dirname(self.path), p)) for p in self.paths]
+        return [self.scheme + posixpath.normpath(posixpath.join(posixpath.dirname(self.path), p)) for p in self.paths]
 
     def index_globs(self) -> list[str]:
         """Globs with the folder's name at their head replaced by the folder; others are dropped; of two folders of one name
@@ -37,13 +39,14 @@ class Config:
 
 def find_config(folder: str, file: str = FILE) -> Config | None:
     """The first usable file in the folder or its parent; missing, malformed and nameless ones are passed over."""
-    for where in (folder, os.path.dirname(os.path.abspath(folder))):
-        path = os.path.join(where, file)
+    fs, inner, scheme = opened(folder)
+    for where in (inner, posixpath.dirname(inner)):
+        path = posixpath.join(where, file)
         try:
-            with open(path, encoding="utf-8") as f:
-                raw = json.load(f)
+            with fs.open_input_stream(path) as f:
+                raw = json.loads(f.read())
             if raw.get("workspaceName"):
-                return Config(path, raw["workspaceName"], list(raw.get("workspacePaths") or []), list(raw.get("workspaceIndexGlobs") or []))
+                return Config(path, raw["workspaceName"], list(raw.get("workspacePaths") or []), list(raw.get("workspaceIndexGlobs") or []), scheme if SCHEME.match(folder) else "")
         except (OSError, ValueError, AttributeError):
             continue
     return None

@@ -21,10 +21,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from lexloom.schemas import FILES
-from lexloom.sources.globs import META, expand, listed, or_none, split_pattern
+from lexloom.sources.globs import META, SCHEME, expand, listed, or_none, split_pattern
 
 EXTENSION = ".cfc"
-SCHEME = re.compile(r"^([a-z][a-z0-9+.-]*://)", re.I)
 
 
 def file_uri(path: str) -> str:

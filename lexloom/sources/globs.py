@@ -15,6 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 META = re.compile(r"[*?\[\\]")
+SCHEME = re.compile(r"^([a-z][a-z0-9+.-]*://)", re.I)
 
 
 class BadPattern(ValueError):
@@ -52,8 +53,9 @@ def split_pattern(pattern: str) -> tuple[str, str] | None:
     """(folder, base-name pattern) of a pattern with "**", at the first one."""
     if "**" not in pattern:
         return None
-    base, _, rest = pattern.partition("**")
-    return posixpath.normpath(base) if base else ".", rest.removeprefix("/")
+    scheme = m[1] if (m := SCHEME.match(pattern)) else ""
+    base, _, rest = pattern.removeprefix(scheme).partition("**")
+    return scheme + (posixpath.normpath(base) if base else "."), rest.removeprefix("/")
 
 
 def matches(path: Column, globs: list[str]) -> Column:

@@ -32,11 +32,3 @@ def test_query(spark, duck, name):
 def test_entry_point(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert __spark_entry__.oracle_sql().keys() <= __spark_entry__.queries().keys()
-
-
-def test_every_part_is_asked_for(spark):
-    part = spark.read.parquet(f"{SF}/part.parquet")
-    shown = part.where("p_partkey % 7 != 0").select("p_partkey").toPandas().p_partkey.tolist()
-    assert {r.req_id for r in registry.QUERIES["definition_requests_all"](spark, SF).collect()} == set(shown)
-    symbols = registry.QUERIES["document_symbols_all"](spark, SF).select("name").distinct().collect()
-    assert {r.name for r in symbols} == {f"Make_{k}" for k in shown}
