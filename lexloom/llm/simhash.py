@@ -27,6 +27,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -165,48 +166,55 @@ def linked(fps: DataFrame) -> DataFrame:
 
 
 def grouped(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """docs (doc_id, text) to doc_id, fp, component_id, names_it."""
+    """docs (doc_id, text) to doc_id, fp, component_id, root."""
     prints, _ = written(spark, docs.select("doc_id", fingerprints(shingle).alias("fp")), "fingerprints")
     return with_groups(spark, prints)
 
 
 def with_groups(spark: SparkSession, prints: DataFrame) -> DataFrame:
-    """prints (doc_id, fp) to doc_id, fp, component_id, names_it: whether fp is the one of its group that holds the naming
-    document, the smallest such fp where that doc_id comes with several."""
+    """prints (doc_id, fp and others) with component_id, the smallest doc_id of the group, and root, a fingerprint that stands for it."""
     since = mark()
     nodes, _ = written(spark, prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
     links, _ = written(spark, linked(nodes), "pairs")
     roots = components(spark, links)
     # both sides of each further join are tables, so that the join deals them anew and can split a hot root or fingerprint
-    mine, _ = written(spark, nodes.join(roots, nodes.fp == roots.node).select("fp", "root", "low"), "rooted")
-    first = F.min(F.struct(F.col("low").isNull().alias("no_id"), "low", "fp"))
-    firsts, _ = written(spark, mine.groupBy("root").agg(first.alias("first")), "firsts")
-    named = mine.join(firsts, "root").select(F.col("fp").alias("node"), F.col("first.low").alias("component_id"), (F.col("fp") == F.col("first.fp")).alias("names_it"))
-    names = nodes.join(named, nodes.fp == named.node, "left").select(nodes.fp.alias("node"), F.coalesce("component_id", "low").alias("component_id"), F.coalesce("names_it", F.lit(True)).alias("names_it"))
-    names, path = written(spark, names, "names")
+    mine, _ = written(spark, nodes.join(roots, nodes.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "low"), "rooted")
+    firsts, _ = written(spark, mine.groupBy("root").agg(F.min("low").alias("component_id")), "firsts")
+    names, path = written(spark, mine.join(firsts, "root").select(F.col("fp").alias("node"), "component_id", "root"), "names")
     cleared(spark, since, path)
-    return prints.join(names, prints.fp == names.node).select("doc_id", "fp", "component_id", "names_it")
+    return prints.join(names, prints.fp == names.node).drop("node")
+
+
+def numbered(text: str = "text"):
+    """A column: each text's fingerprint, and a number of its row. To be written at once, as a task that is run again may meet its
+    rows in another order."""
+
+    @F.arrow_udf("fp long, row long")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        held(None, lambda: None)
+        at = TaskContext.get().partitionId() << 40
+        for texts in batches:
+            fp = np.array([fingerprint(t.as_py()) for t in texts], np.uint64).view(np.int64)
+            yield pa.StructArray.from_arrays([pa.array(fp), pa.array(np.arange(at, at + len(fp)))], ["fp", "row"])
+            at += len(fp)
+
+    return run.asNondeterministic()(text)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """One document of each group, the one that names it; what other columns docs has stays as it is, whatever their names.
+    """One document of each group, the one with the smallest doc_id, of several such rows the first written; what other columns docs has
+    stays as it is, whatever their names.
 
-    Rows go by doc_id and fingerprint together, so that a null or repeated doc_id in one group takes no row out of another. Of
-    rows that repeat a doc_id in one group, one stays. A group in which every doc_id is null keeps one row of each text.
+    Rows are told apart by numbers of their own and not by doc_id, so that a null or repeated doc_id in one group takes no row
+    out of another. Null doc_ids come last. Only numbers are grouped; the texts are joined once with the rows that stay.
     """
-    of, id_, print_, key, row = fresh(docs, "_fp", "_id", "_of", "_text", "_row")
-    marked, _ = written(spark, docs.withColumn(of, fingerprints()), "marked")
-    ids = with_groups(spark, marked.select("doc_id", F.col(of).alias("fp")))
-    stays = F.expr("component_id is null or (names_it and doc_id <=> component_id)")
-    these = lambda rows: F.col("doc_id").eqNullSafe(rows[id_]) & (F.col(of) == rows[print_])
-    pairs = [F.col("doc_id").alias(id_), F.col("fp").alias(print_)]
-    gone = ids.where(~stays).select(*pairs).distinct()
-    kept = marked.join(gone, these(gone), "left_anti")
-    twice = ids.where(stays).groupBy(*pairs).agg(F.count("*").alias(key)).where(F.col(key) > 1).select(id_, print_)
-    once = kept.join(twice, these(twice), "left_anti").select(*docs.columns)
-    again = kept.join(twice, these(twice), "left_semi").groupBy("doc_id", of, F.when(F.col("doc_id").isNull(), F.col("text")).alias(key))
-    one = again.agg(F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias(row))
-    return once.unionByName(one.select(*(F.col(row)[c].alias(c) for c in docs.columns)))
+    (print_,) = fresh(docs, "_print")
+    marked, _ = written(spark, docs.withColumn(print_, numbered()), "marked")
+    rows = with_groups(spark, marked.select("doc_id", F.col(print_)["fp"].alias("fp"), F.col(print_)["row"].alias("row")))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
+    (stays,) = fresh(marked, "_stays")
+    kept = rows.groupBy("root").agg(first.alias("first")).select(F.col("first.row").alias(stays))
+    return marked.join(kept, marked[print_]["row"] == F.col(stays), "left_semi").select(*docs.columns)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -417,13 +417,87 @@ def test_chat(spark, folder):
     c.sql(f"create view conversations as select * from '{sf}/conversations.parquet/*.parquet'")
     fields = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     assert {r[0]: r for r in c.sql(f"select {', '.join(fields)} from ({chat.ORACLE})").fetchall()} == {k: tuple(r[f] for f in fields) for k, r in got.items()}
-    base = spark.createDataFrame([t for t in talk if t[0] == 1], CHAT)
-    w = sorted(chat.formatted(base).collect(), key=lambda r: (r.block, r.window))
-    assert len(w) > 5 and all(r.formatted.startswith("### system:\nBe: good.</turn>\n") for r in w)
-    assert len({r.block for r in w}) == 4 and all(r.n_repeated >= 1 for r in w[1:]) and any(r.n_repeated >= 2 for r in w[1:]) and w[0].n_repeated == 0
+
+
+def plain_windows(turns):
+    """Windows of one conversation by plain loops: (repeated, own) as lists of places, in order."""
+    size = [len(t[3] or "") // chat.LETTERS + chat.OVERHEAD for t in turns]
+    lead = 0 if turns[0][2] == "system" and size[0] <= chat.LEAD else None
+    led = size[0] if lead == 0 else 0
+    out, blocks = [], {}
+    for i, t in enumerate(turns):
+        blocks.setdefault((t[1] if t[1] is not None else -(1 << 60)) // chat.BLOCK, []).append(i)
+    tail = []
+    for b in sorted(blocks):
+        seen, fill = list(tail), None
+        for i in blocks[b]:
+            past, total = [], 0
+            for j in reversed(seen):
+                if total + size[j] > chat.HISTORY:
+                    break
+                total, past = total + size[j], [j, *past]
+            if led + total + size[i] > chat.BUDGET:
+                total, past = 0, []
+            if fill is not None and fill + size[i] <= chat.BUDGET:
+                fill += size[i]
+                out[-1][1].append(i)
+            else:
+                fill = size[i] + (0 if i == lead else led + total)
+                out.append(([] if i == lead or lead is None else [lead], [i]))
+                out[-1][0].extend([] if i == lead else past)
+            if i != lead:
+                seen.append(i)
+        tail, total = [], 0
+        for turn in sorted({turns[i][1] for i in blocks[b] if turns[i][1] is not None}, reverse=True):
+            same = [i for i in blocks[b] if turns[i][1] == turn and not (turns[0][2] == "system" and turn == turns[0][1] and turns[i][2] == "system" and b == min(blocks))]
+            if same and total + sum(size[i] for i in same) > chat.HISTORY:
+                break
+            total += sum(size[i] for i in same)
+            tail = same + tail
+    return out, size
+
+
+def test_windows_against_plain_loops(spark):
+    rng = random.Random(26)
+    talks = []
+    for conv in range(40):
+        n, big = rng.choice([1, 5, 60, 200]), rng.choice([50, 400, 3000, 12_000])
+        first = [(conv, -5, "system", "s" * rng.choice([0, 900, 2016, 2020, 12_000]))] if rng.random() < 0.7 else []
+        talks.append(first + [(conv, rng.randint(0, 1 + (conv % 5 == 4)) + 2 * i, rng.choice(["user", "assistant"]), "x" * rng.randint(0, big)) for i in range(n)])
+    talks.append([(99, 0, "system", "s" * 12_000), *((99, i, ("user", "assistant")[i % 2], "y" * 700) for i in range(1, 130))])
+    got = {}
+    for r in chat.formatted(spark.createDataFrame([t for talk in talks for t in talk], CHAT)).collect():
+        got.setdefault(r.conv_id, []).append(r)
+    for talk in talks:
+        talk.sort(key=lambda t: (t[1], t[2], t[3]))
+        windows, size = plain_windows(talk)
+        rows_ = sorted(got[talk[0][0]], key=lambda r: (r.block, r.window))
+        line = lambda i: f"### {talk[i][2]}:\n{talk[i][3]}</turn>\n"  # noqa: B023, E731
+        assert [(r.n_repeated, r.n_own, r.formatted) for r in rows_] == [(len(a), len(b), "".join(map(line, a + b))) for a, b in windows]
+        for r, (a, b) in zip(rows_, windows):
+            assert r.tokens == sum(size[i] for i in a + b)
+            assert r.tokens <= chat.BUDGET or r.n_own == 1 and r.n_repeated <= 1
+        blocks = {r.block for r in rows_}
+        if max(size) <= chat.HISTORY and len(blocks) > 1 and len({t[1] for t in talk}) == len(talk):
+            led = talk[0][2] == "system"
+            assert all(r.n_repeated >= 1 + led for r in rows_[2:]), talk[0][0]  # the first one may hold the system turn alone
+    full = [sum(len(r.formatted) for r in got[99]), len(got[99])]
+    assert full[0] / full[1] > 5000  # ordinary windows are filled
+
+
+def test_chat_windows_and_masks(spark):
+    talk = [(1, 0, "system", "Be: good."), *[(1, i, ("user", "assistant")[i % 2], f"{i} <ok> " * 40) for i in range(1, 200)]]
+    w = sorted(chat.formatted(spark.createDataFrame(talk, CHAT)).collect(), key=lambda r: (r.block, r.window))
+    assert len({r.block for r in w}) == 4 and all(r.formatted.startswith("### system:\nBe: good.</turn>\n") for r in w)
+    assert w[0].n_repeated == 0 and all(r.n_repeated >= 2 for r in w[1:])
     for r in w:
         for s in r.loss:
             assert r.formatted[: s.start].endswith("### assistant:\n") and r.formatted[s.start + s.length :].startswith("</turn>\n")
+    assert sum(len(r.loss) for r in w) == 100  # each assistant turn once
+
+
+def test_chat_of_nothing(spark, folder):
+    assert [r.conv_id for r in chat.op6(spark, folder(conversations=([], CHAT))).collect()] == [-7]
 
 
 def test_chat_is_native(spark, folder):
