@@ -137,7 +137,8 @@ def nearest(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, to
             rows = rows[low[rows] <= np.partition(high, top - 1)[top - 1]]
         if not len(rows):
             continue
-        d = np.sqrt(((v[rows] - q[i]) ** 2).sum(1))
+        with np.errstate(over="ignore"):
+            d = np.sqrt(((v[rows] - q[i]) ** 2).sum(1))
         best = np.lexsort((ids[rows], d))[:top]
         if bound is not None:
             best = best[(d[best] < bound[i]) | ((d[best] == bound[i]) & (ids[rows[best]] < bound_id[i]))]
@@ -257,7 +258,7 @@ def met_in(spark: SparkSession, index: DataFrame, asked: DataFrame, tenth: DataF
         there, place = np.unique(vs.column("leaf").to_numpy(), return_inverse=True)
         visits = np.stack([np.isin(there, np.array(x, np.int64)) for x in qs.column("leaves").to_pylist()])
         bound = qs.column("bound").fill_null(float("inf")).to_numpy()
-        bound_id = qs.column("bound_id").fill_null(0).to_numpy()
+        bound_id = qs.column("bound_id").fill_null(np.iinfo(np.int64).max).to_numpy()
         got = nearest(qs.column("query_id").to_numpy(), matrix(qs.column("q"), dim), vs.column("vec_id").to_numpy(), matrix(vs.column("v"), dim), top, visits[:, place], bound, bound_id)
         return pa.table([pa.array(x) for x in got], schema=FOUND)
 

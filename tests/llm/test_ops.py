@@ -13,6 +13,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lexloom.llm import ann, bpe, chat, html, langid, licenses, packing, quality, sharding, simhash, token_ids
@@ -54,6 +55,8 @@ def test_licenses(spark, folder):
     assert by["SPDX-License-Identifier: BSD 3-Clause"].labels == "bsd-3-clause"
     assert by["GNU Affero General Public License"].labels == "agpl-3.0"
     assert by["die mit den"].labels == ""
+    again = documents("MIT License, 2020", "MIT License, 2020", None)
+    assert rows(licenses.op1(spark, folder(documents=(again[0] + again[0][:1], again[1]))), "doc_id", "labels", "n_base") == [(0, "mit", 1), (0, "mit", 1), (1, "mit", 1), (2, "", 0)]
     assert licenses.op1(spark, folder(documents=([], DOCS))).count() == 0
 
 
@@ -269,6 +272,48 @@ def test_an_outlier_has_its_neighbours_too(spark, folder):
     assert got == [(q, k) for q in range(0, 12_000, 100) for k in range(1, 11)]
 
 
+def test_clustered_vectors_are_found_in_few_leaves(spark, monkeypatch):
+    """What the tree is for: where vectors stand in clusters, a small part of them is compared; and the rounds give out few rows."""
+    rng = np.random.default_rng(31)
+    centres = rng.normal(size=(150, 24))
+    v = centres[rng.integers(0, 150, 12_000)] + 0.15 * rng.normal(size=(12_000, 24))
+    seen = []
+    old = ann.calibrated
+    monkeypatch.setattr(ann, "calibrated", lambda spark, tree, *a: seen.append((old(spark, tree, *a), tree)) or seen[-1][0])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {}
+    for q, i in rows(ann.search(spark, df), "query_id", "vec_id"):
+        got.setdefault(q, []).append(i)
+    want = true_neighbours(dict(enumerate(v)))
+    assert sum(len(set(got[q]) & set(want[q])) for q in want) >= 0.9 * 10 * len(want)
+    visits, tree = seen[0]
+    sizes = np.bincount(tree.assigned(v), minlength=tree.leaves)
+    compared = np.mean([sum(sizes[leaf] for leaf in tree.leaves_by_distance(v[q], visits)) for q in want]) / len(v)
+    assert compared < 0.2
+
+
+def test_rounds_give_the_same_as_one_look(spark, monkeypatch):
+    rng = np.random.default_rng(32)
+    v = np.round(rng.normal(size=(3000, 4)), 1)  # many ties
+    v[:900] = v[0]  # a hot vector
+    df = spark.createDataFrame([(i // 2 if i > 2900 else i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    answers = []
+    for first, cell, lot in ((4, 4096, 512), (1, 64, 2), (10_000, 10_000, 512)):
+        monkeypatch.setattr(ann, "FIRST", first)
+        monkeypatch.setattr(ann, "CELL", cell)
+        monkeypatch.setattr(ann, "LOT", lot)
+        answers.append(rows(ann.search(spark, df), "query_id", "rank", "vec_id", "score"))
+    assert answers[0] == answers[1] == answers[2]
+
+
+def test_very_large_and_very_small_vectors(spark):
+    data = [(0, [1e200, 0.0]), (1, [1e200, 1e190]), (2, [-1e200, 0.0]), (3, [1e-200, 0.0]), (100, [2e-200, 0.0])]
+    got = {}
+    for r in ann.search(spark, spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    assert sorted(got) == [0, 100] and sorted(got[0])[0] == (1, 1) and sorted(got[100])[0] == (1, 3) and len(got[0]) == len(got[100]) == 4
+
+
 # 4, 5
 
 
@@ -364,6 +409,10 @@ def test_packing(spark, folder):
     sizes = [r.length for r in out]
     assert n <= 1.15 * -(-sum(sizes) // 2048)  # forty scraps of a few documents each
     check_packed(packing.op5(spark, sf).collect(), texts)
+    twice = [(1, "some words here", "en", "s", 1), (1, "some words here", "en", "s", 1), (None, None, None, None, None), (None, None, None, None, None)]
+    out = packing.op5(spark, folder(documents=(twice, DOCS))).collect()
+    assert sorted((r.doc_id or 0, r.piece, r.start, r.length) for r in out) == [(0, 0, 0, 1)] * 2 + [(1, 0, 0, out[0].length if out[0].doc_id else max(r.length for r in out))] * 2
+    assert sorted(r.offset for r in out)[0] == 0 and len({r.sequence_id for r in out}) == 1
     assert packing.op5(spark, folder(documents=([], DOCS))).count() == 0
 
 
@@ -535,6 +584,57 @@ def test_quality(spark, folder):
     assert not quality.judged(shouted)["base_failed"] and not quality.judged(shouted)["kept"]
 
 
+def plain_fault(line):
+    """Whether a line breaks a rule, rule by rule."""
+    words = line.split()
+    shares = len(words) >= 3
+    symbols = sum(c in "#*$%&|<>" for c in line) > 0.1 * sum(map(len, words))
+    separators = shares and sum(w in quality.SEPARATORS for w in words) / len(words) > 0.2
+    exclaimed = shares and line.count("!") / len(words) > 0.3
+    letters = [c for c in line if c.isalpha()]
+    shouted = shares and len(letters) >= 10 and sum(c.isupper() for c in letters) / len(letters) > 0.7
+    plain = " ".join(re.sub(r"[.,;:!?…()\[\]\"'&/|–—-]", " ", line.lower()).split())
+    menu = plain and sum(w in quality.MENU for w in plain.split()) / len(plain.split()) > 0.5
+    found = sum(len(m[0]) for w, p in quality.PHRASES.items() if w in plain.split() for m in re.finditer(rf"\b(?:{p})\b", plain))
+    unstopped = len(words) >= 60 and not re.search(r"[.,;:!?…。，！？]", line)
+    return symbols or separators or exclaimed or shouted or menu or (found > 0 and found >= 0.1 * len(plain)) or unstopped
+
+
+def plain_verdict(text):
+    n, chars, _, _, again = plain_counts(text)
+    lost, seen = 0, set()
+    for line in text.split("\n"):
+        if words := re.findall(r"[^\x20\x09-\x0D]+", line):
+            if plain_fault(line) or (len(line.strip(" \t\n\x0b\x0c\r")) >= 20 and line in seen):
+                lost += sum(map(len, words))
+            else:
+                seen.add(line)
+    return n >= 50 and 100 * again <= 50 * n and lost <= 0.5 * chars
+
+
+def test_verdicts_against_plain_rules():
+    rng = random.Random(27)
+    pieces = ["all rights reserved", "Home", "Login", "|", "»", "wow!", "LOUD WORDS HERE", "a plain sentence, with a stop.", "#$%", "click here", "cookie policy", "Impressum", "read more", "the rest of it", "\n", "\n", "é ü", "one line that comes again and again\n", "tie"]
+    kept = 0
+    for _ in range(1500):
+        text = " ".join(rng.choice(pieces) + (f" {rng.randint(0, 999)}" if rng.random() < 0.5 else "") for _ in range(rng.randint(20, 120)))
+        for line in text.split("\n"):
+            if line.strip(quality.SPACES):
+                assert bool(quality.line_fault(line)) == bool(plain_fault(line)), line
+        assert quality.judged(text)["kept"] == plain_verdict(text)
+        kept += plain_verdict(text)
+    assert 20 < kept < 1400
+    long = " ".join(f"word{i}" for i in range(70)) + ", and all rights reserved."
+    assert quality.line_fault(long) is None and quality.line_fault("A line that is a little longer than others, all rights reserved, as they say.") == "boilerplate"
+
+
+def test_quality_of_long_and_repeated_texts(spark, folder):
+    long = "".join(f"Sentence {i} of it, with {i * 7} words.\n" for i in range(60_000))
+    got = {r.doc_id: r for r in quality.op7(spark, folder(documents=documents(long, "x" * 3_000_000, long))).collect()}
+    assert got[0].kept and got[0].n_words == 7 * 60_000 and tuple(got[0])[1:] == tuple(got[2])[1:] and got[1].word_chars == 3_000_000 and not got[1].kept
+    assert quality.op7(spark, folder(documents=([], DOCS))).count() == 0
+
+
 def test_quality_stage_keeps_columns(spark):
     body = prose_text(2)
     docs = spark.createDataFrame([(1, body + "Click here\n", "en", "s", 0), (2, "x", "en", "s", 1), (None, body, None, None, None)], DOCS)
@@ -542,6 +642,24 @@ def test_quality_stage_keeps_columns(spark):
     assert got.keys() == {1, None} and got[1].text == body and got[1].n_chars == len(body) and got[None].n_chars is None
 
 
+CLASH = f"{DOCS}, _v string, _p long, _print string, _stays double, place int, row long, node string, root string, _V_ string"
+
+
+def test_stages_leave_other_columns_alone(spark):
+    body = prose_text(3)
+    extra = ("v", 7, "print", 0.5, 3, 4, "n", "r", "V")
+    data = [(i, t, lang, "s", len(t), *extra) for i, (t, lang) in enumerate([(body, "en"), (body, "en"), (prose_text(4), "en"), (prose_text(5) + "Click here\n", None)])]
+    docs = spark.createDataFrame([*data, (None, None, None, None, None, *(None for _ in extra))], CLASH)
+    stages = {"quality": quality.quality_stage(docs), "language": langid.language_stage(spark, docs), "near_dedup": simhash.near_dedup(spark, docs)}
+    for name, out in stages.items():
+        assert out.columns == docs.columns and out.schema == docs.schema, name
+        rows_ = out.collect()
+        assert len(rows_) == {"quality": 4, "language": 4, "near_dedup": 4}[name], name
+        assert all(tuple(r)[5:] == extra for r in rows_ if r.doc_id is not None), name
+        empty = {"quality": quality.quality_stage, "language": lambda d: langid.language_stage(spark, d), "near_dedup": lambda d: simhash.near_dedup(spark, d)}[name]
+        assert empty(docs.where("false")).count() == 0, name
+
+
 # 8
 
 
@@ -641,6 +759,15 @@ def test_simhash(spark, folder):
     assert simhash.op8(spark, folder(documents=([], DOCS))).count() == 0
 
 
+def test_fingerprints_of_long_texts(spark, folder):
+    rng = random.Random(28)
+    words = [rng.choice("abcdefgh") * rng.randint(1, 4) for _ in range(70_000)]
+    texts = [" ".join(words), "\n".join(words).upper(), " ".join(words[:-1]), "y" * 2_000_000]
+    out = {r.doc_id: r for r in simhash.op8(spark, folder(documents=documents(*texts))).collect()}
+    assert [out[i].fingerprint for i in range(4)] == [f"{plain_fingerprint(t):016x}" for t in texts]
+    assert out[1].component_id == 0 and out[3].component_id == 3
+
+
 def test_dedup_takes_rows_of_one_group_only(spark):
     a, b, c, d, e = (prose_text(seed) for seed in range(30, 35))
     data = [(1, a), (None, a), (None, b), (None, b), (None, c), (5, a), (5, d), (7, d), (8, e), (8, e), (9, None), (9, "")]
@@ -682,6 +809,23 @@ def test_shards(spark, folder):
     assert len({r.shard for r in out if r.doc_id is None}) == 1
 
 
+def test_a_hot_key_is_numbered_by_the_tasks_that_read_it(spark):
+    docs = spark.range(4000).select(F.when(F.col("id") % 3 == 0, None).otherwise(F.col("id") % 5).alias("doc_id"), F.col("id").alias("shard"), F.lit("s").alias("slot"), F.lit(1).alias("place")).repartition(7)
+    out = sharding.sharded(spark, docs, 4)
+    assert out.columns == ["doc_id", "shard", "slot", "place", "shard_", "grown_shard", "slot_"]
+    by, of = {}, {}
+    for r in out.collect():
+        by.setdefault(r.shard_, []).append(r.slot_)
+        of.setdefault(r.doc_id, set()).add((r.shard_, r.grown_shard))
+    assert all(sorted(s) == list(range(len(s))) for s in by.values()) and all(len(x) == 1 for x in of.values())
+    assert sorted(r["shard"] for r in out.collect()) == list(range(4000))
+    assert sharding.sharded(spark, docs.where("false"), 4).count() == 0
+
+
+def test_shards_of_nothing(spark, folder):
+    assert sharding.op9(spark, folder(documents=([], DOCS))).count() == 0
+
+
 # 10
 
 
@@ -712,6 +856,67 @@ def test_language(spark, folder):
     assert [(r.lang_pred, r.score) for r in unlabelled] == [("und", 0.0)] * 2
 
 
+ALPHABETS = {"aa": "aeioulmnr", "bb": "bdgkoptu", "cc": "çéèàusrt"}
+
+
+def test_words_of_mixed_texts_are_labelled():
+    rng = random.Random(29)
+    tagger = langid.Tagger(langid.fitted([(lang, speech(rng, letters, 100)) for lang, letters in ALPHABETS.items() for _ in range(60)]))
+    right = total = 0
+    for _ in range(30):
+        parts = [(lang, speech(rng, ALPHABETS[lang], rng.randint(15, 60))) for lang in rng.sample(sorted(ALPHABETS), 2)]
+        want = [lang for lang, t in parts for _ in t.split()]
+        got = tagger.word_labels("12, " + " ".join(t for _, t in parts) + " ²!")
+        assert [w for w, _ in got] == " ".join(t for _, t in parts).split()
+        right += sum(a == b for (_, a), b in zip(got, want))
+        total += len(want)
+    assert right >= 0.93 * total
+    assert tagger.word_labels("1 2 3") == [] and tagger.word_labels("") == []
+
+
+def test_the_fit_climbs_the_likelihood():
+    """Each learned weight's gradient is near zero where training ends, against numeric differences of the plain likelihood."""
+    rng = random.Random(30)
+    pieces = [(lang, speech(rng, letters, 48)) for lang, letters in list(ALPHABETS.items())[:2] for _ in range(8)]
+    model = langid.fitted(pieces)
+
+    def likelihood(m):
+        out = 0.0
+        for lang, text in pieces:
+            e = langid.emissions(text.split(), m.weights.astype(float), m.lexicon)[0]
+            a = e[0]
+            for x in e[1:]:
+                a = np.logaddexp.reduce(a[:, None] + m.moves, axis=0) + x
+            k = m.langs.index(lang)
+            out += e[:, k].sum() + m.moves[k, k] * (len(e) - 1) - np.logaddexp.reduce(a)
+        return out / sum(len(t.split()) for _, t in pieces)
+
+    flat = model._replace(weights=np.zeros_like(model.weights), moves=np.zeros_like(model.moves))
+    assert likelihood(flat) < -0.6 and likelihood(model) > -0.05
+
+
+def test_passages_cover_whole_texts(spark):
+    texts = ["".join(chr(97 + i % 26) for i in range(k * 700)) + " end" for k in range(1, 40)]
+    docs = spark.createDataFrame([(i, t, ("xx", "yy", None)[i % 3]) for i, t in enumerate(texts)] + [(100, "", "xx"), (101, None, "yy"), (None, "zz", "xx")], "doc_id long, text string, lang string")
+    everything = langid.sample(docs, per_lang=10_000, passage=50)
+    whole = {lang: sum(-(-len(t) // 50) for i, t in enumerate(texts) if ("xx", "yy", None)[i % 3] == lang and zlib.crc32(str(i).encode()) % 4 != 2) for lang in ("xx", "yy")}
+    assert {lang: sum(a == lang for a, _ in everything) for lang in whole} == whole and max(len(p) for _, p in everything) == 50
+    some = langid.sample(docs, per_lang=40, passage=50)
+    assert len(some) <= 160 and {lang for lang, _ in some} == {"xx", "yy"}
+    assert {lang for lang, _ in langid.sample(docs, langs=1)} == {max(whole, key=whole.get)}
+    assert langid.sample(docs.where("lang is null")) == []
+
+
+def test_languages_of_ties_repeats_and_nothing(spark, folder):
+    same = "mama papa mama papa"
+    texts, langs = [same] * 12, ["bb", "aa"] * 6
+    out = langid.op10(spark, folder(documents=documents(*texts, langs=langs))).collect()
+    assert len({(r.lang_pred, r.score) for r in out}) == 1 and out[0].score <= 1
+    tagger = langid.Tagger(langid.Model(["aa", "bb"], np.zeros(((1 << langid.BITS) + 2, 2), np.float32), np.zeros((2, 2)), {}))
+    assert list(tagger.predicted([same, "1"])) == [("aa", 0.5), ("und", 0.0)]  # the language that sorts first
+    assert langid.op10(spark, folder(documents=([], DOCS))).count() == 0
+
+
 def test_every_letter_of_a_long_run_counts():
     rng = random.Random(16)
     learned = [(lang, speech(rng, letters, 60)) for lang, letters in (("aa", "aeioulmnr"), ("bb", "bdgkptwz")) for _ in range(40)]
