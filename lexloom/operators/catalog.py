@@ -38,6 +38,7 @@ def of_type(catalog: DataFrame, kind: str) -> DataFrame:
     return catalog.where(F.col("type") == kind)
 
 
+#: The markdown that an entry is shown in, here and in hovers().
 def documentation() -> Column:
     """An entry's text in markdown."""
     line = lambda p: F.concat(F.lit("- `"), p["name"], F.lit("` ("), p["type"], F.lit(")"), F.when(p["required"], " *(required)*").otherwise(""), F.lit(" — "), first_line(p["description"]), F.lit("\n"))

@@ -10,9 +10,17 @@ from lexloom.operators.extract import function_defs
 from lexloom.sources.globs import matches
 
 
-def inverted(defs: DataFrame) -> DataFrame:
-    """name_key, definitions: an array in order of file and place."""
-    return defs.groupBy("name_key").agg(F.sort_array(F.collect_list(F.struct("uri", "ord", "line", "name", "arguments"))).alias("definitions"))
+PART = 4096  # definitions of one array
+
+
+def inverted(defs: DataFrame, part: int = PART) -> DataFrame:
+    """name_key, part, definitions: arrays in order of file and place. A name with more than `part` definitions has several, dealt by
+    a hash of file and place, so that no array and no task grows with a name that every file defines; only such names, at most
+    one for `part` definitions, are joined."""
+    hot = defs.groupBy(F.col("name_key").alias("_hot")).agg(F.count("*").alias("_n")).where(F.col("_n") > part)
+    parts = F.coalesce(F.ceil(F.col("_n") / part), F.lit(1))
+    dealt = defs.join(hot, F.col("name_key") == F.col("_hot"), "left").withColumn("part", F.pmod(F.xxhash64("uri", "ord"), parts).cast("int"))
+    return dealt.groupBy("name_key", "part").agg(F.sort_array(F.collect_list(F.struct("uri", "ord", "line", "name", "arguments"))).alias("definitions"))
 
 
 def lookup(requests: DataFrame, defs: DataFrame, word: str = "word") -> DataFrame:

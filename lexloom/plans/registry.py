@@ -222,8 +222,21 @@ def function_args(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered("inverted_index", f"select name_key, cast(count(*) as bigint) as n, min(uri) as first_uri, min(line) as first_line from ({DEFS}) group by name_key")
 def inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = index.inverted(defs(spark, sf_dir))
-    return d.select("name_key", F.size("definitions").cast("long").alias("n"), F.col("definitions")[0]["uri"].alias("first_uri"), F.col("definitions")[0]["line"].alias("first_line"))
+    first = F.min(F.struct(F.col("definitions")[0]["uri"].alias("uri"), F.col("definitions")[0]["line"].alias("line")))
+    d = index.inverted(defs(spark, sf_dir)).groupBy("name_key").agg(F.sum(F.size("definitions")).alias("n"), first.alias("first"))
+    return d.select("name_key", "n", F.col("first.uri").alias("first_uri"), F.col("first.line").alias("first_line"))
+
+
+@registered("inverted_hot_name", f"""
+select name_key, cast(count(*) as bigint) as n, min(uri) as first_uri, max(uri) as last_uri from (
+  select uri, name_key from ({DEFS}) union all select distinct uri, 'init' from ({rendered.ROWS_SQL.format(rename="false")})) group by name_key
+""")
+def inverted_hot_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a function of the same name in every file, which is cut into several arrays."""
+    every = F.concat(F.regexp_replace("text", r"\}\n\z|</cfcomponent>\n\z", ""), F.when(F.col("text").startswith("<"), '<cffunction name="Init"></cffunction>').otherwise("function init() {} }"))
+    d = index.inverted(extract.function_defs(files(spark, sf_dir).withColumn("text", every)), part=16)
+    uri = lambda at: F.element_at("definitions", at)["uri"]
+    return d.groupBy("name_key").agg(F.sum(F.size("definitions")).alias("n"), F.min(uri(1)).alias("first_uri"), F.max(uri(-1)).alias("last_uri"))
 
 
 @registered("definition_lookup", f"""
