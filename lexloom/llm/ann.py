@@ -1,20 +1,25 @@
 """Approximate nearest neighbours by a hierarchical k-means tree with best-bin-first search.
 
-The tree is fitted on a bounded sample of vectors (SAMPLE), and every vector is put into the leaf that it descends to. A
-query walks the tree with a priority queue of nodes by the distance to their centre, and visits leaves in the order in
-which they come off it, at least until these hold ten candidates. How many leaves is calibrated, not set: for CALIBRATION
-queries the true neighbours are found by brute force over all vectors, in blocks, and the visits are widened until at
-least RECALL of these neighbours stand in visited leaves.
+The upper tree is fitted on a bounded sample of all vectors (SAMPLE), and every vector is put into the leaf that it descends
+to. A leaf of more than GROW vectors is split by a tree of its own, fitted on a bounded sample of that leaf (SUB), in
+one task a leaf; so there are up to SAMPLE / LEAST times SUB / LEAST bins, and their size stays near LEAF as the table grows.
+
+A query walks a tree with a priority queue of nodes by the distance to their centre, and visits leaves in the order in which
+they come off it; in a split leaf it does the same with the bins. How many leaves, and which share of a split leaf's bins,
+is calibrated, not set: for CALIBRATION queries the true neighbours are found by brute force over all vectors, in
+blocks, and the visits are widened until at least RECALL of these neighbours stand in visited bins, at the least number of
+vectors to compare. However that comes out, a query visits on until its bins hold ten candidates.
 
 Visits are made in rounds: FIRST leaves, then WIDER times as many, and so on. A query carries the ten nearest that it has
 found, and the later rounds give out only rows that beat the tenth of these. As each round looks at bins further off,
 about WIDER times ten such rows are to be expected, so that what is shuffled grows with the queries and the number of
 rounds, and not with the leaves that are visited.
 
-Leaves that are neighbours in the tree stand together in cells of CELL vectors; a larger leaf is cut into chunks, and a
-cell that many queries visit is met by lots of LOT of them. A vector's chunk follows from its place in the file and not
-from its id or value, so a hot vector, a repeated id or a leaf with a third of all rows is spread like any others, and
-the pairs that are compared never leave a task. Only counts by leaf reach the driver; there are at most SAMPLE / LEAST leaves.
+Leaves that are neighbours in the tree stand together in cells of CELL vectors, and a split leaf is a cell with ranges of
+neighbouring bins. A range that a hot vector fills is cut into parts, by a vector's place in the file and not by its id or
+value, and one that many queries visit is met by lots of LOT of them; so a hot vector, a repeated id or a leaf with a
+third of all rows is spread like any others, and the pairs that are compared never leave a task. Only counts by leaf of the
+upper tree reach the driver.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do those whose length
 is not the most common one; equal distances go to the smaller vec_id; a repeated query row is one query (of several vectors
@@ -25,6 +30,7 @@ returned; an empty table gives an empty result; other columns are not looked at.
 from __future__ import annotations
 
 import heapq
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +45,9 @@ TOP, SAMPLE, LEAF, LEAST, BRANCH = 10, 20_000, 64, 8, 32  # neighbours; vectors
 CALIBRATION, RECALL = 200, 0.93
 FIRST, WIDER = 4, 4  # leaves of the first round; growth from round to round
 CELL, LOT = 4096, 512  # vectors of a cell, queries that meet it at a time
+GROW, SUB = 4096, 2048  # vectors from which a leaf is split, and of these, fitted
+SHARES = (1.0, 0.7, 0.5, 0.35, 0.25, 0.18, 0.12)  # of a split leaf's bins that may be visited
+BINNED = "leaf int, sub int, salt int, vec_id long, v binary"
 VECTORS = "leaf int, salt int, vec_id long, v binary"
 FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 FOUND_DDL = "query_id long, vec_id long, score double"
@@ -55,6 +64,7 @@ class Tree:
         self.leaves = 0
         self.rng = np.random.default_rng(seed)
         self._grow(points, leaf, branch)
+        del self.rng  # the tree is sent about
 
     def _grow(self, points: np.ndarray, leaf: int, branch: int) -> int:
         me = len(self.leaf)
@@ -168,18 +178,56 @@ def borders(visits: int) -> list[int]:
 
 
 def cells_of(by_leaf: dict[int, int]) -> dict[int, tuple[int, int]]:
-    """The cell that each leaf belongs to, and its number of chunks: neighbouring leaves as long as they are CELL rows together,
-    or one leaf that is larger."""
+    """The cell that each leaf belongs to, and its number of ranges: neighbouring leaves as long as they are CELL rows together,
+    or one leaf that is split."""
     out, cell, held = {}, 0, 0
     for leaf in sorted(by_leaf):
         n = by_leaf[leaf]
-        if held and held + n > CELL:
+        if held and (held + n > CELL or n > GROW):
             cell, held = cell + 1, 0
-        out[leaf] = (cell, max(1, -(-n // CELL)))
+        out[leaf] = (cell, -(-n // CELL) if n > GROW else 1)
         held += n
+        if n > GROW:
+            cell, held = cell + 1, 0
     return out
 
 
+def explode_to(n: str):
+    return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+
+def split(spark: SparkSession, index: DataFrame, grown: dict[int, int], dim: int) -> tuple[DataFrame, DataFrame]:
+    """The index with each row's bin in its leaf (sub), 0 in leaves that are not split; and the split leaves' trees with their bins'
+    sizes: leaf, tree, sizes."""
+    sizes_ddl = "array<struct<sub:int,n:bigint>>"
+    if not grown:
+        return index.withColumn("sub", F.lit(0)), spark.createDataFrame([], f"leaf int, tree binary, sizes {sizes_ddl}")
+    plan = F.broadcast(spark.createDataFrame([(leaf, n, -(-n // CELL)) for leaf, n in grown.items()], "leaf int, n long, chunks int"))  # at most SAMPLE / LEAST rows
+    drawn = F.pmod(F.xxhash64(F.lit("sub"), "salt", "vec_id"), F.lit(1_000_003)) / 1_000_003
+
+    def fit(t: pa.Table) -> pa.Table:
+        points, n = matrix(t.column("v"), dim), t.column("n")[0].as_py()
+        tree = Tree(points, max(LEAST, round(LEAF * len(points) / n)))
+        return pa.table({"leaf": pa.array([t.column("leaf")[0].as_py()], pa.int32()), "tree": pa.array([pickle.dumps(tree)], pa.binary())})
+
+    own = index.join(plan, "leaf")
+    trees, _ = written(spark, own.where(drawn < SUB / F.col("n")).select("leaf", "n", "v").groupBy("leaf").applyInArrow(fit, "leaf int, tree binary"), "ann-trees")
+
+    def put(rows: pa.Table, tree: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return pa.schema([("leaf", pa.int32()), ("sub", pa.int32()), ("salt", pa.int32()), ("vec_id", pa.int64()), ("v", pa.binary())]).empty_table()
+        sub = pickle.loads(tree.column("tree")[0].as_py()).assigned(matrix(rows.column("v"), dim)) if tree.num_rows else np.zeros(rows.num_rows, np.int32)
+        return pa.table({"leaf": rows.column("leaf"), "sub": pa.array(sub), "salt": rows.column("salt"), "vec_id": rows.column("vec_id"), "v": rows.column("v")})
+
+    rows = own.select("leaf", F.pmod("salt", F.col("chunks")).alias("chunk"), "salt", "vec_id", "v")
+    each = trees.join(plan, "leaf").select("leaf", explode_to("chunks").alias("chunk"), "tree")
+    binned = rows.groupBy("leaf", "chunk").cogroup(each.groupBy("leaf", "chunk")).applyInArrow(put, BINNED)
+    whole, _ = written(spark, index.join(plan, "leaf", "left_anti").withColumn("sub", F.lit(0)).unionByName(binned), "ann-bins")
+    sizes = whole.join(plan, "leaf", "left_semi").groupBy("leaf", "sub").agg(F.count("*").alias("n")).groupBy("leaf").agg(F.collect_list(F.struct("sub", "n")).cast(sizes_ddl).alias("sizes"))
+    trees, _ = written(spark, trees.join(sizes, "leaf"), "ann-subtrees")
+    return whole, trees
+
+
 def search(spark: SparkSession, vectors: DataFrame, top: int = TOP, every: int = 100, recall: float = RECALL) -> DataFrame:
     """query_id, rank, vec_id, score for the queries, the vectors whose vec_id `every` divides."""
     good = usable(vectors)
@@ -207,7 +255,9 @@ def search(spark: SparkSession, vectors: DataFrame, top: int = TOP, every: int =
     index, _ = written(spark, good.mapInArrow(leaves, VECTORS), "ann-index")
     queries = index.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("q"), F.count("*").alias("own"))
     by_leaf = {int(leaf): int(n) for leaf, n in index.groupBy("leaf").count().toArrow().to_pandas().itertuples(index=False)}
-    visits = calibrated(spark, tree, index, queries, dim, top, recall)
+    grown = {leaf: n for leaf, n in by_leaf.items() if n > GROW}
+    index, subtrees = split(spark, index, grown, dim)
+    visits, share = calibrated(spark, tree, index, subtrees, queries, dim, top, recall, sum(grown.values()) / total)
     ends, cells = borders(visits), cells_of(by_leaf)
 
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,16 +272,19 @@ def search(spark: SparkSession, vectors: DataFrame, top: int = TOP, every: int =
                         asked.setdefault((turn, cells[leaf][0]), []).append(leaf)
                 turns, at = zip(*asked) if asked else ((), ())
                 n = len(asked)
-                yield pa.RecordBatch.from_arrays([pa.array(turns, pa.int32()), pa.array(at, pa.int32()), pa.array([q_id] * n, pa.int64()), pa.array([raw] * n, pa.binary()), pa.array(list(asked.values()), pa.list_(pa.int32()))], ["turn", "cell", "query_id", "q", "leaves"])
-
-    asked, _ = written(spark, queries.mapInArrow(probes, "turn int, cell int, query_id long, q binary, leaves array<int>"), "ann-probes")
-    asks: dict[int, dict[int, int]] = {}
-    for turn, cell, n in asked.groupBy("turn", "cell").count().toArrow().to_pandas().itertuples(index=False):
-        asks.setdefault(int(turn), {})[int(cell)] = int(n)
+                yield pa.RecordBatch.from_arrays([pa.array(turns, pa.int32()), pa.array(at, pa.int32()), pa.array([q_id] * n, pa.int64()), pa.array([raw] * n, pa.binary()), pa.array([own] * n, pa.int64()), pa.array(list(asked.values()), pa.list_(pa.int32()))], ["turn", "cell", "query_id", "q", "own", "leaves"])
+
+    asked, _ = written(spark, queries.mapInArrow(probes, "turn int, cell int, query_id long, q binary, own long, leaves array<int>"), "ann-probes")
+    asked = routed(spark, asked, subtrees, {leaf: cells[leaf] for leaf in grown}, share, top)
+    subs = {int(leaf): int(n) for leaf, n in subtrees.select("leaf", F.array_max("sizes.sub") + 1).toArrow().to_pandas().itertuples(index=False)} if grown else {}
+    places = F.broadcast(spark.createDataFrame([(leaf, cell, ranges, subs.get(leaf, 1)) for leaf, (cell, ranges) in cells.items()], "leaf int, cell int, ranges int, subs int"))  # at most SAMPLE / LEAST rows
+    index = index.join(places, "leaf").withColumn("range", F.floor(F.col("sub") * F.col("ranges") / F.col("subs")).cast("int"))
+    large = index.where("ranges > 1").groupBy("cell", "range").agg(F.count("*").alias("n")).where(F.col("n") > 2 * CELL)
+    parts, _ = written(spark, large.select("cell", "range", F.ceil(F.col("n") / CELL).cast("int").alias("parts")), "ann-parts")
     found = spark.createDataFrame([], "query_id long, vec_id long, score double, rank int")
     path = None
-    for turn in sorted(asks):
-        best = ranked(found.drop("rank").unionByName(met_in(spark, index, asked.where(F.col("turn") == turn), found.where(F.col("rank") == top), cells, asks[turn], dim, top)), top)
+    for turn in sorted(r[0] for r in asked.select("turn").distinct().collect()):  # as many as rounds
+        best = ranked(found.drop("rank").unionByName(met_in(index, asked.where(F.col("turn") == turn), found.where(F.col("rank") == top), parts, dim, top)), top)
         found, new = written(spark, best, "ann-found")
         if path:
             dropped(spark, path)
@@ -240,26 +293,61 @@ def search(spark: SparkSession, vectors: DataFrame, top: int = TOP, every: int =
     return found.select("query_id", "rank", "vec_id", "score")
 
 
-def met_in(spark: SparkSession, index: DataFrame, asked: DataFrame, tenth: DataFrame, cells: dict[int, tuple[int, int]], asks: dict[int, int], dim: int, top: int) -> DataFrame:
-    """query_id, vec_id, score: what the queries of one round find in the leaves that they visit, if it beats their tenth."""
-    plan = [(leaf, cell, chunks, -(-asks[cell] // LOT)) for leaf, (cell, chunks) in cells.items() if cell in asks]
-    by_leaf = F.broadcast(spark.createDataFrame(plan or [(-1, -1, 1, 1)], "leaf int, cell int, chunks int, lots int"))  # at most SAMPLE / LEAST rows
-    by_cell = by_leaf.select("cell", "chunks", "lots").distinct()
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = index.join(by_leaf, "leaf").select("cell", F.pmod("salt", F.col("chunks")).cast("int").alias("chunk"), each("lots").alias("lot"), "leaf", "vec_id", "v")
+def routed(spark: SparkSession, asked: DataFrame, subtrees: DataFrame, cells: dict[int, tuple[int, int]], share: float, top: int) -> DataFrame:
+    """asked with range and subs: in a split leaf (cells: of these only), a row for each range that holds bins to visit, with these."""
+    asked = asked.withColumns({"range": F.lit(0), "subs": F.lit(None).cast("array<int>")})
+    if not cells:
+        return asked
+    split_cells = [cell for cell, _ in cells.values()]
+    here = asked.where(F.col("cell").isin(split_cells)).drop("range", "subs").withColumn("leaf", F.col("leaves")[0])
+    lots = here.groupBy("leaf").agg(F.ceil(F.count("*") / LOT).cast("int").alias("lots"))
+    ddl = "turn int, cell int, query_id long, q binary, own long, leaves array<int>, range int, subs array<int>"
+
+    def route(qs: pa.Table, tree: pa.Table) -> pa.Table:
+        out: dict[str, list] = {f: [] for f in ("turn", "cell", "query_id", "q", "own", "leaves", "range", "subs")}
+        if qs.num_rows and tree.num_rows:
+            t, sizes = pickle.loads(tree.column("tree")[0].as_py()), {x["sub"]: x["n"] for x in tree.column("sizes")[0].as_py()}
+            n, ranges = max(sizes) + 1, cells[qs.column("leaf")[0].as_py()][1]
+            for r in qs.drop_columns(["leaf", "lot"]).to_pylist():
+                bins: dict[int, list[int]] = {}
+                for sub in t.leaves_by_distance(np.frombuffer(r["q"], "<f8"), max(1, int(np.ceil(share * t.leaves))), sizes, top + r["own"]):
+                    if sub < n:
+                        bins.setdefault(sub * ranges // n, []).append(sub)
+                for range_, subs in bins.items():
+                    for f, v in (r | {"range": range_, "subs": subs}).items():
+                        out[f].append(v)
+        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.list_(pa.int32())]
+        return pa.table([pa.array(v, k) for v, k in zip(out.values(), kinds)], names=list(out))
+
+    left = here.join(lots, "leaf").withColumn("lot", F.pmod(F.xxhash64("query_id"), F.col("lots")).cast("int")).drop("lots")
+    right = subtrees.join(lots, "leaf").select("leaf", explode_to("lots").alias("lot"), "tree", "sizes")
+    inside = left.groupBy("leaf", "lot").cogroup(right.groupBy("leaf", "lot")).applyInArrow(route, ddl)
+    out, _ = written(spark, asked.where(~F.col("cell").isin(split_cells)).unionByName(inside), "ann-routed")
+    return out
+
+
+def met_in(index: DataFrame, asked: DataFrame, tenth: DataFrame, parts: DataFrame, dim: int, top: int) -> DataFrame:
+    """query_id, vec_id, score: what the queries of one round find in the bins that they visit, if it beats their tenth."""
+    lots = asked.groupBy("cell", "range").agg(F.ceil(F.count("*") / LOT).cast("int").alias("lots"))
+    place = ["cell", "range"]
+    n_parts = F.coalesce("parts", F.lit(1))
+    left = index.join(lots, place).join(parts, place, "left").withColumn("part", F.pmod("salt", n_parts).cast("int"))
+    left = left.select(*place, "part", explode_to("lots").alias("lot"), "leaf", "sub", "vec_id", "v")
     bounds = tenth.select("query_id", F.col("score").alias("bound"), F.col("vec_id").alias("bound_id"))
-    right = asked.join(bounds, "query_id", "left").join(F.broadcast(by_cell), "cell")
-    right = right.select("cell", each("chunks").alias("chunk"), F.pmod(F.xxhash64("query_id"), F.col("lots")).cast("int").alias("lot"), "query_id", "q", "leaves", "bound", "bound_id")
-    key = ["cell", "chunk", "lot"]
+    right = asked.join(bounds, "query_id", "left").join(lots, place).join(parts, place, "left").withColumn("parts", n_parts)
+    right = right.select(*place, explode_to("parts").alias("part"), F.pmod(F.xxhash64("query_id"), F.col("lots")).cast("int").alias("lot"), "query_id", "q", "leaves", "subs", "bound", "bound_id")
+    key = [*place, "part", "lot"]
 
     def met(vs: pa.Table, qs: pa.Table) -> pa.Table:
         if not vs.num_rows or not qs.num_rows:
             return FOUND.empty_table()
-        there, place = np.unique(vs.column("leaf").to_numpy(), return_inverse=True)
-        visits = np.stack([np.isin(there, np.array(x, np.int64)) for x in qs.column("leaves").to_pylist()])
+        column, wanted = ("leaf", "leaves") if qs.column("subs")[0].as_py() is None else ("sub", "subs")  # the bins of one leaf, or leaves
+        there, at = np.unique(vs.column(column).to_numpy(), return_inverse=True)
+        visits = np.stack([np.isin(there, np.array(x, np.int64)) for x in qs.column(wanted).to_pylist()])
+        some = visits.any(0)[at]
         bound = qs.column("bound").fill_null(float("inf")).to_numpy()
         bound_id = qs.column("bound_id").fill_null(np.iinfo(np.int64).max).to_numpy()
-        got = nearest(qs.column("query_id").to_numpy(), matrix(qs.column("q"), dim), vs.column("vec_id").to_numpy(), matrix(vs.column("v"), dim), top, visits[:, place], bound, bound_id)
+        got = nearest(qs.column("query_id").to_numpy(), matrix(qs.column("q"), dim), vs.column("vec_id").to_numpy()[some], matrix(vs.column("v").filter(pa.array(some)), dim), top, visits[:, at[some]], bound, bound_id)
         return pa.table([pa.array(x) for x in got], schema=FOUND)
 
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(met, FOUND_DDL)
@@ -289,17 +377,38 @@ def brute(index: DataFrame, spark: SparkSession, q_ids: np.ndarray, q: np.ndarra
     return ranked(index.select("vec_id", "v").mapInArrow(run, FOUND_DDL), top)
 
 
-def calibrated(spark: SparkSession, tree: Tree, index: DataFrame, queries: DataFrame, dim: int, top: int, recall: float) -> int:
-    """The least number of leaves such that the recall over CALIBRATION queries is reached."""
+def calibrated(spark: SparkSession, tree: Tree, index: DataFrame, subtrees: DataFrame, queries: DataFrame, dim: int, top: int, recall: float, in_split: float) -> tuple[int, float]:
+    """The number of leaves, and the share of a split leaf's bins, such that the recall over CALIBRATION queries is reached with the
+    fewest vectors to compare. in_split: the share of all vectors that stand in split leaves."""
     chosen = queries.orderBy(F.xxhash64(F.lit("calibrate"), "query_id")).limit(CALIBRATION).toArrow()
-    if not chosen.num_rows or tree.leaves == 1:
-        return tree.leaves
+    if not chosen.num_rows:
+        return tree.leaves, 1.0
     q_ids, q = chosen.column(0).to_numpy(), matrix(chosen.column(1).combine_chunks(), dim)
+    vector = {int(i): x for i, x in zip(q_ids, q)}
     true = brute(index, spark, q_ids, q, dim, top)
-    true = true.join(index.select("leaf", "vec_id").dropDuplicates(["vec_id"]), "vec_id").select("query_id", "leaf").toArrow().to_pandas()
-    rank_of = {int(i): {leaf: n for n, leaf in enumerate(tree.leaves_by_distance(x, tree.leaves), 1)} for i, x in zip(q_ids, q)}
-    ranks = np.sort([rank_of[i][leaf] for i, leaf in true.itertuples(index=False)])
-    return int(ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))) - 1)]) if len(ranks) else tree.leaves
+    true = true.join(index.select("leaf", "sub", "vec_id").dropDuplicates(["vec_id"]), "vec_id").select("query_id", "leaf", "sub")
+    rank_of = {i: {leaf: n for n, leaf in enumerate(tree.leaves_by_distance(x, tree.leaves), 1)} for i, x in vector.items()}
+
+    def reached(found: pa.Table, subtree: pa.Table) -> pa.Table:
+        """How far down its leaf's order of bins each neighbour stands."""
+        shares = np.zeros(found.num_rows)
+        if found.num_rows and subtree.num_rows:
+            t = pickle.loads(subtree.column("tree")[0].as_py())
+            for k, (i, sub) in enumerate(zip(found.column("query_id").to_pylist(), found.column("sub").to_pylist())):
+                shares[k] = t.leaves_by_distance(vector[i], t.leaves).index(sub) / t.leaves
+        return pa.table({"query_id": found.column("query_id"), "leaf": found.column("leaf"), "share": pa.array(shares)})
+
+    found = true.groupBy("leaf").cogroup(subtrees.groupBy("leaf")).applyInArrow(reached, "query_id long, leaf int, share double").toArrow()
+    ranks = np.array([rank_of[i][leaf] for i, leaf in zip(found.column("query_id").to_pylist(), found.column("leaf").to_pylist())])
+    shares = found.column("share").to_numpy()
+    if not len(ranks):
+        return tree.leaves, 1.0
+    wanted, ways = int(np.ceil(recall * len(ranks))), []
+    for share in SHARES:
+        near = np.sort(ranks[shares < share])  # the first bins, rounded up
+        if len(near) >= wanted:
+            ways.append((near[wanted - 1] * (1 - in_split + in_split * share), int(near[wanted - 1]), share))
+    return min(ways)[1:]
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -286,7 +286,7 @@ def test_clustered_vectors_are_found_in_few_leaves(spark, monkeypatch):
         got.setdefault(q, []).append(i)
     want = true_neighbours(dict(enumerate(v)))
     assert sum(len(set(got[q]) & set(want[q])) for q in want) >= 0.9 * 10 * len(want)
-    visits, tree = seen[0]
+    (visits, _), tree = seen[0]
     sizes = np.bincount(tree.assigned(v), minlength=tree.leaves)
     compared = np.mean([sum(sizes[leaf] for leaf in tree.leaves_by_distance(v[q], visits)) for q in want]) / len(v)
     assert compared < 0.2
@@ -306,6 +306,32 @@ def test_rounds_give_the_same_as_one_look(spark, monkeypatch):
     assert answers[0] == answers[1] == answers[2]
 
 
+def test_full_leaves_are_split(spark, monkeypatch):
+    """With an upper tree of few leaves: recall holds, bins stay small, and few vectors are compared; a hot vector is in it, too."""
+    rng = np.random.default_rng(33)
+    centres = rng.normal(size=(200, 16))
+    v = centres[rng.integers(0, 200, 12_000)] + 0.2 * rng.normal(size=(12_000, 16))
+    v[5000:9000] = v[5000]
+    for name, value in {"SAMPLE": 160, "GROW": 150, "CELL": 100, "SUB": 300, "LOT": 7, "LEAF": 16, "LEAST": 4}.items():
+        monkeypatch.setattr(ann, name, value)
+    seen, compared = {}, []
+    calibrated, split = ann.calibrated, ann.split
+    monkeypatch.setattr(ann, "calibrated", lambda *a: seen.setdefault("visits", calibrated(*a)))
+    monkeypatch.setattr(ann, "split", lambda *a: seen.setdefault("split", split(*a)))
+    cleared = ann.cleared
+    monkeypatch.setattr(ann, "cleared", lambda *a: (compared.extend(seen["split"][0].groupBy("leaf", "sub").count().toPandas()["count"]), cleared(*a)))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {}
+    for q, i in rows(ann.search(spark, df), "query_id", "vec_id"):
+        got.setdefault(q, []).append(i)
+    want = true_neighbours(dict(enumerate(v)))
+    near = {q: [i for i in want[q] if not 5000 <= i < 9000] for q in want}  # of equal ones any may be found first
+    assert all(len(got[q]) == 10 for q in want)
+    assert sum(len(set(got[q]) & set(near[q])) for q in want) >= 0.88 * sum(map(len, near.values()))
+    assert got[5000] == list(range(5001, 5011)) and seen["visits"][1] < 1
+    assert len(compared) > 200 and np.median(compared) < 60 and sum(compared) == 12_000
+
+
 def test_very_large_and_very_small_vectors(spark):
     data = [(0, [1e200, 0.0]), (1, [1e200, 1e190]), (2, [-1e200, 0.0]), (3, [1e-200, 0.0]), (100, [2e-200, 0.0])]
     got = {}
