@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import table
+from lexloom.llm.common import small, table
 
 BUDGET, HISTORY, LEAD, OVERHEAD, LETTERS, BLOCK = 2048, 256, 512, 8, 4, 64  # tokens of a window, its history and its system turn at most; tokens added a turn, letters a token; turn numbers of a block
 TEXT_MARKS = [("\\", "\\s"), ("#", "\\h"), ("<", "\\l")]  # the backslash first; read back in reverse
@@ -65,6 +65,7 @@ def carried(t: DataFrame, history: int, lead: int) -> DataFrame:
     blocks = blocks.withColumn("next", F.lead("block").over(Window.partitionBy("conv_id").orderBy("block")))
     several = blocks.groupBy("conv_id").agg(F.min("block").alias("_block"), F.min("first").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
     several = several.select(F.col("conv_id").alias("_conv"), "_block", F.col("_first.turn").alias("_turn"), (F.col("_first.role") == "system").alias("_led"))
+    several = small(t.sparkSession, several, "long-talks")  # so that no text is shuffled to find out that its conversation is short
     same = F.col("conv_id").eqNullSafe(F.col("_conv"))
     later = blocks.join(several, same & (F.col("block") != F.col("_block"))).select("conv_id", "block", "_led")
     border = later.select("conv_id", "block", F.lit(BORDER).alias("kind"), F.lit(None).cast("long").alias("turn"), F.lit("").alias("role"), F.lit("").alias("text"))
@@ -77,7 +78,7 @@ def carried(t: DataFrame, history: int, lead: int) -> DataFrame:
     sums = sums.withColumn("upto", F.sum("n").over(Window.partitionBy("conv_id", "block").orderBy(F.col("turn").desc())))
     tails = sums.where(F.col("upto") <= history).groupBy("conv_id", "block").agg(F.min("turn").alias("_from"))
     tails = tails.join(blocks.where("next is not null").select(F.col("conv_id").alias("_c"), F.col("block").alias("_b"), "next"), F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("block") == F.col("_b")))
-    tails = tails.select(F.col("conv_id").alias("_c"), F.col("block").alias("_b"), "_from", "next")
+    tails = small(t.sparkSession, tails.select(F.col("conv_id").alias("_c"), F.col("block").alias("_b"), "_from", "next"), "tails")
     past = past.join(tails, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("block") == F.col("_b")) & (F.col("turn") >= F.col("_from")))
     past = past.select("conv_id", F.col("next").alias("block"), F.lit(PAST).alias("kind"), "turn", "role", "text")
     return border.unionByName(leading).unionByName(past)

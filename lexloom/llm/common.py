@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lexloom.sources.work import shared_dir
 
@@ -67,3 +68,12 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         taken.add(n.lower())
         out.append(n)
     return out
+
+
+SMALL = 200_000  # rows of a few numbers
+
+
+def small(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """df as a table of its own, with the hint to broadcast it if it turns out to have at most SMALL rows; else joins deal it out."""
+    df, _ = written(spark, df, name)
+    return F.broadcast(df) if df.count() <= SMALL else df
