@@ -70,7 +70,21 @@ def completions(requests: DataFrame, documents: DataFrame, catalog: DataFrame, e
     return closing.unionByName(params).unionByName(tags).unionByName(functions)
 
 
+#: What is offered to an editor that connects.
+CAPABILITIES = {
+    "open_close": True, "change": "full", "trigger_characters": ["<", " ", "/"], "definition": True, "document_symbol": True, "workspace_symbol": True, "hover": True,
+    "workspace_folders": True, "folder_change_notifications": True,
+}
+
+
+def capabilities(requests: DataFrame) -> DataFrame:
+    """req_id and one column for each capability, the same for each request."""
+    value = lambda v: F.array(*map(F.lit, v)) if isinstance(v, list) else F.lit(v)
+    return requests.select("req_id", *(value(v).alias(k) for k, v in CAPABILITIES.items()))
+
+
 METHODS = {
+    "initialize": capabilities,
     "textDocument/definition": definitions,
     "textDocument/hover": hover,
     "textDocument/documentSymbol": document_symbols,

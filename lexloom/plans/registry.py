@@ -6,9 +6,11 @@ SQL is a projection of its rows.
 
 from __future__ import annotations
 
+import io
 import json
 import re
 import uuid
+import zipfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,11 +22,12 @@ from lexloom.operators import catalog as cat
 from lexloom.operators import extract, index, requests, tags
 from lexloom.plans import rendered
 from lexloom.schemas import DOC_CHANGES
-from lexloom.sources import config, globs
+from lexloom.sources import archive, config, globs
 from lexloom.sources import files as files_source
 from lexloom.sources.sinks import write_files
 from lexloom.sources.work import shared_dir
 from lexloom.streaming import changes as feed
+from lexloom.streaming import sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -522,3 +525,42 @@ def workspace_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = feed.Workspace(spark, root)
     w.take(rows(touched(spark, sf_dir), 2, "change").unionByName(gone).unionByName(rows(second.where("uri like 'file:///shop/brand_13\\\\_%'"), 4, "change")), 1)
     return w.defs.select("uri", "name", "line")
+
+
+@registered("catalog_from_archive", f"select 'tag' as type, name, description, 1 as n_reads from ({TAGS_SQL}) union all select 'function', 'To' || replace(n_name, ' ', ''), 'Makes ' || n_name, 1 from nation")
+def catalog_from_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalog's JSON files in an archive inside an archive, unpacked once although it is asked for twice."""
+    root = f"{shared_dir(spark)}/lexloom/archive-{uuid.uuid4().hex}"
+    inner, outer = io.BytesIO(), io.BytesIO()
+    with zipfile.ZipFile(inner, "w") as z:
+        for r in catalog(spark, sf_dir).drop("ord").collect():  # a catalog, which is made into one archive here
+            z.writestr(f"docs/{r.type}-{r.name}.json", json.dumps(r.asDict(recursive=True)))
+    with zipfile.ZipFile(outer, "w") as z:
+        z.writestr("json.zip", inner.getvalue())
+        z.writestr("readme.txt", "none")
+    fs, path, _ = files_source.opened(root)
+    fs.create_dir(path, recursive=True)
+    with fs.open_output_stream(f"{path}/docs.zip") as out:
+        out.write(outer.getvalue())
+    reads = sum(archive.refreshed(f"{root}/docs.zip", f"{root}/data") for _ in range(2))
+    return cat.read_catalog(spark, f"{root}/data").select("type", "name", "description", F.lit(reads).alias("n_reads"))
+
+
+DELTA_SQL = "case when event_type = 'error' or value < 20 then -1 else 1 end"
+
+
+@registered("live_sessions", f"""
+select event_id as seq, live, coalesce(live = 0 and delta < 0 and event_id = min(case when live = 0 and delta < 0 then event_id end) over (), false) as first_without from (
+  select event_id, {DELTA_SQL} as delta, cast(sum({DELTA_SQL}) over (order by event_id) as bigint) as live from events)
+""")
+def live_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as sessions that begin and end, in order of their numbers."""
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.when((F.col("event_type") == "error") | (F.col("value") < 20), -1).otherwise(1).alias("delta"))
+    first = sessions.first_without(e).select(F.col("seq").alias("_first"))
+    return sessions.live(e).join(first, F.col("seq") == F.col("_first"), "left").select("seq", "live", F.col("_first").isNotNull().alias("first_without"))
+
+
+@registered("capabilities", "select n_nationkey as req_id, 'full' as change, '< /' as triggers, true as hover from nation")
+def capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("req_id"))
+    return requests.dispatch("initialize")(asked).select("req_id", "change", F.array_join("trigger_characters", "").alias("triggers"), "hover")

@@ -1,12 +1,14 @@
 """Scans, globs, configuration."""
 
+import io
 import json
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import json_literal, socket_name
-from lexloom.sources import config, files, globs
+from lexloom.sources import archive, config, files, globs
 
 
 @pytest.fixture
@@ -75,3 +77,35 @@ def test_config(tmp_path):
 def test_scalars(spark):
     r = spark.createDataFrame([('a"b\n', json.dumps({"workspaceName": "n", "workspacePaths": ["x"]}))], "t string, c string").select(json_literal("t").alias("j"), config.parsed("c").alias("c"), socket_name("t").alias("s")).first()
     assert json.loads(r.j) == 'a"b\n' and r.c.workspacePaths == ["x"] and len(r.s) == 16
+
+
+def test_archive_is_read_when_it_has_changed(tmp_path):
+    def pack(*names):
+        inner = io.BytesIO()
+        with zipfile.ZipFile(inner, "w") as z:
+            for n in names:
+                z.writestr(n, "{}")
+        with zipfile.ZipFile(tmp_path / "all.zip", "w") as z:
+            z.writestr("deep/inner.zip", inner.getvalue())
+            z.writestr("note.txt", "x")
+
+    got = lambda: sorted(p.name for p in (tmp_path / "data").iterdir() if not p.name.startswith("."))
+    paths = (str(tmp_path / "all.zip"), f"file://{tmp_path}/data")
+    pack("a/oven.json", "../rack.json", "tray.md")
+    assert archive.refreshed(*paths, "1") and got() == ["oven.json", "rack.json"]
+    pack("b.json")
+    assert not archive.refreshed(*paths, "1") and got() == ["oven.json", "rack.json"]
+    assert archive.refreshed(*paths, "2") and got() == ["b.json"]
+    assert archive.refreshed(*paths) and not archive.refreshed(*paths)
+
+
+def test_overlapping_paths_are_read_once_in_few_shares(spark, tree):
+    every = [str(tree), f"{tree}/sub", f"{tree}/**/c*.cfc", f"{tree}/*.cfc", str(tree / "a.cfc"), f"file://{tree}/sub/deep"]
+    for share in (1, 64):
+        assert len(files.scan(spark, every, share).collect()) == 7
+    deep = tree / "many"
+    for i in range(90):
+        (deep / f"d{i}" / "x").mkdir(parents=True)
+        (deep / f"d{i}" / "x" / "f.cfc").write_text("f")
+    assert files.scan(spark, [str(deep)]).count() == 90
+    assert files.scan(spark, [str(tree / "none"), f"{tree}/none/*.cfc", f"{tree}/["]).count() == 0

@@ -3,6 +3,7 @@
 from lexloom.operators.extract import function_defs
 from lexloom.schemas import DOC_CHANGES, FILES, FOLDER_CHANGES
 from lexloom.streaming import changes as feed
+from lexloom.streaming import sessions
 
 A, B, C = "file:///w/a.cfc", "file:///w/b.txt", "file:///w/c.cfc"
 
@@ -79,3 +80,13 @@ def test_folder_changes(spark):
     protected = spark.createDataFrame([("/B",)], "path string")
     scan = lambda folders: spark.createDataFrame([(f"file://{f}/x.cfc", component("c")) for f in folders], FILES)
     assert sorted(r.name for r in feed.folders_changed(defs, changes, protected, scan).collect()) == ["b", "c"]
+
+
+def test_live_sessions(spark):
+    deltas = [1, 1, -1, 1, -1, -1, 1, -1]
+    df = spark.createDataFrame([(10 * i - 30, d) for i, d in enumerate(deltas)], "seq long, delta int")
+    want = [sum(deltas[: i + 1]) for i in range(len(deltas))]
+    for block in (1, 25, 4096):
+        assert [r.live for r in sorted(sessions.live(df, block).collect())] == want
+    assert [r.seq for r in sessions.first_without(df).collect()] == [20]
+    assert sessions.first_without(df.where("delta > 0")).count() == 0
