@@ -2,7 +2,7 @@
 
 A page is read into blocks of text, each with its root-to-leaf tag path. For each path the text length and the punctuation
 are summed over its blocks, less what stands in links; the logarithms of the two ratios to the number of blocks are smoothed along
-the order in which the paths appear and fused by their product. The score of a path is that, weighted by what the page says of it:
+the order in which the paths appear, but for those under a hint, and fused by their product. The score of a path is that, weighted by what the page says of it:
 ARTICLE times as much inside of an article or main element, HINTED times as much under a class, id or role that names
 boilerplate. Paths that score at least THRESHOLD of the text-weighted mean of those without a hint (of all, if every path has
 one; taken before HINTED) select the content.
@@ -62,7 +62,7 @@ SECTIONS = frozenset("html body article main section div td blockquote center ta
 PAGE = frozenset(("", "html", "body"))
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，、！？]")
-SMOOTH, THRESHOLD, HINTED, ARTICLE, PLAIN = (0.25, 0.5, 0.25), 0.2, 0.1, 6.0, 0.5  # PLAIN: what text without punctuation counts
+SMOOTH, THRESHOLD, HINTED, ARTICLE, PLAIN = (0.25, 0.5, 0.25), 0.2, 0.04, 6.0, 0.5  # PLAIN: what text without punctuation counts
 
 
 class Path(NamedTuple):
@@ -221,11 +221,15 @@ def path_scores(blocks: list[Block]) -> dict[int, tuple[float, float, float]]:
         padded = [*v[:1], *v, *v[-1:]]
         return [sum(w * x for w, x in zip(SMOOTH, padded[i : i + 3])) for i in range(len(v))]
 
-    length, stops = (smoothed([math.log1p(s[k] / s[2]) for s in sums.values()]) for k in (0, 1))
-    out = {}
-    for (path, s), a, b in zip(sums.items(), length, stops):
-        fused = a * (PLAIN + b) * (ARTICLE if path.article else 1.0)
-        out[path.number] = (fused * (HINTED if path.hint else 1.0), fused, s[0])
+    out = {path.number: (0.0, 0.0, 0) for path in sums}  # nothing but links: no part in the order
+    for hinted in (False, True):  # those under a hint stand for themselves and do not pull down the content between them
+        kind = [(path, s) for path, s in sums.items() if bool(path.hint) == hinted and s[0]]
+        length, stops = ([math.log1p(s[k] / s[2]) for _, s in kind] for k in (0, 1))
+        if not hinted:
+            length, stops = smoothed(length), smoothed(stops)
+        for (path, s), a, b in zip(kind, length, stops):
+            fused = a * (PLAIN + b) * (ARTICLE if path.article else 1.0)
+            out[path.number] = (fused * (HINTED if hinted else 1.0), fused, s[0])
     return out
 
 

@@ -149,22 +149,23 @@ def test_no_part_of_the_main_text_is_dropped(page, want):
 
 def plain_scores(page):
     """Scores by tag path, by plain loops over the page's blocks."""
-    order, blocks = [], html.blocks_of(page)
-    for b in blocks:
-        if b.path.number not in order:
-            order.append(b.path.number)
-    ratios = []
-    for p in order:
-        mine = [b for b in blocks if b.path.number == p]
-        letters = sum(max(0, len(b.text) - b.linked) for b in mine)
-        marks = sum(sum(c in ".,;:!?…。，、！？" for c in b.text) for b in mine if b.linked < len(b.text))
-        ratios.append((math.log(1 + letters / len(mine)), math.log(1 + marks / len(mine))))
-    out = {}
-    for i, p in enumerate(order):
-        around = [ratios[max(0, i - 1)], ratios[i], ratios[min(len(order) - 1, i + 1)]]
-        length, marks = (sum(w * r[k] for w, r in zip((0.25, 0.5, 0.25), around)) for k in (0, 1))
-        path = next(b.path for b in blocks if b.path.number == p)
-        out[p] = length * (0.5 + marks) * (6 if path.article else 1) * (0.1 if path.hint else 1)
+    blocks, out = html.blocks_of(page), {}
+    for hinted in (False, True):
+        order, ratios = [], []
+        for b in blocks:
+            out.setdefault(b.path.number, 0.0)
+            if bool(b.path.hint) == hinted and b.path.number not in order and any(c.path.number == b.path.number and c.linked < len(c.text) for c in blocks):
+                order.append(b.path.number)
+        for p in order:
+            mine = [b for b in blocks if b.path.number == p]
+            letters = sum(max(0, len(b.text) - b.linked) for b in mine)
+            marks = sum(sum(c in ".,;:!?…。，、！？" for c in b.text) for b in mine if b.linked < len(b.text))
+            ratios.append((math.log(1 + letters / len(mine)), math.log(1 + marks / len(mine))))
+        for i, p in enumerate(order):
+            around = [ratios[max(0, i - 1)], ratios[i], ratios[min(len(order) - 1, i + 1)]]
+            length, marks = ratios[i] if hinted else (sum(w * r[k] for w, r in zip((0.25, 0.5, 0.25), around)) for k in (0, 1))
+            path = next(b.path for b in blocks if b.path.number == p)
+            out[p] = length * (0.5 + marks) * (6 if path.article else 1) * (0.04 if hinted else 1)
     return out
 
 
@@ -197,12 +198,33 @@ def test_scores_choose(monkeypatch):
     long, short = "A sentence, with stops; and more, of it. " * 4, "Buy it now"
     page = f"<div class=ad><p>{short}</p></div><div><h2>Head</h2><p>{long}</p><p>{long}</p></div>"
     assert html.main_text(page).split("\n") == ["Head", long.strip(), long.strip()]
-    hinted = f"<article><h2>Head</h2><p>Some text, short.</p><ul><li>One, item.</ul><div class=legal><p>{long * 10}</p></div><div class=ad><p>Buy, it.</p></div></article>"
-    assert html.main_text(hinted).split("\n") == ["Head", "Some text, short.", "One, item.", (long * 10).strip()]  # a class alone does not remove what scores as content
+    hinted = f"<article><h2>Head</h2><p>Some text, short.</p><ul><li>One, item.</ul><div class=legal><p>{long * 60}</p></div><div class=ad><p>Buy, it.</p></div></article>"
+    assert html.main_text(hinted).split("\n") == ["Head", "Some text, short.", "One, item.", (long * 60).strip()]  # a class alone does not remove what scores as content
     monkeypatch.setattr(html, "content_paths", lambda blocks: {b.path.number for b in blocks})
     assert short in html.main_text(page).split("\n") and "Buy, it." in html.main_text(hinted)
 
 
+BOILERPLATE = [
+    "<div class='sidebar'>{}</div>", "<div id=comments><div class=comment><p>{}</p></div><div class=comment><p>{}</p></div></div>", "<section class='comment-list'><p>{}</p></section>", "<div class='cookie-notice'><p>{}</p></div>",
+    "<header><div>{}</div></header>", "<aside><p>{}</p></aside>", "<form><label>{}</label></form>", "<nav><p>{}</p></nav>", "<div role=navigation>{}</div>", "<div class='ad-box top'>{}</div>", "<footer><p>{}</p></footer>",
+    "<ul class=menu><li><a href=x>{}</a></li></ul>", "<div class='newsletterSignup'><p>{}</p></div>", "<div><a href=x>{}</a></div>", "<noscript>{}</noscript>", "<div class=related><a href=y>{}</a></div>", "<!-- {} -->", "<script>var x = '{}';</script>",
+]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_boilerplate_of_many_kinds(seed):
+    rng = random.Random(seed)
+    sentence = lambda n: " ".join(rng.choice(["one", "two,", "three;", "four", "five."]) for _ in range(n)) + "."
+    for _ in range(300):
+        texts = [sentence(rng.randint(4, 60)) for _ in range(rng.randint(2, 8))]
+        article = "<h1>Some head</h1>" + "".join(f"<p>{t}</p>" for t in texts)
+        holder = rng.choice(["<div id=content>{}</div>", "<table><tr><td>{}</td></tr></table>", "<article>{}</article>", "<main><article>{}</article></main>", "<div class=page><article class=post>{}</article></div>"])
+        around = [rng.choice(BOILERPLATE).replace("{}", sentence(rng.randint(2, 60))) for _ in range(rng.randint(0, 6))]
+        at = rng.randint(0, len(around))
+        page = "<html><head><title>T</title></head><body>" + "".join(around[:at]) + holder.format(article) + "".join(around[at:]) + "</body></html>"
+        assert html.main_text(page).split("\n") == ["Some head", *texts], page
+
+
 def test_one_word_of_a_class_name_is_no_hint():
     text = "".join(f"<div class={c}><p>On {c}, a line.</p></div>" for c in ("share-price", "copyright-law", "related-work", "commentary"))
     assert html.main_text(f"<article><p>First, of all.</p>{text}</article>").count("\n") == 4
