@@ -161,8 +161,9 @@ def scan_workspace(spark: SparkSession, folders: list[str], globs: list[str], ro
 
 
 def scan_fast(spark: SparkSession, folders: list[str]) -> DataFrame:
-    there = [f for f in folders if Entry.kind(f) != arrow_fs.FileType.NotFound]
-    if not there:
+    roots = sorted({f.rstrip("/") for f in folders if Entry.kind(f) != arrow_fs.FileType.NotFound})
+    apart = [f for f in roots if not any(f.startswith(r + "/") for r in roots)]  # a folder inside another would be read twice
+    if not apart:
         return spark.createDataFrame([], FILES)
-    text = spark.read.text(there, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.[cC][fF][cC]")
-    return text.select(F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^file:/*", "file:///").alias("uri"), F.col("value").alias("text")).dropDuplicates(["uri"])
+    text = spark.read.text(apart, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.[cC][fF][cC]")
+    return text.select(F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^file:/*", "file:///").alias("uri"), F.col("value").alias("text"))

@@ -38,6 +38,7 @@ def test_scan_of_a_workspace(spark, tree):
 def test_fast_scan(spark, tree):
     assert read(files.scan_fast(spark, [str(tree), str(tree / "missing")]), tree) == {"a.cfc": "component {}", "B.CFC": "b", "sub/deep/c d.cfc": "c", "sub/é.cfc": "é\r\n"}
     assert files.scan_fast(spark, [str(tree / "missing")]).count() == 0
+    assert files.scan_fast(spark, [f"{tree}/sub/", str(tree), str(tree), f"{tree}/sub/deep"]).count() == 4
 
 
 PATHS = ["/w/a.cfc", "/w/d/b.cfc", "/w/d/e/b.cfc", "/wx/a.cfc", "/w", "/w/[x].cfc"]
