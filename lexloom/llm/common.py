@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +27,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_WRITTEN: list[str] = []
+class Written(threading.local):
+    """The tables that this thread has written and not deleted: queries that run beside each other never clear each other's."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+
+_WRITTEN = Written()
 
 
 def written(spark: SparkSession, df: DataFrame, name: str) -> tuple[DataFrame, str]:
@@ -34,7 +42,7 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> tuple[DataFrame, s
     path = f"{shared_dir(spark)}/lexloom/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    _WRITTEN.append(path)
+    _WRITTEN.paths.append(path)
     return spark.read.schema(schema).parquet(path), path
 
 
@@ -43,18 +51,18 @@ def dropped(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    if path in _WRITTEN:
-        _WRITTEN.remove(path)
+    if path in _WRITTEN.paths:
+        _WRITTEN.paths.remove(path)
 
 
 def mark() -> int:
     """For cleared(): the tables written so far."""
-    return len(_WRITTEN)
+    return len(_WRITTEN.paths)
 
 
 def cleared(spark: SparkSession, since: int, *kept: str) -> None:
     """Delete the tables written since a mark, but for those that a result still reads."""
-    for path in [p for p in _WRITTEN[since:] if p not in kept]:
+    for path in [p for p in _WRITTEN.paths[since:] if p not in kept]:
         dropped(spark, path)
 
 

@@ -6,6 +6,7 @@ import pathlib
 import random
 import re
 import struct
+import threading
 import zlib
 
 import duckdb
@@ -16,7 +17,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lexloom.llm import ann, bpe, chat, html, langid, licenses, packing, quality, sharding, simhash, token_ids
+from lexloom.llm import ann, bpe, chat, common, html, langid, licenses, packing, quality, sharding, simhash, token_ids
 from lexloom.llm.components import components
 from tests.llm.conftest import AWKWARD, DOCS, documents
 
@@ -997,6 +998,41 @@ def test_marginals_against_one_long_chain():
         assert np.allclose(m, (g / g.sum(1, keepdims=True)).mean(0), atol=1e-9)
 
 
+def test_tables_on_the_way_are_deleted(spark):
+    def left():
+        where = pathlib.Path(common.shared_dir(spark).removeprefix("file://")) / "lexloom"
+        return sorted(p.name.rsplit("-", 1)[0] for p in where.iterdir()) if where.exists() else []
+
+    before = left()
+    docs = spark.createDataFrame([(i, prose_text(i % 7)) for i in range(30)], "doc_id long, text string")
+    assert simhash.near_dedup(spark, docs).count() == 7
+    v = spark.createDataFrame([(i, [float(i % 13), 1.0]) for i in range(300)], "vec_id long, embedding array<double>")
+    assert ann.search(spark, v).count() == 30
+    new = left()
+    for name in before:
+        new.remove(name)
+    assert sorted(new) == ["ann-found", "marked", "names"]  # what the two results read
+    seen = []
+    since = common.mark()
+    other = threading.Thread(target=lambda: seen.append(common.written(spark, docs, "other")[0]))
+    other.start()
+    other.join()
+    common.cleared(spark, since)
+    assert seen[0].count() == 30
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Conf(dict):
+        set = dict.__setitem__
+
+    session = lambda **conf: type("S", (), {"conf": Conf({"spark." + k.replace("_", "."): v for k, v in conf.items()})})()
+    assert common.shared_dir(session(checkpoint_dir="hdfs:///x", master="yarn")) == "hdfs:///x"
+    assert common.shared_dir(session(master="local[4]")).startswith("file://")
+    for master in ("yarn", "spark://host:7077", "local-cluster[3,2,3000]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            common.shared_dir(session(master=master))
+
+
 def test_nothing_else_imports_this_subpackage():
     import lexloom
 
