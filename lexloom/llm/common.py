@@ -81,7 +81,7 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 SMALL = 200_000  # rows of a few numbers
 
 
-def small(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """df as a table of its own, with the hint to broadcast it if it turns out to have at most SMALL rows; else joins deal it out."""
+def small(spark: SparkSession, df: DataFrame, name: str, most: int = SMALL) -> DataFrame:
+    """df as a table of its own, with the hint to broadcast it if it turns out to have at most so many rows; else joins deal it out."""
     df, _ = written(spark, df, name)
-    return F.broadcast(df) if df.count() <= SMALL else df
+    return F.broadcast(df) if df.count() <= most else df

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.llm import ann, chat, html, langid, licenses, packing, quality, sharding, simhash, token_ids
+from lexloom.llm import ann, chat, fim, html, langid, licenses, merkle, mixing, packing, quality, sharding, simhash, token_ids
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_rules": licenses.op1,
@@ -19,5 +19,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_golay_simhash": simhash.op8,
     "op9_jump_hash_shards": sharding.op9,
     "op10_crf_language": langid.op10,
+    "op11_systematic_mixing": mixing.op11,
+    "op12_checkpoint_fim": fim.op12,
+    "op13_merkle_blocks": merkle.op13,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op6_chat_windows": chat.ORACLE,
+    "op11_systematic_mixing": mixing.ORACLE,
+    "op12_checkpoint_fim": fim.ORACLE,
+    "op13_merkle_blocks": merkle.ORACLE,
 }
-ORACLE_SQL: dict[str, str] = {"op6_chat_windows": chat.ORACLE}
