@@ -1,13 +1,14 @@
 """Byte-pair encoding and decoding with a segment tree over adjacent pair ranks.
 
 A piece starts as its byte symbols, the last one with the word-end mark. The leaves of a segment tree hold, for each
-symbol, the rank of the merge with its right neighbour (or infinity) together with its place, so that the root is the
-leftmost of the lowest-ranked merges. A merge is a point update of three leaves, each in logarithmic time; it ends
-when the root is infinite. Long pieces thus cost n log n, not n squared.
+symbol, the rank of the merge with its right neighbour (or infinity), so that the root is the lowest rank, and going down from
+it to the left wherever the left child is as low leads to its leftmost place. A merge is a point update of three leaves, each in
+logarithmic time; it ends when the root is infinite. Long pieces thus cost n log n, not n squared.
 
 Every piece of two symbols or more goes through such a tree. RankTrees holds the trees of many pieces side by side in
-numpy, one merge of each in a round; a piece of more than WIDE bytes has a tree of its own, as rounds for it alone would
-cost more than they save.
+numpy, one merge of each in a round, and its nodes hold a merge's place as well, which spares the way down; a piece of more
+than WIDE bytes has a tree of its own, as rounds for it alone would cost more than they save, whose nodes know no places, so that
+it may have any number of leaves.
 
 A text is first split at the special strings, then normalized (NFC, lower case letter by letter) and cut into pieces.
 """
@@ -18,11 +19,12 @@ import json
 import re
 import unicodedata
 import zlib
+from array import array
 
 import numpy as np
 import regex
 
-NEVER = 1 << 62  # no merge; a merge is rank << 40 | place << 20 | merged id
+NEVER = 1 << 62  # no merge; a merge is rank << 40 | merged id, between them, for at most WIDE leaves, the place << 20
 LOW = (1 << 20) - 1
 WIDE = 256  # bytes of a piece that is merged beside others
 #: Fixed values of the tokenizer's own file: what its normalizer and splitter do.
@@ -51,21 +53,37 @@ def width_for(leaves: int) -> int:
 class RankTree:
     """One piece's tree: node 1 is the root, node i's children are 2 i and 2 i + 1."""
 
-    def __init__(self, merges: list[int]):
+    def __init__(self, merges: np.ndarray):
         self.width = width_for(len(merges))
-        self.nodes = [NEVER] * self.width + merges + [NEVER] * (self.width - len(merges))
-        for i in range(self.width - 1, 0, -1):
-            self.nodes[i] = min(self.nodes[2 * i], self.nodes[2 * i + 1])
+        nodes = np.full(2 * self.width, NEVER)
+        nodes[self.width : self.width + len(merges)] = merges
+        low = self.width
+        while low > 1:
+            nodes[low // 2 : low] = nodes[low : 2 * low].reshape(-1, 2).min(1)
+            low //= 2
+        self.nodes = array("q", nodes.tobytes())
 
     def root(self) -> int:
         return self.nodes[1]
 
+    def place(self) -> int:
+        """The leftmost leaf that is as low as the root."""
+        nodes, i, least = self.nodes, 1, self.nodes[1]
+        while i < self.width:
+            i *= 2
+            if nodes[i] != least:
+                i += 1
+        return i - self.width
+
     def put(self, place: int, merge: int) -> None:
         nodes, i = self.nodes, self.width + place
         nodes[i] = merge
         while i > 1:
+            least = min(nodes[i], nodes[i ^ 1])
             i >>= 1
-            nodes[i] = min(nodes[2 * i], nodes[2 * i + 1])
+            if nodes[i] == least:  # nothing above it changes
+                return
+            nodes[i] = least
 
 
 class RankTrees:
@@ -148,18 +166,18 @@ class Bpe:
 
     def merged(self, raw: bytes) -> list[int]:
         """The ids of one piece, by a tree of its own."""
-        ids = [self.inner[b] for b in raw]
-        ids[-1] = self.last[raw[-1]]
-        n = len(ids)
-        right, left = list(range(1, n + 1)), list(range(-1, n - 1))
+        start = self.inner_ids[np.frombuffer(raw, np.uint8)]
+        start[-1] = self.last[raw[-1]]
+        n = len(start)
+        tree = RankTree(self.pair(start[:-1], start[1:]))
+        ids, right, left = (array("q", a.astype(np.int64).tobytes()) for a in (start, np.arange(1, n + 1), np.arange(-1, n - 1)))
 
         def merge(i: int, j: int) -> int:
             rank, new = self.merge.get(ids[i] << 32 | ids[j], (None, 0))
-            return NEVER if rank is None else rank << 40 | i << 20 | new
+            return NEVER if rank is None else rank << 40 | new
 
-        tree = RankTree([merge(i, i + 1) for i in range(n - 1)])
         while n > 1 and (root := tree.root()) < NEVER:
-            i = root >> 20 & LOW
+            i = tree.place()
             j = right[i]
             ids[i], ids[j] = root & LOW, -1
             k = right[i] = right[j]

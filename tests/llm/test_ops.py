@@ -398,6 +398,14 @@ def test_tree_gives_the_leftmost_lowest():
             many.put(np.array([k for k, _ in at]), np.array([i for _, i in at]), np.array(new))
             low = [min(r) for r in rows]
             assert [t.root() for t in one] == low == many.roots(np.arange(3)).tolist()
+    for n in (1, 2, 5, 64, 100):  # equal merges: the leftmost is next
+        row = [rng.randint(0, 3) << 40 for _ in range(n)]
+        tree = bpe.RankTree(np.array(row))
+        for _ in range(n):
+            at = tree.place()
+            assert tree.root() == min(row) and at == row.index(min(row))
+            row[at] = bpe.NEVER
+            tree.put(at, bpe.NEVER)
 
 
 def test_every_piece_goes_through_a_tree(monkeypatch):
@@ -418,6 +426,15 @@ def test_very_long_pieces():
     assert list(struct.unpack(f"<{len(raw) // 4}I", raw)) == TOKENIZER.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize(("n", "letters"), [((1 << 20) + 10, "abcdefgh"), (3_000_000, "etaoin"), (400_000, "\u0e01")])
+def test_pieces_of_over_a_million_bytes(n, letters):
+    """Longer than any place of 20 bits, and followed by pairs that merge at the very end."""
+    rng = random.Random(n)
+    text = "".join(rng.choice(letters) for _ in range(n)) + "ababab"
+    raw = next(token_ids.TokenIds(PATH).encoded([text]))
+    assert np.frombuffer(raw, "<u4").tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
+
+
 def test_digests(spark, folder):
     got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in token_ids.op4(spark, folder(documents=documents(*AWKWARD))).collect()}
     for i, t in enumerate(AWKWARD):
