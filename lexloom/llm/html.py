@@ -10,7 +10,10 @@ one; taken before HINTED) select the content.
 The main text is what stands in the lowest section that holds all content, widened where only headings stand beside it, so
 that headings and short lines come along; blocks under a hint come along only if their own path is content. If that
 section is the page itself, each part of it that holds content is taken so. Only elements that never hold main text (menus,
-footers, asides, forms, controls) are left out whatever they score.
+footers, asides, controls and their labels) are left out whatever they score; so a button inside a sentence loses its words.
+
+A form is judged by score, as pages may be wrapped in one: it is left out unless what stands in it and under no hint has an article or
+PROSE letters of sentences, and scores more by letters than what stands outside of it.
 
 Reading is linear in the page: each element knows its path, its nearest block and its range of blocks, and open elements
 are looked up by tag, so that neither depth nor stray end tags cost more than their own length.
@@ -47,7 +50,8 @@ BLOCK = frozenset(
 ENDS_P = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "option", "head", "html", "body"}
 ENDS_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 STOPS_AT = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
-NEVER = frozenset("nav footer aside form select button menu dialog svg math canvas object audio video map datalist head".split())
+HEAD = frozenset("head html base basefont bgsound link meta noframes noscript script style template title".split())  # what may stand in a head
+NEVER = frozenset("nav footer aside label legend output select button menu dialog svg math canvas object audio video map datalist head".split())
 #: Words of classes, ids and roles that name boilerplate, and words that only place it; a name counts if it has nothing else.
 HINTS = frozenset(
     "ad ads advert adverts advertisement advertisements advertising banner sponsor sponsored sponsors promo promos promotion nav navbar navigation menu menubar"
@@ -63,6 +67,8 @@ PAGE = frozenset(("", "html", "body"))
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，、！？]")
 SMOOTH, THRESHOLD, HINTED, ARTICLE, PLAIN = (0.25, 0.5, 0.25), 0.2, 0.04, 6.0, 0.5  # PLAIN: what text without punctuation counts
+PROSE = 100  # letters, in blocks with a mark that ends a sentence, that a form has to hold to be the page's wrapper
+SENTENCE = re.compile(r"[.!?…。！？][\"'”’»)]*(?:\s|\Z)|[。！？]")
 
 
 class Path(NamedTuple):
@@ -74,13 +80,14 @@ class Path(NamedTuple):
 class Element:
     """order and last: its place among all elements, and that of the last one inside it. begin and end: its blocks' numbers."""
 
-    __slots__ = ("tag", "parent", "path", "holder", "out", "order", "last", "begin", "end", "links")
+    __slots__ = ("tag", "parent", "path", "holder", "out", "order", "last", "begin", "end", "links", "form")
 
     def __init__(self, tag: str, parent: Element | None, path: Path, out: bool, order: int, begin: int):
         self.tag, self.parent, self.path, self.out, self.order, self.begin = tag, parent, path, out, order, begin
         self.last, self.end = order, begin
         self.holder = self if parent is None or tag in BLOCK else parent.holder
         self.links = (parent.links if parent else 0) + (tag == "a")
+        self.form = (parent.form if parent else None) or (self if tag == "form" else None)  # the outermost one
 
 
 class Block(NamedTuple):
@@ -142,6 +149,8 @@ def blocks_of(page: str) -> list[Block]:
         lt = page.find("<", at)
         m = TOKEN.match(page, lt) if lt >= 0 else None
         upto = m.start() if m else (lt + 1 if lt >= 0 else size)
+        if upto > at and stack[-1].tag == "head" and page[at:upto].strip():
+            ended({"head"}, ())
         if upto > at and not stack[-1].out:
             piece = page[at:upto]
             text.append(piece)
@@ -156,6 +165,8 @@ def blocks_of(page: str) -> list[Block]:
             if tag == "br":
                 text.append(" ")
             continue
+        if opened.get("head") and tag not in HEAD:
+            ended({"head"}, ())
         if tag in RAW:
             end = re.compile(f"</{tag}(?=[\\s/>])", re.I).search(page, at)
             at = size if not end else end.start()
@@ -173,8 +184,6 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if tag in ("html", "body") and opened.get(tag):
             continue
-        if tag == "body":
-            ended({"head"}, ())
         if tag in ENDS_P:
             ended({"p"}, {"table", "td", "button"})
         if tag in ENDS_SAME:
@@ -241,10 +250,29 @@ def content_paths(blocks: list[Block]) -> set[int]:
     return {p for p, (score, _, n) in scores.items() if n and score >= THRESHOLD * mean}
 
 
+def without_forms(blocks: list[Block]) -> list[Block]:
+    """The blocks but for those of forms that are no wrapper of the page's text. A rejected form's blocks become none, so that the
+    others keep their numbers."""
+    forms = {b.holder.form.order for b in blocks if b.holder.form}
+    if not forms:
+        return blocks
+    scores, whole, prose = path_scores(blocks), {}, dict.fromkeys(forms, 0)
+    for b in blocks:
+        if not b.path.hint and b.linked < len(b.text):
+            form = b.holder.form.order if b.holder.form else None
+            whole[form] = whole.get(form, 0) + scores[b.path.number][1] * (len(b.text) - b.linked)
+            if form is not None:
+                prose[form] += PROSE if b.path.article else len(b.text) if SENTENCE.search(b.text) else 0
+    total = sum(whole.values())
+    out = {f for f in forms if prose[f] < PROSE or 2 * whole.get(f, 0) <= total}
+    return [b._replace(text="") if b.holder.form and b.holder.form.order in out else b for b in blocks]
+
+
 def main_text(page: str | None) -> str:
-    blocks = blocks_of(page or "")
-    good = content_paths(blocks) if blocks else set()
-    content = [b.holder for b in blocks if b.path.number in good and b.linked < len(b.text)]
+    blocks = without_forms(blocks_of(page or ""))
+    there = [b for b in blocks if b.text]
+    good = content_paths(there) if there else set()
+    content = [b.holder for b in blocks if b.path.number in good and b.linked < len(b.text)]  # a block without text is none
     if not content:
         return ""
     top, last = min(content, key=lambda e: e.order), max(e.order for e in content)
@@ -252,7 +280,7 @@ def main_text(page: str | None) -> str:
         top = top.parent
     while top.tag not in PAGE and top.parent.tag in SECTIONS - PAGE:  # the heading may stand beside the text's element
         beside = blocks[top.parent.begin : top.begin] + blocks[top.end : top.parent.end]
-        if not all(b.holder.tag in HEADINGS for b in beside):
+        if not all(b.holder.tag in HEADINGS for b in beside if b.text):
             break
         top = top.parent
     if top.tag not in PAGE:
@@ -271,10 +299,10 @@ def main_text(page: str | None) -> str:
 
         chosen = {part_of(e).order for e in content if e is not top}
         inside = [
-            b for b in blocks
+            b for b in blocks[top.begin : top.end]
             if (b.path.number in good if b.holder is top else (p := part_of(b.holder)).order in chosen or (p is b.holder and p.tag in HEADINGS))
         ]
-    return "\n".join(b.text for b in inside if not b.path.hint or b.path.number in good)
+    return "\n".join(b.text for b in inside if b.text and (not b.path.hint or b.path.number in good))
 
 
 SCHEMA = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])

@@ -143,6 +143,88 @@ WHOLE_PAGES = [
 ]
 
 
+FORMS = [
+    (f"<body><form id=aspnetForm action=x><div class=menu>a b</div><div id=post><h1>Head</h1><p>{LONG}</p><p>{LONG}</p></div><label>Mail, me. Now.</label><button>Go, on.</button></form></body>", ["Head", LONG.strip(), LONG.strip()]),
+    (f"<form><article><p>The text, of it all.</p></article><div class=footer>x</div></form>", ["The text, of it all."]),
+    (f"<form><p>{LONG}</p></form>", [LONG.strip()]),
+    (f"<article><p>{LONG}</p></article><form><p>Write, to us. We answer, mostly. {'Or so, we think. ' * 9}</p><input></form>", [LONG.strip()]),
+    (f"<div><p>{LONG}{LONG}</p><form><p>{LONG}</p></form><p>Last, of all.</p></div>", [(LONG + LONG).strip(), "Last, of all."]),
+    (f"<form><p>{LONG}</p><form><p>Inner, one.</p></form></form><p>After, it.</p>", [LONG.strip(), "Inner, one.", "After, it."]),
+    ("<form><p>Search, here.</p></form>", [""]),
+]
+
+
+@pytest.mark.parametrize(("page", "want"), FORMS)
+def test_forms_are_judged_by_score(page, want):
+    assert html.main_text(page).split("\n") == want
+
+
+@pytest.mark.parametrize("first", ["<p>One, here.</p>", "<div><p>One, here.</div>", "One, here.", "<br>One, here.", "<article>One, here.</article>", "<span>One, here.</span>"])
+def test_an_open_head_ends_where_the_standard_ends_it(first):
+    page = f"<!doctype html><html><head><meta charset=x><title>T</title>\n<style>x</style><link rel=y><script>var z;</script><noscript>no</noscript>{first}<p>Two, there.</p>"
+    assert html.main_text(page) == "One, here.\nTwo, there."
+
+
+def plain_choice(blocks, good):
+    """The choice of the section by its definition, over sets of ancestors."""
+
+    def ancestors(e):  # itself first
+        out = [e]
+        while out[-1].parent is not None:
+            out.append(out[-1].parent)
+        return out
+
+    above = {id(b): ancestors(b.holder) for b in blocks}
+    within = lambda b, e: any(x is e for x in above[id(b)])
+    content = [b for b in blocks if b.path.number in good and b.linked < len(b.text)]
+    if not content:
+        return ""
+    sections, page = html.SECTIONS | html.PAGE, ("", "html", "body")
+    top = next(e for e in above[id(content[0])] if e.tag in sections and all(within(b, e) for b in content))
+    while top.tag not in page and top.parent.tag in sections and top.parent.tag not in page and all(b.holder.tag in html.HEADINGS for b in blocks if within(b, top.parent) and not within(b, top)):
+        top = top.parent
+    taken = []
+    for b in blocks:
+        if not within(b, top):
+            continue
+        if top.tag in page:
+            if b.holder is top:
+                if b.path.number not in good:
+                    continue
+            else:
+                part = above[id(b)][[x is top for x in above[id(b)]].index(True) - 1]
+                if not any(within(c, part) for c in content) and not (part is b.holder and part.tag in html.HEADINGS):
+                    continue
+        if not b.path.hint or b.path.number in good:
+            taken.append(b.text)
+    return "\n".join(taken)
+
+
+def test_the_section_is_chosen_as_defined(monkeypatch):
+    rng, chosen = random.Random(28), html.content_paths
+    for n in range(600):
+        page = random_page(rng)
+        if n % 2:
+            page = "".join(rng.choice(["<div>", "</div>", "<section>", "</section>", "<h1>Head</h1>", "<body>", f"<p>{LONG}</p>", "<p>x y</p>", "<div class=ad>Buy, it.</div>", "bare, text", "<td>"]) for _ in range(rng.randint(1, 25)))
+        blocks = html.blocks_of(page)
+        ties = {b.path.number for b in blocks if rng.random() < 0.3}
+        for good in (chosen(blocks) if blocks else set(), ties):  # any choice of paths, too
+            monkeypatch.setattr(html, "content_paths", lambda _, good=good: good)
+            assert html.main_text(page) == plain_choice(blocks, good), page
+
+
+def test_a_path_at_the_threshold_is_content(monkeypatch):
+    blocks = html.blocks_of(f"<div><p>{LONG}</p></div><ul><li>A, b.</li></ul>")
+    scores = html.path_scores(blocks)
+    low = min(scores, key=lambda p: scores[p][0])
+    mean = sum(f * n for _, f, n in scores.values()) / sum(n for _, _, n in scores.values())
+    monkeypatch.setattr(html, "THRESHOLD", scores[low][0] / mean)
+    at = scores[low][0] >= html.THRESHOLD * mean  # but for rounding, always
+    assert (low in html.content_paths(blocks)) == at
+    monkeypatch.setattr(html, "THRESHOLD", scores[low][0] / mean * 1.000001)
+    assert low not in html.content_paths(blocks)
+
+
 @pytest.mark.parametrize(("page", "want"), WHOLE_PAGES)
 def test_no_part_of_the_main_text_is_dropped(page, want):
     assert html.main_text(page).split("\n") == want
