@@ -6,8 +6,8 @@ is. Forward-backward gives each word's marginals over the whole text, which labe
 with the largest mean marginal, and that mean is its score.
 
 The model is fitted on a bounded sample of labelled passages. Every learning document is whole passages of PASSAGE letters,
-the last one shorter, and PER_LANG of all passages of each language are drawn by a hash of doc_id and place, of the LANGS
-languages that have the most. Learning rows have a language and a crc32 of doc_id, as text, whose remainder by 4 is not
+the last one shorter, and PER_LANG of all passages of each language are drawn by a hash of doc_id and place; where there are
+many languages fewer of each, but never less than LEAST. No language is left out. Learning rows have a language and a crc32 of doc_id, as text, whose remainder by 4 is not
 2. Prediction looks at nothing but the text, all of it; a run of more than 40 letters is read as consecutive words of at
 most 40.
 
@@ -35,7 +35,8 @@ from pyspark.sql import functions as F
 
 from lexloom.llm.common import fresh, held, table
 
-PER_LANG, PASSAGE, LANGS, WINDOW = 400, 600, 64, 24  # passages learned of a language, letters of each, languages, words of a training sentence
+PER_LANG, LEAST, WORK = 400, 16, 1 << 20  # passages learned of a language, at most and where there are many languages; fitting costs passages x languages, so WORK / languages ** 2 between these
+PASSAGE, WINDOW, LOT = 600, 24, 1 << 21  # letters of a passage, words of a training sentence, numbers of a lot of sentences that is passed through together
 BITS, ROUNDS, RATE, DECAY = 16, 30, 0.15, 1e-5  # hashed features, training rounds, step, weight decay
 LEXICON, SHARE = 3, 0.8  # times and share of one language that put a word into the lexicon
 BLOCK, LETTERS, HELD = 64, 1 << 20, 300_000  # words of a block; letters of a batch; words whose scores are held
@@ -111,32 +112,33 @@ def fitted(pieces: list[tuple[str, str]], seed: int = 7) -> Model:
     true_moves = np.zeros((k_, k_))
     both = there[:, 1:] & there[:, :-1]
     np.add.at(true_moves, (y[:, :-1][both], y[:, 1:][both]), 1)
-    total = there.sum()
+    total, per_lot = there.sum(), max(1, LOT // (WINDOW * k_))
     for _ in range(ROUNDS):
         e = np.add.reduceat(weights[flat], starts, axis=0)
         p = np.exp(e - e.max(1, keepdims=True))
         go = np.exp(moves)
-        a, b = np.ones((WINDOW, n, k_)), np.ones((WINDOW, n, k_))
-        score = np.where(there[:, :, None], p[x], 1.0)
-        a[0] = score[:, 0] / score[:, 0].sum(1, keepdims=True)
-        for t in range(1, WINDOW):
-            v = np.where(there[:, t, None], (a[t - 1] @ go) * score[:, t], a[t - 1])
-            a[t] = v / v.sum(1, keepdims=True)
-        for t in range(WINDOW - 2, -1, -1):
-            v = np.where(there[:, t + 1, None], (score[:, t + 1] * b[t + 1]) @ go.T, b[t + 1])
-            b[t] = v / v.sum(1, keepdims=True)
-        m = a * b
-        m /= m.sum(2, keepdims=True)
-        seen = np.zeros((len(vocabulary), k_))
-        for k in range(k_):
-            seen[:, k] = np.bincount(x[there], m[:, :, k].T[there], len(vocabulary))
-        pair = np.zeros((k_, k_))
-        for t in range(1, WINDOW):
-            w = a[t - 1][:, :, None] * go * (score[:, t] * b[t])[:, None, :]
-            w = w / w.sum((1, 2), keepdims=True) * there[:, t, None, None]
-            pair += w.sum(0)
-        by_feature = np.repeat((truth - seen) / total * 1000, sizes, axis=0)
-        g = np.stack([np.bincount(flat, by_feature[:, k], len(weights)) for k in range(k_)], 1) - DECAY * weights
+        seen, pair = np.zeros((len(vocabulary), k_)), np.zeros((k_, k_))
+        for lot in range(0, n, per_lot):
+            x_, there_ = x[lot : lot + per_lot], there[lot : lot + per_lot]
+            a, b = np.ones((WINDOW, len(x_), k_)), np.ones((WINDOW, len(x_), k_))
+            score = np.where(there_[:, :, None], p[x_], 1.0)
+            a[0] = score[:, 0] / score[:, 0].sum(1, keepdims=True)
+            for t in range(1, WINDOW):
+                v = np.where(there_[:, t, None], (a[t - 1] @ go) * score[:, t], a[t - 1])
+                a[t] = v / v.sum(1, keepdims=True)
+            for t in range(WINDOW - 2, -1, -1):
+                v = np.where(there_[:, t + 1, None], (score[:, t + 1] * b[t + 1]) @ go.T, b[t + 1])
+                b[t] = v / v.sum(1, keepdims=True)
+            m = a * b
+            m /= m.sum(2, keepdims=True)
+            for k in range(k_):
+                seen[:, k] += np.bincount(x_[there_], m[:, :, k].T[there_], len(vocabulary))
+            for t in range(1, WINDOW):  # all pairs' chances, divided by their sum in each sentence
+                then = score[:, t] * b[t]
+                whole = ((a[t - 1] @ go) * then).sum(1)
+                pair += go * ((a[t - 1] * (there_[:, t] / whole)[:, None]).T @ then)
+        by_word = (truth - seen) / total * 1000
+        g = np.stack([np.bincount(flat, np.repeat(by_word[:, k], sizes), len(weights)) for k in range(k_)], 1) - DECAY * weights
         step_w += g * g
         weights += RATE * g / np.sqrt(step_w)
         g = (true_moves - pair) / total * 1000
@@ -267,18 +269,19 @@ def remainder(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string")) % 4
 
 
-def sample(docs: DataFrame, per_lang: int = PER_LANG, passage: int = PASSAGE, langs: int = LANGS) -> list[tuple[str, str]]:
-    """(language, passage) of about per_lang passages of each language, never more than twice that."""
+def sample(docs: DataFrame, per_lang: int | None = None, passage: int = PASSAGE) -> list[tuple[str, str]]:
+    """(language, passage) of about per_lang passages of each language there is, never more than twice that."""
     passages = F.ceil(F.length("text") / passage).cast("int")
-    teach = docs.where("lang is not null and text is not null").where(remainder() != 2).select("doc_id", "lang", "text", passages.alias("n"))
-    counts = teach.groupBy("lang").agg(F.sum("n").alias("n")).where("n > 0").orderBy(F.col("n").desc(), "lang").limit(langs).collect()
+    teach = docs.where("lang is not null and text is not null").where(remainder() != 2).select("doc_id", "lang", "text", passages.alias("n")).where("n > 0")
+    counts = teach.groupBy("lang").agg(F.sum("n").alias("n")).collect()  # a row a language
     if not counts:
         return []
-    share = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(min(1.0, per_lang / r["n"]))) for r in counts], F.lit(0.0))
+    per_lang = per_lang or max(LEAST, min(PER_LANG, WORK // len(counts) ** 2))
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, per_lang / r["n"])) for r in counts], "lang string, share double")
     drawn = lambda i: F.pmod(F.xxhash64(F.lit("draw"), F.col("doc_id"), i), F.lit(1_000_003)) / 1_000_003
     places = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: drawn(i) < F.col("share"))
     parts = F.transform(places, lambda i: F.struct(drawn(i).alias("drawn"), F.col("doc_id").alias("doc_id"), i.alias("i"), F.substring(F.col("text"), i * passage + 1, F.lit(passage)).alias("part")))
-    chosen = teach.where("n > 0").withColumn("share", share).where("share > 0").select("lang", F.explode(parts).alias("p")).select("lang", "p.*")
+    chosen = teach.join(F.broadcast(shares), "lang").select("lang", F.explode(parts).alias("p")).select("lang", "p.*")
     rows = chosen.orderBy("drawn", "doc_id", "i", "part").limit(2 * per_lang * len(counts))
     return [(r[0], r[1]) for r in rows.select("lang", "part").toArrow().to_pandas().itertuples(index=False)]
 

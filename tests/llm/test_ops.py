@@ -1051,10 +1051,33 @@ def test_passages_cover_whole_texts(spark):
     assert {lang: sum(a == lang for a, _ in everything) for lang in whole} == whole and max(len(p) for _, p in everything) == 50
     some = langid.sample(docs, per_lang=40, passage=50)
     assert len(some) <= 160 and {lang for lang, _ in some} == {"xx", "yy"}
-    assert {lang for lang, _ in langid.sample(docs, langs=1)} == {max(whole, key=whole.get)}
     assert langid.sample(docs.where("lang is null")) == []
 
 
+def test_every_language_is_learned(spark, folder, monkeypatch):
+    """More languages than any small number, each with a few documents, all of them predicted."""
+    rng = random.Random(31)
+    alphabet = lambda k: "".join(chr(0x4E00 + 12 * k + j) for j in range(12))
+    texts, langs = [], []
+    for i in range(90 * 6):
+        texts.append(speech(rng, alphabet(i % 90), 20))
+        langs.append(f"l{i % 90:02d}")
+    monkeypatch.setattr(langid, "ROUNDS", 12)
+    out = langid.op10(spark, folder(documents=documents(*texts, langs=langs))).collect()
+    learned = {lang for i, lang in enumerate(langs) if zlib.crc32(str(i).encode()) % 4 != 2}
+    assert len(learned) > 64 and {r.lang_pred for r in out} == learned
+    assert sum(r.lang_pred == langs[r.doc_id] for r in out) >= 0.97 * len(out)
+
+
+def test_lots_of_sentences_add_up(monkeypatch):
+    rng = random.Random(32)
+    pieces = [(lang, speech(rng, letters, 80)) for lang, letters in ALPHABETS.items() for _ in range(20)]
+    whole = langid.fitted(pieces)
+    monkeypatch.setattr(langid, "LOT", 24 * 3 * 7)  # seven sentences at a time
+    lots = langid.fitted(pieces)
+    assert np.allclose(whole.weights, lots.weights, atol=1e-4) and np.allclose(whole.moves, lots.moves, atol=1e-6)
+
+
 def test_languages_of_ties_repeats_and_nothing(spark, folder):
     same = "mama papa mama papa"
     texts, langs = [same] * 12, ["bb", "aa"] * 6
