@@ -6,8 +6,10 @@ give intervals of words; an interval inside another one of at least its priority
 "licensed under the apache license version 2 0" gives one detection and not four. The labels of those that are left,
 together with the four base labels, are reported.
 
-There are two kinds of rules: TEXTS, hand-written signatures of license texts, headers and notices, one each; and
-LICENSES, hand-written expressions for the names of licenses, each in the FORMS in which licenses are cited. Rules are
+There are three kinds of rules: TEXTS, hand-written signatures of license texts, headers and notices, one each;
+LICENSES, hand-written expressions for the names of licenses, each in the FORMS in which licenses are cited; and IDENTIFIERS, short
+names that are ordinary words or abbreviations and mean a license only where they are cited as one: behind an identifier tag
+(also joined there by "or" and "and"), in a license field, or behind "licensed under" and the like. Rules are
 found by their first gate word, so that a text without any of these words costs one look-up a word. Positions are looked
 up, and intervals swept in order of their start, so that a text that is one long list of notices costs n log n.
 
@@ -43,6 +45,9 @@ LICENSES = [
     ("lgpl-2.0", "library", r"gnu library general public licen[cs]e"),
     ("gpl-1.0", "general", r"gnu general public licen[cs]e (?:version|v) 1(?: 0)?"),
     ("gpl-2.0", "general", r"gnu general public licen[cs]e (?:version|v) 2(?: 0)?"),
+    ("gpl-2.0", "gpl", r"gnu gpl (?:version |v )?v?2(?: 0)?"),
+    ("gpl-3.0", "gpl", r"gnu gpl (?:version |v )?v?3(?: 0)?"),
+    ("gpl", "gpl", r"gnu gpl"),
     ("gpl-2.0", "gplv2", r"gplv2"),
     ("gpl-3.0", "general", r"gnu general public licen[cs]e (?:version|v) 3(?: 0)?"),
     ("gpl-3.0", "gplv3", r"gplv3"),
@@ -105,6 +110,52 @@ LICENSES = [
     ("ncsa", "ncsa", r"(?:university of illinois )?ncsa open source licen[cs]e"),
     ("public-domain", "domain", r"public domain"),
 ]
+_V, _LATER = r" (?:version |v )?v?", r"(?: only| or (?:any )?later(?: version)?)?"
+#: label, word that must be there, expression for the short name
+IDENTIFIERS = [
+    ("mit", "mit", r"mit"),
+    ("mit-0", "mit", r"mit 0"),
+    ("isc", "isc", r"isc"),
+    ("zlib", "zlib", r"zlib"),
+    ("libpng", "libpng", r"libpng(?: 2 0)?"),
+    ("gpl-1.0", "gpl", rf"(?:gnu )?gpl{_V}1(?: 0)?{_LATER}"),
+    ("gpl-2.0", "gpl", rf"(?:gnu )?gpl{_V}2(?: 0)?{_LATER}"),
+    ("gpl-3.0", "gpl", rf"(?:gnu )?gpl{_V}3(?: 0)?{_LATER}"),
+    ("gpl", "gpl", r"(?:gnu )?gpl"),
+    ("lgpl-2.0", "lgpl", rf"(?:gnu )?lgpl{_V}2(?: 0)?{_LATER}"),
+    ("lgpl-2.1", "lgpl", rf"(?:gnu )?lgpl{_V}2 1{_LATER}"),
+    ("lgpl-3.0", "lgpl", rf"(?:gnu )?lgpl{_V}3(?: 0)?{_LATER}"),
+    ("agpl-3.0", "agpl", rf"(?:gnu )?agpl{_V}3(?: 0)?{_LATER}"),
+    ("gfdl", "gfdl", rf"(?:gnu )?gfdl(?:{_V}1 [0-3])?{_LATER}"),
+    ("apache-1.1", "apache", rf"apache{_V}1 1"),
+    ("apache-2.0", "apache", rf"apache{_V}2(?: 0)?"),
+    ("bsd", "bsd", r"bsd(?! [234] clause)"),
+    ("x11", "x11", r"x11"),
+    ("mpl-1.1", "mpl", rf"mpl{_V}1 1"),
+    ("mpl-2.0", "mpl", rf"mpl(?:{_V}2(?: 0)?)?"),
+    ("epl-1.0", "epl", rf"epl{_V}1(?: 0)?"),
+    ("epl-2.0", "epl", rf"epl{_V}2(?: 0)?"),
+    ("cpl-1.0", "cpl", rf"cpl{_V}1 0"),
+    ("bsl-1.0", "bsl", rf"bsl{_V}1 0"),
+    ("busl-1.1", "busl", r"busl(?: 1 1)?"),
+    ("sspl-1.0", "sspl", r"sspl(?: v?1(?: 0)?)?"),
+    ("artistic-2.0", "artistic", rf"artistic{_V}2(?: 0)?"),
+    ("openssl", "openssl", r"openssl"),
+    ("postgresql", "postgresql", r"postgresql"),
+    ("python-2.0", "python", r"python 2 0"),
+    ("python-2.0", "psf", r"psf(?: 2 0)?"),
+    ("php-3.01", "php", r"php 3 01"),
+    ("ofl-1.1", "ofl", r"(?:sil )?ofl(?: v?1 [01])?"),
+    ("odbl-1.0", "odbl", r"odbl(?: v?1 0)?"),
+    ("ms-pl", "ms", r"ms pl"),
+    ("ms-rl", "ms", r"ms rl"),
+    ("ncsa", "ncsa", r"ncsa"),
+    ("cecill", "cecill", r"cecill(?: [bc])?(?: 2 [01])?"),
+]
+#: The forms below in which a short name is cited, and one more of their own: further on in an identifier tag's expression. What a
+#: detection covers begins at "own", if there is that.
+CITED = ("identifier", "granted", "released", "field")
+JOINED = ("joined", r"spdx licen[cs]e identifier (?:\S+ ){1,16}?(?:or|and)(?P<own>) ", "", 5, 1.0, "spdx")
 #: form, what stands before and after the name, priority, confidence, and another word that must be there
 FORMS = [
     ("identifier", r"spdx licen[cs]e identifier ", "", 5, 1.0, "spdx"),
@@ -328,7 +379,12 @@ class Rule(NamedTuple):
 
 def made_rules() -> list[Rule]:
     """All rules, the most specific form first."""
-    out = [Rule(label, (word, *([other] if other else [])), re.compile(f" {before}(?:{name}){after}(?= )"), priority, confidence) for _, before, after, priority, confidence, other in FORMS for label, word, name in LICENSES]
+    cited = [(f, IDENTIFIERS) for f in (*(f for f in FORMS if f[0] in CITED), JOINED)]
+    named = [(f, LICENSES) for f in FORMS]
+    out = [
+        Rule(label, (word, *([other] if other else [])), re.compile(f" {before}(?:{name}){after}(?= )"), priority, confidence)
+        for (_, before, after, priority, confidence, other), names in cited + named for label, word, name in names
+    ]
     return out + [Rule(label, (word,), re.compile(f" (?:{text})(?= )"), priority, confidence) for label, word, text, priority, confidence in TEXTS]
 
 
@@ -369,6 +425,10 @@ def left_over(found: list[Detection]) -> list[Detection]:
     return sorted(out)
 
 
+def own_start(m: re.Match) -> int:
+    return m.start("own") if "own" in m.re.groupindex else m.start()
+
+
 def detections(words: list[bytes], present: set[bytes]) -> list[Detection]:
     plain = b" ".join(words).decode("utf-8", "surrogatepass")
     line = " " + plain + " "
@@ -379,8 +439,9 @@ def detections(words: list[bytes], present: set[bytes]) -> list[Detection]:
         if len(r.needs) == 1 or r.needs[1].encode() in present:
             for m in r.pattern.finditer(line):
                 begins = begins or [1, *(x.start() + 2 for x in re.finditer(" ", plain))]
-                start = bisect_left(begins, m.start() + 1)
-                found.append((start, start + m[0].count(" "), r.priority, r.confidence, r.label, k))
+                at = own_start(m)
+                start = bisect_left(begins, at + 1)
+                found.append((start, start + line.count(" ", at, m.end()), r.priority, r.confidence, r.label, k))
     return left_over(found)
 
 

@@ -81,7 +81,7 @@ def test_detections_against_plain_search():
         line, found = " " + " ".join(words) + " ", []
         for k, r in enumerate(licenses.RULES):
             if set(r.needs) <= set(words):
-                found += [(line[: m.start() + 1].count(" ") - 1, line[: m.end() + 1].count(" ") - 1, r.priority, r.confidence, r.label, k) for m in r.pattern.finditer(line)]
+                found += [(line[: licenses.own_start(m) + 1].count(" ") - 1, line[: m.end() + 1].count(" ") - 1, r.priority, r.confidence, r.label, k) for m in r.pattern.finditer(line)]
         got = licenses.detections(licenses.words_of(text), set(licenses.words_of(text)))
         assert got == licenses.left_over(found)
         assert set(licenses.scanned(text)["labels"].split(",")) - {""} >= {d[4] for d in got}
@@ -102,6 +102,34 @@ def test_every_signature_fires():
             assert rule.pattern.search(f" {' '.join(x.decode() for x in w)} ") and word.encode() in w, (label, plain)
 
 
+CITED = {
+    "SPDX-License-Identifier: MIT": "mit", "SPDX-License-Identifier: GPL-2.0-only": "gpl-2.0", "SPDX-License-Identifier: GPL-3.0-or-later": "gpl-3.0", "SPDX-License-Identifier: ISC": "isc",
+    "SPDX-License-Identifier: Zlib": "zlib", "SPDX-License-Identifier: EPL-2.0": "epl-2.0", "SPDX-License-Identifier: BSL-1.0": "bsl-1.0", "SPDX-License-Identifier: PostgreSQL": "postgresql",
+    "license: MIT": "mit", "Licensed under the MIT": "mit", "released under GPL v3": "gpl-3.0", "GNU GPL version 2": "gpl-2.0",
+    "SPDX-License-Identifier: (LGPL-2.1-or-later OR BSD-3-Clause) AND MIT": "bsd-3-clause,lgpl-2.1,mit", "SPDX-License-Identifier: MIT-0": "mit-0", "License: BSD": "bsd", "it is licensed under the terms of the MPL 2.0": "mpl-2.0",
+    "dual licensed under MIT and nothing else": "mit", "SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0 OR EPL-2.0": "epl-2.0,gpl-2.0", "published under Apache v2": "apache-2.0",
+}
+PROSE = [
+    "She studied at MIT and then joined ISC.", "The zlib library compresses.", "We run PostgreSQL 16 on BSD, with OpenSSL.", "They got a license in May. MIT said so.", "die Kinder kamen mit dem Zug", "The EPL 2.0 season, in version 1.0",
+    "under the sea, mit Freude", "GPL and LGPL are names.", "X11 and mpl plots", "The licence was for PHP 3 01.",
+]
+
+
+def test_short_names_count_where_they_are_cited():
+    for text, want in CITED.items():
+        assert licenses.scanned(text)["labels"] == want, text
+    for text in PROSE:
+        found = licenses.scanned(text)["labels"]
+        assert found in ("", "lgpl"), (text, found)  # lgpl is a name in itself
+    for label, word, name in licenses.IDENTIFIERS:  # every one of them fires, in every form, past its gate
+        plain = name.replace("(?! [234] clause)", "").replace(r" (?:version |v )?v?", " v").replace("v?", "")
+        while (new := re.sub(r"\(\?:([^()|]*)(?:\|[^()]*)?\)\??", r"\1", plain)) != plain:
+            plain = new
+        plain = plain.replace("[01]", "1").replace("[0-3]", "1").replace("[bc]", "b")
+        for cited in ("SPDX-License-Identifier: {}", "SPDX-License-Identifier: X-1.0 OR {}", "is licensed under the {}.", "released under {}", "License: {}"):
+            assert label in licenses.scanned(cited.format(plain))["labels"].split(","), (label, cited, plain)
+
+
 def test_alternatives_of_names_pass_their_gate():
     assert licenses.scanned("Use AGPLv3, please.")["labels"] == "agpl-3.0"
     assert licenses.scanned("The Zero-Clause BSD it is.")["labels"] == "0bsd"
