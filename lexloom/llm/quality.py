@@ -1,11 +1,16 @@
 """Line-first quality rules.
 
 Each line of a text is judged by itself: its punctuation (symbols instead of prose, exclamation after every word, STOP_WITHIN
-words without any stop), its shape as navigation (separators between single words, mostly menu words), the share of
-boilerplate phrases, shouting in capitals, and being a repeat of an earlier line of REPEAT_FROM letters or more (a short
-line, as in verse or lists, may recur). Shares of words are judged from SHARES_FROM words and of letters from LETTERS_FROM
-on, as one word has no share. Failing lines are taken out, and a document that loses more than half of its word characters
-with them is rejected. Documents that are too short, or mostly repeat their own three-word windows, are rejected before that.
+words without any stop), its shape as navigation (separators between single words, mostly addresses, mostly menu words), the share of
+boilerplate phrases and of the words of consent notices, shouting in capitals, and being a repeat of an earlier line of
+REPEAT_FROM letters or more (a short line, as in verse or lists, may recur). Shares of words are judged from SHARES_FROM words and
+of letters from LETTERS_FROM on, as one word has no share.
+
+A line is also judged by the lines around it, blank ones passed over: RUN_LINES or more consecutive lines of at most SHORT words, none
+of which has a stop, are navigation if at least half of their words begin with a capital or a digit; and consecutive longer
+lines without a stop that have STOP_WITHIN words together are unpunctuated.
+
+Failing lines are taken out, and a document that loses more than half of its word characters with them is rejected. Documents that are too short, or mostly repeat their own three-word windows, are rejected before that.
 
 Defined cases: null or empty text has no words and is rejected; lines end at \\n only; white space is the ASCII set; very
 long texts are read whole; ties cannot arise; other columns pass through untouched.
@@ -24,7 +29,15 @@ from pyspark.sql import functions as F
 from lexloom.llm.common import fresh, held, table
 
 SPACES, SYMBOLS, STOPS = " \t\n\x0b\x0c\r", "#*$%&|<>", re.compile(r"[.,;:!?…。，！？]")
-SEPARATORS = frozenset("| » › > · • / – — :: >> ||".split())
+SEPARATORS = frozenset("| » › > · • / \\ – — :: >> || // ~ → ← « ‹ *".split())
+ADDRESS = re.compile(r"(?:https?://|www\.)\S")
+#: What notices of consent are about; they hold a word for cookies and others of these.
+COOKIE = frozenset("cookie cookies".split())
+CONSENT = COOKIE | frozenset(
+    "consent preferences settings partners partner tracking track analytics personalise personalize personalised personalized advertising advertisements ads third party parties privacy browser website site"
+    " device devices accept reject decline agree agreeing traffic visitors visit necessary functional essential optional store stored storing analyse analyze policy use uses used using"
+    " einwilligung zustimmung zustimmen einstellungen webseite akzeptieren ablehnen consentement accepter refuser paramètres aceptar rechazar navegador".split()
+)
 MENU = frozenset(
     "home menu login logout register search sitemap contact about next previous back top share print help faq rss subscribe imprint account cart checkout wishlist archive"
     " startseite kontakt anmelden abmelden suche hilfe impressum warenkorb inicio contacto buscar ayuda acceder accueil rechercher connexion aide panier".split()
@@ -45,7 +58,9 @@ BOILERPLATE = {word: re.compile(rf"\b(?:{phrase})\b") for word, phrase in PHRASE
 WORDS_ONLY = str.maketrans(dict.fromkeys(".,:;|!?()[]\"'…&-–—/", " "))
 MIN_WORDS, MAX_REPEATED, MAX_LOST = 50, 0.5, 0.5
 MAX_SYMBOLS, MAX_SHOUTED, MAX_EXCLAIMED, MAX_SEPARATED, MAX_MENU, MAX_BOILERPLATE = 0.1, 0.7, 0.3, 0.2, 0.5, 0.1  # shares of a line
+MAX_ADDRESSES, MAX_CONSENT, MAX_TITLED = 0.3, 0.15, 0.5  # shares of a line's or a run's words
 SHARES_FROM, LETTERS_FROM, STOP_WITHIN, REPEAT_FROM = 3, 10, 60, 20  # words or letters from which a line is judged by shares of them; words without a stop; letters of a repeat
+SHORT, RUN_LINES = 6, 6  # words of a short line, and lines of a run of them
 
 
 def base_counts(text: str) -> tuple[int, int, int, int, int]:
@@ -78,6 +93,8 @@ def line_fault(line: str) -> str | None:
     if n >= SHARES_FROM:
         if not SEPARATORS.isdisjoint(words) and sum(w in SEPARATORS for w in words) > MAX_SEPARATED * n:
             return "navigation"
+        if ("://" in line or "www." in line) and sum(ADDRESS.match(w) is not None for w in words) > MAX_ADDRESSES * n:
+            return "navigation"
         if line.count("!") > MAX_EXCLAIMED * n:
             return "exclamation"
         letters = sum(map(str.isalpha, line))
@@ -87,6 +104,8 @@ def line_fault(line: str) -> str | None:
     there = set(lower)
     if not there.isdisjoint(MENU) and sum(w in MENU for w in lower) > MAX_MENU * len(lower):
         return "navigation"
+    if n >= SHARES_FROM and not there.isdisjoint(COOKIE) and len(there & CONSENT) > 1 and sum(w in CONSENT for w in lower) >= MAX_CONSENT * len(lower):
+        return "boilerplate"
     if not there.isdisjoint(BOILERPLATE):
         plain = " ".join(lower)
         if sum(len(m[0]) for w in there & BOILERPLATE.keys() for m in BOILERPLATE[w].finditer(plain)) >= MAX_BOILERPLATE * len(plain):
@@ -96,20 +115,51 @@ def line_fault(line: str) -> str | None:
     return None
 
 
+def runs_at_fault(lines: list[tuple[int, str]]) -> set[int]:
+    """lines: number and text of those that have words. The numbers of those that fail with their neighbours."""
+    out: set[int] = set()
+    run: list[tuple[int, list[str]]] = []
+    is_short = False
+
+    def end() -> None:
+        words = [w for _, ws in run for w in ws]
+        if is_short:
+            at_fault = len(run) >= RUN_LINES and sum(w[0].isupper() or w[0].isdigit() for w in words) >= MAX_TITLED * len(words)
+        else:
+            at_fault = len(words) >= STOP_WITHIN
+        if at_fault:
+            out.update(i for i, _ in run)
+        run.clear()
+
+    for i, line in lines:
+        if STOPS.search(line):
+            if run:
+                end()
+            continue
+        words = line.split()
+        if run and is_short != (len(words) <= SHORT):
+            end()
+        is_short = len(words) <= SHORT
+        run.append((i, words))
+    if run:
+        end()
+    return out
+
+
 def cleaned(text: str) -> tuple[str, int, int]:
     """The text without its failing lines, the number of these, and the word characters lost with them."""
-    kept: list[str] = []
+    lines = text.split("\n")
+    bodies = [(i, body) for i, line in enumerate(lines) if (body := line.strip(SPACES))]
+    out = runs_at_fault(bodies)
     seen: set[str] = set()
-    failed = lost = 0
-    for line in text.split("\n"):
-        if body := line.strip(SPACES):
-            if (len(body) >= REPEAT_FROM and line in seen) or line_fault(line):
-                failed += 1
-                lost += len(line) - sum(map(line.count, SPACES))
-                continue
+    for i, body in bodies:
+        line = lines[i]
+        if (len(body) >= REPEAT_FROM and line in seen) or line_fault(line):
+            out.add(i)
+        else:
             seen.add(line)
-        kept.append(line)
-    return "\n".join(kept), failed, lost
+    lost = sum(len(lines[i]) - sum(map(lines[i].count, SPACES)) for i in out)
+    return "\n".join([line for i, line in enumerate(lines) if i not in out]) if out else text, len(out), lost
 
 
 def judged(text: str | None) -> dict:

@@ -773,24 +773,48 @@ def plain_fault(line):
     menu = plain and sum(w in quality.MENU for w in plain.split()) / len(plain.split()) > 0.5
     found = sum(len(m[0]) for w, p in quality.PHRASES.items() if w in plain.split() for m in re.finditer(rf"\b(?:{p})\b", plain))
     unstopped = len(words) >= 60 and not re.search(r"[.,;:!?…。，！？]", line)
-    return symbols or separators or exclaimed or shouted or menu or (found > 0 and found >= 0.1 * len(plain)) or unstopped
+    addresses = shares and sum(bool(re.match(r"https?://\S|www\.\S", w)) for w in words) / len(words) > 0.3
+    consent = [w for w in plain.split() if w in quality.CONSENT]
+    consent = shares and {"cookie", "cookies"} & set(consent) and len(set(consent)) >= 2 and len(consent) >= 0.15 * len(plain.split())
+    return symbols or separators or exclaimed or shouted or menu or (found > 0 and found >= 0.1 * len(plain)) or unstopped or addresses or consent
+
+
+def plain_run_fault(lines, at):
+    """Whether a line fails with those around it, by going both ways from it. lines: those with words."""
+    stop = lambda x: re.search(r"[.,;:!?…。，！？]", x)
+    short = len(lines[at].split()) <= 6
+    like = lambda x: not stop(x) and (len(x.split()) <= 6) == short
+    if stop(lines[at]):
+        return False
+    a = b = at
+    while a > 0 and like(lines[a - 1]):
+        a -= 1
+    while b + 1 < len(lines) and like(lines[b + 1]):
+        b += 1
+    words = " ".join(lines[a : b + 1]).split()
+    titled = sum(bool(re.match(r"\d", w)) or w[0].isupper() for w in words)
+    return (b - a >= 5 and titled >= 0.5 * len(words)) if short else len(words) >= 60
 
 
 def plain_verdict(text):
     n, chars, _, _, again = plain_counts(text)
-    lost, seen = 0, set()
+    lost, seen, at = 0, set(), -1
+    spoken = [x.strip(quality.SPACES) for x in text.split("\n") if x.strip(quality.SPACES)]
     for line in text.split("\n"):
+        at += bool(line.strip(quality.SPACES))
         if words := re.findall(r"[^\x20\x09-\x0D]+", line):
             if plain_fault(line) or (len(line.strip(" \t\n\x0b\x0c\r")) >= 20 and line in seen):
                 lost += sum(map(len, words))
             else:
                 seen.add(line)
+                if plain_run_fault(spoken, at):
+                    lost += sum(map(len, words))
     return n >= 50 and 100 * again <= 50 * n and lost <= 0.5 * chars
 
 
 def test_verdicts_against_plain_rules():
     rng = random.Random(27)
-    pieces = ["all rights reserved", "Home", "Login", "|", "»", "wow!", "LOUD WORDS HERE", "a plain sentence, with a stop.", "#$%", "click here", "cookie policy", "Impressum", "read more", "the rest of it", "\n", "\n", "é ü", "one line that comes again and again\n", "tie"]
+    pieces = ["all rights reserved", "Home", "Login", "|", "»", "wow!", "LOUD WORDS HERE", "a plain sentence, with a stop.", "#$%", "click here", "cookie policy", "Impressum", "read more", "the rest of it", "\n", "\n", "é ü", "one line that comes again and again\n", "tie", "https://x.org/a", "cookies", "settings", "\nTeam\nPricing", "\nAbout us 7\n", "no stop in this longer line of more words\n"]
     kept = 0
     for _ in range(1500):
         text = " ".join(rng.choice(pieces) + (f" {rng.randint(0, 999)}" if rng.random() < 0.5 else "") for _ in range(rng.randint(20, 120)))
@@ -804,6 +828,34 @@ def test_verdicts_against_plain_rules():
     assert quality.line_fault(long) is None and quality.line_fault("A line that is a little longer than others, all rights reserved, as they say.") == "boilerplate"
 
 
+NOTICE = [
+    "We use cookies to personalise content and ads, to provide social media features and to analyse our traffic.", "You can change your cookie settings at any time in your browser.", "By continuing to use this site you agree to the use of cookies.",
+    "Necessary cookies help make a website usable by enabling basic functions.", "Some cookies are placed by third party services that appear on our pages.", "Our partners may use cookies and combine them with other information.",
+    "Analytics cookies help us understand how visitors use the website.", "If you reject optional cookies, the site still works.", "Accept all cookies or manage your preferences below.", "Wir verwenden Cookies, um die Nutzung der Webseite zu verstehen; mit Ihrer Einwilligung.",
+]
+
+
+@pytest.mark.parametrize("lines", [
+    ["Products / Services / Pricing / Team / Careers", "About / Press / Partners / Blog / Events"] * 3, [f"Section {i} link" for i in range(60)],
+    [" ".join(f"word{i}x{j}" for j in range(30)) for i in range(10)], [f"{x} {i}" for i, x in enumerate(NOTICE * 2)], ["https://a.org/x www.b.org/y and more", "see www.c.org or www.d.org"],
+    ["Home", "", "Team", "Our Offices", "", "Jobs", "News 2024", "Imprint Page"],
+])
+def test_shapes_of_boilerplate_fail(lines):
+    good = prose_text(3).rstrip("\n").split("\n")
+    text = "\n".join(good[:6] + lines + good[6:])
+    clean, failed, _ = quality.cleaned(text)
+    assert clean.split("\n") == good[:6] + [x for x in lines if not x] + good[6:] and failed == sum(map(bool, lines))
+    assert not quality.judged("\n".join(f"{x} {i}" if x else x for i in range(12) for x in lines))["kept"]
+
+
+def test_verse_lists_and_baking_are_no_boilerplate():
+    verse = "\n".join(f"and so the {w} goes on\nand never {w} again" for w in "river wind night rain light".split())
+    recipe = "\n".join(f"- a {w} of the best kind" for w in "spoon cup pinch glass slice handful".split())
+    baking = "The cookies came out of the oven, and nobody could wait.\nShe baked more cookies, this time with nuts.\nA heading Of Some Words\nThen, text.\nSee www.a.org for all of it, or ask us."
+    for text in (verse, recipe, baking):
+        assert quality.cleaned(text) == (text, 0, 0)
+
+
 def test_quality_of_long_and_repeated_texts(spark, folder):
     long = "".join(f"Sentence {i} of it, with {i * 7} words.\n" for i in range(60_000))
     got = {r.doc_id: r for r in quality.op7(spark, folder(documents=documents(long, "x" * 3_000_000, long))).collect()}
