@@ -11,7 +11,7 @@ import json
 import re
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,11 +23,12 @@ from lexloom.operators import extract, index, requests, tags
 from lexloom.plans import rendered
 from lexloom.schemas import DOC_CHANGES
 from lexloom.sources import archive, config, globs
+from lexloom.sources import feed as feed_source
 from lexloom.sources import files as files_source
 from lexloom.sources.sinks import write_files
 from lexloom.sources.work import shared_dir
 from lexloom.streaming import changes as feed
-from lexloom.streaming import sessions
+from lexloom.streaming import sessions, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -48,6 +49,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def work(spark: SparkSession, name: str) -> str:
+    """A folder of a query's own on the shared file system, for what it writes on the way and then reads."""
+    return f"{shared_dir(spark)}/lexloom/{name}-{uuid.uuid4().hex}"
+
+
 # --- direct: markup and text ---
 
 HITS = f"unnest(regexp_extract_all(html, '{tags.EVENT}')) as hit, generate_subscripts(regexp_extract_all(html, '{tags.EVENT}'), 1) as pos"
@@ -564,3 +570,71 @@ def live_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("req_id"))
     return requests.dispatch("initialize")(asked).select("req_id", "change", F.array_join("trigger_characters", "").alias("triggers"), "hover")
+
+
+# --- streamed: events as editors' notifications, in lots that a stream takes one run after the other ---
+
+LOTS, IDLE_MS = 3, 20 * 24 * 3_600_000  # runs of the stream; a document without a change for so long is given up
+
+
+def notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """seq, at, session_id, op, uri, changes: a user is a session, an event type a document; small values close it, and of large ones
+    each eleventh is a change of folders."""
+    e, n = table(spark, sf_dir, "events"), F.pmod("event_id", F.lit(4))
+    texts = F.when(n == 0, F.array().cast("array<string>")).when(n == 1, F.array("props")).when(n == 2, F.array(F.lit("first"), "props")).otherwise(F.array(F.lit("a"), F.lit("b"), F.concat("props", F.lit('\n"é"'))))
+    op = F.when(F.col("event_id") % 11 == 0, F.when(n < 2, "folder_added").otherwise("folder_removed")).when(F.col("value") < 5, "close").when(n == 1, "open").otherwise("change")
+    return e.select(
+        F.col("event_id").alias("seq"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), F.col("user_id").cast("string").alias("session_id"), op.alias("op"),
+        F.concat(F.lit("file:///w/"), "event_type", F.when(op.startswith("folder"), "").otherwise(".cfc")).alias("uri"), F.when(op.isin("open", "change"), texts).alias("changes"),
+    )
+
+
+NOTIFICATIONS_SQL = """
+  select event_id as seq, epoch_ms(ts) as "at", cast(user_id as varchar) as session_id, op, 'file:///w/' || event_type || case when starts_with(op, 'folder') then '' else '.cfc' end as uri,
+    case when op in ('open', 'change') then case event_id % 4 when 0 then 0 when 1 then 1 when 2 then 2 else 3 end end as n_changes,
+    case when op in ('open', 'change') and event_id % 4 > 0 then props || case when event_id % 4 = 3 then chr(10) || '"é"' else '' end end as text
+  from (select *, case when event_id % 11 = 0 then case when event_id % 4 < 2 then 'folder_added' else 'folder_removed' end
+    when value < 5 then 'close' when event_id % 4 = 1 then 'open' else 'change' end as op from events)
+"""
+
+
+def in_lots(spark: SparkSession, sf_dir: str, path: str, closing: bool = False) -> Iterator[None]:
+    """Write the feed a lot at a time; closing adds one that only moves event time on, past what the others have told."""
+    rows = notifications(spark, sf_dir)
+    last = table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0] or 0
+    lines = rows.select("seq", feed_source.line(*(F.col(c) for c in rows.columns)).alias("line"))
+    for k in range(LOTS):
+        feed_source.put(lines.where(F.floor(F.col("seq") * LOTS / (last + 1)) == k), path, k + 1)
+        yield
+    if closing:
+        nobody = rows.groupBy().agg(F.max("seq").alias("seq"), F.max("at").alias("at"))
+        feed_source.put(nobody.select(feed_source.line(F.col("seq"), F.col("at"), F.lit("nobody"), F.lit("close"), F.lit("file:///none"), F.array().cast("array<string>")).alias("line")), path, LOTS + 1)
+        yield
+
+
+@registered("change_feed", f"select seq, \"at\", session_id, op, uri, cast(n_changes as integer) as n_changes, text from ({NOTIFICATIONS_SQL})")
+def change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each lot is taken by a run of its own, which goes on from the checkpoint of the one before, into one table."""
+    root = work(spark, "feed")
+    for _ in in_lots(spark, sf_dir, f"{root}/feed"):
+        changes = feed_source.decoded(feed_source.lines(spark, f"{root}/feed", share=1 << 20))
+        changes.writeStream.format("parquet").option("path", f"{root}/table").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{root}/table").select("seq", "at", "session_id", "op", "uri", F.when(F.col("changes").isNotNull(), F.size("changes")).alias("n_changes"), F.element_at("changes", F.when(F.size("changes") > 0, -1)).alias("text"))
+
+
+@registered("document_get", f"""
+with n as ({NOTIFICATIONS_SQL}), d as (select *, row_number() over (partition by session_id, uri order by seq desc) as k from n where op = 'close' or (op in ('open', 'change') and text is not null)),
+o as (select session_id, uri, text from d where k = 1 and op <> 'close' and \"at\" + {IDLE_MS} > (select max(\"at\") from n where not starts_with(op, 'folder'))),
+q as (select distinct cast(user_id as varchar) as session_id, 'file:///w/' || t || '.cfc' as uri from events, (select distinct event_type as t from events union all select 'none'))
+select q.session_id, q.uri, o.text from q left join o on q.session_id = o.session_id and q.uri = o.uri
+""")
+def document_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every session asks for every document, by key, in the state that the stream has left behind after its last run."""
+    root = work(spark, "store")
+    for _ in in_lots(spark, sf_dir, f"{root}/feed", closing=True):
+        changes = feed_source.decoded(feed_source.lines(spark, f"{root}/feed"))
+        store.follow(changes, f"{root}/checkpoint", lambda batch, _: batch.write.format("noop").mode("append").save(), IDLE_MS, partitions=8).awaitTermination()
+    e = table(spark, sf_dir, "events")
+    types = e.select("event_type").distinct().unionByName(spark.sql("select 'none' as event_type"))
+    asked = e.select(F.col("user_id").cast("string").alias("session_id")).distinct().join(F.broadcast(types)).select("session_id", F.concat(F.lit("file:///w/"), "event_type", F.lit(".cfc")).alias("uri"))
+    return store.get(asked, store.documents(spark, f"{root}/checkpoint"))

@@ -12,3 +12,9 @@ CATALOG = f"name string, description string, syntax string, returns string, type
 FUNCTION_DEFS = f"uri string, ord int, name string, name_key string, line int, arguments {ARGUMENTS}"
 CONFIG = "workspaceName string, workspacePaths array<string>, workspaceIndexGlobs array<string>"
 MANIFEST = "table string, bucket int, version int"
+LINES = "lot string, line string"
+_FOLDERS = "array<struct<uri:string,name:string>>"
+_PARAMS = f"struct<textDocument:struct<uri:string,text:string>,contentChanges:array<struct<text:string>>,event:struct<added:{_FOLDERS},removed:{_FOLDERS}>>"
+NOTIFICATION = f"seq long, at long, session_id string, message struct<method:string,params:{_PARAMS}>"
+STORED = "text string, seq long, at long"
+STORE_UPDATES = "session_id string, uri string, text string, seq long"

@@ -1,12 +1,16 @@
-"""The folder that driver and executors share, for tables and files made on the way."""
+"""The folder that driver and executors share, for tables and files made on the way; and what is sent to Python processes whole."""
 
 from __future__ import annotations
 
 import atexit
 import os
 import shutil
+import sys
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 
@@ -23,3 +27,16 @@ def shared_dir(spark: SparkSession) -> str:
         where = "file://" + own
         spark.conf.set("spark.checkpoint.dir", where)
     return where
+
+
+@contextmanager
+def by_value(*modules: str) -> Iterator[None]:
+    """What is sent from these modules in this block takes their code along: the processes that Spark starts beside the driver for
+    streams need not find this package."""
+    for m in modules:
+        cloudpickle.register_pickle_by_value(sys.modules[m])
+    try:
+        yield
+    finally:
+        for m in modules:
+            cloudpickle.unregister_pickle_by_value(sys.modules[m])

@@ -8,13 +8,11 @@ the other scans it.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lexloom.operators.extract import function_defs
 from lexloom.operators.index import accepts, upserted, without_prefix
@@ -152,7 +150,7 @@ class Workspace:
         try:
             documents = batch.where(F.col("op").isin(*DOCUMENT_OPS))
             touched = [r[0] for r in documents.select(self._bucket().alias("b")).distinct().collect()]  # at most all buckets
-            folders = batch.where(~F.col("op").isin(*DOCUMENT_OPS)).orderBy("seq").select("seq", "op", "uri").collect()  # a workspace's folders: a handful
+            folders = batch.where(~F.col("op").isin(*DOCUMENT_OPS)).orderBy("seq", F.desc("op")).select("seq", "op", "uri").collect()  # removed before added; a workspace's folders: a handful
             indexed = list(range(self.buckets)) if folders else touched
             defs = self._after(self._read("defs", FUNCTION_DEFS, indexed), documents, folders)
             if touched:
@@ -194,25 +192,3 @@ class Workspace:
                 fs, p = self._path(self._at("manifest", v))
                 fs.delete(p, True)
 
-
-STATE = "text string, seq long"
-
-
-def document_updates(feed: DataFrame) -> DataFrame:
-    """A stream of each session's documents' texts after each micro-batch (null when it was closed), with keyed state."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        text, seq = state.get if state.exists else (None, -1)
-        rows = pd.concat(list(batches)).sort_values("seq")  # one document's changes in one micro-batch
-        for r in rows.itertuples():
-            if r.seq <= seq:
-                continue
-            if r.op == "close":
-                text, seq = None, r.seq
-            elif r.changes is not None and len(r.changes):
-                text, seq = r.changes[-1], r.seq
-        state.update((text, seq))
-        yield pd.DataFrame({"session_id": [key[0]], "uri": [key[1]], "text": [text], "seq": [seq]})
-
-    changes = feed.where(F.col("op").isin(*DOCUMENT_OPS)).select("session_id", "uri", "seq", "op", "changes")
-    return changes.groupBy(*KEYS).applyInPandasWithState(step, "session_id string, uri string, text string, seq long", STATE, "update", GroupStateTimeout.NoTimeout)

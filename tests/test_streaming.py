@@ -1,9 +1,12 @@
 """The change feed, as batch and as stream."""
 
+from pyspark.sql import functions as F
+
 from lexloom.operators.extract import function_defs
 from lexloom.schemas import DOC_CHANGES, FILES, FOLDER_CHANGES
+from lexloom.sources import feed as source
 from lexloom.streaming import changes as feed
-from lexloom.streaming import sessions
+from lexloom.streaming import sessions, store
 
 A, B, C = "file:///w/a.cfc", "file:///w/b.txt", "file:///w/c.cfc"
 
@@ -66,12 +69,72 @@ def test_folders_in_a_stream(spark, tmp_path):
     assert [r.name for r in roots.defs.collect()] == ["n"]
 
 
-def test_keyed_state(spark, tmp_path):
-    src = tmp_path / "feed"
-    spark.createDataFrame(ROWS, DOC_CHANGES).coalesce(1).write.parquet(str(src))
-    q = feed.document_updates(spark.readStream.schema(DOC_CHANGES).parquet(str(src))).writeStream.format("memory").queryName("doc_updates").outputMode("update").trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert {(r.session_id, r.uri): r.text for r in spark.table("doc_updates").collect()} == {("s", A): component("two"), ("s", B): "plain", ("s", C): None, ("t", C): component("theirs")}
+def lot(spark, path, number, rows):
+    """Write rows (seq, session, op, uri, changes) as a lot of the feed, a second apart each."""
+    df = spark.createDataFrame(rows, DOC_CHANGES)
+    source.put(df.select(source.line(F.col("seq"), F.col("seq") * 1000, F.col("session_id"), F.col("op"), F.col("uri"), F.col("changes")).alias("line")).repartition(2), path, number)
+
+
+def taken(spark, path, out, share=source.SHARE):
+    """Append what the feed has got to a table, and give all of it."""
+    source.decoded(source.lines(spark, path, share)).writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return sorted((r.seq, r.session_id, r.op, r.uri, r.changes) for r in spark.read.parquet(out).collect())
+
+
+def test_the_feed_goes_on_where_it_stopped(spark, tmp_path):
+    path, out = str(tmp_path / "feed"), str(tmp_path / "out")
+    folders = [(20, None, "folder_added", "file:///n", None), (21, None, "folder_removed", "file:///o", None)]
+    lot(spark, path, 1, ROWS[:3])
+    assert taken(spark, path, out) == sorted(ROWS[:3])
+    lot(spark, path, 2, ROWS[3:5])
+    lot(spark, path, 4, folders)
+    (tmp_path / "feed" / "000000000003").mkdir()
+    (tmp_path / "feed" / "000000000003" / "part-0").write_text("half a lot")
+    assert taken(spark, path, out) == sorted(ROWS[:5])  # a lot that is not complete holds back those behind it
+    assert taken(spark, path, out) == sorted(ROWS[:5])
+    (tmp_path / "feed" / "000000000003" / "part-0").write_text('no json\n\n{"seq": 9, "message": {"method": "initialized"}}\n')
+    (tmp_path / "feed" / "000000000003" / "_SUCCESS").write_text("")
+    assert taken(spark, path, out) == sorted(ROWS[:5] + folders, key=lambda r: r[0])
+
+
+def test_shares_of_a_file_meet_each_line_once(spark, tmp_path):
+    path = str(tmp_path / "feed")
+    rows = [(i, "s" * (i % 7), "change", A, ["x" * (i % 50), "é\n" * (i % 3)]) for i in range(300)]
+    lot(spark, path, 1, rows)
+    for share in (1, 97, 1000):
+        reader = source.ChangeReader(path, share)
+        pieces = reader.partitions(reader.initialOffset(), reader.latestOffset())
+        got = [x for p in pieces for b in reader.read(p) for x in b.column(1).to_pylist()]
+        whole = [x for f in sorted((tmp_path / "feed" / "000000000001").glob("part*")) for x in f.read_text().splitlines()]
+        assert got == whole and len(whole) == 300
+    assert taken(spark, path, str(tmp_path / "out"), 500) == rows
+
+
+def test_an_empty_feed(spark, tmp_path):
+    (tmp_path / "feed").mkdir()
+    reader = source.ChangeReader(str(tmp_path / "feed"), 10)
+    assert reader.latestOffset() == reader.initialOffset() and [x for p in reader.partitions({"lot": ""}, {"lot": ""}) for x in reader.read(p)] == []
+
+
+def test_keyed_store(spark, tmp_path):
+    path, checkpoint, seen = str(tmp_path / "feed"), str(tmp_path / "checkpoint"), []
+
+    def run():
+        store.follow(source.decoded(source.lines(spark, path)), checkpoint, lambda df, _: seen.extend(df.collect()), idle_ms=100_000, partitions=2).awaitTermination()
+        return {(r.session_id, r.uri): r.text for r in store.documents(spark, checkpoint).collect()}
+
+    lot(spark, path, 1, ROWS[:5])
+    assert run() == {("s", A): component("two"), ("s", B): "plain", ("s", C): component("gone")}
+    lot(spark, path, 2, ROWS[5:] + [(8, None, "open", A, ["no session"]), (1, "s", "change", A, ["late and old"])])
+    assert run() == {("s", A): component("two"), ("s", B): "plain", ("t", C): component("theirs"), (None, A): "no session"}
+    asked = spark.createDataFrame([(1, "s", A), (2, "t", A), (3, None, A), (4, "s", C)], "req_id int, session_id string, uri string")
+    assert {r.req_id: r.text for r in store.get(asked, store.documents(spark, checkpoint)).collect()} == {1: component("two"), 2: None, 3: "no session", 4: None}
+    lot(spark, path, 3, [(105, "t", "change", C, ["newer"])])
+    run()
+    lot(spark, path, 4, [(106, "nobody", "close", A, None)])
+    assert run() == {("t", C): "newer", (None, A): "no session"}  # the others have had no change for 100 seconds
+    assert [(r.uri, r.text) for r in seen if r.session_id == "s" and r.uri == B] == [(B, "plain"), (B, None)]
+    assert spark.conf.get(store.PROVIDER_CONF, "none") != store.PROVIDER
 
 
 def test_folder_changes(spark):
