@@ -584,13 +584,13 @@ def notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = F.when(n == 0, F.array().cast("array<string>")).when(n == 1, F.array("props")).when(n == 2, F.array(F.lit("first"), "props")).otherwise(F.array(F.lit("a"), F.lit("b"), F.concat("props", F.lit('\n"é"'))))
     op = F.when(F.col("event_id") % 11 == 0, F.when(n < 2, "folder_added").otherwise("folder_removed")).when(F.col("value") < 5, "close").when(n == 1, "open").otherwise("change")
     return e.select(
-        F.col("event_id").alias("seq"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), F.col("user_id").cast("string").alias("session_id"), op.alias("op"),
+        F.col("event_id").alias("seq"), F.expr("timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts as timestamp_ntz))").alias("at"), F.col("user_id").cast("string").alias("session_id"), op.alias("op"),
         F.concat(F.lit("file:///w/"), "event_type", F.when(op.startswith("folder"), "").otherwise(".cfc")).alias("uri"), F.when(op.isin("open", "change"), texts).alias("changes"),
     )
 
 
 NOTIFICATIONS_SQL = """
-  select event_id as seq, epoch_ms(ts) as "at", cast(user_id as varchar) as session_id, op, 'file:///w/' || event_type || case when starts_with(op, 'folder') then '' else '.cfc' end as uri,
+  select event_id as seq, epoch_us(ts) // 1000 as "at", cast(user_id as varchar) as session_id, op, 'file:///w/' || event_type || case when starts_with(op, 'folder') then '' else '.cfc' end as uri,
     case when op in ('open', 'change') then case event_id % 4 when 0 then 0 when 1 then 1 when 2 then 2 else 3 end end as n_changes,
     case when op in ('open', 'change') and event_id % 4 > 0 then props || case when event_id % 4 = 3 then chr(10) || '"é"' else '' end end as text
   from (select *, case when event_id % 11 = 0 then case when event_id % 4 < 2 then 'folder_added' else 'folder_removed' end
