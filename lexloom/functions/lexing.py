@@ -207,6 +207,20 @@ def comment_spans(texts: pa.Array) -> pa.Array:
     return listed([spans_of(t.as_py() or "") for t in texts], SPAN)
 
 
+PLACE = pa.struct([("pos", pa.int32()), ("hit", pa.string())])
+
+
+def place_list(pattern: str):
+    """A function for a column of texts: where the pattern is found, with what is found there."""
+    regex = re.compile(pattern, re.A)
+
+    @F.arrow_udf(list_of(PLACE))
+    def run(texts: pa.Array) -> pa.Array:
+        return listed([[(m.start(), m[0]) for m in regex.finditer(t.as_py() or "")] for t in texts], PLACE)
+
+    return run
+
+
 @F.arrow_udf(list_of(REGION))
 def region_list(texts: pa.Array) -> pa.Array:
     """The regions of each text."""

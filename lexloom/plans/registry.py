@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from lexloom.functions import text as tx
 from lexloom.functions.lexing import comment_spans
 from lexloom.operators import catalog as cat
-from lexloom.operators import extract, index, requests, tags
+from lexloom.operators import extract, index, places, requests, tags
 from lexloom.plans import rendered
 from lexloom.schemas import DOC_CHANGES
 from lexloom.sources import archive, config, globs
@@ -638,3 +638,53 @@ def document_get(spark: SparkSession, sf_dir: str) -> DataFrame:
     types = e.select("event_type").distinct().unionByName(spark.sql("select 'none' as event_type"))
     asked = e.select(F.col("user_id").cast("string").alias("session_id")).distinct().join(F.broadcast(types)).select("session_id", F.concat(F.lit("file:///w/"), "event_type", F.lit(".cfc")).alias("uri"))
     return store.get(asked, store.documents(spark, f"{root}/checkpoint"))
+
+
+# --- places as tables: matches against comments, arguments against markers, cursors against brackets ---
+
+
+def with_hot_file(rows: DataFrame, *at: str) -> DataFrame:
+    """The rows of all files, and all of them again as rows of one file, each file's at an offset of its own."""
+    n = F.regexp_extract("uri", r"brand_(\d+)_", 1).cast("long") * 100_000 + F.regexp_extract("uri", r"_(\d+)[.]cfc", 1).cast("long")
+    hot = rows.select(F.lit("file:///hot").alias("uri"), *((F.col(c) + n * (1 << 20)).alias(c) if c in at else F.col(c) for c in rows.columns if c != "uri"))
+    return rows.select("uri", *(F.col(c).cast("long").alias(c) if c in at else F.col(c) for c in rows.columns if c != "uri")).unionByName(hot)
+
+
+def twice(sql: str, columns: str) -> str:
+    return f"select uri, {columns} from ({sql}) union all select 'file:///hot', {columns} from ({sql})"
+
+
+@registered("comment_antijoin", twice(f"select uri, name as hit from ({rendered.ROWS_SQL.format(rename='false')}) where not hidden", "hit"))
+def comment_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tables, names and comments, joined by intervals; one file holds half of all rows."""
+    f = files(spark, sf_dir)
+    names, comments = with_hot_file(extract.places(f, "Make_[0-9]+"), "pos"), with_hot_file(extract.spans(f), "start", "end")
+    return places.outside(names, comments, "uri").select("uri", "hit")
+
+
+@registered("argument_owners", twice(f"""
+select uri, unnest(['size_' || p_size, 'kind', 'note']) as argument, name as owner, '</cffunction' as next_marker from ({rendered.ROWS_SQL.format(rename='false')}) where not script
+""", "argument, owner, next_marker"))
+def argument_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arguments against the function markers around them: the last one before, whose name is the owner's, and the next one behind."""
+    f = files(spark, sf_dir)
+    arguments = with_hot_file(extract.places(f, '<cfargument name="[^"]*'), "pos").withColumn("argument", F.regexp_extract("hit", '"(.*)', 1)).drop("hit")
+    markers = with_hot_file(extract.places(f, '</?cffunction(?: displayname="x" name="[^"]*)?'), "pos")
+    owned = places.as_of(arguments, markers, "uri", {"hit": "before"})
+    owned = places.as_of(owned, markers, "uri", {"hit": "next_marker"}, forward=True, strict=True)
+    return owned.select("uri", "argument", F.regexp_extract("before", ' name="([^"]*)', 1).alias("owner"), "next_marker")
+
+
+@registered("brackets_before_cursors", """
+with l as (select page_id, unnest(string_split(html, chr(10))) as line, generate_subscripts(string_split(html, chr(10)), 1) as n, html from pages),
+c as (select page_id, html, cast(sum(length(line) + 1) over (partition by page_id order by n) - 1 as bigint) as pos from l),
+b as (select page_id, pos, substr(html, 1, cast(pos as integer) + 1) as before from c where pos < length(html))
+select page_id, pos, case when contains(before, '<') then cast(pos - position('<' in reverse(before)) + 1 as bigint) end as opened, case when contains(before, '>') then cast(pos - position('>' in reverse(before)) + 1 as bigint) end as closed from b
+""")
+def brackets_before_cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cursor at every line end of every page, against the last bracket of each kind at or before it."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "html")
+    found = extract.places(pages, "[<>\n]", "page_id", "html").select("page_id", F.col("pos").cast("long").alias("pos"), "hit")
+    cursors, opened, closed = (found.where(F.col("hit") == h).select("page_id", "pos", F.col("pos").alias("_pos")) for h in "\n<>")
+    at = places.as_of(cursors.drop("_pos"), opened, "page_id", {"_pos": "opened"})
+    return places.as_of(at, closed, "page_id", {"_pos": "closed"})
