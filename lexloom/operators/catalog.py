@@ -55,10 +55,14 @@ def tag_params(requests: DataFrame, entries: DataFrame, tag: str = "tag") -> Dat
     return found.select(*requests.columns, F.posexplode("params").alias("ord", "param")).select(*requests.columns, "ord", F.col("param.name").alias("param_name"), F.col("param.description").alias("param_description"), F.col("param.type").alias("param_type"), F.col("param.required").alias("param_required"))
 
 
+def shown(entries: DataFrame) -> DataFrame:
+    """type, key, contents: what a hover shows of each entry."""
+    function = F.concat(F.lit("**"), F.col("name"), F.lit("**\n\n```cfml\n"), F.col("syntax"), F.lit("\n```\n\n"), documentation())
+    tag = F.concat(F.lit("**<"), F.col("name"), F.lit(">**\n\n"), documentation())
+    return entries.where(F.col("type").isin("function", "tag")).select("type", "key", F.when(F.col("type") == "function", function).otherwise(tag).alias("contents"))
+
+
 def hovers(words: DataFrame, entries: DataFrame) -> DataFrame:
     """words (req_id, word) to req_id, contents: the function of that name, else the tag, else null."""
-    text = entries.withColumn("doc", documentation())
-    functions = of_type(text, "function").select(F.col("key").alias("fk"), F.concat(F.lit("**"), F.col("name"), F.lit("**\n\n```cfml\n"), F.col("syntax"), F.lit("\n```\n\n"), F.col("doc")).alias("f"))
-    tags = of_type(text, "tag").select(F.col("key").alias("tk"), F.concat(F.lit("**<"), F.col("name"), F.lit(">**\n\n"), F.col("doc")).alias("t"))
-    key = F.lower("word")
-    return words.join(functions, key == F.col("fk"), "left").join(tags, key == F.col("tk"), "left").select("req_id", F.coalesce("f", "t").alias("contents"))
+    best = shown(entries).groupBy(F.col("key").alias("_key")).agg(F.min_by("contents", "type").alias("contents"))
+    return words.join(best, F.lower("word") == F.col("_key"), "left").select("req_id", "contents")

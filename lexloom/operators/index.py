@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from lexloom.functions.text import Text, col, is_component_file, uri_path
 from lexloom.operators.extract import function_defs
 from lexloom.sources.globs import matches
 
 
-PART = 4096  # definitions of one array
+PART, PREFIXES = 4096, 100_000  # definitions of one array; prefixes that are sent out at a time
 
 
 def inverted(defs: DataFrame, part: int = PART) -> DataFrame:
     """name_key, part, definitions: arrays in order of file and place. A name with more than `part` definitions has several, dealt by
     a hash of file and place, so that no array and no task grows with a name that every file defines; only such names, at most
-    one for `part` definitions, are joined."""
+    one for `part` definitions, are joined. defs is read twice: give it as a table, so that no file is lexed twice."""
     hot = defs.groupBy(F.col("name_key").alias("_hot")).agg(F.count("*").alias("_n")).where(F.col("_n") > part)
     parts = F.coalesce(F.ceil(F.col("_n") / part), F.lit(1))
     dealt = defs.join(hot, F.col("name_key") == F.col("_hot"), "left").withColumn("part", F.pmod(F.xxhash64("uri", "ord"), parts).cast("int"))
@@ -41,18 +46,41 @@ def without_prefix(defs: DataFrame, removed: DataFrame, protected: DataFrame | N
     """The index without the files whose uri starts with a removed folder's uri, as it is: folder A takes folder AB along.
     Folders that are configured (protected: path) are not removed.
 
-    A prefix is found by equality: each uri's beginnings of the lengths that removed uris have (one number for each
-    different length, at most as many as the longest uri has letters) are joined with these uris.
+    Prefixes, but for those that begin with another one, are disjoint ranges of uris, so each uri is looked up once, by bisection for
+    the last one that is not behind it. They are sent out sorted, PREFIXES at a time, and the index is filtered by one block after
+    the other: nothing is shuffled, and no join is made.
     """
     if protected is not None:
         removed = removed.join(protected.select(F.col("path").alias("_path")), uri_path(removed.uri) == F.col("_path"), "left_anti")
-    prefixes = removed.where("uri is not null").select(F.col("uri").alias("_prefix")).distinct()
-    lengths = sorted(r[0] for r in prefixes.select(F.length("_prefix")).distinct().collect())
-    if not lengths:
-        return defs
-    starts = F.array(*(F.when(F.length("uri") >= n, F.substring("uri", 1, n)) for n in lengths))
-    hit = defs.select("uri").distinct().select("uri", F.explode(starts).alias("_start")).join(prefixes, F.col("_start") == F.col("_prefix"), "left_semi")
-    return defs.join(hit.select("uri").distinct(), "uri", "left_anti")
+    for block in outermost(r[0] for r in removed.where("uri is not null").select("uri").distinct().orderBy("uri").toLocalIterator()):
+        defs = defs.where(~_under(defs.sparkSession, block)("uri"))
+    return defs
+
+
+def outermost(prefixes: Iterable[str], size: int = PREFIXES) -> Iterator[list[str]]:
+    """Sorted prefixes without those that begin with another one, in blocks."""
+    block: list[str] = []
+    last = None
+    for p in prefixes:
+        if last is None or not p.startswith(last):
+            last = p
+            block.append(p)
+            if len(block) == size:
+                yield block
+                block = []
+    if block:
+        yield block
+
+
+def _under(spark: SparkSession, prefixes: list[str]):
+    shared = spark.sparkContext.broadcast(prefixes)
+
+    @F.arrow_udf(BooleanType())
+    def run(uris: pa.Array) -> pa.Array:
+        known = shared.value
+        return pa.array([u is not None and (i := bisect_right(known, u)) > 0 and u.startswith(known[i - 1]) for u in uris.to_pylist()], pa.bool_())
+
+    return run
 
 
 GRAM = 3

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from lexloom.functions.text import Text, col
 
@@ -23,6 +27,10 @@ SKIPPED = "|".join(sorted([*VOID, *SPECIAL], key=lambda t: (-len(t), t)))
 EVENT = rf"</[^> \t\r\n]*(?:[> \t\r\n]|\z)|<(?:![^ \t\r\n/>]*|(?i:{SKIPPED})|)[ \t\r\n/>]|<[^ \t\r\n/>]+(?:>|[ \t\r\n/](?:[^>]*>)?)"
 
 
+PYTHON_EVENT = re.compile(EVENT.replace(r"\z", r"\Z"))
+UNBALANCED = frozenset([*VOID, *SPECIAL])
+
+
 def is_void(name: Text):
     return F.lower(col(name)).isin(VOID)
 
@@ -56,3 +64,25 @@ def unclosed_names(df: DataFrame, text: str, *keys: str) -> DataFrame:
     """keys, rank, tag: each open tag's name once, the one opened last first."""
     last = unclosed(df, text, *keys).groupBy(*keys, "tag").agg(F.max("pos").alias("pos"))
     return last.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("pos").desc()))).select(*keys, "rank", "tag")
+
+
+def open_names(text: str) -> list[str]:
+    """The same of one text, for texts that end at a cursor: a stack a name, in one pass."""
+    stacks: dict[str, list[int]] = {}
+    for m in PYTHON_EVENT.finditer(text):
+        hit = m[0]
+        if hit.startswith("</"):
+            if hit[-1] in "> \t\r\n":
+                stack = stacks.get(hit[2:-1].lower())
+                if stack:
+                    stack.pop()
+            continue
+        name = re.match(r"<([^ \t\r\n/>]*)", hit)[1].lower()
+        if name and name[0] != "!" and name not in UNBALANCED and not hit.endswith("/>"):
+            stacks.setdefault(name, []).append(m.start())
+    return [name for _, name in sorted(((s[-1], name) for name, s in stacks.items() if s), reverse=True)]
+
+
+@F.arrow_udf(ArrayType(StringType()))
+def open_name_list(texts: pa.Array) -> pa.Array:
+    return pa.array([open_names(t.as_py() or "") for t in texts], pa.list_(pa.string()))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from lexloom.functions import text as tx
 from lexloom.functions.lexing import comment_spans
 from lexloom.operators import catalog as cat
-from lexloom.operators import extract, index, places, requests, tags
+from lexloom.operators import extract, index, places, postings, requests, tags
 from lexloom.plans import rendered
 from lexloom.schemas import DOC_CHANGES
 from lexloom.sources import archive, config, globs
@@ -196,6 +196,13 @@ def defs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.function_defs(files(spark, sf_dir))
 
 
+def stored(spark: SparkSession, defs: DataFrame) -> DataFrame:
+    """The index as a table, which may be read more than once without lexing the files again."""
+    path = work(spark, "index")
+    defs.write.parquet(path)
+    return spark.read.schema(defs.schema).parquet(path)
+
+
 DEFS = rendered.defs_sql()
 
 
@@ -232,7 +239,7 @@ def function_args(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("inverted_index", f"select name_key, cast(count(*) as bigint) as n, min(uri) as first_uri, min(line) as first_line from ({DEFS}) group by name_key")
 def inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.min(F.struct(F.col("definitions")[0]["uri"].alias("uri"), F.col("definitions")[0]["line"].alias("line")))
-    d = index.inverted(defs(spark, sf_dir)).groupBy("name_key").agg(F.sum(F.size("definitions")).alias("n"), first.alias("first"))
+    d = index.inverted(stored(spark, defs(spark, sf_dir))).groupBy("name_key").agg(F.sum(F.size("definitions")).alias("n"), first.alias("first"))
     return d.select("name_key", "n", F.col("first.uri").alias("first_uri"), F.col("first.line").alias("first_line"))
 
 
@@ -243,7 +250,7 @@ select name_key, cast(count(*) as bigint) as n, min(uri) as first_uri, max(uri)
 def inverted_hot_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With a function of the same name in every file, which is cut into several arrays."""
     every = F.concat(F.regexp_replace("text", r"\}\n\z|</cfcomponent>\n\z", ""), F.when(F.col("text").startswith("<"), '<cffunction name="Init"></cffunction>').otherwise("function init() {} }"))
-    d = index.inverted(extract.function_defs(files(spark, sf_dir).withColumn("text", every)), part=16)
+    d = index.inverted(stored(spark, extract.function_defs(files(spark, sf_dir).withColumn("text", every))), part=16)
     uri = lambda at: F.element_at("definitions", at)["uri"]
     return d.groupBy("name_key").agg(F.sum(F.size("definitions")).alias("n"), F.min(uri(1)).alias("first_uri"), F.max(uri(-1)).alias("last_uri"))
 
@@ -284,6 +291,36 @@ def prefix_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.without_prefix(defs(spark, sf_dir), removed, protected).select("uri", "name", "line")
 
 
+@registered("prefix_delete_many", f"""
+select uri, name, line from ({DEFS}) where not exists (select 1 from (select distinct 'file:///shop/brand_' || (11 + o_orderkey % 6 * 7) || '_' || (o_orderkey % 7) as p from orders) where starts_with(uri, p))
+""")
+def prefix_delete_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many removed prefixes as there are orders, of several lengths, some beginning with others."""
+    k = F.col("o_orderkey")
+    removed = table(spark, sf_dir, "orders").select(F.concat(F.lit("file:///shop/brand_"), (k % 6 * 7 + 11).cast("string"), F.lit("_"), (k % 7).cast("string")).alias("uri"))
+    longer = table(spark, sf_dir, "orders").select(F.concat(F.lit("file:///shop/brand_"), (k % 6 * 7 + 11).cast("string"), F.lit("_"), (k % 7).cast("string"), F.lit("/"), F.repeat(F.lit("x"), (k % 200).cast("int"))).alias("uri"))
+    return index.without_prefix(defs(spark, sf_dir), removed.unionByName(longer)).select("uri", "name", "line")
+
+
+@registered("stored_symbols", f"""
+with q as (select cast(p_partkey as bigint) as req_id, case p_partkey % 4 when 0 then 'E_' || p_partkey when 1 then 'named_' || p_partkey when 2 then right('' || p_partkey, 2) || 'x' else 'MAKE_' || p_partkey end as query from part),
+d as (select uri, name, line from ({DEFS}) where not regexp_matches(uri, '[02468][.]cfc$') union all select uri, name, line from ({rendered.defs_sql("p_size % 2 = 0")}) where regexp_matches(uri, '[02468][.]cfc$'))
+select req_id, name, uri, line from q join d on contains(lower(d.name), lower(q.query))
+""")
+def stored_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posting lists written from the index, extended by what changed files define, then asked a query a part; names that are gone are
+    found no more."""
+    path = work(spark, "postings")
+    before, changed = stored(spark, defs(spark, sf_dir)), touched(spark, sf_dir)
+    postings.write_postings(before, path, 16)
+    now = stored(spark, index.upserted(before, changed))
+    postings.extend_postings(spark, path, now, 16)
+    k, text = F.col("p_partkey"), F.col("p_partkey").cast("string")
+    query = F.when(k % 4 == 0, F.concat(F.lit("E_"), text)).when(k % 4 == 1, F.concat(F.lit("named_"), text)).when(k % 4 == 2, F.concat(F.substring(text, -2, 2), F.lit("x"))).otherwise(F.concat(F.lit("MAKE_"), text))
+    asked = table(spark, sf_dir, "part").select(k.cast("long").alias("req_id"), query.alias("query"))
+    return postings.search(asked, now, path, 16)
+
+
 @registered("indexed_files", f"select distinct uri from ({rendered.ROWS_SQL.format(rename='false')}) where starts_with(uri, 'file:///shop/brand_4')")
 def indexed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.accepts(files(spark, sf_dir), ["/shop"], ["/shop/**/brand_4*.cfc"]).select("uri")
@@ -688,3 +725,49 @@ def brackets_before_cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
     cursors, opened, closed = (found.where(F.col("hit") == h).select("page_id", "pos", F.col("pos").alias("_pos")) for h in "\n<>")
     at = places.as_of(cursors.drop("_pos"), opened, "page_id", {"_pos": "opened"})
     return places.as_of(at, closed, "page_id", {"_pos": "closed"})
+
+
+# --- a mixed batch of requests ---
+
+METHOD_SQL = "case p_partkey % 7 when 0 then 'textDocument/definition' when 1 then 'textDocument/hover' when 2 then 'textDocument/documentSymbol' when 3 then 'workspace/symbol' when 4 then 'textDocument/completion' when 5 then 'textDocument/references' else 'initialize' end"
+
+
+@registered("request_batch", f"""
+with q as (select cast(p_partkey as bigint) as req_id, p_partkey as k, {METHOD_SQL} as method, 'file:///shop/' || replace(lower(p_brand), '#', '_') || '_' || (p_partkey // {rendered.ROWS}) || '.cfc' as rendered_uri from part),
+d as ({DEFS}), n as (select cast(n_nationkey as integer) as nk, 'To' || replace(n_name, ' ', '') as name from nation),
+a as (
+  select req_id, method, uri, line, cast(null as varchar) as label from q join d on d.name_key = 'make_' || (k + 1) where method = 'textDocument/definition'
+  union all select req_id, method, null, null, left(contents, 4 + length(name)) from q join (select *, '**' || name || '**' || chr(10) as contents from n) n on q.k % 30 = n.nk where method = 'textDocument/hover'
+  union all select req_id, method, d.uri, d.line, d.name from q join d on d.uri = rendered_uri where method = 'textDocument/documentSymbol'
+  union all select req_id, method, d.uri, d.line, d.name from q join d on contains(d.name_key, 'make_' || (k % 50)) where method = 'workspace/symbol'
+  union all select req_id, method, null, null, 'cfloop' from q where method = 'textDocument/completion' and k % 3 = 0
+  union all select req_id, method, null, null, 'cfoutput' from q where method = 'textDocument/completion' and k % 3 = 0
+  union all select req_id, method, null, null, n.name from q, n where q.method = 'textDocument/completion' and k % 3 = 1
+  union all select req_id, method, null, null, lower(n_name) from q join nation on n_regionkey = k % 5 where method = 'textDocument/completion' and k % 3 = 2
+  union all select req_id, method, null, null, '{{"op' from q where method = 'initialize'
+)
+select q.req_id, q.method, case when q.method = 'textDocument/references' then 'method not found' when a.req_id is null then 'none' else 'ok' end as status, a.uri, a.line, a.label
+from q left join a on q.req_id = a.req_id
+""")
+def request_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request a part, of seven methods in turn, one of them unknown. Symbols are asked of the rendered files, all else of a document
+    for each request; some have no answer."""
+    part, k = rendered.keyed(table(spark, sf_dir, "part")), F.col("p_partkey")
+    names = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("_n"), F.concat(F.lit("To"), F.replace("n_name", F.lit(" "), F.lit(""))).alias("function"))
+    regions = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("_r"), F.concat(F.lit("cf"), F.lower(F.replace("r_name", F.lit(" "), F.lit("")))).alias("region"))
+    p = part.join(names, k % 30 == F.col("_n"), "left").join(regions, k % 5 == F.col("_r"))
+    method = F.when(k % 7 == 0, requests.DEFINITION).when(k % 7 == 1, requests.HOVER).when(k % 7 == 2, requests.SYMBOLS).when(k % 7 == 3, requests.WORKSPACE).when(k % 7 == 4, requests.COMPLETION).when(k % 7 == 5, "textDocument/references").otherwise(requests.INITIALIZE)
+    text = (
+        F.when(k % 7 == 0, F.concat(F.lit("y\nx.Make_"), (k + 1).cast("string"), F.lit("()"))).when(k % 7 == 1, F.concat(F.lit("y\nx."), F.coalesce("function", F.lit("unknown")), F.lit("()")))
+        .when(k % 3 == 0, "<cfoutput>\n<cfloop a='1'><cfset x = 1></").when(k % 3 == 1, "y\nx").otherwise(F.concat(F.lit("y\n<"), "region", F.lit(" ")))
+    )
+    own = F.concat(F.lit("file:///use/"), k.cast("string"), F.lit(".cfm"))
+    r = p.select(
+        k.alias("req_id"), method.alias("method"), F.when(k % 7 == 2, F.col("uri")).otherwise(own).alias("uri"), F.lit(1).alias("line"), F.when(k % 7 == 4, 200).otherwise(5).alias("character"),
+        F.lit("invoked").alias("trigger_kind"), F.lit(None).cast("string").alias("trigger_char"), F.concat(F.lit("MAKE_"), (k % 50).cast("string")).alias("query"), text.alias("text"),
+    )
+    documents = r.where("method != 'textDocument/documentSymbol'").select("uri", "text").unionByName(files(spark, sf_dir).select("uri", "text"))
+    found = requests.routed(r.drop("text"), documents, defs(spark, sf_dir), catalog(spark, sf_dir), entries(spark, sf_dir))
+    shown = F.substring_index(F.col("item.contents"), "\n", 1)
+    first = F.when(F.col("method") == requests.HOVER, shown).when(F.col("method") == requests.INITIALIZE, F.substring(shown, 1, 4))
+    return found.select("req_id", "method", "status", "item.uri", "item.line", F.coalesce("item.label", "item.name", first).alias("label"))

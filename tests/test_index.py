@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexloom.operators import catalog as cat
-from lexloom.operators import index, requests
+from lexloom.operators import index, postings, requests
 from lexloom.operators.extract import function_defs
 from lexloom.schemas import FILES, REQUESTS
 
@@ -65,6 +65,44 @@ def test_prefix_has_no_border(spark, defs):
     assert names("") == []
 
 
+def test_many_prefixes(spark, monkeypatch):
+    """Of many lengths, in blocks, some beginning with others, against plain loops."""
+    rng = random.Random(11)
+    monkeypatch.setattr(index, "outermost", lambda p, size=7, real=index.outermost: real(p, size))
+    uris = ["".join(rng.choice("ab/\U0001f600é") for _ in range(rng.randint(0, 12))) for _ in range(500)] + [None]
+    removed = ["".join(rng.choice("ab/\U0001f600é") for _ in range(rng.randint(2, 12))) for _ in range(150)]
+    defs = spark.createDataFrame([(u, i) for i, u in enumerate(uris)], "uri string, line int").repartition(3)
+    got = sorted(r.line for r in index.without_prefix(defs, spark.createDataFrame([(x,) for x in [*removed, None]], "uri string")).collect())
+    assert got == [i for i, u in enumerate(uris) if u is None or not any(u.startswith(p) for p in removed)]
+
+
+def test_outermost_prefixes():
+    assert list(index.outermost(["a", "a/b", "a/b/c", "ab", "b", "ba", "c"], 2)) == [["a", "b"], ["c"]]
+    assert list(index.outermost(["", "a"])) == [[""]] and list(index.outermost([])) == []
+
+
+def test_stored_postings_find_what_a_scan_finds(spark, tmp_path):
+    rng = random.Random(12)
+    make = lambda names: spark.createDataFrame([(f"u{i}", n, n.lower(), i) for i, n in enumerate(names)], "uri string, name string, name_key string, line int")
+    name = lambda: "".join(rng.choice("abXé") for _ in range(rng.randint(1, 7)))
+    first = [name() for _ in range(80)]
+    second = first[40:] + [name() for _ in range(60)]
+    queries = spark.createDataFrame(list(enumerate(["", "a", "AB", "abx", "abxa", "É", "none such", None, *(name()[:4] for _ in range(30))])), "req_id int, query string")
+    path = str(tmp_path / "postings")
+    found = lambda df: sorted(tuple(r) for r in df.select("req_id", "name", "uri", "line").collect())
+    postings.write_postings(make(first), path, 5)
+    assert found(postings.search(queries, make(first), path, 5)) == found(index.symbol_search(queries, make(first)))
+    for _ in range(2):  # a second time it has nothing to append
+        postings.extend_postings(spark, path, make(second), 5)
+    assert postings.read_postings(spark, path, 5).where("gram = ''").count() == len({n.lower() for n in first + second})
+    assert found(postings.search(queries, make(second), path, 5)) == found(index.symbol_search(queries, make(second)))
+    postings.compacted(spark, path, make(second), str(tmp_path / "again"), 5)
+    assert found(postings.search(queries, make(second), str(tmp_path / "again"), 5)) == found(index.symbol_search(queries, make(second)))
+    assert postings.read_postings(spark, str(tmp_path / "again"), 5).where("gram = ''").count() == len({n.lower() for n in second})
+    one = postings.read_postings(spark, path, 5, spark.sql("select 'abx' as gram"))
+    assert {r.bucket for r in one.select("bucket").distinct().collect()} == {spark.sql("select pmod(xxhash64('abx'), 5)").first()[0]}
+
+
 def test_accepted_files(spark):
     f = spark.createDataFrame([(u, "") for u in ("file:///bakery/Loaf.CFC", "file:///bakery/loaf.cfm", "file:///bakery2/loaf.cfc", "file:///bakery/back/roll.cfc")], FILES)
     names = lambda *a: sorted(r.uri.removeprefix("file:///") for r in index.accepts(f, *a).collect())
