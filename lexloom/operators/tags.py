@@ -1,4 +1,4 @@
-"""Tag events of markup, and the tags that are still open, with one regular expression and one window."""
+"""Tag events of markup, with one regular expression, and the tags that are still open, with windows."""
 
 from __future__ import annotations
 
@@ -50,9 +50,39 @@ def events(df: DataFrame, text: str, *keys: str) -> DataFrame:
     return e.select(*keys, "pos", F.when(opens, 1).when(whole, -1).otherwise(0).alias("delta"), name.alias("tag")).where("delta != 0")
 
 
+CHUNK = 1 << 16  # events of a chunk
+
+
+def still_open(events: DataFrame, *keys: str, chunk: int = CHUNK) -> DataFrame:
+    """events (keys, pos, delta, tag) to keys, pos, tag of the opening ones without their end. An end closes the nearest open tag of its
+    name, so each name's running balance decides alone: a tag is open if the balance never falls below its own again.
+
+    A text's events are cut into chunks, each with one row of summary a name: what it adds up to, and the least that its running
+    balance comes to. Summaries are associative, so the balance before a chunk and the least one behind it follow from those of
+    the other chunks, a row each, and the chunks of one huge text are worked on side by side. pos: an event's number in its text.
+    """
+    cut = Window.partitionBy(*keys, "tag", "_chunk")
+    run = cut.orderBy("pos")
+    e = events.withColumn("_chunk", F.floor(F.col("pos") / chunk))
+    e = e.withColumn("_b", F.sum("delta").over(run.rowsBetween(Window.unboundedPreceding, 0)))
+    e = e.withColumn("_later", F.min("_b").over(run.rowsBetween(1, Window.unboundedFollowing)))
+    s = e.groupBy(*keys, "tag", "_chunk").agg(F.sum("delta").alias("_sum"), F.min("_b").alias("_least"))
+    order = Window.partitionBy(*keys, "tag").orderBy("_chunk")
+    s = s.withColumn("_before", F.sum("_sum").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_sum"))
+    s = s.withColumn("_behind", F.min(F.col("_before") + F.col("_least")).over(order.rowsBetween(1, Window.unboundedFollowing)))
+    names = [*keys, "tag", "_chunk"]
+    s = s.select(*(F.col(c).alias(f"_s_{c}") for c in names), "_before", "_behind")
+    same = F.lit(True)
+    for c in names:
+        same = same & F.col(c).eqNullSafe(F.col(f"_s_{c}"))
+    balance = F.col("_before") + F.col("_b")
+    least = F.least(F.col("_before") + F.col("_later"), F.col("_behind"))  # of those that there are
+    return e.where("delta = 1").join(s, same).where(least.isNull() | (least >= balance)).select(*keys, "pos", "tag")
+
+
 def unclosed(df: DataFrame, text: str, *keys: str) -> DataFrame:
-    """keys, pos, tag: opening tags without their end. An end closes the nearest open tag of its name, so each name's running
-    balance decides alone: a tag is open if the balance never falls below its own again, in one window over (keys, tag)."""
+    """keys, pos, tag: opening tags without their end, of texts that are one row each and so no task's worth of events: the same as
+    still_open() by one window over (keys, tag)."""
     by = Window.partitionBy(*keys, "tag").orderBy("pos")
     e = events(df, text, *keys)
     e = e.withColumn("b", F.sum("delta").over(by.rowsBetween(Window.unboundedPreceding, 0)))

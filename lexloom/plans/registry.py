@@ -78,6 +78,19 @@ def unclosed_tags_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tags.unclosed(table(spark, sf_dir, "pages"), "html", "page_id").groupBy("page_id", "tag").agg(F.count("*").alias("n_unclosed"))
 
 
+@registered("unclosed_tags_one_text", f"""
+with e as ({EVENTS_SQL}), b as (select *, sum(delta) over (partition by tag order by page_id, pos) as b from e),
+l as (select *, min(b) over (partition by tag order by page_id, pos rows between 1 following and unbounded following) as later from b)
+select page_id, tag, cast(count(*) as bigint) as n_unclosed from l where delta = 1 and (later is null or later >= b) group by page_id, tag
+""")
+def unclosed_tags_one_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as one text, in order of their numbers, whose chunks are worked on side by side."""
+    e = tags.events(table(spark, sf_dir, "pages"), "html", "page_id")
+    whole = e.select(F.lit("all").alias("text"), (F.col("page_id") * (1 << 24) + F.col("pos")).alias("pos"), "delta", "tag")
+    found = tags.still_open(whole, "text").withColumn("page_id", F.shiftright("pos", 24))
+    return found.groupBy("page_id", "tag").agg(F.count("*").alias("n_unclosed"))
+
+
 @registered("tag_events_pages", f"select page_id, tag, delta, cast(count(*) as bigint) as n from ({EVENTS_SQL}) group by page_id, tag, delta")
 def tag_events_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tags.events(table(spark, sf_dir, "pages"), "html", "page_id").groupBy("page_id", "tag", "delta").agg(F.count("*").alias("n"))

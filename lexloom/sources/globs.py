@@ -1,4 +1,4 @@
-"""Glob patterns: compiled to anchored regular expressions on the driver, and expanded over a file system.
+"""Glob patterns: compiled to anchored regular expressions on the driver. sources.files expands them over a file system.
 
 "*" and "?" do not cross "/", "[...]" is a class and "\\" quotes. In a pattern with "**" what stands before is a folder, and
 what stands behind is matched against a file's base name alone.
@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import posixpath
 import re
-from collections.abc import Iterator
 
 from pyarrow import fs as arrow_fs
 from pyspark.sql import Column
@@ -96,32 +95,12 @@ def listed(fs: arrow_fs.FileSystem, folder: str) -> tuple[list[str], list[str]]:
     return of(arrow_fs.FileType.Directory), of(arrow_fs.FileType.File)
 
 
-def walk(root: str, fs: arrow_fs.FileSystem | None = None) -> Iterator[str]:
-    """All files under a folder; what cannot be read is passed over."""
-    fs = fs or arrow_fs.LocalFileSystem()
-    todo = [root]
-    while todo:
-        folders, files = listed(fs, todo.pop())
-        yield from files
-        todo += reversed(folders)
+def components(pattern: str) -> tuple[str, ...]:
+    return tuple(filter(None, pattern.split("/")))
 
 
-def expand(pattern: str, fs: arrow_fs.FileSystem | None = None) -> list[str]:
-    """The paths that a glob names on a file system, this machine's own by default."""
-    fs = fs or arrow_fs.LocalFileSystem()
-    split = split_pattern(pattern)
-    if split is not None:
-        base, suffix = split
-        regex = or_none(suffix)
-        return sorted(f for f in walk(base, fs) if suffix == "" or (regex is not None and re.fullmatch(f"(?s:{regex})", posixpath.basename(f))))
-    if or_none(pattern) is None:
-        return []
-    found = ["/"] if pattern.startswith("/") else [""]
-    for part in filter(None, pattern.split("/")):
-        if not META.search(part):
-            found = [posixpath.join(f, part) for f in found]
-            continue
-        regex = re.compile(f"(?s:{to_regex(part)})")
-        found = [e for f in found for kind in listed(fs, f or ".") for e in kind if regex.fullmatch(posixpath.basename(e))]
-    there = {i.path for i in fs.get_file_info(found) if i.type != arrow_fs.FileType.NotFound} if found else set()
-    return sorted(f for f in found if f in there)
+def whole_regex(pattern: str) -> str | None:
+    """The pattern for whole paths, repeated slashes as one; None for a bad one, which names nothing."""
+    if any(or_none(c) is None for c in components(pattern)):
+        return None
+    return ("/" if pattern.startswith("/") else "") + "/".join(map(to_regex, components(pattern)))

@@ -149,7 +149,25 @@ def test_live_sessions(spark):
     deltas = [1, 1, -1, 1, -1, -1, 1, -1]
     df = spark.createDataFrame([(10 * i - 30, d) for i, d in enumerate(deltas)], "seq long, delta int")
     want = [sum(deltas[: i + 1]) for i in range(len(deltas))]
-    for block in (1, 25, 4096):
+    for block in (2, 3, 25, 4096):
         assert [r.live for r in sorted(sessions.live(df, block).collect())] == want
     assert [r.seq for r in sessions.first_without(df).collect()] == [20]
     assert sessions.first_without(df.where("delta > 0")).count() == 0
+
+
+def test_a_tree_of_sums(spark):
+    """On several levels, with gaps and negative numbers, and without a window over everything."""
+    import random
+
+    rng = random.Random(17)
+    seqs = rng.sample(range(-5000, 5000), 700)
+    deltas = {q: rng.choice([1, -1]) for q in seqs}
+    df = spark.createDataFrame([(q, d) for q, d in deltas.items()], "seq long, delta int")
+    want, total = {}, 0
+    for q in sorted(seqs):
+        total += deltas[q]
+        want[q] = total
+    out = sessions.live(df, 8)
+    assert {r.seq: r.live for r in out.collect()} == want
+    assert "SinglePartition" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sessions.live(df.where("false")).count() == 0
