@@ -31,7 +31,7 @@ ACCESS = ("public", "private", "remote", "package")
 OPENING = re.compile(r"component|interface|property[ \t]")
 SCRIPT_BLOCK = re.compile(r"<cfscript>(.*?)(?:</cfscript>|\Z)", re.S | re.I | re.A)
 SCRIPT_SIGNATURE = re.compile(rf"function{WS}+({WORD}+){WS}*\(", re.I | re.A)
-TAG_SIGNATURE = re.compile(rf"<cffunction{WS}(?:[^>]*[^0-9A-Za-z_>])?(?<!{WORD})name{WS}*={WS}*[\"']([^\"']+)[\"']", re.I | re.A)
+FUNCTION_TAG = re.compile(rf"<cffunction{WS}", re.I | re.A)
 FUNCTION_BORDER = re.compile(r"</?cffunction", re.I | re.A)
 ARGUMENT_TAG = re.compile(rf"<cfargument{WS}[^>]*>", re.I | re.A)
 SCRIPT_ARGUMENT = re.compile(rf"(?:(required){WS}+)?(?:({WORD}+){WS}+)?({WORD}+)", re.I | re.A)
@@ -43,6 +43,26 @@ def attribute(name: str, value: str = r"[^\"']+") -> re.Pattern:
 
 
 NAME, TYPE, REQUIRED = attribute("name"), attribute("type"), attribute("required", "true|yes")
+NAMED = re.compile(rf"(?={NAME.pattern})", re.I | re.A)  # also where one begins inside another's value
+
+
+def tag_signatures(text: str, start: int, end: int) -> Iterator[tuple[int, str, int]]:
+    """Start, name and end of each function tag with a name, in order. The name is the last one that begins before the tag's first
+    ">", or anywhere behind it if there is no ">"; its value may go on behind that. Names and ends of tags are each looked for once,
+    so that time grows with the text, however many tags are left open."""
+    names = [(m.start(), m[1], m.end(1) + 1) for m in NAMED.finditer(text, start, end)]
+    places = [p for p, _, _ in names]
+    close = at = start
+    while m := FUNCTION_TAG.search(text, at, end):
+        if close < m.end():
+            close = text.find(">", m.end(), end)
+            close = end if close < 0 else close
+        i = bisect_left(places, close) - 1
+        if i >= 0 and places[i] >= m.end():
+            yield m.start(), names[i][1], names[i][2]
+            at = names[i][2]
+        else:
+            at = m.end()
 
 
 def spans_of(text: str) -> list[tuple[int, int]]:
@@ -183,12 +203,12 @@ class Source:
                         yield Definition(m[1], self.line_at(at), self.script_arguments(m.end() - 1, end))
                 continue
             borders = [(m.start(), m[0][1] == "/") for m in FUNCTION_BORDER.finditer(self.text, start, end)]
-            for m in TAG_SIGNATURE.finditer(self.text, start, end):
-                if not self.in_comment(m.start()):
-                    i = bisect_left(borders, (m.end(), False))
-                    while i < len(borders) and borders[i] == (m.end(), False):  # a function tag at once behind it is part of the body
+            for tag, name, behind in tag_signatures(self.text, start, end):
+                if not self.in_comment(tag):
+                    i = bisect_left(borders, (behind, False))
+                    while i < len(borders) and borders[i] == (behind, False):  # a function tag at once behind it is part of the body
                         i += 1
-                    yield Definition(m[1], self.line_at(m.start()), self.tag_arguments(m.end(), borders[i][0] if i < len(borders) else end))
+                    yield Definition(name, self.line_at(tag), self.tag_arguments(behind, borders[i][0] if i < len(borders) else end))
 
 
 SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32())])

@@ -6,7 +6,7 @@ import time
 
 import pytest
 
-from lexloom.functions.lexing import SCRIPT_SIGNATURE, Source, enclosed, spans_of
+from lexloom.functions.lexing import SCRIPT_SIGNATURE, Source, enclosed, spans_of, tag_signatures
 from lexloom.operators.extract import function_defs, regions
 from lexloom.schemas import FILES
 
@@ -31,46 +31,50 @@ def test_comments(rule, text, want):
     assert [text[a:b] for a, b in spans_of(text)] == want, rule
 
 
-def scanned(s: str) -> list[tuple[int, int]]:
-    """The lexer, letter by letter."""
-    out, i, n = [], 0, len(s)
-    while i < n:
-        if s[i] in "\"'":
-            q, i = s[i], i + 1
-            while i < n and s[i] != q:
-                i += 2 if s[i] == "\\" and i + 1 < n else 1
-            i += i < n
-        elif s.startswith("<!---", i):
-            start, depth, i = i, 1, i + 5
-            while i < n and depth:
-                if s.startswith("<!---", i):
-                    depth, i = depth + 1, i + 5
-                elif s.startswith("-->", i):
-                    depth, i = depth - 1, i + 3
-                else:
-                    i += 1
-            out.append((start, i))
-        elif s.startswith("/*", i):
-            end = s.find("*/", i + 2)
-            end = n if end < 0 else end + 2
-            out.append((i, end))
-            i = end
-        elif s.startswith("//", i):
-            end = s.find("\n", i)
-            end = n if end < 0 else end
-            out.append((i, end))
-            i = end
-        else:
-            i += 1
-    return out
-
-
-def test_lexer_against_a_scan_letter_by_letter():
+#: The rules as a table: in each state, which inputs lead where, the first that fits; "+" and "-" nest, "_" takes what follows along,
+#: "<" leaves the input to the next state. Any other letter stays. States in capitals are comments.
+STATES = {
+    "text": {'"': "double", "'": "single", "<!---": "TAG", "/*": "BLOCK", "//": "LINE"},
+    "double": {"\\": "_", '"': "text"},
+    "single": {"\\": "_", "'": "text"},
+    "TAG": {"<!---": "+", "-->": "-"},
+    "BLOCK": {"*/": "text"},
+    "LINE": {"\n": "<text"},
+}
+
+
+def walked(s: str) -> list[tuple[int, int]]:
+    """Comments by the table: every letter gets the number of the comment that it is in."""
+    state, depth, comment, marks, at = "text", 0, 0, [], 0
+    while at < len(s):
+        token = next((t for t in STATES[state] if s.startswith(t, at)), None)
+        to = STATES[state].get(token, state)
+        size = len(token or "x")
+        if to == "_":
+            to, size = state, 2
+        elif to in "+-":
+            depth += 1 if to == "+" else -1
+            to = "TAG" if depth else "text"
+        elif to == "TAG" and state == "text":
+            depth = 1
+        elif to[0] == "<":
+            to, size = to[1:], 0
+        comment += to.isupper() and not state.isupper()
+        marks += [comment if to.isupper() or state.isupper() else 0] * min(size, len(s) - at)
+        state, at = to, at + size
+    return [(marks.index(c), len(marks) - marks[::-1].index(c)) for c in sorted(set(marks) - {0})]
+
+
+def test_lexer_against_a_table_of_states():
     rng = random.Random(3)
     pieces = ["<!---", "--->", "-->", "/*", "*/", "//", "\n", '"', "'", "\\", "a", "-", "<", "/", "é"]
     for _ in range(20_000):
         s = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 14)))
-        assert spans_of(s) == scanned(s), s
+        spans = spans_of(s)
+        assert spans == walked(s), s
+        assert all(a < b for a, b in spans) and all(x[1] <= y[0] for x, y in zip(spans, spans[1:]))
+        rest = s[spans[-1][1] :] if spans else s
+        assert spans_of(rest) == []  # nothing is left behind the last one
 
 
 def test_enclosed():
@@ -175,3 +179,27 @@ def test_time_grows_with_the_length():
 
     took(500)
     assert min(took(8000) for _ in range(2)) < 3 * min(took(4000) for _ in range(3))
+
+
+#: The signature of a tag function as one expression, which says what is one but may take long to find it.
+SLOW = re.compile(r"<cffunction[\t\n\f\r ](?:[^>]*[^0-9A-Za-z_>])?(?<![0-9A-Za-z_])name[\t\n\f\r ]*=[\t\n\f\r ]*[\"']([^\"']+)[\"']", re.I | re.A)
+
+
+def test_tag_signatures_against_one_expression():
+    rng = random.Random(41)
+    pieces = ["<cffunction ", "<CFFUNCTION\t", "<cffunction", "name", "=", " ", '"', "'", ">", "x", "NAME='a'", 'name = "b"', "nickname='c'", " name='d>e'", "-name='f'", "name=''", "\n"]
+    for _ in range(30_000):
+        s = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 12)))
+        a = rng.randint(0, 3)
+        b = len(s) - rng.randint(0, 3)
+        assert list(tag_signatures(s, a, b)) == [(m.start(), m[1], m.end()) for m in SLOW.finditer(s, a, b)], (s, a, b)
+
+
+@pytest.mark.parametrize("unit", ["<cffunction x ", "<cffunction name", "<cffunction name='a", "<cffunction name='a' ", "<cffunction >", "name='x'"])
+def test_unclosed_tags_cost_no_more_than_their_length(unit):
+    took = []
+    for n in (8_000, 64_000):
+        began = time.process_time()
+        list(tag_signatures(unit * n, 0, len(unit) * n))
+        took.append(time.process_time() - began)
+    assert took[1] < 30 * took[0] + 0.2  # eight times the text; a square would be sixty-four
