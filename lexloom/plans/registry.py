@@ -9,7 +9,6 @@ from __future__ import annotations
 import io
 import json
 import re
-import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 
@@ -25,8 +24,8 @@ from lexloom.schemas import DOC_CHANGES
 from lexloom.sources import archive, config, globs
 from lexloom.sources import feed as feed_source
 from lexloom.sources import files as files_source
-from lexloom.sources.sinks import write_files
-from lexloom.sources.work import shared_dir
+from lexloom.sources.sinks import write_catalog, write_files
+from lexloom.sources.work import own_folder
 from lexloom.streaming import changes as feed
 from lexloom.streaming import sessions, store
 
@@ -49,11 +48,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def work(spark: SparkSession, name: str) -> str:
-    """A folder of a query's own on the shared file system, for what it writes on the way and then reads."""
-    return f"{shared_dir(spark)}/lexloom/{name}-{uuid.uuid4().hex}"
-
-
 # --- direct: markup and text ---
 
 HITS = f"unnest(regexp_extract_all(html, '{tags.EVENT}')) as hit, generate_subscripts(regexp_extract_all(html, '{tags.EVENT}'), 1) as pos"
@@ -211,7 +205,7 @@ def defs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stored(spark: SparkSession, defs: DataFrame) -> DataFrame:
     """The index as a table, which may be read more than once without lexing the files again."""
-    path = work(spark, "index")
+    path = own_folder(spark, "index")
     defs.write.parquet(path)
     return spark.read.schema(defs.schema).parquet(path)
 
@@ -323,7 +317,7 @@ select req_id, name, uri, line from q join d on contains(lower(d.name), lower(q.
 def stored_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posting lists written from the index, extended by what changed files define, then asked a query a part; names that are gone are
     found no more."""
-    path = work(spark, "postings")
+    path = own_folder(spark, "postings")
     before, changed = stored(spark, defs(spark, sf_dir)), touched(spark, sf_dir)
     postings.write_postings(before, path, 16)
     now = stored(spark, index.upserted(before, changed))
@@ -458,7 +452,7 @@ def definition_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def written_tree(spark: SparkSession, sf_dir: str) -> str:
     """The rendered tree of files in a folder of its own; its path on the shared file system."""
-    root = f"{shared_dir(spark)}/lexloom/tree-{uuid.uuid4().hex}"
+    root = own_folder(spark, "tree")
     write_files(rendered.tree(spark, sf_dir), root)
     return root
 
@@ -515,6 +509,32 @@ def mixed_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.regions(rendered.mixed(spark, sf_dir)).select("uri", "kind", "start_line")
 
 
+PLACED_SQL = f"""
+  select uri, tag, hidden, whole, 14 + coalesce(sum(22 + length(whole) + case when tag then 0 else 21 end + 1) over (partition by uri order by p_partkey rows between unbounded preceding and 1 preceding), 0) + 22 as base
+  from (select *, case when hidden then case when tag then '<!--- ' || plain || ' --->' else '/* ' || plain || ' */' end else plain end as whole
+    from (select *, case when tag then '<cffunction name="Tag_' || p_partkey || '"><cfargument name="a" type="any"></cffunction>' else 'function Script_' || p_partkey || '(required any b) {{}}' end as plain from ({MIXED_SQL})))
+"""
+
+
+@registered("region_texts", f"""
+select uri, 'tag' as kind, 0 as start_off, '<cfcomponent>' || chr(10) as text from ({PLACED_SQL}) group by uri
+union all select uri, case when tag then 'tag' else 'script' end, cast(base + case when tag then 0 else 10 end as integer), whole || case when tag then chr(10) else '' end from ({PLACED_SQL})
+""")
+def region_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each region of a mixed file begins, and its text."""
+    return extract.regions(rendered.mixed(spark, sf_dir)).select("uri", "kind", "start_off", "text")
+
+
+@registered("comment_places", f"""
+select uri, cast(base + case when tag then 0 else 10 end as integer) as "start", cast(base + case when tag then 0 else 10 end + length(whole) as integer) as "end", whole as text from ({PLACED_SQL}) where hidden
+""")
+def comment_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each comment of a mixed file begins and ends, and its text."""
+    f = rendered.mixed(spark, sf_dir)
+    s = extract.spans(f).select("uri", "start", "end")
+    return s.join(f, "uri").select("uri", "start", "end", F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("text"))
+
+
 @registered("mixed_defs", f"""
 select uri, case when tag then 'Tag_' else 'Script_' end || p_partkey as name, cast(line as integer) as line, case when tag then 'a' else 'b' end as arg_name, not tag as required from ({MIXED_SQL}) where not hidden
 """)
@@ -532,13 +552,24 @@ def catalog_from_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     entry = F.to_json(F.struct(*(F.col(x) for x in c.columns if x != "ord"), F.lit(1).alias("unknown")))
     rows = c.select(F.concat("type", F.lit("/"), "name", F.lit(".json")).alias("path"), entry.alias("text"), F.col("ord"))
     bad = spark.createDataFrame([("tag/bad.json", "{ broken"), ("tag/member.json", '{"name": "m", "type": "member"}'), ("tag/note.txt", '{"name": "t", "type": "tag"}')], "path string, text string")
-    root = f"{shared_dir(spark)}/lexloom/catalog-{uuid.uuid4().hex}"
+    root = own_folder(spark, "catalog")
     write_files(rows.select("path", "text").unionByName(bad), root)
     found = cat.in_order(cat.read_catalog(spark, f"{root}/tag").unionByName(cat.read_catalog(spark, f"{root}/function")))
     key = table(spark, sf_dir, "region").select(F.concat(F.lit("cf"), F.lower(F.replace("r_name", F.lit(" "), F.lit("")))).alias("name"), F.col("r_regionkey").cast("long").alias("key"))
     return found.join(key, "name", "left").select("type", "name", "description", F.coalesce("key", F.size("params").cast("long")).alias("n_params_or_key"))
 
 
+@registered("catalog_written", f"""
+select type, name, cast(row_number() over (order by type desc, lower(name), name) as integer) as place, n_params from (
+  select 'tag' as type, name, cast((select count(*) from nation where n_regionkey = r_regionkey) as integer) as n_params from ({TAGS_SQL}) union all select 'function', 'To' || replace(n_name, ' ', ''), 1 from nation)
+""")
+def catalog_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog as a table, written in its order and read back."""
+    path = own_folder(spark, "catalog")
+    write_catalog(catalog(spark, sf_dir), path)
+    return spark.read.parquet(path).select("type", "name", "place", F.size("params").alias("n_params"))
+
+
 @registered("document_changes", """
 with e as (select user_id, event_type, event_id, ts, value, case event_id % 4 when 0 then null when 1 then event_type when 2 then 'second' else 'third' end as text from events),
 k as (select *, row_number() over (partition by user_id, event_type order by ts desc, event_id desc) as k from e where text is not null or value < 20)
@@ -573,7 +604,7 @@ union all select uri, name, line from ({rendered.defs_sql("p_size % 2 = 0")}) wh
 def workspace_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A workspace that takes its files from two sessions in two micro-batches: all are opened; then some change, a folder goes, and files
     of it are changed again. A second Workspace over the same folder takes the second batch."""
-    root = f"{shared_dir(spark)}/lexloom/workspace-{uuid.uuid4().hex}"
+    root = own_folder(spark, "workspace")
     rows = lambda f, seq, op: f.select(F.lit(seq).cast("long").alias("seq"), F.when(F.col("uri").rlike("[02468][.]cfc$"), "a").otherwise("b").alias("session_id"), F.lit(op).alias("op"), "uri", F.array(F.lit("old"), "text").alias("changes"))
     gone = spark.createDataFrame([(3, None, "folder_removed", "file:///shop/brand_1", None)], DOC_CHANGES)
     second = files(spark, sf_dir, 1)
@@ -586,7 +617,7 @@ def workspace_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("catalog_from_archive", f"select 'tag' as type, name, description, 1 as n_reads from ({TAGS_SQL}) union all select 'function', 'To' || replace(n_name, ' ', ''), 'Makes ' || n_name, 1 from nation")
 def catalog_from_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A catalog's JSON files in an archive inside an archive, unpacked once although it is asked for twice."""
-    root = f"{shared_dir(spark)}/lexloom/archive-{uuid.uuid4().hex}"
+    root = own_folder(spark, "archive")
     inner, outer = io.BytesIO(), io.BytesIO()
     with zipfile.ZipFile(inner, "w") as z:
         for r in catalog(spark, sf_dir).drop("ord").collect():  # a catalog, which is made into one archive here
@@ -665,7 +696,7 @@ def in_lots(spark: SparkSession, sf_dir: str, path: str, closing: bool = False)
 @registered("change_feed", f"select seq, \"at\", session_id, op, uri, cast(n_changes as integer) as n_changes, text from ({NOTIFICATIONS_SQL})")
 def change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each lot is taken by a run of its own, which goes on from the checkpoint of the one before, into one table."""
-    root = work(spark, "feed")
+    root = own_folder(spark, "feed")
     for _ in in_lots(spark, sf_dir, f"{root}/feed"):
         changes = feed_source.decoded(feed_source.lines(spark, f"{root}/feed", share=1 << 20))
         changes.writeStream.format("parquet").option("path", f"{root}/table").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
@@ -680,7 +711,7 @@ select q.session_id, q.uri, o.text from q left join o on q.session_id = o.sessio
 """)
 def document_get(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every session asks for every document, by key, in the state that the stream has left behind after its last run."""
-    root = work(spark, "store")
+    root = own_folder(spark, "store")
     for _ in in_lots(spark, sf_dir, f"{root}/feed", closing=True):
         changes = feed_source.decoded(feed_source.lines(spark, f"{root}/feed"))
         store.follow(changes, f"{root}/checkpoint", lambda batch, _: batch.write.format("noop").mode("append").save(), IDLE_MS, partitions=8).awaitTermination()
@@ -784,3 +815,26 @@ def request_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = F.substring_index(F.col("item.contents"), "\n", 1)
     first = F.when(F.col("method") == requests.HOVER, shown).when(F.col("method") == requests.INITIALIZE, F.substring(shown, 1, 4))
     return found.select("req_id", "method", "status", "item.uri", "item.line", F.coalesce("item.label", "item.name", first).alias("label"))
+
+
+# --- a workspace from its roots on, through the streamed feed ---
+
+
+@registered("workspace_bootstrap", f"""
+select path, case when b = 11 and p_size % 2 = 0 then 'Renamed_' || p_partkey else name end as name, cast(case when script then 2 + place else 1 + 5 * place end as integer) as line
+from ({rendered.TREE_SQL}) where not hidden and not ends_with(path, '.txt') and b in (11, 13, 15, 31, 32)
+""")
+def workspace_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A workspace is made from a scan of its roots, and then follows the feed in two runs of the stream: folders are added, whose files
+    are scanned, and one is removed; then the files of a root change."""
+    root, tree = own_folder(spark, "bootstrap"), written_tree(spark, sf_dir)
+    uri = "file://" + tree.removeprefix("file://")
+    feed.Workspace(spark, f"{root}/workspace", buckets=8).initialize([f"{tree}/brand_{b}" for b in (11, 12, 13, 15)])
+    columns = "seq long, at long, session_id string, op string, uri string, changes array<string>"
+    folders = spark.createDataFrame([(1, 1, None, "folder_added", f"{uri}/brand_31", None), (2, 2, None, "folder_removed", f"{uri}/brand_12", None), (3, 3, None, "folder_added", f"{uri}/brand_32", None)], columns)
+    changed = rendered.tree(spark, sf_dir, 1).where("path like 'brand\\_11/%'").select(F.lit(4).cast("long").alias("seq"), F.lit(4).cast("long").alias("at"), F.lit("s").alias("session_id"), F.lit("change").alias("op"), F.concat(F.lit(uri + "/"), "path").alias("uri"), F.array("text").alias("changes"))
+    for number, rows in enumerate((folders, changed), 1):
+        feed_source.put(rows.select(feed_source.line(*(F.col(c) for c in rows.columns)).alias("line")), f"{root}/feed", number)
+        w = feed.Workspace(spark, f"{root}/workspace")
+        w.follow(feed_source.decoded(feed_source.lines(spark, f"{root}/feed")).drop("at")).awaitTermination()
+    return w.defs.select(below(tree).alias("path"), "name", "line")

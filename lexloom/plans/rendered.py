@@ -63,7 +63,7 @@ TREE_SQL = f"""
 """
 
 
-def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tree(spark: SparkSession, sf_dir: str, version: int = 0) -> DataFrame:
     """path, text: the rendered files under folders by brand, and one empty file."""
     b, k = (F.regexp_extract("uri", p, 1).cast("int") for p in (r"brand_(\d+)_", r"_(\d+)[.]cfc"))
     path = F.concat(
@@ -71,7 +71,7 @@ def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 5 == 4, ".txt").when(k % 3 == 1, ".CFC").otherwise(".cfc"),
     )
     none = spark.range(1).select(F.lit("none/empty.cfc").alias("path"), F.lit("").alias("text"))
-    return files(spark, sf_dir).select(path.alias("path"), "text").unionByName(none)
+    return files(spark, sf_dir, version).select(path.alias("path"), "text").unionByName(none)
 
 
 def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,13 +8,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.operators.catalog import in_order
+from lexloom.operators.catalog import in_order, placed
 from lexloom.sources.files import opened
 
 
 def write_catalog(catalog: DataFrame, path: str) -> None:
-    """The catalog in its order, tags first."""
-    in_order(catalog).write.mode("overwrite").parquet(path)
+    """The catalog in its order, tags first, each entry with its place in it."""
+    in_order(placed(catalog)).write.mode("overwrite").parquet(path)
 
 
 def write_index(defs: DataFrame, table: str, buckets: int = 64) -> None:

@@ -7,12 +7,15 @@ import os
 import shutil
 import sys
 import tempfile
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
+from lexloom.sources.files import opened
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir. Where that is unset, as in tests, one of our own for this session, but only if driver
@@ -29,6 +32,27 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+_OWN: list[str] = []
+
+
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A folder of this process's own on the shared file system, for what is written on the way and then read by a result; it is
+    deleted when the process ends, as the result may be read until then."""
+    if not _OWN:
+        atexit.register(clear_own)
+    _OWN.append(f"{shared_dir(spark)}/lexloom/{name}-{uuid.uuid4().hex}")
+    return _OWN[-1]
+
+
+def clear_own() -> None:
+    while _OWN:
+        try:
+            fs, path, _ = opened(_OWN.pop())
+            fs.delete_dir(path)
+        except (OSError, ValueError):  # never written, or on a file system that only Spark can reach
+            continue
+
+
 @contextmanager
 def by_value(*modules: str) -> Iterator[None]:
     """What is sent from these modules in this block takes their code along: the processes that Spark starts beside the driver for

@@ -151,17 +151,30 @@ class Workspace:
             documents = batch.where(F.col("op").isin(*DOCUMENT_OPS))
             touched = [r[0] for r in documents.select(self._bucket().alias("b")).distinct().collect()]  # at most all buckets
             folders = batch.where(~F.col("op").isin(*DOCUMENT_OPS)).orderBy("seq", F.desc("op")).select("seq", "op", "uri").collect()  # removed before added; a workspace's folders: a handful
-            indexed = list(range(self.buckets)) if folders else touched
-            defs = self._after(self._read("defs", FUNCTION_DEFS, indexed), documents, folders)
+            scans = {f.uri: scan(self.spark, [f.uri]).persist() for f in folders if f.op == "folder_added"}
+            indexed = sorted({*touched, *self._reached(folders, scans)})
+            defs = self._after(self._read("defs", FUNCTION_DEFS, indexed), documents, folders, scans)
             if touched:
                 self._write("documents", applied(self._read("documents", DOCUMENTS, touched), documents), version, touched)
             if indexed:
                 self._write("defs", defs, version, indexed)
             self._commit(version)
+            for s in scans.values():
+                s.unpersist()
         finally:
             batch.unpersist()
 
-    def _after(self, defs: DataFrame, documents: DataFrame, folders: list) -> DataFrame:
+    def _reached(self, folders: list, scans: dict[str, DataFrame]) -> set[int]:
+        """The buckets of the uris that folders bring or take: only these are read whole and written again."""
+        uris = [s.select("uri") for s in scans.values()]
+        if gone := [f.uri for f in folders if f.op == "folder_removed"]:
+            starts = F.lit(False)
+            for g in gone:
+                starts = starts | F.startswith("uri", F.lit(g))
+            uris.append(self.defs.select("uri").where(starts))
+        return {r[0] for u in uris for r in u.select(self._bucket().alias("b")).distinct().collect()}  # at most all buckets
+
+    def _after(self, defs: DataFrame, documents: DataFrame, folders: list, scans: dict[str, DataFrame]) -> DataFrame:
         """The index after the changes, those of folders at their place among those of documents."""
         protected = self.spark.createDataFrame([(f,) for f in self.folders], "path string")
         since = None
@@ -172,7 +185,7 @@ class Workspace:
             if op == "folder_removed":
                 defs = without_prefix(defs, self.spark.createDataFrame([(uri,)], "uri string"), protected)
             elif op == "folder_added":
-                defs = upserted(defs, scan(self.spark, [uri]))
+                defs = upserted(defs, scans[uri])
         return defs
 
     def follow(self, feed: DataFrame, checkpoint: str | None = None) -> StreamingQuery:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import json_literal, socket_name
-from lexloom.sources import archive, config, files, globs
+from lexloom.sources import archive, config, files, globs, work
 
 
 @pytest.fixture
@@ -124,3 +124,14 @@ def test_overlapping_paths_are_read_once_in_few_shares(spark, tree):
         (deep / f"d{i}" / "x" / "f.cfc").write_text("f")
     assert files.scan(spark, [str(deep)]).count() == 90
     assert files.scan(spark, [str(tree / "none"), f"{tree}/none/*.cfc", f"{tree}/["]).count() == 0
+
+
+def test_own_folders_are_deleted_at_the_end(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(work, "_OWN", [])
+    monkeypatch.setattr(work.atexit, "register", lambda f: None)
+    a, b, c = (work.own_folder(spark, n) for n in "abc")
+    spark.range(3).write.parquet(a)
+    spark.range(3).write.parquet(b)
+    assert len({a, b, c}) == 3 and spark.read.parquet(b).count() == 3
+    work.clear_own()
+    assert all(files.Entry.kind(x) == files.arrow_fs.FileType.NotFound for x in (a, b, c)) and work._OWN == []

@@ -65,6 +65,11 @@ def test_folders_in_a_stream(spark, tmp_path):
     w.take(spark.createDataFrame(rows, DOC_CHANGES), 0)
     assert sorted(r.name for r in w.defs.collect()) == ["after", "k", "n"]
     assert w.document("s", uri("old/x.cfc")) == component("after")
+    before = {b: v for (t, b), v in w.current.items() if t == "defs"}
+    w.take(spark.createDataFrame([(9, None, "folder_removed", uri("new"), None)], DOC_CHANGES), 1)
+    assert sorted(r.name for r in w.defs.collect()) == ["after", "k"]
+    bucket = spark.range(1).select(w._bucket(F.lit(uri("new/x.cfc")))).first()[0]
+    assert {b for b, v in before.items() if w.current.get(("defs", b)) != v} == {bucket}  # no other bucket is written
     roots = feed.Workspace(spark, f"file://{tmp_path}/w2", buckets=4).initialize([str(tmp_path / "new")])
     assert [r.name for r in roots.defs.collect()] == ["n"]
 
