@@ -714,7 +714,7 @@ def document_get(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = own_folder(spark, "store")
     for _ in in_lots(spark, sf_dir, f"{root}/feed", closing=True):
         changes = feed_source.decoded(feed_source.lines(spark, f"{root}/feed"))
-        store.follow(changes, f"{root}/checkpoint", lambda batch, _: batch.write.format("noop").mode("append").save(), IDLE_MS, partitions=8).awaitTermination()
+        store.follow(changes, f"{root}/checkpoint", lambda batch, _: batch.write.format("noop").mode("append").save(), IDLE_MS, partitions=4).awaitTermination()
     e = table(spark, sf_dir, "events")
     types = e.select("event_type").distinct().unionByName(spark.sql("select 'none' as event_type"))
     asked = e.select(F.col("user_id").cast("string").alias("session_id")).distinct().join(F.broadcast(types)).select("session_id", F.concat(F.lit("file:///w/"), "event_type", F.lit(".cfc")).alias("uri"))
@@ -757,17 +757,17 @@ def argument_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered("brackets_before_cursors", """
-with l as (select page_id, unnest(string_split(html, chr(10))) as line, generate_subscripts(string_split(html, chr(10)), 1) as n, html from pages),
+with l as (select page_id, unnest(string_split(replace(html, ',', chr(10)), chr(10))) as line, generate_subscripts(string_split(replace(html, ',', chr(10)), chr(10)), 1) as n, html from pages),
 c as (select page_id, html, cast(sum(length(line) + 1) over (partition by page_id order by n) - 1 as bigint) as pos from l),
 b as (select page_id, pos, substr(html, 1, cast(pos as integer) + 1) as before from c where pos < length(html))
 select page_id, pos, case when contains(before, '<') then cast(pos - position('<' in reverse(before)) + 1 as bigint) end as opened, case when contains(before, '>') then cast(pos - position('>' in reverse(before)) + 1 as bigint) end as closed from b
 """)
 def brackets_before_cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A cursor at every line end of every page, against the last bracket of each kind at or before it."""
+    """A cursor at every comma and line end of every page, against the last bracket of each kind at or before it."""
     pages = table(spark, sf_dir, "pages").select("page_id", "html")
-    found = extract.places(pages, "[<>\n]", "page_id", "html").select("page_id", F.col("pos").cast("long").alias("pos"), "hit")
-    cursors, opened, closed = (found.where(F.col("hit") == h).select("page_id", "pos", F.col("pos").alias("_pos")) for h in "\n<>")
-    at = places.as_of(cursors.drop("_pos"), opened, "page_id", {"_pos": "opened"})
+    found = extract.places(pages, "[<>,\n]", "page_id", "html").select("page_id", F.col("pos").cast("long").alias("pos"), "hit")
+    opened, closed = (found.where(F.col("hit") == h).select("page_id", "pos", F.col("pos").alias("_pos")) for h in "<>")
+    at = places.as_of(found.where(~F.col("hit").isin("<", ">")).select("page_id", "pos"), opened, "page_id", {"_pos": "opened"})
     return places.as_of(at, closed, "page_id", {"_pos": "closed"})
 
 
@@ -783,7 +783,7 @@ a as (
   select req_id, method, uri, line, cast(null as varchar) as label from q join d on d.name_key = 'make_' || (k + 1) where method = 'textDocument/definition'
   union all select req_id, method, null, null, left(contents, 4 + length(name)) from q join (select *, '**' || name || '**' || chr(10) as contents from n) n on q.k % 30 = n.nk where method = 'textDocument/hover'
   union all select req_id, method, d.uri, d.line, d.name from q join d on d.uri = rendered_uri where method = 'textDocument/documentSymbol'
-  union all select req_id, method, d.uri, d.line, d.name from q join d on contains(d.name_key, 'make_' || (k % 50)) where method = 'workspace/symbol'
+  union all select req_id, method, d.uri, d.line, d.name from q join d on contains(d.name_key, 'make_' || k) where method = 'workspace/symbol'
   union all select req_id, method, null, null, 'cfloop' from q where method = 'textDocument/completion' and k % 3 = 0
   union all select req_id, method, null, null, 'cfoutput' from q where method = 'textDocument/completion' and k % 3 = 0
   union all select req_id, method, null, null, n.name from q, n where q.method = 'textDocument/completion' and k % 3 = 1
@@ -808,7 +808,7 @@ def request_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = F.concat(F.lit("file:///use/"), k.cast("string"), F.lit(".cfm"))
     r = p.select(
         k.alias("req_id"), method.alias("method"), F.when(k % 7 == 2, F.col("uri")).otherwise(own).alias("uri"), F.lit(1).alias("line"), F.when(k % 7 == 4, 200).otherwise(5).alias("character"),
-        F.lit("invoked").alias("trigger_kind"), F.lit(None).cast("string").alias("trigger_char"), F.concat(F.lit("MAKE_"), (k % 50).cast("string")).alias("query"), text.alias("text"),
+        F.lit("invoked").alias("trigger_kind"), F.lit(None).cast("string").alias("trigger_char"), F.concat(F.lit("MAKE_"), k.cast("string")).alias("query"), text.alias("text"),
     )
     documents = r.where("method != 'textDocument/documentSymbol'").select("uri", "text").unionByName(files(spark, sf_dir).select("uri", "text"))
     found = requests.routed(r.drop("text"), documents, defs(spark, sf_dir), catalog(spark, sf_dir), entries(spark, sf_dir))
