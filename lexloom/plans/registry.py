@@ -693,14 +693,14 @@ def in_lots(spark: SparkSession, sf_dir: str, path: str, closing: bool = False)
         yield
 
 
-@registered("change_feed", f"select seq, \"at\", session_id, op, uri, cast(n_changes as integer) as n_changes, text from ({NOTIFICATIONS_SQL})")
+@registered("change_feed", f"select seq, \"at\", session_id, op, uri, cast(coalesce(n_changes, -1) as integer) as n_changes, text from ({NOTIFICATIONS_SQL})")
 def change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each lot is taken by a run of its own, which goes on from the checkpoint of the one before, into one table."""
     root = own_folder(spark, "feed")
     for _ in in_lots(spark, sf_dir, f"{root}/feed"):
         changes = feed_source.decoded(feed_source.lines(spark, f"{root}/feed", share=1 << 20))
         changes.writeStream.format("parquet").option("path", f"{root}/table").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{root}/table").select("seq", "at", "session_id", "op", "uri", F.when(F.col("changes").isNotNull(), F.size("changes")).alias("n_changes"), F.element_at("changes", F.when(F.size("changes") > 0, -1)).alias("text"))
+    return spark.read.parquet(f"{root}/table").select("seq", "at", "session_id", "op", "uri", F.when(F.col("changes").isNotNull(), F.size("changes")).otherwise(-1).alias("n_changes"), F.element_at("changes", F.when(F.size("changes") > 0, -1)).alias("text"))
 
 
 @registered("document_get", f"""
@@ -760,7 +760,7 @@ def argument_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
 with l as (select page_id, unnest(string_split(replace(html, ',', chr(10)), chr(10))) as line, generate_subscripts(string_split(replace(html, ',', chr(10)), chr(10)), 1) as n, html from pages),
 c as (select page_id, html, cast(sum(length(line) + 1) over (partition by page_id order by n) - 1 as bigint) as pos from l),
 b as (select page_id, pos, substr(html, 1, cast(pos as integer) + 1) as before from c where pos < length(html))
-select page_id, pos, case when contains(before, '<') then cast(pos - position('<' in reverse(before)) + 1 as bigint) end as opened, case when contains(before, '>') then cast(pos - position('>' in reverse(before)) + 1 as bigint) end as closed from b
+select page_id, pos, case when contains(before, '<') then cast(pos - position('<' in reverse(before)) + 1 as bigint) else -1 end as opened, case when contains(before, '>') then cast(pos - position('>' in reverse(before)) + 1 as bigint) else -1 end as closed from b
 """)
 def brackets_before_cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A cursor at every comma and line end of every page, against the last bracket of each kind at or before it."""
@@ -768,7 +768,8 @@ def brackets_before_cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = extract.places(pages, "[<>,\n]", "page_id", "html").select("page_id", F.col("pos").cast("long").alias("pos"), "hit")
     opened, closed = (found.where(F.col("hit") == h).select("page_id", "pos", F.col("pos").alias("_pos")) for h in "<>")
     at = places.as_of(found.where(~F.col("hit").isin("<", ">")).select("page_id", "pos"), opened, "page_id", {"_pos": "opened"})
-    return places.as_of(at, closed, "page_id", {"_pos": "closed"})
+    at = places.as_of(at, closed, "page_id", {"_pos": "closed"})
+    return at.select("page_id", "pos", *(F.coalesce(c, F.lit(-1)).alias(c) for c in ("opened", "closed")))
 
 
 # --- a mixed batch of requests ---
@@ -790,7 +791,7 @@ a as (
   union all select req_id, method, null, null, lower(n_name) from q join nation on n_regionkey = k % 5 where method = 'textDocument/completion' and k % 3 = 2
   union all select req_id, method, null, null, '{{"op' from q where method = 'initialize'
 )
-select q.req_id, q.method, case when q.method = 'textDocument/references' then 'method not found' when a.req_id is null then 'none' else 'ok' end as status, a.uri, a.line, a.label
+select q.req_id, q.method, case when q.method = 'textDocument/references' then 'method not found' when a.req_id is null then 'none' else 'ok' end as status, a.uri, coalesce(a.line, -1) as line, a.label
 from q left join a on q.req_id = a.req_id
 """)
 def request_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -814,7 +815,7 @@ def request_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = requests.routed(r.drop("text"), documents, defs(spark, sf_dir), catalog(spark, sf_dir), entries(spark, sf_dir))
     shown = F.substring_index(F.col("item.contents"), "\n", 1)
     first = F.when(F.col("method") == requests.HOVER, shown).when(F.col("method") == requests.INITIALIZE, F.substring(shown, 1, 4))
-    return found.select("req_id", "method", "status", "item.uri", "item.line", F.coalesce("item.label", "item.name", first).alias("label"))
+    return found.select("req_id", "method", "status", "item.uri", F.coalesce("item.line", F.lit(-1)).alias("line"), F.coalesce("item.label", "item.name", first).alias("label"))
 
 
 # --- a workspace from its roots on, through the streamed feed ---
