@@ -152,7 +152,8 @@ def errors(i: int) -> str:
 
 def linked(fps: DataFrame) -> DataFrame:
     """fps (fp: distinct signed longs) to a, b: every pair of fingerprints that differ in at most four bits, a being the
-    smaller; some pairs come twice."""
+    smaller; some pairs come twice. A fingerprint has up to a hundred keys, which no estimate from fps' own size sees, so the join is
+    a merge of two dealt sides, whatever the limit for broadcasts."""
     smaller = fps.select("fp").mapInArrow(keyed(False), "key long, fp long, near boolean").alias("s")
     larger = fps.select("fp").mapInArrow(keyed(True), "key long, fp long, near boolean").alias("p")
     case = " ".join(
@@ -162,7 +163,7 @@ def linked(fps: DataFrame) -> DataFrame:
     # with at most one error in the indexed segment, the smaller one's nearest codeword is enough
     close = " ".join(f"when {n} then s.near or {errors(j)} = 2" for n, (_, j) in enumerate(ORDERED))
     on = f"s.key = p.key and s.fp < p.fp and bit_count(s.fp ^ p.fp) <= {MOST} and shiftright(s.key, 40) = (case {case} end) and (case shiftright(s.key, 40) {close} else true end)"
-    return smaller.join(larger, F.expr(on)).select(F.col("s.fp").alias("a"), F.col("p.fp").alias("b"))
+    return smaller.hint("merge").join(larger, F.expr(on)).select(F.col("s.fp").alias("a"), F.col("p.fp").alias("b"))
 
 
 def grouped(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:

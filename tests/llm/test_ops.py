@@ -929,6 +929,13 @@ def test_no_link_is_lost(spark):
     assert set(got) == want and len(got) <= 2.5 * len(want)
 
 
+def test_links_are_never_broadcast(spark, tmp_path):
+    """A small table of fingerprints has many keys, which Spark's estimate of its size doesn't show."""
+    spark.range(50).select(F.xxhash64("id").alias("fp")).write.parquet(f"{tmp_path}/nodes")
+    plan = simhash.linked(spark.read.parquet(f"{tmp_path}/nodes"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_golay_code():
     rng = np.random.default_rng(9)
     words = rng.integers(0, 1 << 22, 500)
