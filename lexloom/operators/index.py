@@ -97,13 +97,14 @@ def symbol_search(queries: DataFrame, defs: DataFrame) -> DataFrame:
     """queries (req_id, query) x definitions whose name holds the query, whatever the case; an empty query finds all.
 
     Joined by equality: names, each once, are listed under all their grams, and a query looks under its last letters and is
-    then verified; a query shorter than a gram is one itself. Found names are joined with their definitions.
+    then verified; a query shorter than a gram is one itself. Found names are joined with their definitions. Names come out of texts
+    and have many grams, which no estimate of the texts' size sees: both joins are merges, whatever the limit for broadcasts.
     """
     names = defs.select("name_key").distinct().select("name_key", F.explode(grams("name_key")).alias("_gram"))
     q = queries.where("query is not null").select("req_id", F.lower("query").alias("_q"))
     q = q.withColumn("_last", F.when(F.length("_q") <= GRAM, F.col("_q")).otherwise(F.substring("_q", -GRAM, GRAM)))
-    found = q.join(names, F.col("_last") == F.col("_gram")).where(F.contains("name_key", "_q")).select("req_id", "name_key")
-    return found.join(defs, "name_key").select("req_id", "name", "uri", "line")
+    found = q.join(names.hint("merge"), F.col("_last") == F.col("_gram")).where(F.contains("name_key", "_q")).select("req_id", "name_key")
+    return found.join(defs.hint("merge"), "name_key").select("req_id", "name", "uri", "line")
 
 
 def accepts(files: DataFrame, folders: list[str], globs: list[str]) -> DataFrame:

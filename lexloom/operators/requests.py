@@ -3,6 +3,9 @@ a mixed batch of all methods by routed().
 
 For a mixed batch, requests meet their documents once. What a request needs then stands in its row: results that the document itself
 gives, or the key of one of several tables, which are one table under (table, key), joined once.
+
+Texts that are rendered or read by globs, and tables that are extracted from them, may be many times what Spark estimates, so these
+joins are merges of two dealt sides (hint "merge"), whatever the limit for broadcasts.
 """
 
 from __future__ import annotations
@@ -83,7 +86,7 @@ def offer(label: Column, kind: str, detail: Column | None = None, documentation:
 def asked(requests: DataFrame, documents: DataFrame) -> DataFrame:
     """req_id, method, table, key, ord, item: what each request needs to be answered, a row each. It is either found already in the
     document (item) or looked up (table, key). Requests and documents are joined here and nowhere else."""
-    r = requests.select("req_id", "method", "uri", "line", "character", "trigger_kind", "trigger_char").join(documents.select("uri", "text"), "uri", "left")
+    r = requests.select("req_id", "method", "uri", "line", "character", "trigger_kind", "trigger_char").join(documents.select("uri", "text").hint("merge"), "uri", "left")
     r = r.withColumn("word", F.when(F.col("method").isin(DEFINITION, HOVER), F.lower(word_at("text", "line", "character"))))
     r = r.withColumn("before", F.when(F.col("method") == COMPLETION, text_before("text", "line", "character")))
     r = r.withColumn("tag", F.coalesce(enclosing_tag("before"), F.lit("")))
@@ -122,10 +125,12 @@ def offered(catalog: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def answered(needs: DataFrame, tables: DataFrame) -> DataFrame:
-    """req_id, method, ord, item; a row without an item for a request that has no answer."""
+    """req_id, method, ord, item; a row without an item for a request that has no answer. What is held already is dealt out by request,
+    under a name that no table has, and not all as one null key."""
     t = tables.select(F.col("table").alias("_table"), F.col("key").alias("_key"), F.col("ord").alias("_ord"), F.col("item").alias("_item"))
-    found = needs.join(t, (F.col("table") == F.col("_table")) & (F.col("key") == F.col("_key")), "left")
     held = F.col("table").isNull()
+    table, key = F.coalesce("table", F.lit("")), F.when(held, F.col("req_id").cast("string")).otherwise(F.col("key"))
+    found = needs.join(t.hint("merge"), (table == F.col("_table")) & (key == F.col("_key")), "left")
     return found.select("req_id", "method", F.when(held, F.col("ord")).otherwise(F.col("_ord")).alias("ord"), F.when(held, F.col("item")).otherwise(F.col("_item")).alias("item"))
 
 
@@ -138,7 +143,7 @@ def routed(requests: DataFrame, documents: DataFrame, defs: DataFrame, catalog:
     main = answered(asked(known, documents), offered(catalog, entries).unionByName(places))
     searched = requests.where(F.col("method") == WORKSPACE).select("req_id", "method", "query")
     symbols = symbol_search(searched, defs).select(F.col("req_id").alias("_req"), item(name=F.col("name"), uri=F.col("uri"), line=F.col("line"), kind=F.lit("function")).alias("item"))
-    symbols = searched.join(symbols, F.col("req_id") == F.col("_req"), "left").select("req_id", "method", F.lit(None).cast("int").alias("ord"), "item")
+    symbols = searched.join(symbols.hint("merge"), F.col("req_id") == F.col("_req"), "left").select("req_id", "method", F.lit(None).cast("int").alias("ord"), "item")
     unknown = requests.where(~F.coalesce(F.col("method").isin(*KNOWN), F.lit(False))).select("req_id", "method", F.lit(None).cast("int").alias("ord"), item().alias("item"))
     fields = lambda c: F.coalesce(*(F.col(f"{c}.{f}").cast("string") for f in ITEM))
     status = F.when(~F.coalesce(F.col("method").isin(*KNOWN), F.lit(False)), "method not found").when(fields("item").isNull(), "none").otherwise("ok")

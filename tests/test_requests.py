@@ -72,6 +72,18 @@ def test_documents_are_joined_once(spark, tmp_path):
         assert out._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 1  # the other tables are not files
 
 
+def test_rendered_tables_are_never_broadcast(spark, tmp_path):
+    """Documents and definitions of small files may be large: texts and grams are made on the way, which Spark's estimate doesn't show."""
+    documents, _, catalog, entries = tables(spark)
+    batch(spark, [(requests.WORKSPACE, None, None, None, None, None, "TW"), (requests.DEFINITION, "file:///a.cfc", 2, 21, None, None, None)]).write.parquet(f"{tmp_path}/asked")
+    documents.write.parquet(f"{tmp_path}/documents")
+    documents = spark.read.parquet(f"{tmp_path}/documents")
+    out = requests.routed(spark.read.parquet(f"{tmp_path}/asked"), documents, function_defs(documents), catalog, entries)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 5 and "Broadcast" not in plan
+    assert sorted((r.req_id, r["item"].uri) for r in out.collect()) == [(0, "file:///a.cfc"), (1, "file:///a.cfc"), (1, "file:///b.cfc")]
+
+
 def test_open_names_are_those_of_the_window(spark):
     rng = random.Random(9)
     parts = ["<cfif x>", "</cfif>", "<CFLoop a='>'>", "</cfloop >", "<cfset x>", "<b/>", "<br>", "</", "</b", "<!-- x -->", "< x", "<i", " ", "text", "<cfoutput\n>", "</cfoutput>"]
