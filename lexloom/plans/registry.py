@@ -711,10 +711,10 @@ select q.session_id, q.uri, o.text from q left join o on q.session_id = o.sessio
 """)
 def document_get(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every session asks for every document, by key, in the state that the stream has left behind after its last run."""
-    root = own_folder(spark, "store")
+    root, partitions = own_folder(spark, "store"), 4 + table(spark, sf_dir, "events").count() // 2_000_000
     for _ in in_lots(spark, sf_dir, f"{root}/feed", closing=True):
         changes = feed_source.decoded(feed_source.lines(spark, f"{root}/feed"))
-        store.follow(changes, f"{root}/checkpoint", lambda batch, _: batch.write.format("noop").mode("append").save(), IDLE_MS, partitions=4).awaitTermination()
+        store.follow(changes, f"{root}/checkpoint", lambda batch, _: batch.write.format("noop").mode("append").save(), IDLE_MS, partitions, 256 * partitions).awaitTermination()
     e = table(spark, sf_dir, "events")
     types = e.select("event_type").distinct().unionByName(spark.sql("select 'none' as event_type"))
     asked = e.select(F.col("user_id").cast("string").alias("session_id")).distinct().join(F.broadcast(types)).select("session_id", F.concat(F.lit("file:///w/"), "event_type", F.lit(".cfc")).alias("uri"))

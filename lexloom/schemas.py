@@ -16,5 +16,6 @@ LINES = "lot string, line string"
 _FOLDERS = "array<struct<uri:string,name:string>>"
 _PARAMS = f"struct<textDocument:struct<uri:string,text:string>,contentChanges:array<struct<text:string>>,event:struct<added:{_FOLDERS},removed:{_FOLDERS}>>"
 NOTIFICATION = f"seq long, at long, session_id string, message struct<method:string,params:{_PARAMS}>"
-STORED = "text string, seq long, at long"
-STORE_UPDATES = "session_id string, uri string, text string, seq long"
+PACKED_CHANGES = "bucket int, rows binary"
+STORED = "session_id array<string>, uri array<string>, text array<string>, seq array<bigint>, at array<bigint>"
+STORE_UPDATES = "session_id array<string>, uri array<string>, text array<string>, seq array<bigint>"

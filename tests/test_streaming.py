@@ -1,5 +1,8 @@
 """The change feed, as batch and as stream."""
 
+import pickle
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lexloom.operators.extract import function_defs
@@ -142,6 +145,38 @@ def test_keyed_store(spark, tmp_path):
     assert spark.conf.get(store.PROVIDER_CONF, "none") != store.PROVIDER
 
 
+def test_documents_share_a_bucket_and_its_timer(spark, tmp_path):
+    path, checkpoint, seen = str(tmp_path / "feed"), str(tmp_path / "checkpoint"), []
+
+    def run(number, *rows):
+        df = spark.createDataFrame(rows, "seq long, at long, session_id string, op string, uri string, changes array<string>")
+        source.put(df.select(source.line(*(F.col(c) for c in df.columns)).alias("line")), path, number)
+        store.follow(source.decoded(source.lines(spark, path)), checkpoint, lambda df, _: seen.extend(df.collect()), idle_ms=100_000, partitions=1, buckets=1).awaitTermination()
+        return {(r.session_id, r.uri): r.text for r in store.documents(spark, checkpoint).collect()}
+
+    nobody = lambda seq, at: (seq, at, "nobody", "close", A, None)
+    assert run(1, (100, 100_000, "s", "open", A, ["first"]), (101, 100_000, "s", "change", A, ["kept"])) == {("s", A): "kept"}
+    run(2, nobody(102, 101_000))
+    both = {("s", A): "kept", ("t", B): "late"}
+    late = run(3, (50, 50_000, "t", "open", B, ["late"]), (49, 90_000, "t", "open", B, ["older"]), (1, 1_000, "t", "open", C, ["given up already"]))
+    assert late == both  # behind event time, but not idle for so long
+    assert spark.read.format("statestore").option("path", checkpoint).option("stateVarName", store.STATE).load().count() == 1
+    run(4, nobody(103, 149_999))
+    assert run(5, nobody(104, 150_000)) == both  # event time is 149,999
+    assert run(6, nobody(105, 200_000)) == {("s", A): "kept"}
+    assert run(7, nobody(106, 200_000)) == {}
+    assert sorted((r.uri, r.text or "") for r in seen if r.session_id != "nobody") == [(A, ""), (A, "kept"), (B, ""), (B, "late"), (C, "")]
+
+
+def test_changes_are_packed():
+    names = ["bucket", "session_id", "uri", "seq", "at", "op", "text"]
+    batch = lambda seqs: pa.RecordBatch.from_pylist([{"bucket": i % 3, "session_id": None, "uri": str(i % 6), "seq": i, "at": i, "op": "close" if i % 6 == 5 else "change", "text": None if i % 6 == 5 or i >= 594 else "é"} for i in seqs], pa.schema(list(zip(names, [pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]))))
+    rows = [r for b in store.packed(iter([batch(range(300, 600)), batch(range(300))])) for r in b.to_pylist()]
+    assert sorted(r["bucket"] for r in rows) == [0, 1, 2]
+    last = {(r["bucket"], *key): change for r in rows for key, change in pickle.loads(r["rows"])}
+    assert last == {(i % 3, None, str(i)): (599, 599, None) if i == 5 else (588 + i, 588 + i, "é") for i in range(6)}
+
+
 def test_folder_changes(spark):
     defs = function_defs(spark.createDataFrame([("file:///A/x.cfc", component("a")), ("file:///B/x.cfc", component("b"))], FILES))
     changes = spark.createDataFrame([(1, "removed", "file:///A", ""), (2, "removed", "file:///B", ""), (3, "added", "file:///C", "")], FOLDER_CHANGES)
